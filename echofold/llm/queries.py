@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode
 from .shared import documents
+from . import suffix_dedup
 from .token_counts import token_counts
 
 
@@ -24,6 +25,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without byte strings that also start earlier."""
+    return suffix_dedup.digest(suffix_dedup.dedup(documents(spark, sf_dir)))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return token_counts(documents(spark, sf_dir), vocabulary_path())
@@ -32,6 +38,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op10_token_counts": op10_token_counts,
     }
 
