@@ -17,6 +17,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,13 +79,30 @@ class WordRuns:
 Unit = Bytes | WordRuns
 
 
+#: Bytes of text that a worker takes at once.
+SLICE_BYTES = 1 << 21
+
+
+def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch with a column text in parts of about `limit` bytes."""
+    size = pc.binary_length(batch.column("text")).to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // limit)) + 1).tolist(), len(size)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def utf8(column: pa.Array) -> list[bytes]:
+    return column.cast(pa.binary()).to_pylist()
+
+
 def index_rows(rows: DataFrame, unit: Unit) -> DataFrame:
     """rows: doc_id, text."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            docs = df["doc_id"].to_numpy(np.int64)
-            for g in unit.groups([t.encode() for t in df["text"]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for batch in batches for x in slices(batch)):
+            docs = part.column("doc_id").to_numpy()
+            for g in unit.groups(utf8(part.column("text"))):
                 doc = docs[g["text"]]
                 place = g["first"] << 16 | g["n"] << 8 | g["offset"]
                 order = np.lexsort((place, doc, g["variant"], g["anchor"]))
@@ -94,9 +113,10 @@ def index_rows(rows: DataFrame, unit: Unit) -> DataFrame:
                 later = later_than(doc, place, first, unit.within)
                 # What is settled here still passes through the shuffle, spread by document and place.
                 spread = winnow.mix(doc.astype(np.uint64) * np.uint64(winnow.BASE_1) + place.astype(np.uint64)).view(np.int64)
-                yield pd.DataFrame({"kind": later.astype(np.int32), "anchor": np.where(later, spread, anchor), "variant": np.where(later, 0, variant), "doc_id": doc, "place": place})
+                columns = [later.astype(np.int32), np.where(later, spread, anchor), np.where(later, 0, variant), doc, place]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=COLUMNS)
 
-    return rows.mapInPandas(run, ROWS)
+    return rows.mapInArrow(run, ROWS)
 
 
 def later_than(doc: np.ndarray, place: np.ndarray, first: np.ndarray, within: bool) -> np.ndarray:
@@ -166,7 +186,8 @@ def mark(index: DataFrame, unit: Unit) -> DataFrame:
             if len(df):
                 yield df.assign(kind=df["kind"].astype(np.int32))[COLUMNS]
 
-    return index.repartition("anchor").sortWithinPartitions("anchor", "variant", "doc_id", "place").mapInPandas(typed, ROWS)
+    # By an expression: the optimizer may take a bucketed table's own partitioning for this one, and then read it unbucketed.
+    return index.repartition(F.xxhash64("anchor")).sortWithinPartitions("anchor", "variant", "doc_id", "place").mapInPandas(typed, ROWS)
 
 
 def whole_groups(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -192,18 +213,24 @@ def spans(marks: DataFrame, rows: DataFrame, unit: Unit, solve: Solver) -> DataF
     """doc_id, first, n: runs of windows that also occur earlier.  marks: a stored table."""
     first, n = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255)
     out = marks.filter(F.col("kind") == REMOVED).select("doc_id", first.alias("first"), n.alias("n"))
-    wanted = marks.filter(F.col("kind") >= OPEN).dropDuplicates(["anchor", "variant", "doc_id", "place"])
+    # A row may be open in several batches' marks; one that is hot in any of them makes its anchor hot.
+    wanted = marks.filter(F.col("kind") >= OPEN).groupBy("anchor", "variant", "doc_id", "place").agg(F.max("kind").alias("kind"))
+    if has_hot := not marks.filter(F.col("kind") == HOT).isEmpty():
+        hot = marks.filter(F.col("kind") == HOT).select("anchor", F.lit(HOT).alias("_hot")).distinct()
+        wanted = wanted.join(hot, "anchor", "left").withColumn("kind", F.coalesce("_hot", "kind")).drop("_hot")
     wanted = wanted.groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in ("kind", "anchor", "place")))
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            found: list[tuple] = []
-            for doc, text, kinds, anchors, places in zip(df["doc_id"], df["text"], df["kind"], df["anchor"], df["place"], strict=True):
-                starts = (places >> 16).tolist()
-                found += zip(kinds, anchors, [doc] * len(kinds), places, unit.pieces(text.encode(), starts, (places >> 8 & 255).tolist()), strict=True)
-            yield pd.DataFrame(found, columns=["kind", "anchor", "doc_id", "place", "piece"])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for batch in batches for x in slices(batch)):
+            pieces: list[bytes] = []
+            for text, places in zip(utf8(part.column("text")), part.column("place"), strict=True):
+                place = places.values.to_numpy()
+                pieces += unit.pieces(text, (place >> 16).tolist(), (place >> 8 & 255).tolist())
+            kind, anchor, place = (part.column(c).flatten() for c in ("kind", "anchor", "place"))
+            doc = np.repeat(part.column("doc_id").to_numpy(), pc.list_value_length(part.column("place")).to_numpy())
+            yield pa.RecordBatch.from_arrays([kind, anchor, pa.array(doc), place, pa.array(pieces, pa.binary())], names=["kind", "anchor", "doc_id", "place", "piece"])
 
-    pieces = rows.join(wanted, "doc_id").mapInPandas(cut, "kind int, anchor long, doc_id long, place long, piece binary")
+    pieces = rows.join(wanted, "doc_id").select("doc_id", "text", "kind", "anchor", "place").mapInArrow(cut, "kind int, anchor long, doc_id long, place long, piece binary")
 
     def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in whole_groups(frames, "anchor"):
@@ -218,8 +245,8 @@ def spans(marks: DataFrame, rows: DataFrame, unit: Unit, solve: Solver) -> DataF
             yield pd.DataFrame(found, columns=["doc_id", "first", "n"])
 
     met = pieces.filter(F.col("kind") == OPEN).select("anchor", "doc_id", "place", "piece")
-    out = out.unionByName(met.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "place").mapInPandas(settle, "doc_id long, first long, n long"))
-    if not marks.filter(F.col("kind") == HOT).isEmpty():
+    out = out.unionByName(met.repartition(F.xxhash64("anchor")).sortWithinPartitions("anchor", "doc_id", "place").mapInPandas(settle, "doc_id long, first long, n long"))
+    if has_hot:
         out = out.unionByName(hot_spans(pieces.filter(F.col("kind") == HOT), unit))
     return out
 

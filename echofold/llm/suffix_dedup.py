@@ -108,7 +108,7 @@ def dedup(df: DataFrame, window: int = WINDOW, core: int = CORE, unit: repeats.B
     found = repeats.by_document(repeats.spans(marks, rows, unit, solver(window)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in repeats.slices(b)):
             size, removed, runs, kept = [], [], [], []
             for text, first, n in zip(batch.column("text"), batch.column("_first"), batch.column("_n"), strict=True):
                 raw = text.as_buffer().to_pybytes()

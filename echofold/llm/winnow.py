@@ -153,7 +153,7 @@ class Words:
         return b" ".join(t[i:j] for i, j in zip((self.begin[a:][: len(keep)][keep] - o).tolist(), (self.end[a:][: len(keep)][keep] - o).tolist(), strict=True))
 
 
-def blocks(starts: np.ndarray, ends: np.ndarray, window: int, limit: int = 1 << 21):
+def blocks(starts: np.ndarray, ends: np.ndarray, window: int, limit: int = 1 << 19):
     """Texts (or, of longer ones, overlapping parts) in blocks of about `limit` symbols: arrays text, start, end for each block."""
     text, first, last = [], [], []
     room = limit
@@ -176,7 +176,7 @@ def blocks(starts: np.ndarray, ends: np.ndarray, window: int, limit: int = 1 <<
         yield np.array(text), np.array(first), np.array(last)
 
 
-def all_groups(values, starts: np.ndarray, ends: np.ndarray, window: int, core: int, limit: int = 1 << 21):
+def all_groups(values, starts: np.ndarray, ends: np.ndarray, window: int, core: int, limit: int = 1 << 19):
     """groups() of any number of texts of any length, block by block.  values: an array, or a function of a slice."""
     for text, first, last in blocks(starts, ends, window, limit):
         a, b = first[0], last[-1]
