@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import substring_dedup, suffix_dedup
 from .bpe import encode
 from .shared import documents
-from . import suffix_dedup
 from .token_counts import token_counts
 
 
@@ -30,6 +30,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.dedup(documents(spark, sf_dir)))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of an earlier one."""
+    return substring_dedup.digest(substring_dedup.dedup(documents(spark, sf_dir)))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return token_counts(documents(spark, sf_dir), vocabulary_path())
@@ -39,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_substring_dedup": op5_substring_dedup,
         "op10_token_counts": op10_token_counts,
     }
 

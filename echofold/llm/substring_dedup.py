@@ -139,8 +139,8 @@ def dedup(df: DataFrame, window: int = WINDOW, core: int = CORE, batches: int =
     schema = ", ".join(["doc_id long", *(f"`{c}` {whole.schema[c].dataType.simpleString()}" for c in keep), "n_words long, n_removed long, kept string"])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in frames:
-            w = winnow.Words([t.as_buffer().to_pybytes() for t in batch.column("text")])
+        for batch in (x for b in frames for x in repeats.slices(b)):
+            w = winnow.Words(repeats.utf8(batch.column("text")))
             size, removed, kept = [], [], []
             for k, (first, n) in enumerate(zip(batch.column("_first"), batch.column("_n"), strict=True)):
                 total = int(w.last[k] - w.first[k])
