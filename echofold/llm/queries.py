@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import substring_dedup, suffix_dedup
+from . import ngram_join, substring_dedup, suffix_dedup
 from .bpe import encode
 from .shared import documents
 from .token_counts import token_counts
@@ -35,6 +35,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedup(documents(spark, sf_dir)))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document."""
+    return ngram_join.join(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return token_counts(documents(spark, sf_dir), vocabulary_path())
@@ -45,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": op1_bpe,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_substring_dedup": op5_substring_dedup,
+        "op8_ngram_join": op8_ngram_join,
         "op10_token_counts": op10_token_counts,
     }
 

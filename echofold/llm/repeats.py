@@ -190,14 +190,15 @@ def mark(index: DataFrame, unit: Unit) -> DataFrame:
     return index.repartition(F.xxhash64("anchor")).sortWithinPartitions("anchor", "variant", "doc_id", "place").mapInPandas(typed, ROWS)
 
 
-def whole_groups(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """Frames sorted by key, cut anew so that no key is in two of them."""
+def whole_groups(frames: Iterator[pd.DataFrame], *keys: str) -> Iterator[pd.DataFrame]:
+    """Frames sorted by keys, cut anew so that no key is in two of them."""
     held = None
     for df in frames:
         if held is not None:
             df = pd.concat([held, df], ignore_index=True)
         if len(df):
-            cut = int(np.searchsorted(df[key].to_numpy(), df[key].iloc[-1]))
+            same = np.logical_and.reduce([df[k].to_numpy() == df[k].iloc[-1] for k in keys])
+            cut = len(df) - int(np.argmin(same[::-1])) if not same.all() else 0
             if cut:
                 yield df.iloc[:cut]
             held = df.iloc[cut:]
@@ -205,6 +206,15 @@ def whole_groups(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFr
         yield held
 
 
+def group_cuts(df: pd.DataFrame, *keys: str) -> list[int]:
+    """Where each group of a frame sorted by keys begins, and the end."""
+    new = np.zeros(len(df), bool)
+    for k in keys:
+        x = df[k].to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return [0, *np.flatnonzero(new).tolist(), len(df)]
+
+
 #: Gets (anchor's offset, doc_id, first window, content) of an anchor's groups; gives (row, first, n) of windows that aren't first.
 Solver = Callable[[list[tuple[int, int, int, bytes]]], Iterator[tuple[int, int, int]]]
 
@@ -234,10 +244,10 @@ def spans(marks: DataFrame, rows: DataFrame, unit: Unit, solve: Solver) -> DataF
 
     def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in whole_groups(frames, "anchor"):
-            anchor, places = df["anchor"].to_numpy(), df["place"].to_numpy()
+            places = df["place"].to_numpy()
             docs, content = df["doc_id"].tolist(), df["piece"].tolist()
             starts, offsets = (places >> 16).tolist(), (places & 255).tolist()
-            cuts = [0, *(np.flatnonzero(np.diff(anchor)) + 1).tolist(), len(anchor)]
+            cuts = group_cuts(df, "anchor")
             found: list[tuple[int, int, int]] = []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 group = list(zip(offsets[a:b], docs[a:b], starts[a:b], content[a:b], strict=True))

@@ -126,19 +126,27 @@ def covered(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(edges[:size]) > 0
 
 
-class Words:
-    """Words [^ x20 x09-x0D]+ of texts given as UTF-8, side by side."""
+def byte_class(test) -> np.ndarray:
+    return np.array([bool(test(b)) for b in range(256)])
+
+
+#: Not in words [^ x20 x09-x0D]+.
+WHITE = byte_class(lambda b: b == 0x20 or 0x09 <= b <= 0x0D)
+#: Not in words of digits, a-z and everything beyond ASCII, once FOLD has lower-cased A-Z.
+SIGNS = byte_class(lambda b: b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F)
+FOLD = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 
-    BLANK = np.zeros(256, bool)
-    BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
-    def __init__(self, texts: list[bytes]):
+class Words:
+    """Words of texts given as UTF-8, side by side."""
+
+    def __init__(self, texts: list[bytes], blank: np.ndarray = WHITE, fold: np.ndarray | None = None):
         self.texts = texts
-        self.raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        self.raw = raw if fold is None else fold[raw]
         size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.offset = np.concatenate(([0], np.cumsum(size)))
-        blank = self.BLANK[self.raw]
-        edge = np.diff(blank.view(np.int8), prepend=1)
+        edge = np.diff(blank[self.raw].view(np.int8), prepend=1)
         self.begin, self.end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         cut = np.searchsorted(self.begin, self.offset)
         self.first, self.last = cut[:-1], cut[1:]  # the words of each text
