@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, substring_dedup, suffix_dedup
+from . import decontaminate, licenses, ngram_join, substring_dedup, suffix_dedup
 from .bpe import encode
 from .shared import documents
 from .token_counts import token_counts
@@ -25,6 +25,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without byte strings that also start earlier."""
     return suffix_dedup.digest(suffix_dedup.dedup(documents(spark, sf_dir)))
@@ -40,6 +45,11 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document held against the benchmark items."""
+    return decontaminate.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return token_counts(documents(spark, sf_dir), vocabulary_path())
@@ -48,12 +58,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_license_scan": op2_license_scan,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_substring_dedup": op5_substring_dedup,
         "op8_ngram_join": op8_ngram_join,
+        "op9_decontaminate": op9_decontaminate,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_license_scan": licenses.oracle(),
+        "op9_decontaminate": decontaminate.ORACLE,
+    }
