@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, ngram_join, substring_dedup, suffix_dedup
+from . import decontaminate, licenses, media, ngram_join, quality_crf, substring_dedup, suffix_dedup, toxicity
 from .bpe import encode
-from .shared import documents
+from .shared import documents, held_out
 from .token_counts import token_counts
 
 
@@ -30,6 +30,13 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, by a classifier trained on the labelled ones."""
+    docs = documents(spark, sf_dir)
+    chain = quality_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_crf.score(docs, chain).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without byte strings that also start earlier."""
     return suffix_dedup.digest(suffix_dedup.dedup(documents(spark, sf_dir)))
@@ -40,6 +47,18 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedup(documents(spark, sf_dir)))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, by a classifier trained on toxic and unlabelled ones."""
+    docs = documents(spark, sf_dir)
+    classifier = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, classifier).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as an image in archives and read back."""
+    return media.media_columns(documents(spark, sf_dir))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class and number of links of every document."""
     return ngram_join.join(documents(spark, sf_dir))
@@ -59,8 +78,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_license_scan": op2_license_scan,
+        "op3_quality": op3_quality,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_substring_dedup": op5_substring_dedup,
+        "op6_toxicity": op6_toxicity,
+        "op7_media": op7_media,
         "op8_ngram_join": op8_ngram_join,
         "op9_decontaminate": op9_decontaminate,
         "op10_token_counts": op10_token_counts,

@@ -83,9 +83,9 @@ Unit = Bytes | WordRuns
 SLICE_BYTES = 1 << 21
 
 
-def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """A batch with a column text in parts of about `limit` bytes."""
-    size = pc.binary_length(batch.column("text")).to_numpy()
+def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `limit` bytes of text."""
+    size = pc.binary_length(batch.column(column)).to_numpy()
     cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // limit)) + 1).tolist(), len(size)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
