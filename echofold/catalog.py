@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import chat, comments
+from .plans import chat, comments, highlights
 
-ALL = {**comments.QUERIES, **chat.QUERIES}
+ALL = {**comments.QUERIES, **chat.QUERIES, **highlights.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -85,8 +85,12 @@ def mentions(messages: DataFrame, roster: DataFrame, least: int = 3) -> DataFram
     sizes = sorted(r[0] for r in roster.select(F.length("name")).distinct().collect() if r[0] >= least)  # a few numbers
     if not sizes:
         return messages.select("row", F.lit(None).cast("string").alias("name")).limit(0)
-    grams = F.flatten(F.array(*(F.when(F.length("text") >= k, F.transform(F.sequence(F.lit(1), F.length("text") - k + 1), lambda i, k=k: F.substring("text", i, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in sizes)))
-    return messages.select("row", F.explode(F.array_distinct(grams)).alias("name")).join(roster.select("name").distinct(), "name").select("row", "name")
+
+    def grams(k: int) -> Column:
+        at = F.sequence(F.lit(1), F.length("text") - k + 1)
+        return F.when(F.length("text") >= k, F.transform(at, lambda i: F.substring("text", i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    return messages.select("row", F.explode(F.array_distinct(F.flatten(F.array(*map(grams, sizes))))).alias("name")).join(roster.select("name").distinct(), "name").select("row", "name")
 
 
 def active_participants(authors: DataFrame, patterns: DataFrame) -> DataFrame:

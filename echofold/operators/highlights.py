@@ -146,15 +146,15 @@ def overlap_ratio(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 
 def select_clips(df: DataFrame, key: str, most: int = 5) -> DataFrame:
-    """key, at, seq: of the first `most` clips of each key, those that overlap none selected before by more than half of the shorter.  df: key, at, seq, low, high."""
-    w = Window.partitionBy(key).orderBy("at")
+    """key, place, seq: of the first `most` clips of each key, those that overlap none selected before by more than half of the shorter.  df: key, place, seq, low, high."""
+    w = Window.partitionBy(key).orderBy("place")
     first = df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most)
-    rows = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "seq", "low", "high"))).alias("c"))
+    rows = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "seq", "low", "high"))).alias("c"))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    kind = f"array<struct<at:{kinds['at']},seq:{kinds['seq']},low:{kinds['low']},high:{kinds['high']}>>"
+    kind = f"array<struct<place:{kinds['place']},seq:{kinds['seq']},low:{kinds['low']},high:{kinds['high']}>>"
     clear = lambda x, kept: F.forall(kept, lambda y: (overlap_ratio(x["low"], x["high"], y["low"], y["high"]) <= 0.5) & (x["seq"] != y["seq"]))
     fold = F.aggregate("c", F.array().cast(kind), lambda kept, x: F.when(clear(x, kept), F.concat(kept, F.array(x))).otherwise(kept))
-    return rows.select(key, F.explode(fold).alias("s")).select(key, "s.at", "s.seq")
+    return rows.select(key, F.explode(fold).alias("s")).select(key, "s.place", "s.seq")
 
 
 def renderable(df: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def match_by_time(points: DataFrame, segments: DataFrame, size: float, within: f
     rows = rows.join(segments.select("seq", "start", "end"), "seq", "left")
     return rows.select(
         "row",
-        F.coalesce(F.format_string("seg_%04d", "seq"), F.format_string("lc_ts_%06d", F.floor("ts").cast("long"))).alias("segment"),
+        F.when(F.col("seq").isNotNull(), F.format_string("seg_%04d", "seq")).otherwise( F.format_string("lc_ts_%06d", F.floor("ts").cast("long"))).alias("segment"),
         F.coalesce("start", F.greatest(F.lit(0.0), F.col("ts") - before)).alias("low"),
         F.coalesce("end", F.col("ts") + after).alias("high"),
         F.when(F.col("in_seq").isNotNull(), "high").when(F.col("dist") <= medium, "medium").when(F.col("dist").isNotNull(), "low").otherwise("high").alias("confidence"),
