@@ -54,11 +54,15 @@ def bands(h: Column, stride: int) -> Column:
 
     def keys(i: Column) -> Column:
         window = F.slice(h, i, F.lit(WIDE))
-        return F.array(*(F.array_min(F.transform(window, lambda x, s=seed: x.bitwiseXOR(F.lit(s)))) for seed in seeds()))
+        return F.array(*(F.array_min(F.transform(window, ordered_by(seed))) for seed in seeds()))
 
     return F.flatten(F.transform(at, keys))
 
 
+def ordered_by(seed: int):
+    return lambda x: x.bitwiseXOR(F.lit(seed))
+
+
 def seeds() -> list[int]:
     """Orders of the hashes, one for each band: the odd multiples of a constant, as signed 64-bit numbers."""
     return [((k * 0x9E3779B97F4A7C15) % (1 << 64)) - (1 << 63) for k in range(1, 2 * BANDS, 2)]
