@@ -62,11 +62,14 @@ class Classifier:
         return 1 / (1 + np.exp(-(presence(texts, self.known).astype(float) @ self.weights + self.bias)))
 
 
-def document_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Features and the number of texts that have each; slices keep the memory bounded."""
+def document_counts(texts: list[bytes], only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Features (of the sorted ones in only) and the number of texts that have each; slices keep the memory bounded."""
     found = []
-    for a in range(0, len(texts), 200):
-        text, hashes = features(texts[a : a + 200])
+    for a in range(0, len(texts), 100):
+        text, hashes = features(texts[a : a + 100])
+        if only is not None and len(only):
+            known = only[np.minimum(np.searchsorted(only, hashes), len(only) - 1)] == hashes
+            text, hashes = text[known], hashes[known]
         order = np.lexsort((hashes, text))
         text, hashes = text[order], hashes[order]
         new = np.ones(len(text), bool)
@@ -78,7 +81,8 @@ def document_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def select(positive: list[bytes], unlabelled: list[bytes], prior: float, n: int = FEATURES) -> np.ndarray:
     """The features whose share among positives most exceeds that among unlabelled texts, beyond what the positives there explain."""
     known, count = document_counts(positive)
-    seen, elsewhere = document_counts(unlabelled)
+    known, count = known[count >= 3], count[count >= 3]
+    seen, elsewhere = document_counts(unlabelled, known)
     share = count / max(1, len(positive))
     at = np.minimum(np.searchsorted(seen, known), max(0, len(seen) - 1))
     there = np.where(seen[at] == known, elsewhere[at], 0) / max(1, len(unlabelled)) if len(seen) else np.zeros(len(known))
@@ -86,7 +90,7 @@ def select(positive: list[bytes], unlabelled: list[bytes], prior: float, n: int
     # Cautious bounds of both shares, so that few positives don't make chance look like a sign.
     low = share - 1.5 * np.sqrt(share * (1 - share) / max(1, len(positive)))
     high = clean + 1.5 * np.sqrt(clean / max(1, len(unlabelled))) + 1 / max(1, len(unlabelled))
-    gain = np.where((count >= 3) & (low > 5 * high), share * np.log(np.maximum(low, 1e-9) / high), 0)
+    gain = np.where(low > 5 * high, share * np.log(np.maximum(low, 1e-9) / high), 0)
     best = np.argsort(-gain, kind="stable")[:n]
     return np.sort(known[best[gain[best] > 0]])
 
