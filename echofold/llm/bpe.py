@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -241,12 +242,14 @@ def encode_texts(path: str, texts: list[str]) -> list[bytes]:
 
 
 def _encode_whole(path: str, decode: bool):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for df in frames:
-            for part in batches(texts := df["text"].tolist()):
+        for batch in frames:
+            texts = batch.column("text").to_pylist()
+            for part in batches(texts):
                 ids = encode_texts(path, texts[part])
-                yield pd.DataFrame({"doc_id": df["doc_id"].iloc[part], "ids": ids, "decoded": [v.decode(x) if decode else None for x in ids]})
+                decoded = [v.decode(x) if decode else None for x in ids]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part], pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return run
 
@@ -270,7 +273,7 @@ def _encode_pieces(path: str):
                 heads.append(t[: first.start()])
                 inner.append(t[first.end() : last.start()] if last.start() > first.end() else "")
                 tails.append(t[last.end() :])
-            yield pd.DataFrame({"doc_id": df["doc_id"], "part": df["part"], "head": heads, "ids": encode_texts(path, inner), "tail": tails})
+            yield pd.DataFrame({"digest": df["digest"], "part": df["part"], "head": heads, "ids": encode_texts(path, inner), "tail": tails})
 
     return run
 
@@ -287,7 +290,7 @@ def _join_pieces(path: str, decode: bool):
             open_word = tail
         out += encode_texts(path, [open_word])
         ids = b"".join(out)
-        return pd.DataFrame({"doc_id": df["doc_id"].iloc[:1], "ids": [ids], "decoded": [vocabulary(path).decode(ids) if decode else None]})
+        return pd.DataFrame({"digest": df["digest"].iloc[:1], "ids": [ids], "decoded": [vocabulary(path).decode(ids) if decode else None]})
 
     return run
 
@@ -298,43 +301,18 @@ SCHEMA = "doc_id long, ids binary, decoded string"
 def encode(df: DataFrame, path: str, decode: bool = True, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers), n_tokens and decoded of every row of df(doc_id, text, ...).
 
-    A null text counts as empty: no ids, and "" decoded.  Repeated rows give repeated results; doc_ids must differ only for
-    texts longer than piece_chars, whose pieces meet again by a row number of their own.  Other columns are left out.
+    A null text counts as empty: no ids, and "" decoded.  Repeated rows give repeated results, and a null doc_id stays null.  Other
+    columns are left out.
     """
     shared.prepare(df.sparkSession)
     rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    whole = rows.filter(F.length("text") <= piece_chars).mapInPandas(_encode_whole(path, decode), SCHEMA)
-    # The row number comes from the key and the text, so a row that is computed again gets the same one.
-    cut = rows.filter(F.length("text") > piece_chars).withColumn("digest", F.sha2("text", 256))
+    whole = rows.filter(F.length("text") <= piece_chars).mapInArrow(_encode_whole(path, decode), SCHEMA)
+    # Long texts are known by their digest: equal ones are encoded once, and rows find their ids by it whatever their doc_id.
+    long = rows.filter(F.length("text") > piece_chars).withColumn("digest", F.sha2("text", 256))
     parts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / piece_chars).cast("int"))
-    cut = cut.select("doc_id", "digest", "text", F.explode(parts).alias("part"))
-    cut = cut.select("doc_id", "digest", "part", F.substring("text", F.col("part") * piece_chars + 1, F.lit(piece_chars)).alias("text"))
-    # Equal rows share one encoding and are multiplied again afterwards.
-    times = cut.filter("part = 0").groupBy("doc_id", "digest").count()
-    pieces = cut.dropDuplicates(["doc_id", "digest", "part"]).mapInPandas(_encode_pieces_keyed(path), "doc_id long, digest string, part int, head string, ids binary, tail string")
-    joined = pieces.groupBy("doc_id", "digest").applyInPandas(_join_keyed(path, decode), "doc_id long, digest string, ids binary, decoded string")
-    joined = joined.join(times, ["doc_id", "digest"]).select("doc_id", "ids", "decoded", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("_n")).drop("_n")
+    cut = long.select("digest", "text", F.explode(parts).alias("part"))
+    cut = cut.select("digest", "part", F.substring("text", F.col("part") * piece_chars + 1, F.lit(piece_chars)).alias("text"))
+    pieces = cut.dropDuplicates(["digest", "part"]).mapInPandas(_encode_pieces(path), "digest string, part int, head string, ids binary, tail string")
+    joined = pieces.groupBy("digest").applyInPandas(_join_pieces(path, decode), "digest string, ids binary, decoded string")
+    joined = long.select("doc_id", "digest").join(joined, "digest").select("doc_id", "ids", "decoded")
     return whole.unionByName(joined).select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "decoded")
-
-
-def _encode_pieces_keyed(path: str):
-    inner = _encode_pieces(path)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            for out in inner(iter([df])):
-                out.insert(1, "digest", df["digest"])
-                yield out
-
-    return run
-
-
-def _join_keyed(path: str, decode: bool):
-    inner = _join_pieces(path, decode)
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        out = inner(df)
-        out.insert(1, "digest", df["digest"].iloc[0])
-        return out
-
-    return run

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,9 +158,10 @@ def count_texts(path: str, texts: list[str]) -> list[int]:
 
 
 def _run(path: str):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            yield pd.DataFrame({"doc_id": df["doc_id"], "n_bytes": df["n_bytes"], "n_tokens": count_texts(path, df["text"].tolist())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = pa.array(count_texts(path, batch.column("text").to_pylist()), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), n], names=["doc_id", "n_bytes", "n_tokens"])
 
     return run
 
@@ -174,4 +175,4 @@ def token_counts(df: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     shared.prepare(df.sparkSession)
     rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    return rows.mapInPandas(_run(path), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(_run(path), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
