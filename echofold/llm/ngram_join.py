@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import repeats, shared, winnow
 from .components import connected_components
+from .decontaminate import side
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 5
@@ -237,6 +238,9 @@ def join(df: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, bands
     members = mine.select("rep", "copies", "leaders", F.explode("leaders").alias("leader")).join(size_of, "leader")
     members = members.withColumn("block", F.when(F.col("blocks") == 1, 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
     members = members.withColumn("lower", F.filter("leaders", lambda x: x < F.col("leader")))
+    members = shared.store(members, "unit-members")
+    # Where what the members take is small by its measured size, the texts stay where they are.
+    members = side(members, "rep", "leaders", "lower", "leader")
     units = rows.join(members, rows["doc_id"] == members["rep"]).select("leader", "block", "rep", "copies", "lower", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
     units = units.select("leader", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rep", "copies", "lower", "text")
     found = shared.store(links(units, size, threshold, tolerance, bands * per_band), "links")
