@@ -83,6 +83,16 @@ def lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.hstack((out, before, after, np.ones((len(out), 1)))), size, text
 
 
+#: Texts are turned into features so many at a time.
+TEXTS_AT_ONCE = 200
+
+
+def lines_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """lines() of any number of texts, in bounded memory besides the result."""
+    parts = [(a, lines(texts[a : a + TEXTS_AT_ONCE])) for a in range(0, len(texts), TEXTS_AT_ONCE)] or [(0, lines([]))]
+    return np.vstack([x for _, (x, _, _) in parts]), np.concatenate([n for _, (_, n, _) in parts]), np.concatenate([t + a for a, (_, _, t) in parts])
+
+
 @dataclass
 class Chain:
     weights: np.ndarray  # WIDTH x 2
@@ -151,7 +161,7 @@ def ascend(x: np.ndarray, text: np.ndarray, label: np.ndarray, rounds: int = 100
 
 
 def fit(texts: list[bytes], labels: np.ndarray) -> Chain:
-    x, size, text = lines(texts)
+    x, size, text = lines_of(texts)
     base = float((labels.sum() + 1) / (len(labels) + 2))
     if not len(x) or len(np.unique(labels)) < 2:
         return Chain(np.zeros((WIDTH, 2)), np.zeros((2, 2)), (0.0, float(np.log(base / (1 - base)))), base)
