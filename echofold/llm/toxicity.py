@@ -41,14 +41,18 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(where), np.concatenate(found)
 
 
+#: Texts are turned into features so many at a time.
+TEXTS_AT_ONCE = 100
+
+
 def presence(texts: list[bytes], known: np.ndarray) -> np.ndarray:
     """Which of the known (sorted) features each text has."""
     out = np.zeros((len(texts), len(known)), np.float32)
-    if len(known):
-        text, hashes = features(texts)
+    for a in range(0, len(texts) if len(known) else 0, TEXTS_AT_ONCE):
+        text, hashes = features(texts[a : a + TEXTS_AT_ONCE])
         at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
         hit = known[at] == hashes
-        out[text[hit], at[hit]] = 1
+        out[a + text[hit], at[hit]] = 1
     return out
 
 
@@ -65,8 +69,8 @@ class Classifier:
 def document_counts(texts: list[bytes], only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Features (of the sorted ones in only) and the number of texts that have each; slices keep the memory bounded."""
     found = []
-    for a in range(0, len(texts), 100):
-        text, hashes = features(texts[a : a + 100])
+    for a in range(0, len(texts), TEXTS_AT_ONCE):
+        text, hashes = features(texts[a : a + TEXTS_AT_ONCE])
         if only is not None and len(only):
             known = only[np.minimum(np.searchsorted(only, hashes), len(only) - 1)] == hashes
             text, hashes = text[known], hashes[known]
