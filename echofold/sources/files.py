@@ -72,7 +72,7 @@ def read_chat(spark: SparkSession, path: str, missing_time_as_zero: bool = False
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """Segments of a JSON array, in its order."""
     try:
-        text = spark.read.option("wholetext", True).text(path)
+        text = spark.read.text(path, wholetext=True)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], SEGMENTS)
@@ -134,7 +134,7 @@ _TIME = r"(\d{2}:\d{2}:\d{2}\.\d{3})"
 
 def read_captions(spark: SparkSession, path: str) -> DataFrame:
     """video, seq, start, end, text, line of every cue that isn't a flash or empty; line keeps its tags for the word times."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("video"), F.regexp_replace("value", r"\r\n?", "\n").alias("v"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("video"), F.regexp_replace("value", r"\r\n?", "\n").alias("v"))
     blocks = files.select("video", F.posexplode(F.split(F.trim(F.col("v"), F.lit(" \n\t")), r"\n\n+")).alias("seq", "b"))
     cue = rf"(?s)^(?:.*?\n)??[ \t]*{_TIME}\s*-->\s*{_TIME}[^\n]*\n?(.*)$"
     part = lambda k: F.regexp_extract("b", cue, k)
