@@ -92,5 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_license_scan": licenses.oracle(),
+        "op4_suffix_dedup": suffix_dedup.ORACLE,
+        "op5_substring_dedup": substring_dedup.ORACLE,
         "op9_decontaminate": decontaminate.ORACLE,
     }

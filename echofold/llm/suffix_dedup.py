@@ -130,3 +130,16 @@ def dedup(df: DataFrame, window: int = WINDOW, core: int = CORE, unit: repeats.B
 
 def digest(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+b AS (SELECT doc_id, h, unnest(range(1, octet_length(h) + 1)) AS i FROM d),
+s AS (SELECT doc_id, i, hex(h[i:i]) AS x, CASE WHEN i + 99 <= octet_length(h) THEN md5_number(h[i:i + 99]) END AS k FROM b),
+m AS (SELECT doc_id, i, x, k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS later FROM s),
+c AS (SELECT doc_id, i, x, coalesce(i - max(CASE WHEN later THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) < 100, false) AS gone FROM m),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM c),
+a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT doc_id, octet_length(h) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id)
+"""
