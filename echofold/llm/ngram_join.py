@@ -227,7 +227,9 @@ def join(df: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, bands
     rows = repeats.clean(df).select("doc_id", "text")
     sketches = shared.store(sketch(rows, size, bands, per_band), "sketches")
     has = sketches.filter("set_a IS NOT NULL")
+    # Stored, so that both sides of the join come by shuffles of their own: one with a hot class can then be split.
     classes = has.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"))
+    classes = shared.store(classes, "classes")
     member = shared.store(has.select("doc_id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).select("doc_id", "rep", "copies"), "members")
     own = member.filter("doc_id = rep").select("rep", "copies").dropDuplicates(["rep"])
     reps = own.join(has.select(F.col("doc_id").alias("rep"), "bands").dropDuplicates(["rep"]), "rep")
@@ -247,5 +249,6 @@ def join(df: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, bands
     degree = found.groupBy("rep").agg(F.sum("n_links").alias("links"))
     component = connected_components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     known = degree.join(component, degree["rep"] == component["node"], "left").select(F.col("rep").alias("_r"), "links", "label")
+    known = shared.store(known, "known")
     out = member.join(known, member["rep"] == known["_r"], "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return out.unionByName(sketches.filter("set_a IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
