@@ -28,10 +28,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of earlier documents; a text that keeps all its words stays as it is, one that keeps none goes."""
-    out = substring_dedup.dedup(docs.select("doc_id", "text", "lang", "source", "n_chars", F.col("text").alias("whole")), keep=("lang", "source", "n_chars", "whole"))
+    out = substring_dedup.dedup(docs, keep=("lang", "source", "n_chars"), as_it_was=True)
     cut = F.col("n_removed") > 0
     out = out.filter(~cut | (F.col("n_removed") < F.col("n_words")))
-    return out.select("doc_id", F.when(cut, F.col("kept")).otherwise(F.col("whole")).alias("text"), "lang", "source", F.when(cut, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    return out.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.when(cut, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,10 +112,12 @@ def id_ranges(df: DataFrame, n: int) -> list[tuple[int, int]]:
     return list(zip(edges, edges[1:], strict=False))
 
 
-def dedup(df: DataFrame, window: int = WINDOW, core: int = CORE, batches: int = BATCHES, keep: tuple[str, ...] = (), unit: repeats.WordRuns | None = None) -> DataFrame:
+def dedup(df: DataFrame, window: int = WINDOW, core: int = CORE, batches: int = BATCHES, keep: tuple[str, ...] = (), unit: repeats.WordRuns | None = None, as_it_was: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept (kept words joined by single spaces), words [^ x20 x09-x0D]+, and the columns named in
     keep, of df(doc_id, text, ...): without the words covered by a window that also starts in a document with a smaller doc_id.
 
+    With as_it_was, kept is the text itself where nothing is removed, white space included.
+
     Windows are judged on the input.  A null text has no words; shorter texts than the window keep all.  Rows without doc_id are
     left out; repeated rows count as one document and come out as often as they came in.  Columns that aren't named are left out;
     those named must not be called n_words, n_removed or kept.
@@ -150,7 +152,7 @@ def dedup(df: DataFrame, window: int = WINDOW, core: int = CORE, batches: int =
                     gone = winnow.covered(start, start + n.values.to_numpy() + window - 1, total)
                 size.append(total)
                 removed.append(int(gone.sum()))
-                kept.append(w.kept(k, ~gone))
+                kept.append(w.texts[k] if as_it_was and not removed[-1] else w.kept(k, ~gone))
             out = [pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in keep), *out], names=["doc_id", *keep, "n_words", "n_removed", "kept"])
 
