@@ -42,8 +42,8 @@ LEAF_BYTES = 64
 LONG_WORD_BYTES = 256
 #: Documents of more characters are encoded in pieces.
 PIECE_CHARS = 1 << 16
-#: Entries of a worker's word table; it starts anew beyond.
-TABLE_WORDS = 400_000
+#: Entries and characters of a worker's word table; it starts anew beyond either.
+TABLE_WORDS, TABLE_CHARS = 400_000, 1 << 23
 
 
 class Vocabulary:
@@ -194,18 +194,19 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class WordTable:
-    """word -> value, filled in batches and started anew beyond TABLE_WORDS entries; memory stays bounded."""
+    """word -> value, filled in batches and started anew beyond a number of entries or characters; memory stays bounded."""
 
     def __init__(self, fill):
-        self.fill, self.known = fill, {}
+        self.fill, self.known, self.chars = fill, {}, 0
 
     def ensure(self, lists: list[list[str]]) -> dict:
-        if len(self.known) > TABLE_WORDS:
-            self.known = {}
+        if len(self.known) > TABLE_WORDS or self.chars > TABLE_CHARS:
+            self.known, self.chars = {}, 0
         known = self.known
         missing = {w for words in lists for w in words if w not in known}
         if missing:
             missing = list(missing)
+            self.chars += sum(map(len, missing))
             known.update(zip(missing, self.fill(missing), strict=True))
         return known
 
