@@ -36,7 +36,10 @@ def unescape(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def once(value: Column) -> Column:
-    """A generator of one row, so that what stands above refers to the result and doesn't compute it again."""
+    """A generator of one row, so that what stands above refers to the result and doesn't compute it again.
+
+    Outer generators stand in general where an array is costly: an inner one gets a filter that computes the array once more.
+    """
     return F.explode_outer(F.array(value))
 
 

@@ -61,7 +61,7 @@ def label_rows(df: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
 
 
 def label_counts(df: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
-    return label_rows(df, lexicon).select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    return label_rows(df, lexicon).select(F.explode_outer("labels").alias("label")).filter("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n"))
 
 
 def audience_profile(df: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
@@ -85,8 +85,8 @@ def top_authors(df: DataFrame, n: int = 30) -> DataFrame:
 
 def entity_candidates(df: DataFrame, stop: list[str], n: int = 50, least: int = 3) -> DataFrame:
     """Capitalised words; the least count applies after the top n."""
-    words = df.select(F.explode(F.filter(F.split("text", T.NOT_WORD), lambda w: w.rlike("^[A-Z][a-z]+$"))).alias("word"))
-    counts = words.filter(~F.lower("word").isin(stop)).groupBy("word").agg(F.count("*").alias("n"))
+    words = df.select(F.explode_outer(F.filter(F.split("text", T.NOT_WORD), lambda w: w.rlike("^[A-Z][a-z]+$"))).alias("word"))
+    counts = words.filter(F.col("word").isNotNull() & ~F.lower("word").isin(stop)).groupBy("word").agg(F.count("*").alias("n"))
     return top(counts, n, F.desc("n"), F.asc("word")).filter(F.col("n") >= least)
 
 
@@ -103,7 +103,7 @@ def lift_themes(df: DataFrame, stop: list[str], liked: int = 10, n: int = 10) ->
     keywords = top_phrases(df, stop, 1, 100)
     total = keywords.agg(F.greatest(F.coalesce(F.sum("n"), F.lit(0)), F.lit(1)).alias("total_kw"))
     top_rows = top(df.filter("like_count > 0"), liked, F.desc("like_count"), F.asc("comment_id"))
-    words = kept_tokens(top_rows, stop).select(F.explode("tokens").alias("phrase")).filter(F.length("phrase") > 2)
+    words = kept_tokens(top_rows, stop).select(F.explode_outer("tokens").alias("phrase")).filter(F.length("phrase") > 2)
     counts = words.groupBy("phrase").agg(F.count("*").alias("he"))
     all_he = words.agg(F.greatest(F.count("*"), F.lit(1)).alias("total_he"))
     common = top(counts, 30, F.desc("he"), F.asc("phrase")).join(keywords, "phrase", "left").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(all_he))  # one row each

@@ -31,7 +31,7 @@ def message_layer(text: Column, logistics: list[str] = L.LOGISTICS, broadcast: l
 def reaction_counts(df: DataFrame, reactions: dict[str, str] = L.REACTIONS) -> DataFrame:
     """reaction, n over all messages."""
     table = F.create_map(*(F.lit(x) for kv in reactions.items() for x in kv))
-    return df.select(F.explode(T.reaction_tokens(F.col("text"))).alias("t")).select(table[F.col("t")].alias("reaction")).filter("reaction IS NOT NULL").groupBy("reaction").agg(F.count("*").alias("n"))
+    return df.select(F.explode_outer(T.reaction_tokens(F.col("text"))).alias("t")).select(table[F.col("t")].alias("reaction")).filter("reaction IS NOT NULL").groupBy("reaction").agg(F.count("*").alias("n"))
 
 
 def resolve(tokens: DataFrame, roster: DataFrame, aliases: DataFrame, suffixes: list[str] = L.SUFFIXES) -> DataFrame:
