@@ -235,6 +235,7 @@ def join(df: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, bands
     reps = own.join(has.select(F.col("doc_id").alias("rep"), "bands").dropDuplicates(["rep"]), "rep")
     led = shared.store(leaders(reps.select("rep", "bands")), "leaders")
     size_of = led.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    size_of = side(shared.store(size_of, "unit-sizes"), "leader", "blocks")
     mine = led.groupBy("rep").agg(F.collect_list("leader").alias("leaders")).join(own, "rep")
     # A unit's blocks: each member goes to the pairs (i, j), i <= j, that its block is in.
     members = mine.select("rep", "copies", "leaders", F.explode("leaders").alias("leader")).join(size_of, "leader")
