@@ -43,7 +43,7 @@ LONG_WORD_BYTES = 256
 #: Documents of more characters are encoded in pieces.
 PIECE_CHARS = 1 << 16
 #: Entries and characters of a worker's word table; it starts anew beyond either.
-TABLE_WORDS, TABLE_CHARS = 400_000, 1 << 23
+TABLE_WORDS, TABLE_CHARS = 150_000, 1 << 22
 
 
 class Vocabulary:
@@ -218,7 +218,7 @@ def _id_table(path: str) -> WordTable:
 
 
 #: Texts that share one look-up of missing words, in characters.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 
 def batches(texts: list[str], limit: int = BATCH_CHARS) -> Iterator[slice]:

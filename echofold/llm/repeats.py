@@ -80,7 +80,7 @@ Unit = Bytes | WordRuns
 
 
 #: Bytes of text that a worker takes at once.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:

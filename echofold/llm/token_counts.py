@@ -35,7 +35,7 @@ class Merges:
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.result = table[:, 2].astype(np.int32)
         # An open table: the slot of a key is its product's top bits; buckets hold few keys and are probed one after another.
-        self.bits = 20
+        self.bits = 18
         self.slots = np.full((1 << self.bits) + 64, -1, np.int64)
         self.slot_rank = np.full((1 << self.bits) + 64, NONE, np.int32)
         self.probes = 1
