@@ -109,6 +109,13 @@ def cluster_reactions(spark, sf):
     return rows.groupBy("name").agg(F.count("*").alias("n"))
 
 
+def cluster_reactions_all(spark, sf):
+    """Messages around the sessions of every user, each once for a user."""
+    own = session_clusters(spark, sf).select(F.col("author").alias("name"), "anchor")
+    rows = K.attributed(own, chat(spark, sf), "name", 60.0)
+    return rows.groupBy("name").agg(F.count("*").alias("n"))
+
+
 def late_stream_flag(spark, sf):
     return K.late_flags(chat(spark, sf), "author").groupBy("author").agg(F.count_if("late").alias("late"), F.count("*").alias("n"))
 
@@ -203,6 +210,7 @@ FROM (SELECT id, row, ts, ts - ws AS base, row_number() OVER (PARTITION BY id OR
     ),
     "session_clusters": (session_clusters, with_views(f"+{SESSIONS} SELECT * FROM clusters", "chat")),
     "cluster_reactions": (cluster_reactions, with_views(f"+{SESSIONS} SELECT name, count(*) AS n FROM (SELECT DISTINCT c.author AS name, m.ts, m.author, m.text FROM clusters c JOIN chat m ON m.ts BETWEEN greatest(0.0, c.anchor - 10) AND c.anchor + 30 WHERE c.author <= 20) GROUP BY name", "chat")),
+    "cluster_reactions_all": (cluster_reactions_all, with_views(f"+{SESSIONS} SELECT name, count(*) AS n FROM (SELECT DISTINCT c.author AS name, m.ts, m.author, m.text FROM clusters c JOIN chat m ON m.ts BETWEEN greatest(0.0, c.anchor - 10) AND c.anchor + 30) GROUP BY name", "chat")),
     "late_stream_flag": (late_stream_flag, with_views("SELECT author, count(*) FILTER (late) AS late, count(*) AS n FROM (SELECT author, ts > 0.75 * max(ts) OVER (PARTITION BY author) AS late FROM chat) GROUP BY author", "chat")),
     "mention_rank_assoc": (mention_rank_assoc, _spiked("SELECT author, array_to_string(list_slice(list_sort(list(DISTINCT id)), 1, 4), ',') AS ranks FROM j GROUP BY author")),
     "player_metrics": (player_metrics, with_views(f"+{SESSIONS}, {METRICS} SELECT * FROM m", "chat")),
