@@ -16,6 +16,8 @@ fold AS (SELECT 0::BIGINT AS o, []::BIGINT[] AS kept UNION ALL
 final AS (SELECT kept FROM fold ORDER BY o DESC LIMIT 1),
 spikes AS (SELECT r.k, r.n, r.weight, CAST(list_position(kept, r.k) AS INTEGER) AS rank FROM ranked r, final WHERE list_contains(kept, r.k))"""
 GAP = 3600.0
+#: White space around a text, as stated characters that mean the same to both engines.
+STRIPPED = r"^[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+\z"
 SESSIONS = f"""gaps AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY author ORDER BY ts, row) > {GAP} THEN 1 ELSE 0 END AS new FROM chat),
 sess AS (SELECT *, sum(new) OVER (PARTITION BY author ORDER BY ts, row) AS session FROM gaps),
 clusters AS (SELECT author, CAST(session AS BIGINT) AS session, count(*) AS n, min(ts) AS first, max(ts) AS last, list_sort(list(ts))[CAST(count(*) // 2 AS BIGINT) + 1] AS anchor FROM sess GROUP BY author, session)"""
@@ -168,6 +170,12 @@ def first_distinct(spark, sf):
     return K.first_distinct(turns(spark, sf).withColumn("text", F.left("text", F.lit(12))).withColumn("row", F.col("conv_id") * 1000 + F.col("row")), "author", 5).select("author", "rank", "text", "row")
 
 
+def first_distinct_whole(spark, sf):
+    """The first five different texts of each role, compared whole but for white space around them."""
+    t = turns(spark, sf).select("author", F.regexp_replace("text", STRIPPED, "").alias("text"), F.struct("conv_id", F.col("row").alias("turn")).alias("row"))
+    return K.first_distinct(t, "author", 5).select("author", "rank", "text", "row.conv_id", "row.turn")
+
+
 def active_participants(spark, sf):
     patterns = table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.concat(F.lit("#"), F.right(F.col("n_nationkey").cast("string"), F.lit(1)), F.lit("0")).alias("pattern"))
     authors = table(spark, sf, "customer").select(F.concat(F.lit("cust#"), F.col("c_custkey").cast("string")).alias("author"))
@@ -230,5 +238,9 @@ FROM (SELECT id, row, ts, ts - ws AS base, row_number() OVER (PARTITION BY id OR
         with_views("SELECT author, row, text FROM (SELECT *, row_number() OVER (PARTITION BY author ORDER BY row DESC) AS k FROM (SELECT author, text, max(row) AS row FROM (SELECT *, row_number() OVER (PARTITION BY author ORDER BY row DESC) AS r FROM chat) WHERE r <= 60 GROUP BY author, text)) WHERE k <= 5", "chat"),
     ),
     "first_distinct": (first_distinct, with_views("SELECT author, CAST(k AS INTEGER) AS rank, text, row FROM (SELECT *, row_number() OVER (PARTITION BY author ORDER BY row) AS k FROM (SELECT author, left(text, 12) AS text, min(conv_id * 1000 + row) AS row FROM turns GROUP BY 1, 2)) WHERE k <= 5", "turns")),
+    "first_distinct_whole": (
+        first_distinct_whole,
+        with_views(f"SELECT author, CAST(k AS INTEGER) AS rank, text, first.conv_id AS conv_id, first.turn AS turn FROM (SELECT *, row_number() OVER (PARTITION BY author ORDER BY first) AS k FROM (SELECT author, regexp_replace(text, '{STRIPPED}', '', 'g') AS text, min({{'conv_id': conv_id, 'turn': row}}) AS first FROM turns GROUP BY 1, 2)) WHERE k <= 5", "turns"),
+    ),
     "active_participants": (active_participants, "SELECT DISTINCT n_name AS name FROM nation WHERE EXISTS (SELECT 1 FROM customer WHERE contains('cust#' || CAST(c_custkey AS VARCHAR), '#' || right(CAST(n_nationkey AS VARCHAR), 1) || '0'))"),
 }

@@ -25,3 +25,20 @@ def test_reactions_of_every_user(spark, tmp_path):
         want[name] = len({(ts, user, text) for ts, _, user, text in chat for a in anchors if max(0.0, a - 10) <= ts <= a + 30})
     assert set(want) == {3, 20, 21, 40, 900}
     assert {r.name: r.n for r in catalog.queries()["cluster_reactions_all"](spark, str(tmp_path)).collect()} == want
+
+
+def test_first_texts_are_compared_whole(spark, tmp_path):
+    rnd = random.Random(2)
+    rows = [(c, t, rnd.choice(["user", "assistant"]), rnd.choice(["", " ", "\n　"]) + f"the same opening {rnd.randrange(9)}\nand more" + rnd.choice(["", "\t", "\x85 "])) for c in range(3) for t in (0, 1, 1500)]
+    rows += [(9, 0, "user", None), (9, 1, "user", " ")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = set()
+    for role in ("user", "assistant"):
+        seen = []
+        for c, t, _, text in sorted((r for r in rows if r[2] == role), key=lambda r: r[:2]):
+            text = (text or "").strip()
+            if text not in seen and len(seen) < 5:
+                seen.append(text)
+                want.add((role, len(seen), text, c, t))
+    assert len(want) > 6
+    assert {(r.author, r.rank, r.text, r.conv_id, r.turn) for r in catalog.queries()["first_distinct_whole"](spark, str(tmp_path)).collect()} == want
