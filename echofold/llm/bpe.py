@@ -65,6 +65,8 @@ class Vocabulary:
         self.tokens: list[str] = [""] * (max(tokens.values()) + 1)
         for token, i in tokens.items():
             self.tokens[i] = token
+        self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
+        self.bytes_of = {ord(s): chr(b) for b, s in enumerate(symbols)}
         back = {s: b for b, s in enumerate(symbols)}
         self.n_bytes = np.array([sum(c in back for c in t.removesuffix("</w>")) for t in self.tokens], np.int64)
         self.pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+|\n")
@@ -98,6 +100,17 @@ class Vocabulary:
         counts = np.diff(np.concatenate(([-1], cuts, [len(found)]))) - 1
         return [p.encode() for p in found if p != "\n"], counts
 
+    def library_pre_tokens(self, words: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Of any words, normalized and cut by the library: all pre-tokens, how many each word has, and its special tokens besides."""
+        normalize, cut = self.library.normalizer.normalize_str, self.library.pre_tokenizer.pre_tokenize_str
+        parts, counts, special = [], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for i, w in enumerate(words):
+            between = self.special.split(w)
+            found = [p.translate(self.bytes_of).encode("latin-1") for s in between if s for p, _ in cut(normalize(s))]
+            parts += found
+            counts[i], special[i] = len(found), len(between) - 1
+        return parts, counts, special
+
     def known_to_python(self, words: list[str]) -> tuple[list[str], list[str]]:
         """Words that this module encodes, and those left to the library."""
         if not self.other.search("\n".join(words)):

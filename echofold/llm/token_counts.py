@@ -128,19 +128,19 @@ def _count_table(path: str):
 
     def fill(words: list[str]) -> list[int]:
         plain, others = v.known_to_python(words)
-        known: dict[str, int] = {}
-        if plain:
-            parts, counts = v.pre_tokens(plain)
-            size = np.fromiter(map(len, parts), np.int64, len(parts))
-            short = size <= LONG_WORD_BYTES
-            _, ends = v._encode_batch(parts if short.all() else [p for p in parts if len(p) <= LONG_WORD_BYTES])
-            size[short] = np.diff(ends, prepend=0)
-            for i in np.flatnonzero(~short):
-                size[i] = len(v.encode_long(parts[i]))
-            total = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(counts)))]
-            known = dict(zip(plain, np.diff(total).tolist(), strict=True))
-        if others:
-            known.update((w, len(e.ids)) for w, e in zip(others, v.library.encode_batch(others, add_special_tokens=False), strict=True))
+        parts, counts = v.pre_tokens(plain) if plain else ([], np.zeros(0, np.int64))
+        more, more_counts, special = v.library_pre_tokens(others) if others else ([], np.zeros(0, np.int64), np.zeros(0, np.int64))
+        parts, counts = parts + more, np.concatenate((counts, more_counts))
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        short = size <= LONG_WORD_BYTES
+        _, ends = v._encode_batch(parts if short.all() else [p for p in parts if len(p) <= LONG_WORD_BYTES])
+        size[short] = np.diff(ends, prepend=0)
+        for i in np.flatnonzero(~short):
+            size[i] = len(v.encode_long(parts[i]))
+        total = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(counts)))]
+        n = np.diff(total)
+        n[len(plain) :] += special
+        known = dict(zip(plain + others, n.tolist(), strict=True))
         return [known[w] for w in words]
 
     return WordTable(fill)

@@ -61,3 +61,16 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert bpe.encode(empty, PATH).collect() == []
     assert token_counts.token_counts(empty, PATH).collect() == []
+
+
+def test_counts_merge_words_of_every_script(library, monkeypatch):
+    """The library may normalize and cut words, but not merge them."""
+
+    class Cutter:
+        normalizer, pre_tokenizer = library.normalizer, library.pre_tokenizer
+
+    texts = odd_texts() + ["Σίσυφος ΟΔΟΣ", "привет, МИР!", "中文字符" * 100, "“quoted” — it’s 😀😀", "a<|endoftext|><|startoftext|>b<|x", "İ́̈", "ㅋㅋㅋ 대박"]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(bpe.vocabulary(PATH), "_library", Cutter())
+    token_counts._count_table.cache_clear()
+    assert token_counts.count_texts(PATH, texts) == want
