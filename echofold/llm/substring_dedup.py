@@ -3,13 +3,14 @@
 The index holds one row for each group of window hashes seen so far (see winnow), with the smallest doc_id that has it, in sorted
 immutable runs.  A new batch of documents becomes a run of its own.  It is merge-joined with the runs before it: a group that is
 known as a whole is settled by its doc_id; where only the anchor is known, the content of both sides is fetched and
-compared word for word.  When there are more than FANOUT runs, they are merged into one that keeps the first document of each group.
-Batches come in ascending order of doc_id, so what is settled for a batch stays so.
+compared word for word.  If there are more than FANOUT runs when a batch comes, they are first merged into one that keeps the first document of
+each group.  Batches come in ascending order of doc_id, so what is settled for a batch stays so.  An index can outlive a call: its runs are
+named tables, and a later call adds its documents to them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +47,10 @@ def solve_exactly(window: int, unit: repeats.WordRuns) -> repeats.Solver:
 class FingerprintIndex:
     """Sorted runs of window-group hashes, as bucketed tables in the shared folder: joins with them need no shuffle on their side."""
 
-    def __init__(self, spark: SparkSession, unit: repeats.WordRuns, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, unit: repeats.WordRuns, fanout: int = FANOUT, runs: Iterable[str] = ()):
         self.spark, self.unit, self.fanout = spark, unit, fanout
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[str] = []
+        self.runs: list[str] = list(runs)  # those of an index that was kept reopen it
 
     def _write(self, rows: DataFrame) -> str:
         path = shared.shared_path(self.spark, "run")
@@ -72,6 +73,8 @@ class FingerprintIndex:
 
     def add(self, rows: DataFrame) -> DataFrame:
         """Index a batch (doc_id, text), whose doc_ids are all larger than those before; the marks of its window groups, stored."""
+        if len(self.runs) > self.fanout:
+            self.compact()
         batch = self._write(repeats.index_rows(rows, self.unit))
         new = self.spark.table(batch)
         anchors = new.filter(F.col("kind") == repeats.INDEX).select("anchor")
@@ -81,8 +84,6 @@ class FingerprintIndex:
             met = met.unionByName(k)
         marks = shared.store(repeats.mark(met, self.unit), "substring-marks")
         self.runs.append(batch)
-        if len(self.runs) > self.fanout:
-            self.compact()
         return marks
 
     def compact(self) -> None:
@@ -112,12 +113,15 @@ def id_ranges(df: DataFrame, n: int) -> list[tuple[int, int]]:
     return list(zip(edges, edges[1:], strict=False))
 
 
-def dedup(df: DataFrame, window: int = WINDOW, core: int = CORE, batches: int = BATCHES, keep: tuple[str, ...] = (), unit: repeats.WordRuns | None = None, as_it_was: bool = False) -> DataFrame:
+def dedup(df: DataFrame, window: int = WINDOW, core: int = CORE, batches: int = BATCHES, keep: tuple[str, ...] = (), unit: repeats.WordRuns | None = None, as_it_was: bool = False, index: FingerprintIndex | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept (kept words joined by single spaces), words [^ x20 x09-x0D]+, and the columns named in
     keep, of df(doc_id, text, ...): without the words covered by a window that also starts in a document with a smaller doc_id.
 
     With as_it_was, kept is the text itself where nothing is removed, white space included.
 
+    With an index, made with the same window and core, the documents are added to it and it is kept; the caller drops it.  All doc_ids must be
+    larger than those it holds, whose documents are given as earlier(doc_id, text, ...).
+
     Windows are judged on the input.  A null text has no words; shorter texts than the window keep all.  Rows without doc_id are
     left out; repeated rows count as one document and come out as often as they came in.  Columns that aren't named are left out;
     those named must not be called n_words, n_removed or kept.
@@ -126,18 +130,21 @@ def dedup(df: DataFrame, window: int = WINDOW, core: int = CORE, batches: int =
     shared.prepare(spark)
     source = repeats.clean(df)
     rows = source.select("doc_id", "text")
-    unit = unit or repeats.WordRuns(window, core)
-    index = FingerprintIndex(spark, unit)
+    unit = index.unit if index else unit or repeats.WordRuns(window, core)
+    given = index
+    index = given or FingerprintIndex(spark, unit)
     marks = None
     for low, high in id_ranges(rows, batches):
         found = index.add(rows.filter((F.col("doc_id") > low) & (F.col("doc_id") <= high)))
         marks = found if marks is None else marks.unionByName(found)
-    index.drop()
+    if not given:
+        index.drop()
     if marks is None:
         marks = spark.createDataFrame([], repeats.ROWS)
     # The same projection for both joins with the texts, so that one shuffle serves both.
     whole = source.select("doc_id", "text", *keep)
-    found = repeats.by_document(repeats.spans(marks, whole, unit, solve_exactly(window, unit)))
+    texts = whole if earlier is None else whole.select("doc_id", "text").unionByName(repeats.clean(earlier).select("doc_id", "text"))
+    found = repeats.by_document(repeats.spans(marks, texts, unit, solve_exactly(window, unit)))
     schema = ", ".join(["doc_id long", *(f"`{c}` {whole.schema[c].dataType.simpleString()}" for c in keep), "n_words long, n_removed long, kept string"])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ import re
 import pytest
 
 from echofold.llm import repeats
-from echofold.llm.substring_dedup import dedup, digest
+from echofold.llm.substring_dedup import FingerprintIndex, dedup, digest
 
 SCHEMA = "doc_id long, text string, kept int, n_words string"
 
@@ -68,3 +68,20 @@ def test_repeated_rows_and_missing_ids(spark):
 
 def test_empty_table(spark):
     assert dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_kept_index_takes_later_documents(spark, monkeypatch):
+    docs = corpus(5)
+    ids = sorted(docs)
+    frame = lambda part: spark.createDataFrame([(d, docs[d], 1, "x") for d in part], SCHEMA)
+    compacted = []
+    compact = FingerprintIndex.compact
+    monkeypatch.setattr(FingerprintIndex, "compact", lambda self: (compacted.append(len(self.runs)), compact(self)))
+    index = FingerprintIndex(spark, repeats.WordRuns(50, 25))
+    got = digest(dedup(frame(ids[:40]), index=index)).collect()
+    assert not compacted and len(index.runs) == 3  # nothing is merged that no batch will meet
+    index = FingerprintIndex(spark, repeats.WordRuns(50, 25), runs=index.runs)
+    got += digest(dedup(frame(ids[40:]), batches=1, index=index, earlier=frame(ids[:40]))).collect()
+    assert compacted == [3] and len(index.runs) == 2
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute(docs, 50)
+    index.drop()
