@@ -45,7 +45,7 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, n
 
     Words are runs of digits, letters a-z in either case, and characters beyond ASCII.  A text of fewer words, but not none, is one shingle.
     """
-    w = winnow.Words(texts, winnow.SIGNS, winnow.FOLD)
+    w = winnow.Words(texts, winnow.FOLDED_WORDS)
     prefix = winnow.Prefix(w.values(), winnow.BASE_1)
     count = w.last - w.first
     many = np.where(count == 0, 0, np.maximum(1, count - size + 1))

@@ -41,7 +41,7 @@ WIDTH = 3 * OWN + 1
 
 def lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of all lines that aren't blank, their lengths in bytes, and the text of each."""
-    w = winnow.Words(texts)
+    w = winnow.WordSpans(texts)
     if not len(w.begin):
         return np.zeros((0, WIDTH)), np.zeros(0, np.int64), np.zeros(0, np.int64)
     breaks = np.cumsum(w.raw == 0x0A)

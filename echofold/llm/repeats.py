@@ -1,57 +1,70 @@
 """Repeated windows over all documents: the Spark side of the exact substring operators.
 
-1. index_rows: every document's groups of windows (see winnow), narrow.  Equal groups of one batch are collapsed at once, so a
-   passage in a third of all documents reaches the shuffle once a batch, not once a document.
-2. mark: rows meet by anchor.  Later occurrences of a whole group are settled; of an anchor with several variants the first
-   occurrence of each is left open.  The pass streams over sorted rows and keeps one key's first occurrences at most.
-3. pieces: the content of the open groups, cut from the documents.
-4. settle: pieces meet by anchor and are compared exactly by the operator's own method.  An anchor with more than LIMIT
-   variants doesn't meet in one task: its windows go by anchor and window hash, aggregated before the shuffle.
-
-Tables hold (kind, anchor, variant, doc_id, place); place = first window << 16 | windows << 8 | the anchor's offset.
+1. index_rows: every document's groups of windows (see winnow), narrow.  Equal groups of one slice of texts are collapsed at once, so a
+   passage in a third of all documents leaves a row for each slice, not for each document; what is settled there never moves again.
+2. The operators find the first occurrence of each group and the anchors that have several (their own modules).
+3. pieces: the content of those groups, cut from the documents.
+4. solved: pieces meet by anchor and are compared exactly by the operator's own method.  An anchor with more than LIMIT variants
+   is narrowed first: its windows are halved by their place around the anchor, and each half goes by the content that all its
+   windows share.  Equal halves are settled by comparing their content, the others go on until they are few; so the same method
+   decides at every size and no task holds a hot anchor.
+
+Rows are (kind, anchor, variant, digest, doc_id, place); variant and digest are the 128 bits of the group's content.
+place = 15 bits of the text's CRC-32 << 48 | first window << 16 | windows << 8 | the anchor's offset.  The CRC keeps texts apart that share a
+doc_id.  Of REMOVED rows, runs of windows that index_rows has settled, variant is the number of windows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import winnow
+from . import shared, winnow
 
 INDEX, REMOVED, OPEN, HOT = 0, 1, 2, 3
 #: Variants of one anchor that may meet in one task.
-LIMIT = 4096
+LIMIT = 1024
 #: Rows of one anchor that a streaming pass holds before it settles those it can.
 HELD_ROWS = 100_000
-ROWS = "kind int, anchor long, variant long, doc_id long, place long"
-COLUMNS = ["kind", "anchor", "variant", "doc_id", "place"]
+ROWS = "kind int, anchor long, variant long, digest long, doc_id long, place long"
+COLUMNS = ["kind", "anchor", "variant", "digest", "doc_id", "place"]
+FIRST = (1 << 32) - 1
 
 
 class Bytes:
     """Windows of bytes.  An occurrence counts if it starts earlier: in a smaller doc_id, or before in the same document."""
 
     within = True
+    empty = b""
 
     def __init__(self, window: int, core: int, limit: int = LIMIT, held_rows: int = HELD_ROWS):
         self.window, self.core, self.limit, self.held_rows = window, core, limit, held_rows
 
     def groups(self, texts: list[bytes]) -> Iterator[dict[str, np.ndarray]]:
         table = winnow.byte_values(7)
-        raw = np.frombuffer(b"".join(texts), np.uint8)
+        whole = b"".join(texts)
+        raw = np.frombuffer(whole, np.uint8)
         ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-        return winnow.all_groups(lambda a, b: table[raw[a:b]], np.concatenate(([0], ends[:-1])), ends, self.window, self.core)
+        for g in winnow.all_groups(lambda a, b: table[raw[a:b]], np.concatenate(([0], ends[:-1])), ends, self.window, self.core):
+            a = g["at"].tolist()
+            b = (g["at"] + g["n"] + self.window - 1).tolist()
+            yield g | {"digest": winnow.digests(whole[i:j] for i, j in zip(a, b, strict=True))}
 
     def pieces(self, text: bytes, first: list[int], n: list[int]) -> list[bytes]:
         return [text[a : a + k + self.window - 1] for a, k in zip(first, n, strict=True)]
 
-    def windows(self, piece: bytes) -> list[bytes]:
-        return [piece[i : i + self.window] for i in range(len(piece) - self.window + 1)]
+    def symbols(self, piece: bytes) -> bytes:
+        return piece
+
+    def piece(self, symbols: bytes) -> bytes:
+        return symbols
 
 
 class WordRuns:
@@ -64,16 +77,18 @@ class WordRuns:
 
     def groups(self, texts: list[bytes]) -> Iterator[dict[str, np.ndarray]]:
         w = winnow.Words(texts)
-        return winnow.all_groups(w.values(), w.first, w.last, self.window, self.core)
+        for g in winnow.all_groups(w.values(), w.first, w.last, self.window, self.core):
+            yield g | {"digest": winnow.digests(w.content(g["at"], g["at"] + g["n"] + self.window - 1))}
 
     def pieces(self, text: bytes, first: list[int], n: list[int]) -> list[bytes]:
-        w = winnow.Words([text])
-        begin, end = w.begin.tolist(), w.end.tolist()
-        return [b" ".join(text[i:j] for i, j in zip(begin[a : a + k + self.window - 1], end[a : a + k + self.window - 1], strict=True)) for a, k in zip(first, n, strict=True)]
+        words = text.split()
+        return [b" ".join(words[a : a + k + self.window - 1]) for a, k in zip(first, n, strict=True)]
+
+    def symbols(self, piece: bytes) -> list[bytes]:
+        return piece.split(b" ")
 
-    def windows(self, piece: bytes) -> list[bytes]:
-        words = piece.split(b" ")
-        return [b" ".join(words[i : i + self.window]) for i in range(len(words) - self.window + 1)]
+    def piece(self, symbols: list[bytes]) -> bytes:
+        return b" ".join(symbols)
 
 
 Unit = Bytes | WordRuns
@@ -96,100 +111,65 @@ def utf8(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def mark_of(texts: list[bytes]) -> np.ndarray:
+    """15 bits that tell texts of one doc_id apart."""
+    return np.fromiter((crc32(t) & 0x7FFF for t in texts), np.int64, len(texts))
+
+
+def first_of(place):
+    """The first window of a place, an array or a column."""
+    return F.shiftright(place, 16).bitwiseAND(FIRST) if isinstance(place, Column) else place >> 16 & FIRST
+
+
 def index_rows(rows: DataFrame, unit: Unit) -> DataFrame:
-    """rows: doc_id, text."""
+    """INDEX rows of rows(doc_id, text), one for each slice and group, and REMOVED rows of what each slice settles itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for batch in batches for x in slices(batch)):
             docs = part.column("doc_id").to_numpy()
-            for g in unit.groups(utf8(part.column("text"))):
+            texts = utf8(part.column("text"))
+            marks = mark_of(texts)
+            for g in unit.groups(texts):
                 doc = docs[g["text"]]
-                place = g["first"] << 16 | g["n"] << 8 | g["offset"]
-                order = np.lexsort((place, doc, g["variant"], g["anchor"]))
-                anchor, variant, doc, place = g["anchor"][order], g["variant"][order], doc[order], place[order]
+                place = marks[g["text"]] << 48 | g["first"] << 16 | g["n"] << 8 | g["offset"]
+                variant, digest = g["digest"].T
+                order = np.lexsort((place, doc, digest, variant, g["anchor"]))
+                anchor, variant, digest, doc, place = g["anchor"][order], variant[order], digest[order], doc[order], place[order]
                 same = np.zeros(len(order), bool)
-                same[1:] = (anchor[1:] == anchor[:-1]) & (variant[1:] == variant[:-1])
+                same[1:] = (anchor[1:] == anchor[:-1]) & (variant[1:] == variant[:-1]) & (digest[1:] == digest[:-1])
                 first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
                 later = later_than(doc, place, first, unit.within)
-                # What is settled here still passes through the shuffle, spread by document and place.
-                spread = winnow.mix(doc.astype(np.uint64) * np.uint64(winnow.BASE_1) + place.astype(np.uint64)).view(np.int64)
-                columns = [later.astype(np.int32), np.where(later, spread, anchor), np.where(later, 0, variant), doc, place]
+                gone_doc, gone_place, gone_n = joined(doc[later], place[later])
+                zero = np.zeros(len(gone_doc), np.int64)
+                columns = [
+                    np.repeat(np.array([INDEX, REMOVED], np.int32), [int((~later).sum()), len(gone_doc)]),
+                    *(np.concatenate((x[~later], y)) for x, y in ((anchor, zero), (variant, gone_n), (digest, zero), (doc, gone_doc), (place, gone_place))),
+                ]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=COLUMNS)
 
     return rows.mapInArrow(run, ROWS)
 
 
+def joined(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Groups that follow one another in a text as one run: doc, place and number of windows."""
+    place = np.asarray(place, np.int64)
+    order = np.lexsort((place, doc))
+    doc, start, end = doc[order], place[order] >> 16, (place[order] >> 16) + (place[order] >> 8 & 255)
+    if not len(doc):
+        return doc, place, place
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != end[:-1])
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(doc)) - 1
+    return doc[at], start[at] << 16, end[last] - start[at]
+
+
 def later_than(doc: np.ndarray, place: np.ndarray, first: np.ndarray, within: bool) -> np.ndarray:
     """Rows whose occurrence isn't the first: first gives the row of the first one."""
     later = doc > doc[first]
     return later | ((doc == doc[first]) & (place > place[first])) if within else later
 
 
-def mark(index: DataFrame, unit: Unit) -> DataFrame:
-    """Settled (REMOVED) and open (OPEN, HOT) rows; the rest of the index needs no more."""
-
-    def settled(a: dict[str, np.ndarray], hot: bool, last: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
-        """What is known of rows sorted by anchor, variant, doc_id and place; of the others, those that stay open if last."""
-        n = len(a["anchor"])
-        new_anchor = np.ones(n, bool)
-        new_anchor[1:] = a["anchor"][1:] != a["anchor"][:-1]
-        new_variant = new_anchor.copy()
-        new_variant[1:] |= a["variant"][1:] != a["variant"][:-1]
-        first = np.maximum.accumulate(np.where(new_variant, np.arange(n), 0))
-        later = later_than(a["doc_id"], a["place"], first, unit.within)
-        frame = pd.DataFrame(a)
-        gone = frame[later].assign(kind=REMOVED)
-        if not last:
-            return gone, frame[~later]
-        group = np.cumsum(new_anchor) - 1
-        variants = np.bincount(group, new_variant)[group]
-        opened = ~later & (variants > 1)
-        if not unit.within and n:  # one document alone can't remove its own words
-            starts = np.flatnonzero(new_anchor)
-            alone = np.minimum.reduceat(a["doc_id"], starts) == np.maximum.reduceat(a["doc_id"], starts)
-            opened &= ~alone[group]
-        kind = np.where(variants > unit.limit, HOT, OPEN)
-        if hot:
-            opened |= ~later & (group == 0)
-            kind = np.where(group == 0, HOT, kind)
-        return gone, frame.assign(kind=kind)[opened]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, hot = None, False
-        for df in frames:
-            passed = df["kind"] == REMOVED
-            yield df[passed]
-            df = df[~passed]
-            if held is not None:
-                df = pd.concat([held, df], ignore_index=True)
-            if not len(df):
-                continue
-            a = {c: df[c].to_numpy(np.int64) for c in COLUMNS}
-            cut = int(np.searchsorted(a["anchor"], a["anchor"][-1]))
-            if cut:
-                yield from settled({c: x[:cut] for c, x in a.items()}, hot, True)
-                hot = False
-            held = df.iloc[cut:]
-            if len(held) > unit.held_rows:
-                gone, held = settled({c: x[cut:] for c, x in a.items()}, False, False)
-                yield gone
-                variants = held["variant"].to_numpy()
-                if len(np.unique(variants)) > unit.limit:
-                    hot, tail = True, variants == variants[-1]
-                    yield held[~tail].assign(kind=HOT)
-                    held = held[tail]
-        if held is not None and len(held):
-            yield from settled({c: held[c].to_numpy(np.int64) for c in COLUMNS}, hot, True)
-
-    def typed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in run(frames):
-            if len(df):
-                yield df.assign(kind=df["kind"].astype(np.int32))[COLUMNS]
-
-    # By an expression: the optimizer may take a bucketed table's own partitioning for this one, and then read it unbucketed.
-    return index.repartition(F.xxhash64("anchor")).sortWithinPartitions("anchor", "variant", "doc_id", "place").mapInPandas(typed, ROWS)
-
-
 def whole_groups(frames: Iterator[pd.DataFrame], *keys: str) -> Iterator[pd.DataFrame]:
     """Frames sorted by keys, cut anew so that no key is in two of them."""
     held = None
@@ -217,76 +197,124 @@ def group_cuts(df: pd.DataFrame, *keys: str) -> list[int]:
 
 #: Gets (anchor's offset, doc_id, first window, content) of an anchor's groups; gives (row, first, n) of windows that aren't first.
 Solver = Callable[[list[tuple[int, int, int, bytes]]], Iterator[tuple[int, int, int]]]
+SPANS = "doc_id long, mark long, first long, n long"
+
+
+def removed(index: DataFrame) -> DataFrame:
+    """doc_id, mark, first, n of REMOVED rows."""
+    return index.filter(F.col("kind") == REMOVED).select("doc_id", F.shiftright("place", 48).alias("mark"), first_of(F.col("place")).alias("first"), F.col("variant").alias("n"))
+
 
+def whole(later: DataFrame) -> DataFrame:
+    """doc_id, mark, first, n of whole groups (doc_id, place)."""
+    return later.select("doc_id", F.shiftright("place", 48).alias("mark"), first_of(F.col("place")).alias("first"), F.shiftright("place", 8).bitwiseAND(255).alias("n"))
 
-def spans(marks: DataFrame, rows: DataFrame, unit: Unit, solve: Solver) -> DataFrame:
-    """doc_id, first, n: runs of windows that also occur earlier.  marks: a stored table."""
-    first, n = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255)
-    out = marks.filter(F.col("kind") == REMOVED).select("doc_id", first.alias("first"), n.alias("n"))
-    # A row may be open in several batches' marks; one that is hot in any of them makes its anchor hot.
-    wanted = marks.filter(F.col("kind") >= OPEN).groupBy("anchor", "variant", "doc_id", "place").agg(F.max("kind").alias("kind"))
-    if has_hot := not marks.filter(F.col("kind") == HOT).isEmpty():
-        hot = marks.filter(F.col("kind") == HOT).select("anchor", F.lit(HOT).alias("_hot")).distinct()
-        wanted = wanted.join(hot, "anchor", "left").withColumn("kind", F.coalesce("_hot", "kind")).drop("_hot")
-    wanted = wanted.groupBy("doc_id").agg(*(F.collect_list(c).alias(c) for c in ("kind", "anchor", "place")))
+
+def pieces(wanted: DataFrame, rows: DataFrame, unit: Unit) -> DataFrame:
+    """anchor, hot, doc_id, mark, first, off (the anchor's offset) and piece, stored, of wanted(anchor, hot, doc_id, place): the groups' content, from rows(doc_id, text)."""
+    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "hot", "place")).alias("w"))
+    wanted = wanted.select("doc_id", *(F.col(f"w.{c}").alias(c) for c in ("anchor", "hot", "place")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for batch in batches for x in slices(batch)):
-            pieces: list[bytes] = []
-            for text, places in zip(utf8(part.column("text")), part.column("place"), strict=True):
+            texts = utf8(part.column("text"))
+            found: list[bytes] = []
+            keep = []
+            for text, mark, places in zip(texts, mark_of(texts).tolist(), part.column("place"), strict=True):
                 place = places.values.to_numpy()
-                pieces += unit.pieces(text, (place >> 16).tolist(), (place >> 8 & 255).tolist())
-            kind, anchor, place = (part.column(c).flatten() for c in ("kind", "anchor", "place"))
-            doc = np.repeat(part.column("doc_id").to_numpy(), pc.list_value_length(part.column("place")).to_numpy())
-            yield pa.RecordBatch.from_arrays([kind, anchor, pa.array(doc), place, pa.array(pieces, pa.binary())], names=["kind", "anchor", "doc_id", "place", "piece"])
-
-    pieces = rows.join(wanted, "doc_id").select("doc_id", "text", "kind", "anchor", "place").mapInArrow(cut, "kind int, anchor long, doc_id long, place long, piece binary")
+                own = place >> 48 == mark
+                keep.append(own)
+                found += unit.pieces(text, first_of(place[own]).tolist(), (place[own] >> 8 & 255).tolist())
+            own = np.concatenate(keep)
+            anchor, hot, place = (part.column(c).flatten().to_numpy(zero_copy_only=False)[own] for c in ("anchor", "hot", "place"))
+            doc = np.repeat(part.column("doc_id").to_numpy(), pc.list_value_length(part.column("place")).to_numpy())[own]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor), pa.array(hot, pa.bool_()), pa.array(doc), pa.array(place >> 48), pa.array(first_of(place)), pa.array((place & 255).astype(np.int32)), pa.array(found, pa.binary())],
+                names=["anchor", "hot", "doc_id", "mark", "first", "off", "piece"],
+            )
+
+    schema = "anchor long, hot boolean, doc_id long, mark long, first long, off int, piece binary"
+    return shared.store(rows.join(wanted, "doc_id").select("doc_id", "text", "anchor", "hot", "place").mapInArrow(cut, schema), "pieces")
+
+
+def solved(found: DataFrame, unit: Unit, solve: Solver) -> DataFrame:
+    """doc_id, mark, first, n: runs of windows of pieces() that also occur earlier."""
+    cool = found.filter("NOT hot").select(F.col("anchor").alias("key"), "doc_id", "mark", "first", "off", "piece")
+    out, more = narrowed(found.filter("hot").drop("hot"), unit)
+    cool = cool if more is None else cool.unionByName(more)
 
     def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in whole_groups(frames, "anchor"):
-            places = df["place"].to_numpy()
-            docs, content = df["doc_id"].tolist(), df["piece"].tolist()
-            starts, offsets = (places >> 16).tolist(), (places & 255).tolist()
-            cuts = group_cuts(df, "anchor")
-            found: list[tuple[int, int, int]] = []
+        for df in whole_groups(frames, "key"):
+            docs, starts, offsets, content, marks = (df[c].tolist() for c in ("doc_id", "first", "off", "piece", "mark"))
+            cuts = group_cuts(df, "key")
+            gone: list[tuple[int, int, int, int]] = []
             for a, b in zip(cuts, cuts[1:], strict=False):
-                group = list(zip(offsets[a:b], docs[a:b], starts[a:b], content[a:b], strict=True))
-                found += [(docs[a + k], s, n) for k, s, n in solve(group)]
-            yield pd.DataFrame(found, columns=["doc_id", "first", "n"])
-
-    met = pieces.filter(F.col("kind") == OPEN).select("anchor", "doc_id", "place", "piece")
-    out = out.unionByName(met.repartition(F.xxhash64("anchor")).sortWithinPartitions("anchor", "doc_id", "place").mapInPandas(settle, "doc_id long, first long, n long"))
-    if has_hot:
-        out = out.unionByName(hot_spans(pieces.filter(F.col("kind") == HOT), unit))
-    return out
+                # The mark orders texts that share a doc_id.
+                group = list(zip(offsets[a:b], docs[a:b], (m << 32 | s for m, s in zip(marks[a:b], starts[a:b], strict=True)), content[a:b], strict=True))
+                gone += [(docs[a + k], s >> 32, s & FIRST, n) for k, s, n in solve(group)]
+            if gone:
+                yield pd.DataFrame(gone, columns=["doc_id", "mark", "first", "n"])
 
+    met = cool.repartition(F.xxhash64("key")).sortWithinPartitions("key", "doc_id", "mark", "first").mapInPandas(settle, SPANS)
+    return met if out is None else met.unionByName(out)
 
-def hot_spans(pieces: DataFrame, unit: Unit) -> DataFrame:
-    """Windows of the anchors with very many variants: equal if anchor, offset and two 64-bit hashes of the content agree."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
+def narrowed(hot: DataFrame, unit: Unit) -> tuple[DataFrame | None, DataFrame | None]:
+    """Of anchors with more than LIMIT variants: what is settled on the way, and pieces whose keys have few enough."""
+    if hot.isEmpty():
+        return None, None
+    window = unit.window
+    span = window - unit.core
 
+    def halve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            for anchor, doc, place, piece in zip(df["anchor"], df["doc_id"], df["place"], df["piece"], strict=True):
-                start, offset = place >> 16, place & 255
-                keys = [hashlib.blake2b(w, digest_size=16).digest() for w in unit.windows(piece)]
-                yield pd.DataFrame({"anchor": anchor, "at": [offset - i for i in range(len(keys))], "key": keys, "doc_id": doc, "first": [start + i for i in range(len(keys))]})
-
-    rows = pieces.mapInPandas(run, "anchor long, at int, key binary, doc_id long, first long")
-    keys = ["anchor", "at", "key"]
-    if unit.within:
-        least = rows.groupBy(*keys).agg(F.min(F.struct("doc_id", "first")).alias("least"))
-        later = F.struct("doc_id", "first") > F.col("least")
-    else:
-        least = rows.groupBy(*keys).agg(F.min("doc_id").alias("least"))
-        later = F.col("doc_id") > F.col("least")
-    return rows.join(least, keys).filter(later).select("doc_id", "first", F.lit(1).cast("long").alias("n"))
+            found = []
+            for key, low, high, doc, mark, first, off, piece in df.itertuples(index=False):
+                symbols = unit.symbols(piece)
+                mid = (low + high) // 2
+                for a, b in ((low, mid), (mid + 1, high)):
+                    p, q = max(a, -off), min(b, len(symbols) - window - off)
+                    if a <= b and p <= q:
+                        common = winnow.digests([b"%d %d " % (key, a) + unit.piece(symbols[b + off : a + off + window])])[0, 0]
+                        found.append((int(common), a, b, doc, mark, first + p + off, -p, unit.piece(symbols[p + off : q + off + window])))
+            if found:
+                yield pd.DataFrame(found, columns=list(df.columns))
+
+    schema = "key long, low int, high int, doc_id long, mark long, first long, off int, piece binary"
+    level = hot.select(F.col("anchor").alias("key"), F.lit(-span).alias("low"), F.lit(0).alias("high"), "doc_id", "mark", "first", "off", "piece")
+    hot_columns, out, cool = level.columns, None, None
+    where = ["doc_id", "mark", "first"] if unit.within else ["doc_id"]
+    while True:
+        level = shared.store(level.mapInPandas(halve, schema), "halves")
+        # Equal content at the same place around the anchor: all windows of the later ones are settled.
+        same = ["key", "off", "piece"]
+        least = shared.store(level.groupBy(*same).agg(F.min(F.struct(*where)).alias("least")), "halves")
+        judged = shared.store(level.join(least, same).withColumn("later", F.struct(*where) > F.col("least")).drop("least"), "halves")
+        size = F.octet_length("piece") if unit.within else F.size(F.split(F.col("piece").cast("string"), " "))
+        later = judged.filter("later").select("doc_id", "mark", "first", (size - window + 1).cast("long").alias("n"))
+        out = later if out is None else out.unionByName(later)
+        count = shared.store(least.groupBy("key").agg(F.count("*").alias("variants")).filter("variants > 1"), "halves")
+        level = judged.filter("NOT later").drop("later").join(count, "key")
+        few = level.filter(F.col("variants") <= unit.limit).select("key", "doc_id", "mark", "first", "off", "piece")
+        cool = few if cool is None else cool.unionByName(few)
+        if count.filter(F.col("variants") > unit.limit).isEmpty():
+            return out, cool
+        level = level.filter(F.col("variants") > unit.limit).drop("variants").select(*hot_columns)
 
 
 def by_document(found: DataFrame) -> DataFrame:
     """doc_id with its spans; a document's spans are at most as many as its windows."""
-    return found.groupBy("doc_id").agg(F.collect_list("first").alias("_first"), F.collect_list("n").alias("_n"))
+    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("mark", "first", "n")).alias("s"))
+    return spans.select("doc_id", *(F.col(f"s.{c}").alias(f"_{c}") for c in ("mark", "first", "n")))
+
+
+def gone(size: int, mark: int, row: tuple[pa.Scalar, pa.Scalar, pa.Scalar], window: int) -> np.ndarray | None:
+    """Which of a text's symbols its spans (_mark, _first, _n) cover; None if it has none."""
+    if not row[0].is_valid:
+        return None
+    marks, first, n = (x.values.to_numpy() for x in row)
+    own = marks == mark
+    return winnow.covered(first[own], first[own] + n[own] + window - 1, size)
 
 
 def clean(df: DataFrame) -> DataFrame:

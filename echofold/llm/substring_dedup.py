@@ -1,10 +1,10 @@
 """Exact removal of passages of words that stand in an earlier document, with a log-structured fingerprint index.
 
-The index holds one row for each group of window hashes seen so far (see winnow), with the smallest doc_id that has it, in sorted
-immutable runs.  A new batch of documents becomes a run of its own.  It is merge-joined with the runs before it: a group that is
-known as a whole is settled by its doc_id; where only the anchor is known, the content of both sides is fetched and
-compared word for word.  If there are more than FANOUT runs when a batch comes, they are first merged into one that keeps the first document of
-each group.  Batches come in ascending order of doc_id, so what is settled for a batch stays so.  An index can outlive a call: its runs are
+The index holds one row for each group of window hashes seen so far (see winnow), with the first document that has it, in sorted
+immutable runs.  A new batch of documents is merge-joined with the runs: a group that any of them holds is settled, as are
+later copies within the batch; equality is that of the 128-bit digests of the words themselves.  What is new becomes a run of its own.  Where groups share
+an anchor and differ further out, their words are fetched and compared one by one.  If there are more than FANOUT runs when a batch comes, they are first
+merged into one.  Batches come in ascending order of doc_id, so what is settled for a batch stays so.  An index can outlive a call: its runs are
 named tables, and a later call adds its documents to them.
 """
 
@@ -23,29 +23,39 @@ from . import repeats, shared, winnow
 WINDOW, CORE = 50, 25
 #: Runs that may stand side by side before they are merged.
 FANOUT = 2
-BATCHES = 3
+#: More than FANOUT + 1, so that batches meet merged runs too.
+BATCHES = 4
+KEY = ["anchor", "variant", "digest"]
 
 
-def solve_exactly(window: int, unit: repeats.WordRuns) -> repeats.Solver:
+def solve_exactly(window: int) -> repeats.Solver:
     """Word for word: windows at the same offset from the anchor with the same words."""
 
     def solve(group: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
         least: dict[tuple[int, bytes], int] = {}
         content = []
         for offset, doc, _, piece in group:
-            keys = [(i - offset, w) for i, w in enumerate(unit.windows(piece))]
+            words = piece.split(b" ")
+            keys = [(i - offset, b" ".join(words[i : i + window])) for i in range(len(words) - window + 1)]
             content.append(keys)
             for k in keys:
                 if least.setdefault(k, doc) > doc:
                     least[k] = doc
         for k, (_, doc, start, _) in enumerate(group):
-            yield from ((k, start + i, 1) for i, key in enumerate(content[k]) if least[key] < doc)
+            found = [i for i, key in enumerate(content[k]) if least[key] < doc]
+            at = 0
+            while at < len(found):  # neighbours as one run
+                end = at + 1
+                while end < len(found) and found[end] == found[end - 1] + 1:
+                    end += 1
+                yield k, start + found[at], end - at
+                at = end
 
     return solve
 
 
 class FingerprintIndex:
-    """Sorted runs of window-group hashes, as bucketed tables in the shared folder: joins with them need no shuffle on their side."""
+    """Sorted runs of window-group hashes, as bucketed tables in the shared folder: merge-joins with them need no shuffle on their side."""
 
     def __init__(self, spark: SparkSession, unit: repeats.WordRuns, fanout: int = FANOUT, runs: Iterable[str] = ()):
         self.spark, self.unit, self.fanout = spark, unit, fanout
@@ -53,47 +63,73 @@ class FingerprintIndex:
         self.runs: list[str] = list(runs)  # those of an index that was kept reopen it
 
     def _write(self, rows: DataFrame) -> str:
+        """A run of rows that the last aggregation has dealt out by KEY already, so each bucket is one file."""
         path = shared.shared_path(self.spark, "run")
         name = "echofold_" + path.rpartition("-")[2]
-        (
-            rows.repartition(self.buckets, "anchor")
-            .write.bucketBy(self.buckets, "anchor")
-            .sortBy("anchor", "variant")
-            .option("path", path)
-            .option("compression", "zstd")
-            .format("parquet")
-            .saveAsTable(name)
-        )
+        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
-        table = self.spark.table(name)
-        shared.drop_stored(self.spark, table)
+        shared.drop_stored(self.spark, self.spark.table(name))
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
+    def _rows(self, name: str) -> DataFrame:
+        """A run's files without their buckets: joins by other columns, or with hot keys, are dealt out anew."""
+        table = self.spark.table(name)
+        return self.spark.read.schema(table.schema).parquet(table.inputFiles()[0].rpartition("/")[0]) if table.inputFiles() else table
+
     def add(self, rows: DataFrame) -> DataFrame:
-        """Index a batch (doc_id, text), whose doc_ids are all larger than those before; the marks of its window groups, stored."""
+        """Index a batch (doc_id, text), whose doc_ids are all larger than those before; its settled groups and the repeats of its new groups, stored.
+
+        Columns: KEY, doc_id, place, later (also in a smaller doc_id; else one more place in the group's first document), and the runs of windows
+        that index_rows has settled (kind REMOVED).
+        """
         if len(self.runs) > self.fanout:
             self.compact()
-        batch = self._write(repeats.index_rows(rows, self.unit))
-        new = self.spark.table(batch)
-        anchors = new.filter(F.col("kind") == repeats.INDEX).select("anchor")
-        known = [self.spark.table(r).join(anchors, "anchor", "left_semi").select(*repeats.COLUMNS) for r in self.runs]
-        met = new
-        for k in known:
-            met = met.unionByName(k)
-        marks = shared.store(repeats.mark(met, self.unit), "substring-marks")
+        index = shared.store(repeats.index_rows(rows, self.unit), "substring-rows")
+        fresh = index.filter(F.col("kind") == repeats.INDEX).drop("kind")
+        firsts = fresh.groupBy(*KEY).agg(F.min(F.struct("doc_id", "place")).alias("f"), F.count("*").alias("n")).select(*KEY, "f.doc_id", "f.place", "n")
+        known = F.lit(False)
+        for i, r in enumerate(self.runs):
+            seen = self.spark.table(r).filter("NOT known").select(*KEY, F.lit(True).alias(f"_seen{i}"))
+            firsts = firsts.join(seen.hint("merge"), KEY, "left")
+            known = known | F.col(f"_seen{i}").isNotNull()
+        batch = self._write(firsts.select(*KEY, "doc_id", "place", "n", known.alias("known")))
         self.runs.append(batch)
-        return marks
+        several = self._rows(batch).filter("known OR n > 1").select(*KEY, F.col("doc_id").alias("_doc"), F.col("place").alias("_place"), "known")
+        met = fresh.join(several, KEY)
+        later = F.col("known") | (F.col("doc_id") > F.col("_doc"))
+        met = met.withColumn("later", later).filter("later OR place <> _place")
+        settled = shared.store(met.select(*KEY, "doc_id", "place", "later"), "substring-settled")
+        self.settled = settled if self.settled is None else self.settled.unionByName(settled)
+        gone = repeats.removed(index)
+        self.gone = gone if self.gone is None else self.gone.unionByName(gone)
+
+    #: Of the batches added since open_groups() was last asked: settled groups, and runs of windows settled in their slices.
+    settled: DataFrame | None = None
+    gone: DataFrame | None = None
+
+    def open_groups(self, above: int) -> DataFrame:
+        """anchor, hot, doc_id, place of first occurrences that share an anchor with another group, where one is of a doc_id above the given one."""
+        rows = None
+        for r in self.runs:
+            t = self._rows(r).filter("NOT known").select(*KEY, "doc_id", "place")
+            rows = t if rows is None else rows.unionByName(t)
+        anchors = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+        # One document alone can't remove its own words.
+        anchors = anchors.filter((F.col("n") > 1) & (F.col("a") < F.col("b")) & (F.col("b") > above))
+        anchors = shared.store(anchors.select("anchor", (F.col("n") > self.unit.limit).alias("hot")), "substring-anchors")
+        repeats_of = self.settled.filter("NOT later").select("anchor", "doc_id", "place")
+        return rows.select("anchor", "doc_id", "place").unionByName(repeats_of).join(anchors, "anchor").select("anchor", "hot", "doc_id", "place")
 
     def compact(self) -> None:
         """One run for all: the first place of each group of windows."""
         rows = None
         for r in self.runs:
-            t = self.spark.table(r).filter(F.col("kind") == repeats.INDEX)
+            t = self._rows(r).filter("NOT known").drop("known")
             rows = t if rows is None else rows.unionByName(t)
-        first = rows.groupBy("anchor", "variant").agg(F.min(F.struct("doc_id", "place")).alias("f"))
-        merged = self._write(first.select(F.lit(repeats.INDEX).alias("kind"), "anchor", "variant", "f.doc_id", "f.place"))
+        first = rows.groupBy(*KEY).agg(F.min(F.struct("doc_id", "place")).alias("f"), F.sum("n").alias("n"))
+        merged = self._write(first.select(*KEY, "f.doc_id", "f.place", "n", F.lit(False).alias("known")))
         for r in self.runs:
             self._drop(r)
         self.runs = [merged]
@@ -124,8 +160,11 @@ def dedup(df: DataFrame, window: int = WINDOW, core: int = CORE, batches: int =
 
     Windows are judged on the input.  A null text has no words; shorter texts than the window keep all.  Rows without doc_id are
     left out; repeated rows count as one document and come out as often as they came in.  Columns that aren't named are left out;
-    those named must not be called n_words, n_removed or kept.
+    those named must not be called doc_id, text, n_words, n_removed or kept.  Texts that share a doc_id are judged one by one; what they have in
+    common stays, as no doc_id is smaller.
     """
+    if clash := {"n_words", "n_removed", "kept", "doc_id", "text"} & set(keep):
+        raise ValueError(f"keep can't name {sorted(clash)}")
     spark = df.sparkSession
     shared.prepare(spark)
     source = repeats.clean(df)
@@ -133,30 +172,33 @@ def dedup(df: DataFrame, window: int = WINDOW, core: int = CORE, batches: int =
     unit = index.unit if index else unit or repeats.WordRuns(window, core)
     given = index
     index = given or FingerprintIndex(spark, unit)
-    marks = None
-    for low, high in id_ranges(rows, batches):
-        found = index.add(rows.filter((F.col("doc_id") > low) & (F.col("doc_id") <= high)))
-        marks = found if marks is None else marks.unionByName(found)
-    if not given:
-        index.drop()
-    if marks is None:
-        marks = spark.createDataFrame([], repeats.ROWS)
     # The same projection for both joins with the texts, so that one shuffle serves both.
     whole = source.select("doc_id", "text", *keep)
     texts = whole if earlier is None else whole.select("doc_id", "text").unionByName(repeats.clean(earlier).select("doc_id", "text"))
-    found = repeats.by_document(repeats.spans(marks, texts, unit, solve_exactly(window, unit)))
+    index.settled = index.gone = None
+    ranges = id_ranges(rows, batches)
+    for low, high in ranges:
+        index.add(rows.filter((F.col("doc_id") > low) & (F.col("doc_id") <= high)))
+    if ranges:
+        found = repeats.pieces(index.open_groups(ranges[0][0]), texts, unit)
+        spans = index.gone.unionByName(repeats.whole(index.settled.filter("later"))).unionByName(repeats.solved(found, unit, solve_exactly(window)))
+    else:
+        spans = spark.createDataFrame([], repeats.SPANS)
+    if not given:
+        index.drop()
+    found = repeats.by_document(spans)
     schema = ", ".join(["doc_id long", *(f"`{c}` {whole.schema[c].dataType.simpleString()}" for c in keep), "n_words long, n_removed long, kept string"])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in frames for x in repeats.slices(b)):
             w = winnow.Words(repeats.utf8(batch.column("text")))
+            marks = repeats.mark_of(w.texts).tolist()
             size, removed, kept = [], [], []
-            for k, (first, n) in enumerate(zip(batch.column("_first"), batch.column("_n"), strict=True)):
+            for k, row in enumerate(zip(batch.column("_mark"), batch.column("_first"), batch.column("_n"), strict=True)):
                 total = int(w.last[k] - w.first[k])
-                gone = np.zeros(total, bool)
-                if first.is_valid:
-                    start = first.values.to_numpy()
-                    gone = winnow.covered(start, start + n.values.to_numpy() + window - 1, total)
+                gone = repeats.gone(total, marks[k], row, window)
+                if gone is None:
+                    gone = np.zeros(total, bool)
                 size.append(total)
                 removed.append(int(gone.sum()))
                 kept.append(w.texts[k] if as_it_was and not removed[-1] else w.kept(k, ~gone))

@@ -1,6 +1,7 @@
 """Exact removal of repeated byte strings, by suffix sorting.
 
-repeats settles what equal window groups settle.  What is left of an anchor is a handful of strings that agree around it and differ
+Groups of windows (see repeats) meet by anchor.  mark streams over sorted rows and settles the later occurrences of a whole group by the 128-bit
+digest of its bytes; it holds one anchor's first occurrences at most.  What is left of an anchor is a handful of strings that agree around it and differ
 further out.  They are split by the content that neighbouring windows have in common; strings that share such a content are sorted
 together by their suffixes (see suffix_array).  Equal windows are then neighbours, and the earliest of them stays.
 """
@@ -10,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import repeats, shared, winnow
+from . import repeats, shared
 from .suffix_array import suffix_array
 
 #: Bytes of a repeated string, and of the part that anchors it.
@@ -92,34 +94,94 @@ def solver(window: int, halvings: int = HALVINGS) -> repeats.Solver:
     return solve
 
 
+def mark(index: DataFrame, unit: repeats.Bytes) -> DataFrame:
+    """Settled (REMOVED) and open (OPEN, HOT) rows of INDEX rows; the rest needs no more."""
+
+    def settled(a: dict[str, np.ndarray], hot: bool, last: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """What is known of rows sorted by KEY, doc_id and place; of the others, those that stay open if last."""
+        n = len(a["anchor"])
+        new_anchor = np.ones(n, bool)
+        new_anchor[1:] = a["anchor"][1:] != a["anchor"][:-1]
+        new_variant = new_anchor.copy()
+        new_variant[1:] |= (a["variant"][1:] != a["variant"][:-1]) | (a["digest"][1:] != a["digest"][:-1])
+        first = np.maximum.accumulate(np.where(new_variant, np.arange(n), 0))
+        later = repeats.later_than(a["doc_id"], a["place"], first, unit.within)
+        frame = pd.DataFrame(a)
+        gone = frame[later].assign(kind=repeats.REMOVED)
+        if not last:
+            return gone, frame[~later]
+        group = np.cumsum(new_anchor) - 1
+        variants = np.bincount(group, new_variant)[group]
+        opened = ~later & (variants > 1)
+        kind = np.where(variants > unit.limit, repeats.HOT, repeats.OPEN)
+        if hot:
+            opened |= ~later & (group == 0)
+            kind = np.where(group == 0, repeats.HOT, kind)
+        return gone, frame.assign(kind=kind)[opened]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, hot = None, False
+        for df in frames:
+            if held is not None:
+                df = pd.concat([held, df], ignore_index=True)
+            if not len(df):
+                continue
+            a = {c: df[c].to_numpy(np.int64) for c in repeats.COLUMNS}
+            cut = int(np.searchsorted(a["anchor"], a["anchor"][-1]))
+            if cut:
+                yield from settled({c: x[:cut] for c, x in a.items()}, hot, True)
+                hot = False
+            held = df.iloc[cut:]
+            if len(held) > unit.held_rows:
+                gone, held = settled({c: x[cut:] for c, x in a.items()}, False, False)
+                yield gone
+                variants = held["variant"].to_numpy()
+                if len(np.unique(variants)) > unit.limit:
+                    hot, tail = True, variants == variants[-1]
+                    yield held[~tail].assign(kind=repeats.HOT)
+                    held = held[tail]
+        if held is not None and len(held):
+            yield from settled({c: held[c].to_numpy(np.int64) for c in repeats.COLUMNS}, hot, True)
+
+    def typed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in run(frames):
+            if len(df):
+                yield df.assign(kind=df["kind"].astype(np.int32))[repeats.COLUMNS]
+
+    return index.repartition(F.xxhash64("anchor")).sortWithinPartitions("anchor", "variant", "digest", "doc_id", "place").mapInPandas(typed, repeats.ROWS)
+
+
 def dedup(df: DataFrame, window: int = WINDOW, core: int = CORE, unit: repeats.Bytes | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) of df(doc_id, text, ...): without the bytes covered by a string of
     `window` bytes that also starts earlier (in a smaller doc_id, or before in the same document).
 
     Strings are judged on the input; overlaps count.  A null text is an empty one; texts shorter than the window keep all.  Rows
-    without doc_id are left out; fully repeated rows count as one document and come out as often as they came in.
-    Other columns are left out.
+    without doc_id are left out; fully repeated rows count as one document and come out as often as they came in.  Different texts of
+    one doc_id stand one after another, in the order of 15 bits of their CRC-32.  Other columns are left out.
     """
     spark = df.sparkSession
     shared.prepare(spark)
     rows = repeats.clean(df).select("doc_id", "text")
     unit = unit or repeats.Bytes(window, core)
-    marks = shared.store(repeats.mark(repeats.index_rows(rows, unit), unit), "suffix-marks")
-    found = repeats.by_document(repeats.spans(marks, rows, unit, solver(window)))
+    index = shared.store(repeats.index_rows(rows, unit), "suffix-rows")
+    marks = shared.store(mark(index.filter(F.col("kind") == repeats.INDEX), unit), "suffix-marks")
+    wanted = marks.filter(F.col("kind") >= repeats.OPEN).select("anchor", (F.col("kind") == repeats.HOT).alias("hot"), "doc_id", "place")
+    opened = repeats.pieces(wanted, rows, unit)
+    spans = repeats.removed(index).unionByName(repeats.whole(marks.filter(F.col("kind") == repeats.REMOVED))).unionByName(repeats.solved(opened, unit, solver(window)))
+    found = repeats.by_document(spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in repeats.slices(b)):
             size, removed, runs, kept = [], [], [], []
-            for text, first, n in zip(batch.column("text"), batch.column("_first"), batch.column("_n"), strict=True):
-                raw = text.as_buffer().to_pybytes()
+            texts = repeats.utf8(batch.column("text"))
+            for raw, mark, *row in zip(texts, repeats.mark_of(texts).tolist(), batch.column("_mark"), batch.column("_first"), batch.column("_n"), strict=True):
                 size.append(len(raw))
-                if not first.is_valid:
+                gone = repeats.gone(len(raw), mark, row, window)
+                if gone is None:
                     removed.append(0)
                     runs.append(0)
                     kept.append(raw)
                     continue
-                start = first.values.to_numpy()
-                gone = winnow.covered(start, start + n.values.to_numpy() + window - 1, len(raw))
                 removed.append(int(gone.sum()))
                 runs.append(int((np.diff(gone.view(np.int8), prepend=0) == 1).sum()))
                 kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())

@@ -30,7 +30,7 @@ BEGINNINGS = (4, 5, 6, 8)
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Text and 64-bit hash of every feature's occurrences."""
-    w = winnow.Words(texts, winnow.SIGNS, winnow.FOLD)
+    w = winnow.WordSpans(texts, winnow.SIGNS, winnow.FOLD)
     prefix = winnow.Prefix(winnow.byte_values(0x5851F42D4C957F2D)[w.raw], winnow.BASE_2)
     text = np.repeat(np.arange(len(texts)), w.last - w.first)
     found, where = [prefix.spans(w.begin, w.end)], [text]

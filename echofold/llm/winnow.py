@@ -3,16 +3,20 @@
 A text is a sequence of symbols (bytes or words).  Every window of `window` symbols has an anchor: the place, within the
 window, of the smallest hash of `core` consecutive symbols (the leftmost of equal ones).  The anchor depends on the window's content alone, so
 equal windows have equal anchors at equal offsets, wherever they stand.  Neighbouring windows that share an anchor form one
-group.  A group is known by its anchor's hash and by a second, independent hash of its whole content (its variant).  Two
-windows can only be equal if their groups have the same anchor hash; if the variants agree too, whole groups are equal, and
-only anchors with several variants need a look at their content.
+group.  A group is known by its anchor's hash and by a 128-bit BLAKE2b digest of its whole content (its variant).  Two
+windows can only be equal if their groups have the same anchor hash; if the digests agree too, whole groups are equal, and
+only anchors with several variants need a look at their content.  The anchor is only where groups meet: a collision of anchors costs
+a comparison, never a wrong answer.
 
 All arithmetic is on unsigned 64-bit integers, which numpy wraps.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
+from itertools import chain, compress
 
 import numpy as np
 
@@ -83,11 +87,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def groups(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, core: int) -> dict[str, np.ndarray]:
     """Groups of windows of texts that stand one after another: text, first (its first window, from the text's start), n (windows),
-    offset (of the anchor from there), anchor and variant (signed 64-bit).
+    offset (of the anchor from there), anchor (signed 64-bit).
 
     values: 64-bit values of the symbols; text k is values[starts[k]:ends[k]].
     """
-    empty = {k: np.zeros(0, np.int64) for k in ("text", "first", "n", "offset", "anchor", "variant")}
+    empty = {k: np.zeros(0, np.int64) for k in ("text", "first", "n", "offset", "anchor")}
     total = len(values)
     if total < window:
         return empty
@@ -113,15 +117,14 @@ def groups(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int
     stop = np.concatenate(([0], np.cumsum(valid)))
     edge = np.append(a[1:], n)
     size = stop[edge] - stop[a]
-    variant = Prefix(values, BASE_2).spans(a, a + size + window - 1) ^ mix((at[a] - a).astype(np.uint64) + np.uint64(1))
     text = np.searchsorted(starts[has], a, side="right") - 1
-    return {"text": np.flatnonzero(has)[text], "first": a - starts[has][text], "n": size, "offset": at[a] - a, "anchor": cores[at[a]].view(np.int64), "variant": variant.view(np.int64)}
+    return {"text": np.flatnonzero(has)[text], "first": a - starts[has][text], "n": size, "offset": at[a] - a, "anchor": cores[at[a]].view(np.int64)}
 
 
 def covered(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
     """Which of `size` places lie in any span [start, end)."""
     edges = np.zeros(size + 1, np.int64)
-    np.add.at(edges, starts, 1)
+    np.add.at(edges, np.minimum(starts, size), 1)
     np.add.at(edges, np.minimum(ends, size), -1)
     return np.cumsum(edges[:size]) > 0
 
@@ -137,11 +140,10 @@ SIGNS = byte_class(lambda b: b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F)
 FOLD = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 
 
-class Words:
-    """Words of texts given as UTF-8, side by side."""
+class WordSpans:
+    """Where words stand in texts given as UTF-8, side by side; for the features of classifiers."""
 
     def __init__(self, texts: list[bytes], blank: np.ndarray = WHITE, fold: np.ndarray | None = None):
-        self.texts = texts
         raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         self.raw = raw if fold is None else fold[raw]
         size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
@@ -152,13 +154,65 @@ class Words:
         self.first, self.last = cut[:-1], cut[1:]  # the words of each text
 
     def values(self) -> np.ndarray:
+        """A 64-bit value of each word, good enough to tell the words of one line apart."""
         return Prefix(byte_values(0x5851F42D4C957F2D)[self.raw], BASE_2).spans(self.begin, self.end)
 
+
+#: Separators of words as bytes.translate tables: bytes.split() then cuts at spaces.  PLAIN_WORDS is None, as split() alone knows
+#: the words [^ x20 x09-x0D]+.  FOLDED_WORDS: runs of digits, letters in lower case and everything beyond ASCII.
+PLAIN_WORDS = None
+FOLDED_WORDS = bytes(0x20 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+
+
+def digests(content: Iterable[bytes]) -> np.ndarray:
+    """128-bit BLAKE2b digests as rows of two signed 64-bit integers."""
+    return np.frombuffer(b"".join([blake2b(c, digest_size=16).digest() for c in content]), "<i8").reshape(-1, 2)
+
+
+class WordValues(dict):
+    """word -> 64 bits of its BLAKE2b digest; bounded, as it starts anew beyond TABLE_WORDS words or TABLE_BYTES bytes."""
+
+    TABLE_WORDS, TABLE_BYTES = 100_000, 1 << 22
+    size = 0
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.TABLE_WORDS or self.size >= self.TABLE_BYTES:
+            self.clear()
+            self.size = 0
+        value = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        self[word] = value
+        self.size += len(word)
+        return value
+
+
+VALUES = WordValues()
+
+
+class Words:
+    """Words of texts given as UTF-8, side by side: text k has words[first[k]:last[k]]."""
+
+    def __init__(self, texts: list[bytes], separators: bytes | None = PLAIN_WORDS):
+        self.texts = texts
+        lists = [t.split() for t in texts] if separators is None else [t.translate(separators).split() for t in texts]
+        self.words = list(chain.from_iterable(lists))
+        self.last = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
+        self.first = np.concatenate(([0], self.last[:-1])) if len(lists) else self.last
+
+    def values(self) -> np.ndarray:
+        """A 64-bit hash of each word."""
+        return np.fromiter(map(VALUES.__getitem__, self.words), np.uint64, len(self.words))
+
+    def content(self, first: np.ndarray, end: np.ndarray) -> Iterator[bytes]:
+        """Spans of words, joined by single spaces."""
+        line = b" ".join(self.words)
+        size = np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1
+        stop = np.cumsum(size)
+        begin = (stop - size)[first].tolist()
+        return (line[i:j] for i, j in zip(begin, (stop[end - 1] - 1).tolist(), strict=True))
+
     def kept(self, k: int, keep: np.ndarray) -> bytes:
         """The kept words of text k, joined by single spaces."""
-        a, o = self.first[k], self.offset[k]
-        t = self.texts[k]
-        return b" ".join(t[i:j] for i, j in zip((self.begin[a:][: len(keep)][keep] - o).tolist(), (self.end[a:][: len(keep)][keep] - o).tolist(), strict=True))
+        return b" ".join(compress(self.words[self.first[k] : self.last[k]], keep.tolist()))
 
 
 def blocks(starts: np.ndarray, ends: np.ndarray, window: int, limit: int = 1 << 19):
@@ -190,6 +244,7 @@ def all_groups(values, starts: np.ndarray, ends: np.ndarray, window: int, core:
         a, b = first[0], last[-1]
         g = groups(values[a:b] if isinstance(values, np.ndarray) else values(a, b), first - a, last - a, window, core)
         part = g["text"]
+        g["at"] = g["first"] + first[part]  # the first window among all symbols
         g["first"] = g["first"] + (first - starts[text])[part]
         g["text"] = text[part]
         yield g

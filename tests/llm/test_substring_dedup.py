@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from echofold.llm import repeats
+from echofold.llm import repeats, winnow
 from echofold.llm.substring_dedup import FingerprintIndex, dedup, digest
 
 SCHEMA = "doc_id long, text string, kept int, n_words string"
@@ -59,6 +59,42 @@ def test_matches_brute_force(spark, limits, batches):
     assert sum(w[1] for w in want.values()) > 500
 
 
+def thue_morse(n: int, swap: bool) -> str:
+    return "".join("ab"[(i.bit_count() + swap) % 2] for i in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Two long words with equal polynomials modulo 2 ** 64 are different words."""
+    text = lambda swap: " ".join([*(f"x{i}" for i in range(30)), thue_morse(2048, swap), *(f"y{i}" for i in range(30))])
+    rows = [(1, text(False), 0, ""), (2, text(True), 0, ""), (3, text(True), 0, "")]
+    assert sorted((r.doc_id, r.n_removed) for r in dedup(spark.createDataFrame(rows, SCHEMA)).collect()) == [(1, 0), (2, 0), (3, 61)]
+
+
+def test_texts_that_share_a_doc_id(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, passage, 0, ""), (2, "short", 0, ""), (2, "a few more words " + passage, 0, ""), (2, passage + " end", 0, ""), (3, "x " + passage, 0, "")]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in dedup(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 60, 0), (2, 1, 0), (2, 61, 60), (2, 64, 60), (3, 61, 60)]
+
+
+def test_names_that_clash(spark):
+    with pytest.raises(ValueError):
+        dedup(spark.createDataFrame([(1, "a", 0, "")], SCHEMA), keep=("n_words",))
+
+
+def test_words_beyond_one_block(spark, monkeypatch):
+    """Texts of more symbols than a block go in overlapping parts."""
+    blocks = winnow.blocks
+    monkeypatch.setattr(winnow, "blocks", lambda s, e, w, limit=0: blocks(s, e, w, 130))
+    docs = corpus(3)
+    unit = repeats.WordRuns(50, 25)
+    groups = {d: [(g["first"].tolist(), g["n"].tolist()) for g in unit.groups([t.encode()])] for d, t in docs.items()}
+    assert max(map(len, groups.values())) > 1
+    for d, t in docs.items():
+        seen = sorted(w for first, n in groups[d] for a, k in zip(first, n, strict=True) for w in range(a, a + k))
+        assert seen == list(range(max(0, len(t.split()) - 49)))
+
+
 def test_repeated_rows_and_missing_ids(spark):
     text = " ".join(map(str, range(60)))
     rows = [(1, text, 0, ""), (1, text, 0, ""), (None, text, 0, ""), (2, text + " end", 0, "")]
@@ -78,7 +114,7 @@ def test_kept_index_takes_later_documents(spark, monkeypatch):
     compact = FingerprintIndex.compact
     monkeypatch.setattr(FingerprintIndex, "compact", lambda self: (compacted.append(len(self.runs)), compact(self)))
     index = FingerprintIndex(spark, repeats.WordRuns(50, 25))
-    got = digest(dedup(frame(ids[:40]), index=index)).collect()
+    got = digest(dedup(frame(ids[:40]), batches=3, index=index)).collect()
     assert not compacted and len(index.runs) == 3  # nothing is merged that no batch will meet
     index = FingerprintIndex(spark, repeats.WordRuns(50, 25), runs=index.runs)
     got += digest(dedup(frame(ids[40:]), batches=1, index=index, earlier=frame(ids[:40]))).collect()

@@ -67,6 +67,12 @@ def test_matches_brute_force(spark, limits):
     assert sum(w[1] for w in want.values()) > 2000
 
 
+def test_texts_that_share_a_doc_id(spark):
+    rows = [(1, "q%03d" % 7 * 40, 0, ""), (1, "short", 0, ""), (2, "x" + "".join(map(str, range(100))), 0, ""), (2, "y" + "".join(map(str, range(100))), 0, "")]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in dedup(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 5, 0), (1, 160, 156), (2, 191, 0), (2, 191, 190)]
+
+
 def test_repeated_rows_and_missing_ids(spark):
     rows = [(1, "q" * 120 + "r", 0, ""), (1, "q" * 120 + "r", 0, ""), (None, "q" * 300, 0, ""), (2, "short", 0, "")]
     got = sorted((r.doc_id, r.n_removed) for r in dedup(spark.createDataFrame(rows, SCHEMA)).collect())
