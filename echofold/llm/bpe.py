@@ -6,10 +6,15 @@ ids depend on the word alone.  Words are encoded in batches (see token_counts.me
 A long unsplit word is cut into leaves that are encoded side by side; halves are then joined pairwise, level by level.  A join
 re-encodes a window around the cut, doubled until its outermost tokens are those that the halves had there.  Two token lists
 that agree on a token on each side of the cut have only pairs that stand side by side in some valid encoding, which makes the
-whole list the encoding of the whole word.
+whole list the encoding of the whole word.  A token spells its bytes, so a join needs the tokens alone, not the text.
 
-A long document is likewise cut into pieces, encoded as rows of their own on any executor; the halves of a word at a cut are
-put together again when the pieces meet.
+A long document is cut into pieces, encoded as rows of their own on any executor, a long word's parts among them.  Neighbours see the same few
+characters after the nominal cut and choose the same place in them: at white space, or within a run of letters, of digits or of plain signs.
+Where the pieces meet, only windows around the cuts are encoded again.  Where those characters offer no such place, the word at
+the cut is handed on as text.
+
+Words with characters from U+0250 on are normalized and cut into pre-tokens by the tokenizers library, whose Unicode tables may differ from
+Python's; they are encoded here like all others.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -34,14 +40,17 @@ from .token_counts import Merges, merge_batch
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: What str.split() takes for white space besides.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
-#: Characters from here on are left to the tokenizers library, whose Unicode tables may differ from Python's.
+#: Characters from here on are normalized by the tokenizers library, whose Unicode tables may differ from Python's.
 FIRST_OTHER = "\u0250"
 SPECIAL_MARK = "<|"
 LEAF_BYTES = 64
 #: Words of more bytes are encoded by tree concatenation.
 LONG_WORD_BYTES = 256
-#: Documents of more characters are encoded in pieces.
+#: Documents of more characters are encoded in pieces; the place of a cut is sought in so many characters.
 PIECE_CHARS = 1 << 16
+MARGIN = 256
+#: Kinds of cuts: at a space, within a run of one kind of characters, between pre-tokens of one word, elsewhere in a word.
+SPACE, INNER, BETWEEN, RAW = 0, 1, 2, 3
 #: Entries and characters of a worker's word table; it starts anew beyond either.
 TABLE_WORDS, TABLE_CHARS = 150_000, 1 << 22
 
@@ -65,10 +74,18 @@ class Vocabulary:
         self.tokens: list[str] = [""] * (max(tokens.values()) + 1)
         for token, i in tokens.items():
             self.tokens[i] = token
+        self.special_ids = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
         self.bytes_of = {ord(s): chr(b) for b, s in enumerate(symbols)}
         back = {s: b for b, s in enumerate(symbols)}
-        self.n_bytes = np.array([sum(c in back for c in t.removesuffix("</w>")) for t in self.tokens], np.int64)
+        self.spelling = [bytes(back[c] for c in t.removesuffix("</w>")) if all(c in back for c in t.removesuffix("</w>")) else b"" for t in self.tokens]
+        self.ends_word = np.array([t.endswith("</w>") for t in self.tokens])
+        # No special token reaches into a run that stands behind so many characters that begin none.
+        reach = max((len(t["content"]) for t in spec["added_tokens"]), default=1)
+        free = f"[^{''.join(sorted({regex.escape(t['content'][0]) for t in spec['added_tokens']}))}]{{{reach}}}"
+        run = r"[\p{L}--[\u1100-\u11ff\ua960-\ua97f\ud7b0-\ud7ffΣ]]{6}|[\-_=*.#~+/\\]{6}"
+        self.inner_cut = regex.compile(rf"(?V1)(?<={free})(?={run})")
+        self.digits_cut = regex.compile(rf"(?<={free}[0-9])(?=[0-9])")
         self.pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+|\n")
         self.splitter = regex.compile(f"[{SPACES}]+")
         self.other = regex.compile(f"[{FIRST_OTHER}-\U0010ffff]|{regex.escape(SPECIAL_MARK)}")
@@ -125,27 +142,51 @@ class Vocabulary:
             out[-1] = self.final[raw[-1]]
         return out
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word: one batch for all short pre-tokens, a tree for each long one."""
+    def cut_words(self, words: list[str]) -> tuple[list[bytes | int], list[int], bool]:
+        """Pre-tokens of all words, one after another, how many each has, and whether any is a special token, given by its id."""
         plain, others = self.known_to_python(words)
-        out: dict[str, bytes] = {}
-        if plain:
-            parts, counts = self.pre_tokens(plain)
-            size = np.fromiter(map(len, parts), np.int64, len(parts))
-            long = np.flatnonzero(size > LONG_WORD_BYTES)
-            ids, ends = self._encode_batch([p for p in parts if len(p) <= LONG_WORD_BYTES] if len(long) else parts)
-            if len(long):
-                short = iter(np.split(ids, ends[:-1])) if len(ends) else iter(())
-                pieces = [self.encode_long(p) if len(p) > LONG_WORD_BYTES else next(short) for p in parts]
-                ids, ends = np.concatenate(pieces), np.cumsum([len(x) for x in pieces])
-            raw = ids.astype("<u4").tobytes()
-            at = 4 * np.concatenate(([0], ends))
-            edge = at[np.concatenate(([0], np.cumsum(counts)))].tolist()
-            out = {w: raw[a:b] for w, a, b in zip(plain, edge, edge[1:], strict=False)}
-        if others:
-            found = self.library.encode_batch(others, add_special_tokens=False)
-            out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(others, found, strict=True))
-        return [out[w] for w in words]
+        own, n = self.pre_tokens(plain) if plain else ([], np.zeros(0, np.int64))
+        if not others:
+            return own, n.tolist(), False
+        normalize, cut = self.library.normalizer.normalize_str, self.library.pre_tokenizer.pre_tokenize_str
+        ends = iter(np.cumsum(n).tolist())
+        parts, counts, at, search = [], [], 0, self.other.search
+        for w in words:
+            before = len(parts)
+            if search(w):
+                end = 0
+                for m in [*self.special.finditer(w), None]:
+                    if between := w[end : m.start() if m else None]:
+                        parts += [p.translate(self.bytes_of).encode("latin-1") for p, _ in cut(normalize(between))]
+                    if m:
+                        parts.append(self.special_ids[m[0]])
+                        end = m.end()
+            else:
+                stop = next(ends)
+                parts += own[at:stop]
+                at = stop
+            counts.append(len(parts) - before)
+        return parts, counts, True
+
+    def encode_parts(self, parts: list[bytes | int]) -> list[np.ndarray]:
+        """Ids of each pre-token: one batch for all short ones, a tree for each long one."""
+        short = [p for p in parts if not isinstance(p, int) and len(p) <= LONG_WORD_BYTES]
+        ids, ends = self._encode_batch(short)
+        found = iter(np.split(ids, ends[:-1])) if len(ends) else iter(())
+        return [np.array([p], np.int32) if isinstance(p, int) else next(found) if len(p) <= LONG_WORD_BYTES else self.encode_long(p) for p in parts]
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word."""
+        parts, counts, mixed = self.cut_words(words)
+        if mixed or max(map(len, parts), default=0) > LONG_WORD_BYTES:
+            pieces = self.encode_parts(parts)
+            ids, ends = (np.concatenate(pieces), np.cumsum([len(x) for x in pieces])) if pieces else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        else:
+            ids, ends = self._encode_batch(parts)
+        raw = ids.astype("<u4").tobytes()
+        at = 4 * np.concatenate(([0], ends))
+        edge = at[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))].tolist()
+        return [raw[a:b] for a, b in zip(edge, edge[1:], strict=False)]
 
     def _encode_batch(self, pieces: list[bytes], final: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces one after another, and where each piece's end."""
@@ -158,33 +199,35 @@ class Vocabulary:
         sym[last] = self.final[raw[last]]
         return merge_batch(self.merges, sym, ends)
 
-    def encode_long(self, piece: bytes) -> np.ndarray:
-        """Tree concatenation of a pre-token's leaves."""
+    def encode_long(self, piece: bytes, ends: bool = True) -> np.ndarray:
+        """Tree concatenation of a pre-token's leaves; without ends, the pre-token goes on behind the piece."""
         leaves = [piece[i : i + LEAF_BYTES] for i in range(0, len(piece), LEAF_BYTES)]
         final = np.zeros(len(leaves), bool)
-        final[-1] = True
-        ids, ends = self._encode_batch(leaves, final)
-        level = np.split(ids, ends[:-1])
-        places = [(i * LEAF_BYTES, min(len(piece), (i + 1) * LEAF_BYTES)) for i in range(len(leaves))]
+        final[-1] = ends
+        ids, stops = self._encode_batch(leaves, final)
+        level = np.split(ids, stops[:-1])
         while len(level) > 1:
-            joined, spans = [], []
-            for i in range(0, len(level) - 1, 2):
-                joined.append(self.join(piece, places[i], level[i], places[i + 1], level[i + 1]))
-                spans.append((places[i][0], places[i + 1][1]))
-            if len(level) % 2:
-                joined.append(level[-1])
-                spans.append(places[-1])
-            level, places = joined, spans
+            joined = [self.join(level[i], level[i + 1]) for i in range(0, len(level) - 1, 2)]
+            level = joined + level[len(level) - len(level) % 2 :]
         return level[0]
 
-    def join(self, piece: bytes, left_at: tuple[int, int], left: np.ndarray, right_at: tuple[int, int], right: np.ndarray) -> np.ndarray:
-        """The encoding of two neighbouring spans of piece: the window around the cut grows until both sides agree."""
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        """The symbols that tokens are made of."""
+        out = []
+        for i in ids.tolist():
+            raw = self.inner[np.frombuffer(self.spelling[i], np.uint8)]
+            if self.ends_word[i]:
+                raw[-1] = self.final[self.spelling[i][-1]]
+            out.append(raw)
+        return np.concatenate(out)
+
+    def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The encoding of two neighbouring parts of a pre-token: the window around the cut grows until both sides agree."""
         k = 2
         while True:
             a, b = min(k, len(left)), min(k, len(right))
-            start = left_at[1] - int(self.n_bytes[left[-a:]].sum())
-            end = right_at[0] + int(self.n_bytes[right[:b]].sum())
-            window, _ = merge_batch(self.merges, self.symbols(piece[start:end], end == len(piece)), np.array([end - start]))
+            sym = self.spell(np.concatenate((left[len(left) - a :], right[:b])))
+            window, _ = merge_batch(self.merges, sym, np.array([len(sym)]))
             if (a == len(left) or window[0] == left[-a]) and (b == len(right) or window[-1] == right[b - 1]):
                 return np.concatenate((left[: len(left) - a], window, right[b:]))
             k *= 2
@@ -268,43 +311,110 @@ def _encode_whole(path: str, decode: bool):
     return run
 
 
-def _encode_pieces(path: str):
-    """Of each piece: its words' ids, without the words that touch a cut; those are handed on as text."""
+def find_cut(v: Vocabulary, margin: str) -> tuple[int, int]:
+    """Where the characters after a nominal cut are cut, and the kind of cut: both neighbours find the same."""
+    found = [(m.start() + shift, kind) for r, shift, kind in ((v.splitter, 0, SPACE), (v.inner_cut, 4, INNER), (v.digits_cut, 0, BETWEEN)) if (m := r.search(margin))]
+    return min(found, default=(0, RAW))
+
+
+@dataclass
+class Fragment:
+    """Ids of a part of a text.  n_first and n_last are those of a first or last pre-token that is cut; one: it is a single pre-token cut on both sides."""
+
+    ids: np.ndarray
+    n_first: int = 0
+    n_last: int = 0
+    one: bool = False
+
+
+def encode_fragment(path: str, words: list[str], left: int, right: int) -> Fragment:
+    """Of words whose first begins at a cut of kind left and whose last ends at one of kind right."""
+    if len(words) > 1:
+        a, b = encode_fragment(path, words[:1], left, SPACE), encode_fragment(path, words[-1:], SPACE, right)
+        inner = encode_fragment(path, [" ".join(words[1:-1])], SPACE, SPACE)
+        return Fragment(np.concatenate((a.ids, inner.ids, b.ids)), a.n_first, b.n_last)
+    if not words or INNER not in (left, right):
+        return Fragment(np.frombuffer(encode_texts(path, ["".join(words)])[0], "<u4").astype(np.int32))
+    v = vocabulary(path)
+    parts, _, _ = v.cut_words(words)
+    ids = v.encode_parts(parts[:-1]) + ([v.encode_long(parts[-1], False)] if right == INNER else v.encode_parts(parts[-1:]))
+    return Fragment(np.concatenate(ids), len(ids[0]) if left == INNER else 0, len(ids[-1]) if right == INNER else 0, len(ids) == 1 and left == right == INNER)
+
+
+def _encode_pieces(path: str, piece_chars: int, margin: int):
+    """Of each piece: its words' ids.  Words that touch a cut of kind RAW are handed on as text: head is the first, tail the last; head without
+    tail is the piece's only word, or the end of one."""
+
+    def piece(v: Vocabulary, part: int, text: str) -> tuple:
+        a, left = find_cut(v, text[:margin]) if part else (0, SPACE)
+        b, right = find_cut(v, text[piece_chars:]) if len(text) > piece_chars else (0, SPACE)
+        own = text[a : piece_chars + b] if len(text) > piece_chars else text[a:]
+        words = [w for w in v.splitter.split(own) if w]
+        touches = bool(own) and not v.splitter.match(own[0]), bool(own) and not v.splitter.match(own[-1])
+        head = tail = None
+        if RAW in (left, right) and len(words) == 1 and all(touches):
+            head = words.pop()
+        else:
+            if left == RAW:
+                head = words.pop(0) if touches[0] else ""
+            if right == RAW:
+                tail = words.pop() if touches[1] else ""
+        f = encode_fragment(path, words, left, right)
+        return left, right, head, f.ids.astype("<u4").tobytes(), f.n_first, f.n_last, f.one, tail
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split = vocabulary(path).splitter
+        v = vocabulary(path)
         for df in frames:
-            heads, inner, tails = [], [], []
-            for t in df["text"]:
-                first, last = split.search(t), None
-                if first is None:  # one unsplit word runs through the whole piece
-                    heads.append(t)
-                    inner.append("")
-                    tails.append(None)
-                    continue
-                for last in split.finditer(t):  # noqa: B007
-                    pass
-                heads.append(t[: first.start()])
-                inner.append(t[first.end() : last.start()] if last.start() > first.end() else "")
-                tails.append(t[last.end() :])
-            yield pd.DataFrame({"digest": df["digest"], "part": df["part"], "head": heads, "ids": encode_texts(path, inner), "tail": tails})
+            rows = [(digest, part, *piece(v, part, text)) for digest, part, text in df[["digest", "part", "text"]].itertuples(index=False)]
+            if rows:
+                yield pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")])
 
     return run
 
 
+PIECES = "digest string, part int, left int, right int, head string, ids binary, n_first int, n_last int, one boolean, tail string"
+
+
 def _join_pieces(path: str, decode: bool):
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("part")
-        out, open_word = [], ""
-        for head, ids, tail in zip(df["head"], df["ids"], df["tail"], strict=True):
-            open_word += head
-            if tail is None:
+        v = vocabulary(path)
+        out: list[np.ndarray] = []
+        cut: np.ndarray | None = None  # ids of a pre-token that goes on in the next piece
+        text, text_left = None, SPACE  # a word at a RAW cut, and the kind of cut it begins at
+
+        def add(f: Fragment, left: int, right: int) -> None:
+            nonlocal cut
+            ids = f.ids
+            if left == INNER:
+                joined = v.join(cut, ids[: f.n_first])
+                if f.one:
+                    cut = joined
+                    return
+                out.append(joined)
+                ids = ids[f.n_first :]
+            cut = ids[len(ids) - f.n_last :] if right == INNER else None
+            out.append(ids[: len(ids) - f.n_last] if right == INNER else ids)
+
+        for _, _, left, right, head, raw, n_first, n_last, one, tail in df.sort_values("part").itertuples(index=False):
+            body = Fragment(np.frombuffer(raw, "<u4").astype(np.int32), n_first, n_last, one)
+            if head is not None and tail is None and not len(body.ids):
+                text, text_left = (text or "") + head, text_left if text is not None else left
+                if right != RAW:
+                    add(encode_fragment(path, [text] if text else [], text_left, right), text_left, right)
+                    text = None
                 continue
-            out += [*encode_texts(path, [open_word]), ids]
-            open_word = tail
-        out += encode_texts(path, [open_word])
-        ids = b"".join(out)
-        return pd.DataFrame({"digest": df["digest"].iloc[:1], "ids": [ids], "decoded": [vocabulary(path).decode(ids) if decode else None]})
+            if head is not None:
+                add(encode_fragment(path, [text + head] if text + head else [], text_left, SPACE), text_left, SPACE)
+                text = None
+                add(body, SPACE, right)
+            else:
+                add(body, left, right)
+            if tail is not None:
+                text, text_left = tail, SPACE
+        if text:
+            add(encode_fragment(path, [text], text_left, SPACE), text_left, SPACE)
+        ids = np.concatenate(out).astype("<u4").tobytes() if out else b""
+        return pd.DataFrame({"digest": df["digest"].iloc[:1], "ids": [ids], "decoded": [v.decode(ids) if decode else None]})
 
     return run
 
@@ -319,14 +429,15 @@ def encode(df: DataFrame, path: str, decode: bool = True, piece_chars: int = PIE
     columns are left out.
     """
     shared.prepare(df.sparkSession)
+    margin = min(MARGIN, piece_chars // 2)
     rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     whole = rows.filter(F.length("text") <= piece_chars).mapInArrow(_encode_whole(path, decode), SCHEMA)
     # Long texts are known by their digest: equal ones are encoded once, and rows find their ids by it whatever their doc_id.
     long = rows.filter(F.length("text") > piece_chars).withColumn("digest", F.sha2("text", 256))
     parts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / piece_chars).cast("int"))
     cut = long.select("digest", "text", F.explode(parts).alias("part"))
-    cut = cut.select("digest", "part", F.substring("text", F.col("part") * piece_chars + 1, F.lit(piece_chars)).alias("text"))
-    pieces = cut.dropDuplicates(["digest", "part"]).mapInPandas(_encode_pieces(path), "digest string, part int, head string, ids binary, tail string")
+    cut = cut.select("digest", "part", F.substring("text", F.col("part") * piece_chars + 1, F.lit(piece_chars + margin)).alias("text"))
+    pieces = cut.dropDuplicates(["digest", "part"]).mapInPandas(_encode_pieces(path, piece_chars, margin), PIECES)
     joined = pieces.groupBy("digest").applyInPandas(_join_pieces(path, decode), "digest string, ids binary, decoded string")
     joined = long.select("doc_id", "digest").join(joined, "digest").select("doc_id", "ids", "decoded")
     return whole.unionByName(joined).select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "decoded")

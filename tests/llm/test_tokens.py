@@ -42,7 +42,43 @@ def test_texts_encode_as_the_library_does(library):
 @given(st.text(st.sampled_from("abenthio"), min_size=300, max_size=3000))
 def test_trees_equal_the_library(library, text):
     v = bpe.vocabulary(PATH)
-    assert v.encode_long(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids
+    ids = library.encode(text, add_special_tokens=False).ids
+    assert v.encode_long(text.encode()).tolist() == ids
+    # Any two parts of a word join into its encoding.
+    at = len(text) // 3
+    assert v.join(v.encode_long(text[:at].encode(), False), v.encode_long(text[at:].encode())).tolist() == ids
+
+
+def test_long_texts_in_pieces_equal_the_library(spark, library):
+    rnd = random.Random(9)
+    runs = [
+        lambda: "".join(rnd.choice("abcdefghiklmnorstuvw") for _ in range(rnd.randint(1, 900))),
+        lambda: "".join(rnd.choice("中文字符漢語學習") for _ in range(rnd.randint(1, 900))),
+        lambda: "".join(rnd.choice("приветмСИ") for _ in range(rnd.randint(1, 500))),
+        lambda: "".join(rnd.choice("0123456789") for _ in range(rnd.randint(1, 700))),
+        lambda: rnd.choice("-=*#") * rnd.randint(1, 800),
+        lambda: "".join(rnd.choice("😀e\u0301'²½ㅋ<|>") for _ in range(rnd.randint(1, 700))),  # no place to cut
+        lambda: "<|endoftext|>" * rnd.randint(1, 3),
+        lambda: "don't we'll 'remember'veryone they'redone ΟΔΟΣ " * rnd.randint(1, 9),
+        lambda: " \n\x85 ",
+    ]
+    texts = ["".join(rnd.choice(runs)() for _ in range(rnd.randint(2, 9))) for _ in range(60)]
+    texts += ["abcdefgh" * 900, "中文字" * 2000, "7" * 3000, "=" * 3000, "e\u0301" * 2000, "<|endoftext|>" * 300, "a" * 514 + "<|endoftext|>" + "b" * 700]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in bpe.encode(df, PATH, piece_chars=520).collect()}
+    assert [i for i in range(len(texts)) if got[i] != want[i]] == []
+
+
+def test_ids_of_every_script_without_the_library_merging(library, monkeypatch):
+    class Cutter:
+        normalizer, pre_tokenizer = library.normalizer, library.pre_tokenizer
+
+    texts = odd_texts() + ["Σίσυφος ΟΔΟΣ", "привет, МИР!", "中文字符" * 100, "a<|endoftext|><|startoftext|>b<|x", "İ́̈", "ㅋㅋㅋ 대박"]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(bpe.vocabulary(PATH), "_library", Cutter())
+    bpe._id_table.cache_clear()
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_texts(PATH, texts)] == want
 
 
 def test_table_of_documents(spark, library):
