@@ -4,8 +4,9 @@ Texts with the same shingles form one class, represented by its smallest doc_id.
 each bucket is known by its smallest member, its leader, and all representatives with a leader form one unit of work.  Within a unit
 MinHash values are compared a few at a time.  After n values with s matches the posterior of the similarity under a uniform prior is
 Beta(s + 1, n - s + 1); a pair whose probability of reaching the threshold falls below the tolerance is dropped.  The rest are
-verified on their shingle sets.  Large units are dealt out in pairs of blocks, so no task holds a unit and no row is a pair: a task
-returns, for each representative, how many documents it is linked to, and the root of what it is connected with.
+verified on their shingle sets.  Large units are dealt out in pairs of blocks, by number and by size, so no task holds a unit and no row is a pair: a task
+returns, for each representative, how many documents it is linked to, and the root of what it is connected with.  Shingles are 64-bit
+hashes made of 64-bit BLAKE2b digests of their words.
 
 A pair at the threshold meets in no bucket with probability (1 - 0.8 ** 5) ** 40 < 2e-7.
 """
@@ -19,6 +20,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,8 @@ BANDS, ROWS = 40, 5
 #: MinHash values that are compared between two looks at the posterior.
 STEP = 20
 TOLERANCE = 1e-9
-#: Representatives of a unit in one block.
-BLOCK = 256
+#: Representatives of a unit in one block, and the bytes of their texts.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 
 
 @lru_cache(maxsize=1)
@@ -68,7 +70,7 @@ def signatures(hashes: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketch(rows: DataFrame, size: int = SHINGLE, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
-    """doc_id, set_a, set_b (two hashes of the shingle set; null without words) and bands of rows(doc_id, text)."""
+    """doc_id, set_a, set_b (two hashes of the shingle set; null without words), bytes and bands of rows(doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for b in batches for x in repeats.slices(b)):
@@ -82,15 +84,17 @@ def sketch(rows: DataFrame, size: int = SHINGLE, bands: int = BANDS, per_band: i
             sig = signatures(hashes, counts, bands * per_band)
             keys = np.zeros((bands, sig.shape[1]), np.uint64)
             for b in range(bands):
+                keys[b] = b + 1  # keys of different bands are different
                 for r in range(per_band):
                     keys[b] = winnow.mix(keys[b] * np.uint64(31) + sig[b * per_band + r])
+            texts = pc.binary_length(part.column("text")).cast(pa.int64())
             offsets = np.concatenate(([0], np.cumsum(np.where(has, bands, 0)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), *(pa.array(x.view(np.int64), mask=~has) for x in sums), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.T.ravel().view(np.int64)))],
-                names=["doc_id", "set_a", "set_b", "bands"],
+                [part.column("doc_id"), *(pa.array(x.view(np.int64), mask=~has) for x in sums), texts, pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.T.ravel().view(np.int64)))],
+                names=["doc_id", "set_a", "set_b", "bytes", "bands"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, set_a long, set_b long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, set_a long, set_b long, bytes long, bands array<long>")
 
 
 def needed_matches(n: int, threshold: float, tolerance: float) -> int:
@@ -104,34 +108,13 @@ def needed_matches(n: int, threshold: float, tolerance: float) -> int:
 
 
 def leaders(reps: DataFrame) -> DataFrame:
-    """rep, leader: the smallest member of each bucket with several that rep is in.  reps: rep, bands."""
-    rows = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    """rep, leader: the smallest member of each bucket with several that rep is in.  reps: rep, bands.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        band = key = leader = None  # the bucket at hand
-        alone = False
-        for df in frames:
-            b, k, rep = (df[c].to_numpy() for c in ("band", "key", "rep"))
-            new = np.ones(len(df), bool)
-            new[1:] = (b[1:] != b[:-1]) | (k[1:] != k[:-1])
-            goes_on = len(df) > 0 and band is not None and b[0] == band and k[0] == key
-            new[:1] = not goes_on
-            at = np.maximum.accumulate(np.where(new, np.arange(len(df)), -1))
-            lead = np.where(at < 0, leader if goes_on else 0, rep[at])
-            size = np.bincount(np.cumsum(new), minlength=1)  # bucket 0 goes on from the frame before
-            several = size[np.cumsum(new)] > 1
-            several |= at < 0
-            if goes_on and alone:
-                yield pd.DataFrame({"rep": [leader], "leader": [leader]})
-            out = pd.DataFrame({"rep": rep[several], "leader": lead[several]}).drop_duplicates()
-            if len(out):
-                yield out
-            if len(df):
-                band, key, leader = b[-1], k[-1], lead[-1]
-                alone = bool(new[-1])
-        # A bucket's first row is told when its second comes.
-
-    return rows.repartition("band", "key").sortWithinPartitions("band", "key", "rep").mapInPandas(run, "rep long, leader long").distinct()
+    An aggregate, combined before its shuffle, and a join that Spark can split: a bucket may hold a third of all representatives.
+    """
+    rows = reps.select("rep", F.explode("bands").alias("key"))
+    buckets = rows.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader")
+    return rows.join(shared.store(buckets, "buckets"), "key").select("rep", "leader").distinct()
 
 
 def links(units: DataFrame, size: int, threshold: float, tolerance: float, n_hashes: int) -> DataFrame:
@@ -157,13 +140,15 @@ def links(units: DataFrame, size: int, threshold: float, tolerance: float, n_has
         sig = signatures(hashes, counts, n_hashes)
         keep = rows[:, None] < columns[None, :] if rows is columns else np.ones((len(rows), len(columns)), bool)
         # Pairs with a smaller leader in common belong to that leader's unit.
-        lower = [x.tolist() for x in df["lower"]]
-        if known := sorted({x for xs in lower for x in xs}):
-            at = {x: k for k, x in enumerate(known)}
-            has = np.zeros((n, len(known)), np.float32)
-            for k, xs in enumerate(lower):
-                has[k, [at[x] for x in xs]] = 1
-            keep &= has[rows] @ has[columns].T == 0
+        of_row, of_column = np.full(n, -1), np.full(n, -1)
+        of_row[rows], of_column[columns] = np.arange(len(rows)), np.arange(len(columns))
+        size_of = [len(x) for x in df["lower"]]
+        lower, member = np.concatenate(df["lower"].tolist()).astype(np.int64), np.repeat(np.arange(n), size_of)
+        order = np.argsort(lower, kind="stable")
+        for group in np.split(member[order], np.flatnonzero(np.diff(lower[order])) + 1):
+            x, y = of_row[group], of_column[group]
+            if len(group) > 1 and len(x := x[x >= 0]) and len(y := y[y >= 0]):
+                keep[np.ix_(x, y)] = False
         x, y = np.nonzero(keep)
         x, y = rows[x], columns[y]
         matches = np.zeros(len(x), np.int32)
@@ -214,17 +199,18 @@ def links(units: DataFrame, size: int, threshold: float, tolerance: float, n_has
     return units.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "rep").mapInPandas(run, "rep long, n_links long, root long")
 
 
-def join(df: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, per_band: int = ROWS, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+def join(df: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, per_band: int = ROWS, tolerance: float = TOLERANCE, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, class_id, n_links of every row of df(doc_id, text, ...).
 
     Two documents are linked if the Jaccard similarity of their shingle sets is at least the threshold; n_links counts all other documents linked to
     one.  class_id is the smallest doc_id of those that links connect.  Texts without words (null and empty ones too) have no shingles and
-    are linked to nothing.  Rows without doc_id are left out; repeated rows count as one document and come out as often as they came in.
-    Other columns are left out.
+    are linked to nothing.  Rows without doc_id are left out; repeated rows count as one document and come out as often as they came in.  Of different
+    texts with one doc_id, that with the smallest hash counts for all.  Other columns are left out.
     """
     spark = df.sparkSession
     shared.prepare(spark)
-    rows = repeats.clean(df).select("doc_id", "text")
+    given = repeats.clean(df).select("doc_id", "text")
+    rows, several = shared.one_text(given)
     sketches = shared.store(sketch(rows, size, bands, per_band), "sketches")
     has = sketches.filter("set_a IS NOT NULL")
     # Stored, so that both sides of the join come by shuffles of their own: one with a hot class can then be split.
@@ -232,9 +218,10 @@ def join(df: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, bands
     classes = shared.store(classes, "classes")
     member = shared.store(has.select("doc_id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).select("doc_id", "rep", "copies"), "members")
     own = member.filter("doc_id = rep").select("rep", "copies").dropDuplicates(["rep"])
-    reps = own.join(has.select(F.col("doc_id").alias("rep"), "bands").dropDuplicates(["rep"]), "rep")
+    reps = own.join(has.select(F.col("doc_id").alias("rep"), "bytes", "bands").dropDuplicates(["rep"]), "rep")
     led = shared.store(leaders(reps.select("rep", "bands")), "leaders")
-    size_of = led.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    # By number and by size, of which the representatives of a unit have a share at most.
+    size_of = led.join(reps.select("rep", "bytes"), "rep").groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("bytes") / block_bytes)).cast("int").alias("blocks"))
     size_of = side(shared.store(size_of, "unit-sizes"), "leader", "blocks")
     mine = led.groupBy("rep").agg(F.collect_list("leader").alias("leaders")).join(own, "rep")
     # A unit's blocks: each member goes to the pairs (i, j), i <= j, that its block is in.
@@ -252,4 +239,17 @@ def join(df: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, bands
     known = degree.join(component, degree["rep"] == component["node"], "left").select(F.col("rep").alias("_r"), "links", "label")
     known = shared.store(known, "known")
     out = member.join(known, member["rep"] == known["_r"], "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return out.unionByName(sketches.filter("set_a IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    out = out.unionByName(sketches.filter("set_a IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    return given.select("doc_id").join(out.dropDuplicates(["doc_id"]), "doc_id") if several else out
+
+
+# Every pair of documents with a common shingle, then the closure of the links.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(list_slice(w, i, i + 4), ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE common * 10 >= 8 * (p.size + q.size - common)),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT doc_id, least(doc_id, coalesce((SELECT min(y) FROM r WHERE r.x = d.doc_id), doc_id)) AS class_id, (SELECT count(*) FROM l WHERE l.x = d.doc_id) AS n_links FROM d
+"""

@@ -94,5 +94,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_license_scan": licenses.oracle(),
         "op4_suffix_dedup": suffix_dedup.ORACLE,
         "op5_substring_dedup": substring_dedup.ORACLE,
+        "op8_ngram_join": ngram_join.ORACLE,
         "op9_decontaminate": decontaminate.ORACLE,
     }

@@ -21,11 +21,17 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+#: Stored tables of this process that nobody has deleted yet.
+STORED: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  A folder of our own only in a local session, where it is unset."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="echofold-")
@@ -34,7 +40,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/echofold-{name}-{uuid.uuid4().hex}"
+    STORED.append(f"{shared_dir(spark)}/echofold-{name}-{uuid.uuid4().hex}")
+    return STORED[-1]
+
+
+def sweep(spark: SparkSession, keep: DataFrame | None = None, since: int = 0) -> None:
+    """Delete the tables stored since then (a length of STORED), but those that keep reads itself.  Only for a caller whose results are written."""
+    used = {x.rpartition("/")[0].rpartition("/")[2] for x in keep.inputFiles()} if keep is not None else set()
+    for path in STORED[since:]:
+        if path.rpartition("/")[2] not in used:
+            delete(spark, path)
+            STORED.remove(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -47,11 +68,19 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 def drop_stored(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table made by store(), once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
     for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
         if "/echofold-" in folder:
-            p = jvm.org.apache.hadoop.fs.Path(folder)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            delete(spark, folder)
+
+
+def one_text(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """rows(doc_id, text) with one text for each doc_id, that of the smallest hash, and whether any doc_id had several.  Ids must not be null."""
+    own = F.xxhash64("text")
+    several = rows.groupBy("doc_id").agg(F.min(own).alias("_least"), F.max(own).alias("_most")).filter("_least <> _most")
+    several = store(several.select("doc_id", "_least"), "texts")
+    if several.isEmpty():
+        return rows, False
+    return rows.join(several, "doc_id", "left").filter(F.col("_least").isNull() | (own == F.col("_least"))).drop("_least"), True
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

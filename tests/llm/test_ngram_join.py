@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import Counter
@@ -71,5 +72,29 @@ def test_repeated_rows_and_missing_ids(spark):
     assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 3, 0)]
 
 
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Two long words with equal polynomials modulo 2 ** 64 are different words."""
+    odd = lambda swap: "".join("ab"[(i.bit_count() + swap) % 2] for i in range(1024))
+    rows = [(k, f"a b c d {odd(k)} e f g h", 0, "") for k in range(2)]
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in join(spark.createDataFrame(rows, SCHEMA)).collect()) == [(0, 0, 0), (1, 1, 0)]
+
+
+def test_texts_that_share_a_doc_id(spark):
+    rows = [(1, "a b c d e f", 0, ""), (1, "u v w x y z", 0, ""), (2, "a b c d e f", 0, ""), (3, "u v w x y z", 0, "")]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in join(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got in ([(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 3, 0)], [(1, 1, 1), (1, 1, 1), (2, 2, 0), (3, 1, 1)])
+
+
+def test_recall_on_the_test_tables(spark):
+    """Equal to brute force on every document of the smallest tables but one size."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("needs the test tables")
+    df = spark.read.parquet(path).select("doc_id", "text")
+    docs = {r.doc_id: r.text or "" for r in df.collect()}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in join(df).collect()}
+    assert got == brute(docs)
+
+
 def test_empty_table(spark):
     assert join(spark.createDataFrame([], SCHEMA)).collect() == []
