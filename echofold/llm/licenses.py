@@ -1,11 +1,11 @@
 """License scans in DataFrame functions alone.
 
 A document's words give one 64-bit hash for each shingle.  MinHash bands over overlapping windows of shingles retrieve candidates: a
-document is one if a band of any of its windows equals a band of any window of a template.  Templates of few shingles use windows
-of a single one, whose MinHash is the shingle itself, so no match is missed.  Longer templates use windows of WIDE shingles at
-every STRIDE-th place against the template's windows at every place: a copy of WIDE + STRIDE - 1 shingles in a row holds one of the
-template's windows whole and collides for certain; a window of similarity J collides with probability 1 - (1 - J) ** BANDS.
-Candidates are then verified: the share of a template's distinct shingles that the document holds, word for word.
+document is one if a band of any of its windows equals a band of any window of a template.  Windows are as wide as the template allows: of
+WIDE shingles at every STRIDE-th place of the document against every place of the template, where it has WIDE + STRIDE - 1 or more; of one
+shingle, whose MinHash is a bijection of its hash, where it has fewer.  A copy of WIDE + STRIDE - 1 shingles in a row holds one of the
+template's windows whole and collides for certain; so does any shingle of a short template; a wide window of similarity J collides with probability
+1 - (1 - J) ** BANDS.  Candidates are then verified: the share of a template's distinct shingles that the document holds, word for word.
 """
 
 from __future__ import annotations
@@ -31,6 +31,23 @@ TEMPLATES: list[tuple[str, str]] = [
     ("gpl-header", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("mpl-2.0-header", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
     ("bsd-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("bsd-2-clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""),
+    ("unlicense", """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."""),
     ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
 ]
 
@@ -48,12 +65,14 @@ def shingles(w: Column, size: int = SHINGLE) -> Column:
     return F.array_distinct(F.transform(places(w, size), lambda i: F.array_join(F.slice(w, i, F.lit(size)), " ")))
 
 
-def bands(h: Column, stride: int) -> Column:
-    """A key for each band of each window of WIDE shingles."""
-    at = F.when(F.size(h) >= WIDE, F.sequence(F.lit(1), F.size(h) - WIDE + 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+def bands(h: Column, width: int, stride: int) -> Column:
+    """A key for each band of each window of `width` shingles; of single shingles, all bands say the same, so there is one."""
+    if width == 1:
+        return F.transform(h, ordered_by(seeds()[0]))
+    at = F.when(F.size(h) >= width, F.sequence(F.lit(1), F.size(h) - width + 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
 
     def keys(i: Column) -> Column:
-        window = F.slice(h, i, F.lit(WIDE))
+        window = F.slice(h, i, F.lit(width))
         return F.array(*(F.array_min(F.transform(window, ordered_by(seed))) for seed in seeds()))
 
     return F.flatten(F.transform(at, keys))
@@ -68,6 +87,10 @@ def seeds() -> list[int]:
     return [((k * 0x9E3779B97F4A7C15) % (1 << 64)) - (1 << 63) for k in range(1, 2 * BANDS, 2)]
 
 
+def listed_sql(keys: set[int]) -> str:
+    return "_k IN (" + ", ".join(f"{k}L" if k > -(1 << 63) else "bigint('-9223372036854775808')" for k in sorted(keys)) + ")"
+
+
 def scan(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containment: int = CONTAINMENT) -> DataFrame:
     """doc_id, license, n_common, n_template: templates of which a document of df(doc_id, text, ...) holds at least `containment` tenths of the distinct shingles.
 
@@ -77,19 +100,19 @@ def scan(df: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containmen
     spark = df.sparkSession
     given = spark.createDataFrame(templates, "license string, text string").withColumn("w", words(F.col("text"))).filter(F.size("w") > 0)
     given = given.select("license", hashes(F.col("w")).alias("h"), shingles(F.col("w")).alias("s"))
-    short, wide = [], []
-    for r in given.select("license", "h", bands(F.col("h"), 1).alias("b")).collect():
-        if len(r.h) < WIDE + STRIDE - 1:
-            short += r.h
+    wanted: dict[int, set[int]] = {1: set(), WIDE: set()}
+    for r in given.select(F.size("h").alias("n"), bands(F.col("h"), 1, 1).alias("one"), bands(F.col("h"), WIDE, 1).alias("wide")).collect():  # a parameter's rows
+        if r.n < WIDE + STRIDE - 1:
+            wanted[1] |= set(r.one)
         else:
-            wide += r.b
+            wanted[WIDE] |= set(r.wide)
     rows = df.filter("doc_id IS NOT NULL").select("doc_id", once(words(F.col("text"))).alias("w"))
     rows = rows.select("doc_id", "w", once(hashes(F.col("w"))).alias("h"))
     hit = F.lit(False)
-    if short:
-        hit = hit | F.exists("h", lambda x: x.isin(short))
-    if wide:
-        hit = hit | F.exists(bands(F.col("h"), STRIDE), lambda x: x.isin(wide))
+    for width, stride in ((1, 1), (WIDE, STRIDE)):
+        if wanted[width]:
+            rows = rows.withColumn(f"_{width}", once(bands(F.col("h"), width, stride)))
+            hit = hit | F.expr(f"exists(_{width}, _k -> {listed_sql(wanted[width])})")
     found = rows.filter(hit).select("doc_id", F.explode(shingles(F.col("w"))).alias("shingle"))
     own = given.select("license", F.size("s").alias("n_template"), F.explode("s").alias("shingle"))
     both = found.join(side(own, "license", "shingle"), "shingle").groupBy("doc_id", "license", "n_template").agg(F.count_distinct("shingle").alias("n_common"))

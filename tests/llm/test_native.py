@@ -81,9 +81,45 @@ def test_empty_tables(spark):
 
 
 def test_proximity(spark):
-    df = spark.createDataFrame([(1, "red x x blue"), (2, "red x x x x blue"), (3, "blue red")], "doc_id long, text string")
-    index = D.build_index(df, spark.createDataFrame([("red",), ("blue",)], "term string"), 4)
-    assert sorted({r.doc_id for r in D.proximity(index, ["red", "blue"], 4).collect()}) == [1, 3]
+    words_of = lambda *rest: " ".join(rest)
+    filler = [f"w{i}" for i in range(11)]
+    item = words_of("red", *filler, "blue")
+    docs = [(1, item), (2, words_of("blue", *filler, "x", "red")), (3, words_of("red", *["x"] * 30, *filler, "blue")), (4, words_of(*filler)), (5, words_of("red", "x", *filler, "x", "blue")), (6, words_of(*filler, "far " * 40, *filler))]
+    out = D.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, item + " x")], "item_id long, text string"))
+    got = {r.doc_id: (r.n_items, r.n_near) for r in out.collect()}
+    # Blue and red are the rarest of the first window: 3 has them too far apart, but the second item's other window without its last word.
+    assert got[1] == (2, 2) and got[5] == (0, 2) and got[3] == (0, 1) and got[4] == got[6] == (0, 0)
+
+
+def test_texts_that_share_a_doc_id(spark):
+    item = "a b c d e f g h i j k l m"
+    docs = [(1, item), (1, "other words"), (1, item), (None, item), (None, "x"), (2, "p " + item)]
+    out = D.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    got = sorted(((r.doc_id, r.n_words, r.n_hit) for r in out.collect()), key=repr)
+    assert [x for x in got if x[0] != 1] == [(2, 14, 13), (None, 1, 0), (None, 13, 0)]
+    assert len({h for d, _, h in got if d == 1}) == 1 and [n for d, n, _ in got if d == 1] == [13, 13, 2]
+
+
+def test_licenses_of_edited_copies(spark):
+    """Whole texts with a word changed here and there: found by the bands whenever eight tenths of the shingles are left."""
+    rnd = random.Random(3)
+    rows, want = [], set()
+    for name, text in licenses.TEMPLATES:
+        for k in range(30):
+            w = text.split()
+            for _ in range(rnd.randint(0, max(1, len(w) // 25))):
+                w[rnd.randrange(len(w))] = rnd.choice(["changed", "other", "x"])
+            copy = " ".join(["word"] * rnd.randint(0, 40) + w + ["tail"] * rnd.randint(0, 9))
+            rows.append((len(rows), copy))
+            for other, template in licenses.TEMPLATES:
+                own, there = words(template), words(copy)
+                have = {tuple(there[i : i + 5]) for i in range(max(1, len(there) - 4))}
+                need = {tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))}
+                if len(have & need) * 10 >= len(need) * 8:
+                    want.add((rows[-1][0], other))
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {(r.doc_id, r.license) for r in out.collect()} == want
+    assert len({other for _, other in want}) == len(licenses.TEMPLATES) and len(want) < 2 * len(rows)
 
 
 def test_licenses(spark):
