@@ -92,8 +92,15 @@ def feature(samples: np.ndarray) -> str:
     return f"{w}x{h};mean={int(samples.sum(dtype=np.int64)) * 1000 // samples.size};hist=" + ",".join(map(str, bins.tolist()))
 
 
+MANIFEST = "_manifest"
+
+
 def write_archives(df: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """The texts of df(doc_id, text) as members of zip archives in a folder that all executors share."""
+    """The texts of df(doc_id, text) as members of zip archives in a folder that all executors share.
+
+    Each attempt of a task has archives of its own name; a list of those that the successful attempts have written comes last, and only
+    listed archives are read.  So an attempt that is lost or repeated leaves nothing that counts, whatever the order of its rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -101,30 +108,32 @@ def write_archives(df: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTE
         fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
         task, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        stream = archive = None
-        part = members = written = 0
+        stream = archive = name = None
+        members = written = 0
+        names: list[str] = []
 
         def close() -> None:
             archive.close()
             stream.close()
-            fs.move(f"{root}/_{task}-{part}-{attempt}", f"{root}/part-{task:06d}-{part:04d}.zip")
+            names.append(name)
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), repeats.utf8(batch.column("text")), strict=True):
                 if archive is None:
-                    stream = fs.open_output_stream(f"{root}/_{task}-{part}-{attempt}")
+                    name = f"part-{task:06d}-{len(names):04d}-{attempt}.zip"
+                    stream = fs.open_output_stream(f"{root}/{name}")
                     archive = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED)
                 image = encode_png(payload(text))
                 archive.writestr(zipfile.ZipInfo(f"{members:08d}_{'' if doc is None else doc}_{len(text)}.png"), image)
                 members, written = members + 1, written + len(image)
                 if written >= archive_bytes:
                     close()
-                    archive, part, written = None, part + 1, 0
+                    archive, written = None, 0
         if archive is not None:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array([members], pa.int64())], names=["members"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["archive"])
 
-    df.mapInArrow(run, "members long").agg(F.sum("members")).collect()
+    df.mapInArrow(run, "archive string").write.parquet(f"{folder}/{MANIFEST}")
 
 
 @dataclass
@@ -143,9 +152,19 @@ class ArchiveReader(DataSourceReader):
 
         fs, root = file_system(self.folder)
         found = fs.get_file_info(arrow.FileSelector(root, allow_not_found=True))
-        sizes = sorted((f.path, f.size) for f in found if f.base_name.startswith("part-"))
+        listed = self.listed(fs, f"{root}/{MANIFEST}")
+        sizes = sorted((f.path, f.size) for f in found if f.base_name.startswith("part-") and (listed is None or f.base_name in listed))
         return [Range(p, a, min(size, a + self.range_bytes)) for p, size in sizes for a in range(0, size, self.range_bytes)] or [Range("", 0, 0)]
 
+    @staticmethod
+    def listed(fs, path: str) -> set[str] | None:
+        """The names in the manifest, one for each archive; None where there is no manifest, and all archives count."""
+        import pyarrow.parquet as pq
+        from pyarrow import fs as arrow
+
+        files = [f.path for f in fs.get_file_info(arrow.FileSelector(path, allow_not_found=True)) if f.base_name.startswith("part-")]
+        return {n for f in files for n in pq.read_table(f, filesystem=fs).column("archive").to_pylist()} if files else None
+
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.archive:
             return
