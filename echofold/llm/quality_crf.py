@@ -194,8 +194,11 @@ def score(df: DataFrame, chain: Chain, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns named in keep, and score of every row of df(doc_id, text, ...).
 
     Texts without a line that isn't blank (null and empty ones too) get the training fold's share of good documents.  Rows are
-    scored one by one, so repeated rows give repeated results; columns that aren't named are left out.
+    scored one by one, so repeated rows give repeated results; columns that aren't named are left out, and those named must not be called
+    doc_id, score or _scored.
     """
+    if clash := {"doc_id", "score", "_scored"} & set(keep):
+        raise ValueError(f"keep can't name {sorted(clash)}")
     shared.prepare(df.sparkSession)
     rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("_scored"), *keep)
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep)) + ", score double"

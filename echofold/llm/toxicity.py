@@ -99,6 +99,24 @@ def select(positive: list[bytes], unlabelled: list[bytes], prior: float, n: int
     return np.sort(known[best[gain[best] > 0]])
 
 
+def risk(w: np.ndarray, b: float, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """The logistic risk of positives, weighted by the prior, the corrected risk of negatives, and the direction of descent.
+
+    Positives hidden among the unlabelled are taken out of the negatives' risk: mean loss of xu as negatives less prior times that of xp as negatives.
+    Where that falls below zero, which no true risk does, it alone is pushed up again; else the gradient is that of the sum.
+    """
+    zp, zu = xp @ w + b, xu @ w + b
+    sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
+
+    def mean(x: np.ndarray, slope: np.ndarray) -> np.ndarray:
+        return np.append(x.T @ slope, slope.sum()) / len(x)
+
+    positive = prior * np.logaddexp(0, -zp).mean()
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    of_negatives = mean(xu, su) - prior * mean(xp, sp)
+    return positive, negative, prior * mean(xp, sp - 1) + of_negatives if negative >= 0 else -of_negatives
+
+
 def fit(positive: list[bytes], unlabelled: list[bytes], prior: float, rounds: int = 300, decay: float = 3e-4) -> Classifier:
     if not positive or not unlabelled:
         return Classifier(np.zeros(0, np.uint64), np.zeros(0), float(np.log(max(prior, 1e-3) / (1 - min(prior, 1 - 1e-3)))))
@@ -107,17 +125,8 @@ def fit(positive: list[bytes], unlabelled: list[bytes], prior: float, rounds: in
     xu = presence(unlabelled, known)
     w, b = np.zeros(len(known)), -2.0
     state = [np.zeros(len(known) + 1), np.zeros(len(known) + 1)]
-
-    def with_bias(x: np.ndarray, slope: np.ndarray) -> np.ndarray:
-        return np.append(x.T @ slope, slope.sum()) / len(x)
-
     for t in range(1, rounds + 1):
-        zp, zu = xp @ w + b, xu @ w + b
-        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        on_negatives = with_bias(xu, su) - prior * with_bias(xp, sp)
-        gradient = prior * with_bias(xp, sp - 1) + on_negatives if negative >= 0 else -on_negatives
-        gradient = gradient + decay * np.append(w, 0)
+        gradient = risk(w, b, xp, xu, prior)[2] + decay * np.append(w, 0)
         state[0] = 0.9 * state[0] + 0.1 * gradient
         state[1] = 0.999 * state[1] + 0.001 * gradient**2
         step = 0.1 * (state[0] / (1 - 0.9**t)) / (np.sqrt(state[1] / (1 - 0.999**t)) + 1e-8)

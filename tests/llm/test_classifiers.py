@@ -106,3 +106,47 @@ def test_empty_tables(spark):
     for module, label in ((quality_crf, "quality"), (toxicity, "toxic")):
         model = module.train(docs, spark.createDataFrame([], f"doc_id long, {label} int"))
         assert module.score(docs, model).collect() == []
+
+
+def test_risk_and_its_gradient():
+    """Against the estimator written out, and finite differences of the part that is followed."""
+    rng = np.random.default_rng(2)
+    xp, xu = rng.integers(0, 2, (30, 4)).astype(float), rng.integers(0, 2, (80, 4)).astype(float)
+
+    def parts(v, prior):
+        loss = lambda z: np.log1p(np.exp(-z))
+        zp, zu = xp @ v[:-1] + v[-1], xu @ v[:-1] + v[-1]
+        return prior * loss(zp).mean(), loss(-zu).mean() - prior * loss(-zp).mean()
+
+    seen = set()
+    for prior in (0.05, 0.5, 0.95):
+        for scale in (0.3, 3):
+            v = rng.normal(0, scale, 5)
+            positive, negative, gradient = toxicity.risk(v[:-1], float(v[-1]), xp, xu, prior)
+            assert np.allclose([positive, negative], parts(v, prior))
+            followed = (lambda u, q=prior: sum(parts(u, q))) if negative >= 0 else (lambda u, q=prior: -parts(u, q)[1])
+            seen.add(negative >= 0)
+            steps = np.eye(5) * 1e-6
+            assert np.allclose(gradient, [(followed(v + e) - followed(v - e)) / 2e-6 for e in steps], atol=1e-5)
+    assert seen == {True, False}
+
+
+def test_document_quality_is_the_length_weighted_mean():
+    texts = [b"short\na much longer line of words here\n", b"", b"one"]
+    rng = np.random.default_rng(1)
+    chain = quality_crf.Chain(rng.normal(0, 1, (quality_crf.WIDTH, 2)), rng.normal(0, 1, (2, 2)), (3.0, -1.0), 0.25)
+    x, size, text = quality_crf.lines(texts)
+    good = chain.marginals(x, text)[:, quality_crf.GOOD]
+    first = (good[0] * size[0] + good[1] * size[1]) / (size[0] + size[1])
+    want = [1 / (1 + np.exp(-(3 * first - 1))), 0.25, 1 / (1 + np.exp(-(3 * good[2] - 1)))]
+    assert size.tolist() == [5, 32, 3] and np.allclose(chain.scores(texts), want)
+
+
+def test_repeated_and_conflicting_training_rows(spark):
+    from echofold.llm import training
+
+    docs = spark.createDataFrame([(d, f"text {d}") for d in range(40)] * 2 + [(5, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d in range(40)] + [(d, 1) for d in range(40)] + [(None, 1)], "doc_id long, quality int")
+    sample = training.labelled(docs, labels, "quality", 100)
+    assert set(sample["label"]) == {1}
+    assert sorted(sample["doc_id"]) == sorted([*set(sample["doc_id"]), *([5] if 5 in set(sample["doc_id"]) else [])])
