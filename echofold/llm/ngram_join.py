@@ -6,7 +6,7 @@ MinHash values are compared a few at a time.  After n values with s matches the
 Beta(s + 1, n - s + 1); a pair whose probability of reaching the threshold falls below the tolerance is dropped.  The rest are
 verified on their shingle sets.  Large units are dealt out in pairs of blocks, by number and by size, so no task holds a unit and no row is a pair: a task
 returns, for each representative, how many documents it is linked to, and the root of what it is connected with.  Shingles are 64-bit
-hashes made of 64-bit BLAKE2b digests of their words.
+hashes of the 64-bit hashes of their words (see winnow.word_hashes).
 
 A pair at the threshold meets in no bucket with probability (1 - 0.8 ** 5) ** 40 < 2e-7.
 """

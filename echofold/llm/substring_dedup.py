@@ -88,7 +88,8 @@ class FingerprintIndex:
             self.compact()
         index = shared.store(repeats.index_rows(rows, self.unit), "substring-rows")
         fresh = index.filter(F.col("kind") == repeats.INDEX).drop("kind")
-        firsts = fresh.groupBy(*KEY).agg(F.min(F.struct("doc_id", "place")).alias("f"), F.count("*").alias("n")).select(*KEY, "f.doc_id", "f.place", "n")
+        # Numbers alone, so that the aggregate hashes; any place in the first document will do.
+        firsts = fresh.groupBy(*KEY).agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place"), F.count("*").alias("n"))
         known = F.lit(False)
         for i, r in enumerate(self.runs):
             seen = self.spark.table(r).filter("NOT known").select(*KEY, F.lit(True).alias(f"_seen{i}"))
@@ -128,8 +129,8 @@ class FingerprintIndex:
         for r in self.runs:
             t = self._rows(r).filter("NOT known").drop("known")
             rows = t if rows is None else rows.unionByName(t)
-        first = rows.groupBy(*KEY).agg(F.min(F.struct("doc_id", "place")).alias("f"), F.sum("n").alias("n"))
-        merged = self._write(first.select(*KEY, "f.doc_id", "f.place", "n", F.lit(False).alias("known")))
+        first = rows.groupBy(*KEY).agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place"), F.sum("n").alias("n"))
+        merged = self._write(first.select(*KEY, "doc_id", "place", "n", F.lit(False).alias("known")))
         for r in self.runs:
             self._drop(r)
         self.runs = [merged]

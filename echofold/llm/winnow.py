@@ -169,50 +169,51 @@ def digests(content: Iterable[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([blake2b(c, digest_size=16).digest() for c in content]), "<i8").reshape(-1, 2)
 
 
-class WordValues(dict):
-    """word -> 64 bits of its BLAKE2b digest; bounded, as it starts anew beyond TABLE_WORDS words or TABLE_BYTES bytes."""
-
-    TABLE_WORDS, TABLE_BYTES = 100_000, 1 << 22
-    size = 0
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.TABLE_WORDS or self.size >= self.TABLE_BYTES:
-            self.clear()
-            self.size = 0
-        value = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        self[word] = value
-        self.size += len(word)
-        return value
-
-
-VALUES = WordValues()
+#: Longer words are hashed one by one.
+LONG_WORD = 64
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(line: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span: eight bytes at a time are mixed into what came before, so no algebra tells which spans collide."""
+    view = np.ndarray((len(line) + 1,), "<u8", line + bytes(8), strides=(1,))
+    size = end - begin
+    out = mix(size.astype(np.uint64) * np.uint64(BASE_1))
+    active = np.flatnonzero(size <= LONG_WORD)
+    at, left = begin[active], size[active]
+    while len(active):
+        out[active] = mix(out[active] * np.uint64(BASE_2) ^ (view[at] & MASKS[np.minimum(left, 8)]))
+        more = left > 8
+        active, at, left = active[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[k] = int.from_bytes(blake2b(line[begin[k] : end[k]], digest_size=8).digest(), "little")
+    return out
 
 
 class Words:
-    """Words of texts given as UTF-8, side by side: text k has words[first[k]:last[k]]."""
+    """Words of texts given as UTF-8, side by side: text k has the words first[k] to last[k] - 1 of all."""
 
     def __init__(self, texts: list[bytes], separators: bytes | None = PLAIN_WORDS):
         self.texts = texts
-        lists = [t.split() for t in texts] if separators is None else [t.translate(separators).split() for t in texts]
-        self.words = list(chain.from_iterable(lists))
-        self.last = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
-        self.first = np.concatenate(([0], self.last[:-1])) if len(lists) else self.last
+        self.lists = [t.split() for t in texts] if separators is None else [t.translate(separators).split() for t in texts]
+        self.last = np.cumsum(np.fromiter(map(len, self.lists), np.int64, len(self.lists)))
+        self.first = np.concatenate(([0], self.last[:-1])) if len(texts) else self.last
+        self.line = b" ".join(chain.from_iterable(self.lists))
+        spaces = np.flatnonzero(np.frombuffer(self.line, np.uint8) == 0x20)
+        n = int(self.last[-1]) if len(texts) else 0
+        self.begin, self.end = np.concatenate(([0], spaces + 1))[:n], np.concatenate((spaces, [len(self.line)]))[:n]
 
     def values(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        return np.fromiter(map(VALUES.__getitem__, self.words), np.uint64, len(self.words))
+        return word_hashes(self.line, self.begin, self.end)
 
     def content(self, first: np.ndarray, end: np.ndarray) -> Iterator[bytes]:
         """Spans of words, joined by single spaces."""
-        line = b" ".join(self.words)
-        size = np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1
-        stop = np.cumsum(size)
-        begin = (stop - size)[first].tolist()
-        return (line[i:j] for i, j in zip(begin, (stop[end - 1] - 1).tolist(), strict=True))
+        return (self.line[i:j] for i, j in zip(self.begin[first].tolist(), self.end[end - 1].tolist(), strict=True))
 
     def kept(self, k: int, keep: np.ndarray) -> bytes:
         """The kept words of text k, joined by single spaces."""
-        return b" ".join(compress(self.words[self.first[k] : self.last[k]], keep.tolist()))
+        return b" ".join(compress(self.lists[k], keep.tolist()))
 
 
 def blocks(starts: np.ndarray, ends: np.ndarray, window: int, limit: int = 1 << 19):
