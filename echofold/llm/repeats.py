@@ -5,8 +5,8 @@
 2. The operators find the first occurrence of each group and the anchors that have several (their own modules).
 3. pieces: the content of those groups, cut from the documents.
 4. solved: pieces meet by anchor and are compared exactly by the operator's own method.  An anchor with more than LIMIT variants
-   is narrowed first: its windows are halved by their place around the anchor, and each half goes by the content that all its
-   windows share.  Equal halves are settled by comparing their content, the others go on until they are few; so the same method
+   is narrowed first: its windows are cut into parts by their place around the anchor, and each part goes by the content that all its
+   windows share.  Equal parts are settled by comparing their content, the others go on until they are few; so the same method
    decides at every size and no task holds a hot anchor.
 
 Rows are (kind, anchor, variant, digest, doc_id, place); variant and digest are the 128 bits of the group's content.
@@ -30,7 +30,9 @@ from . import shared, winnow
 
 INDEX, REMOVED, OPEN, HOT = 0, 1, 2, 3
 #: Variants of one anchor that may meet in one task.
-LIMIT = 1024
+LIMIT = 256
+#: Into how many parts the windows of a hot anchor are cut at a time.
+PARTS = 4
 #: Rows of one anchor that a streaming pass holds before it settles those it can.
 HELD_ROWS = 100_000
 ROWS = "kind int, anchor long, variant long, digest long, doc_id long, place long"
@@ -266,15 +268,16 @@ def narrowed(hot: DataFrame, unit: Unit) -> tuple[DataFrame | None, DataFrame |
     window = unit.window
     span = window - unit.core
 
-    def halve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             found = []
             for key, low, high, doc, mark, first, off, piece in df.itertuples(index=False):
                 symbols = unit.symbols(piece)
-                mid = (low + high) // 2
-                for a, b in ((low, mid), (mid + 1, high)):
+                step = -((low - high - 1) // PARTS)
+                for a in range(low, high + 1, step):
+                    b = min(high, a + step - 1)
                     p, q = max(a, -off), min(b, len(symbols) - window - off)
-                    if a <= b and p <= q:
+                    if p <= q:
                         common = winnow.digests([b"%d %d " % (key, a) + unit.piece(symbols[b + off : a + off + window])])[0, 0]
                         found.append((int(common), a, b, doc, mark, first + p + off, -p, unit.piece(symbols[p + off : q + off + window])))
             if found:
@@ -285,15 +288,15 @@ def narrowed(hot: DataFrame, unit: Unit) -> tuple[DataFrame | None, DataFrame |
     hot_columns, out, cool = level.columns, None, None
     where = ["doc_id", "mark", "first"] if unit.within else ["doc_id"]
     while True:
-        level = shared.store(level.mapInPandas(halve, schema), "halves")
+        level = shared.store(level.mapInPandas(cut, schema), "parts")
         # Equal content at the same place around the anchor: all windows of the later ones are settled.
         same = ["key", "off", "piece"]
-        least = shared.store(level.groupBy(*same).agg(F.min(F.struct(*where)).alias("least")), "halves")
-        judged = shared.store(level.join(least, same).withColumn("later", F.struct(*where) > F.col("least")).drop("least"), "halves")
+        least = shared.store(level.groupBy(*same).agg(F.min(F.struct(*where)).alias("least")), "parts")
+        judged = shared.store(level.join(least, same).withColumn("later", F.struct(*where) > F.col("least")).drop("least"), "parts")
         size = F.octet_length("piece") if unit.within else F.size(F.split(F.col("piece").cast("string"), " "))
         later = judged.filter("later").select("doc_id", "mark", "first", (size - window + 1).cast("long").alias("n"))
         out = later if out is None else out.unionByName(later)
-        count = shared.store(least.groupBy("key").agg(F.count("*").alias("variants")).filter("variants > 1"), "halves")
+        count = shared.store(least.groupBy("key").agg(F.count("*").alias("variants")).filter("variants > 1"), "parts")
         level = judged.filter("NOT later").drop("later").join(count, "key")
         few = level.filter(F.col("variants") <= unit.limit).select("key", "doc_id", "mark", "first", "off", "piece")
         cool = few if cool is None else cool.unionByName(few)
