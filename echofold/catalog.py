@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import chat, comments, highlights
+from .plans import chat, comments, highlights, stories, texts
 
-ALL = {**comments.QUERIES, **chat.QUERIES, **highlights.QUERIES}
+ALL = {**comments.QUERIES, **chat.QUERIES, **highlights.QUERIES, **stories.QUERIES, **texts.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,6 +11,8 @@ from pyspark.sql.types import StringType
 
 #: White space as a text cleaner sees it, which neither \s nor its Unicode form matches in full.
 SPACE = r"[\s\u001c-\u001f\u0085\p{Z}]+"
+#: One character that isn't white space.
+NOT_SPACE = r"[^\s\u001c-\u001f\u0085\p{Z}]"
 NOT_WORD = r"[^\p{L}\p{N}_]+"
 DIGITS = r"^\p{Nd}+$"
 # What is decoded, in this order.
@@ -43,6 +45,16 @@ def once(value: Column) -> Column:
     return F.explode_outer(F.array(value))
 
 
+def strip(text: Column) -> Column:
+    """Without the white space around it."""
+    return F.regexp_replace(text, rf"^{SPACE}|{SPACE}\z", "")
+
+
+def has_text(text: Column) -> Column:
+    """Neither null nor blank, whatever white space a blank one is made of."""
+    return F.coalesce(text.rlike(NOT_SPACE), F.lit(False))
+
+
 def decode_entities(text: Column) -> Column:
     for a, b in ENTITIES:
         text = F.replace(text, F.lit(a), F.lit(b))
@@ -131,7 +143,7 @@ def caption(text: Column, limit: int = 45) -> Column:
 def clock(seconds: Column) -> Column:
     """HH:MM:SS, or MM:SS below an hour."""
     s = seconds.cast("long")
-    h, m, r = F.expr("0") + (s - s % 3600) / 3600, (s % 3600 - s % 60) / 60, s % 60
+    h, m, r = (s - s % 3600) / 3600, (s % 3600 - s % 60) / 60, s % 60
     return F.when(s >= 3600, F.format_string("%02d:%02d:%02d", h.cast("long"), m.cast("long"), r)).otherwise(F.format_string("%02d:%02d", m.cast("long"), r))
 
 
@@ -140,6 +152,50 @@ def minutes_clock(seconds: Column) -> Column:
     return F.format_string("%02d:%02d", ((s - s % 60) / 60).cast("long"), s % 60)
 
 
+def long_clock(value: Column) -> Column:
+    """H:MM:SS of a number given as text; --:-- for what is none."""
+    number = value.try_cast("double")
+    s = F.when(~F.isnan(number) & (F.abs(number) < 1e15), number.cast("long"))
+    text = F.format_string("%d:%02d:%02d", ((s - s % 3600) / 3600).cast("long"), ((s % 3600 - s % 60) / 60).cast("long"), s % 60)
+    return F.when(s.isNull(), "--:--").otherwise(text)
+
+
+def seconds(milliseconds: Column) -> Column:
+    return F.round(milliseconds / 1000.0, 3)
+
+
+def valid_seconds(value: Column) -> Column:
+    """A number of seconds given as text; null for blank, unreadable and negative ones."""
+    number = value.try_cast("double")
+    return F.when(~F.isnan(number) & (number >= 0), number)
+
+
+def or_dash(value: Column, fallback: str = "—") -> Column:
+    return F.coalesce(F.nullif(strip(value), F.lit("")), F.lit(fallback))
+
+
+def pretty(label: Column) -> Column:
+    return F.initcap(F.replace(label, F.lit("_"), F.lit(" ")))
+
+
+def preview(text: Column, limit: int) -> Column:
+    cut = F.concat(F.regexp_replace(F.left(text, F.lit(limit)), rf"{SPACE}\z", ""), F.lit("…"))
+    return F.when(F.length(text) > limit, cut).otherwise(text)
+
+
+def wrapped(text: Column, width: int = 55) -> Column:
+    """Lines of whole words; a word that is longer than a line leaves the line before it as it is, even an empty one."""
+    words = F.filter(F.split(text, SPACE), lambda w: w != "")
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("now"))
+
+    def add(a: Column, w: Column) -> Column:
+        full = F.length(a["now"]) + F.length(w) + 1 > width
+        longer = F.when(a["now"] == "", w).otherwise(F.concat(a["now"], F.lit(" "), w))
+        return F.struct(F.when(full, F.concat(a["lines"], F.array(a["now"]))).otherwise(a["lines"]).alias("lines"), F.when(full, w).otherwise(longer).alias("now"))
+
+    return F.aggregate(words, start, add, lambda a: F.when(a["now"] == "", a["lines"]).otherwise(F.concat(a["lines"], F.array(a["now"]))))
+
+
 def srt_clock(seconds: Column) -> Column:
     ms = F.round(seconds * 1000).cast("long")
     s = ((ms - ms % 1000) / 1000).cast("long")
@@ -165,6 +221,30 @@ def strip_suffix(name: Column, suffixes: Iterable[str]) -> Column:
     return F.when(F.length(bare) > 0, bare).otherwise(name)
 
 
+# A name and a form of address; with white space between as in captions; a surname alone, of one syllable.
+TITLED = r"([가-힣]{2,5})(프로님|선수님|형님|프로|선수|형|햄|님|코치|감독)"
+TITLED_SPACED = r"([가-힣]{2,5})\s*(프로님|선수님|형님|프로|선수|형|님|코치|감독)"
+TITLED_SHORT = r"([가-힣]{1})(프로님|선수님|프로|선수)"
+
+
+def titled(text: Column, pattern: str = TITLED) -> Column:
+    """Names with their form of address, without white space between, in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda t: F.regexp_replace(t, r"\s", ""))
+
+
+def is_noise(text: Column) -> Column:
+    """Blank, of three characters at most, or laughter or tears alone."""
+    t = strip(text)
+    return (F.length(t) <= 3) | t.rlike("^(ㅋ+|ㅎ+|[ㅠㅜ]+)$")
+
+
+def in_open_context(text: Column, token: Column, closed: str, before: int = 30, after: int = 40) -> Column:
+    """Whether the token occurs anywhere in text without the closed pattern around it."""
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - F.length(token) + 1)), lambda i: F.substring(text, i, F.length(token)) == token)
+    around = lambda i: F.substring(text, F.greatest(F.lit(1), i - before), i - 1 + after - F.greatest(F.lit(0), i - 1 - before))
+    return F.exists(places, lambda i: ~around(i).rlike(closed))
+
+
 def reaction_tokens(text: Column) -> Column:
     """Words as canonical reactions: runs of laughter and tears are one label each; filler and single characters go."""
 
@@ -177,7 +257,7 @@ def reaction_tokens(text: Column) -> Column:
             .otherwise(w)
         )
 
-    return F.array_compact(F.transform(F.split(F.trim(text), SPACE), label))
+    return F.array_compact(F.transform(F.split(strip(text), SPACE), label))
 
 
 def jaccard(a: Column, b: Column) -> Column:

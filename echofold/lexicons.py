@@ -59,9 +59,78 @@ EVENT_WORDS = "ob|아웃오브바운즈|뒷땅|뒤땅|탑볼|쏙땅|생크|버
 REACTIONS = {"웃음(ㅋ)": "웃음·재미", "웃음(ㅎ)": "웃음·가벼운", "안타까움(ㅠ)": "안타까움·슬픔", "대박": "감탄·대박", "역전": "역전 장면", "동타": "동타 장면", "역시": "기대 충족", "화이팅": "응원·격려", "진짜": "강조·감탄"}
 LOGISTICS = "내일 모레 언제 어디서 어디 몇시 예약 코스 볼스 볼스코어 라운드예약 내주 다음주 방문 연락 인스타 구독 멤버십 후원 슈퍼챗 채팅 댓글 유튜브 영상올려 편집 업로드 언제나와".split()
 BROADCAST = "OB ob 오비 아웃 버디 이글 알바 홀인원 파 보기 더블 트리플 동타 역전 연장 우승 퍼트 퍼터 드라이버 뒷땅 티샷 어프로치 그린 러프 페어웨이 18홀 17홀 16홀 15홀 최종홀 막홀 샷 나이스샷 나이스 장타 홀 라운드 스코어 언더 오버 해설 선수 경기".split()
+# Forms of a name that an alias may be known by; what a display name may end in.
+TITLE_FORMS = ["프로", "선수", "프로님", "선수님"]
+BASE_FORMS = ["프로", "선수", "프로님", "선수님", "형"]
+DISPLAY_ENDINGS = [" 프로", " 선수", " 코치", " 감독", "님"]
+# Words of chat and what event they stand for; events that one mention doesn't prove.
+EVENTS_OF = {
+    "OB": "OB",
+    "ob": "OB",
+    "오비": "OB",
+    "아웃": "OB",
+    "버디": "버디",
+    "이글": "이글",
+    "알바": "알바트로스",
+    "홀인원": "홀인원",
+    "파": "파",
+    "보기": "보기",
+    "더블": "더블보기",
+    "트리플": "트리플보기",
+    "동타": "동타(타이)",
+    "역전": "역전",
+    "연장": "연장전",
+    "우승": "우승",
+    "퍼트": "퍼트",
+    "퍼터": "퍼터",
+    "드라이버": "드라이버 샷",
+    "뒷땅": "뒷땅",
+    "티샷": "티샷",
+    "어프로치": "어프로치",
+    "그린": "그린",
+    "러프": "러프",
+    "페어웨이": "페어웨이",
+    "18홀": "18번홀",
+    "17홀": "17번홀",
+    "16홀": "16번홀",
+    "15홀": "15번홀",
+    "최종홀": "최종홀",
+    "막홀": "최종홀",
+    "샷": "샷",
+}
+SURE_EVENTS = ["우승", "홀인원", "연장전"]
+# An event that is wished for (group 1), and what around a word says that it isn't happening now.
+CHEER = r"(우승|역전)\s*(홧팅|화이팅|파이팅|응원|기원|힘내|바랍니다|하세요|해요|하길|하시길|되시길|기도|하자|바람|바라|가즈아|가자)"
+NOT_NOW = r"(해야|하면|했을\s*때|안\s+하|를\s*못|두\s+개|세\s+개|두\s+번|잖아요|잖습니다|때도|아냈고|았고\s)"
+# Words of commentary that excite, and tense ones; words of chat about a newcomer, of praise and of lasting interest.
+EXCITED = ["굉장히", "정말", "대단", "소름", "인상적", "대박", "놀랍", "완벽", "최고", "환상적", "역대급", "믿을", "어마어마"]
+TENSE = ["아슬", "위험", "아깝", "간신히", "겨우", "아 진짜", "불안"]
+NEWCOMER = ["다크호스", "몰랐", "누구", "처음", "신인", "신인왕", "루키"]
+PRAISE = ["ㄷ", "대박", "장타", "이글", "버디", "홀인원", "기대", "잘한다", "잘하네"]
+LASTING = ["앞으로", "기억", "기대되네", "계속", "주목", "팬"]
+# Words that count as reactions beside REACTIONS; kinds of reactions by mood.
+REACTION_WORDS = {"와아": "탄성·놀람", "와~": "탄성·놀람", "헐ㄷ": "충격·당황", "헐ㅋ": "충격·당황"}
+GOOD_REACTIONS = ["감탄·대박", "기대 충족", "응원·격려", "웃음·재미", "웃음·가벼운", "탄성·놀람", "역전 장면"]
+BAD_REACTIONS = ["안타까움·슬픔", "탄식·긴장"]
+TENSE_REACTIONS = ["충격·당황", "동타 장면"]
+# Roles of people who are no players.
+NOT_PLAYERS = ["channel_host", "channel_participant"]
+# What no name ends in, and compounds that look like names.
+NO_NAME_ENDINGS = ["는", "들", "의", "을", "며", "하는", "가는", "오는", "있는", "없는", "되는", "치는", "시키는", "잘하는", "추격하는", "따라가는", "완성시키는", "좋아하는", "세우는", "넘기기", "해본", "하본", "어본"]
+NO_NAMES = ["우승권", "선두권", "추격권", "장타", "선두", "넘길", "보인", "결국이", "보면이", "방송을", "클럽은", "위권을", "현두권", "명의"]
 SUFFIXES = ["프로님", "선수님", "형님", "프로", "선수", "햄", "형", "님"]
 
 # Lists that occur in the invented texts of the test tables, for queries whose results shouldn't be empty.
 SAMPLE_SENTIMENT = {"positive": ["best", "great", "good"], "negative": ["bad", "idiot", "trash"], "surprise_excitement": ["whoa", "tion of", "the in"], "cheering_support": ["go", "support"], "criticism": ["error", "er the", "ent"]}
 SAMPLE_CATEGORIES = {"dramatic": ["license"], "controversial": ["idiot", "moron", "trash"], "analytical": ["password", "| "], "funny": ["haha", "!!"], "critical": ["worst", "der "], "clutch_hype": ["best", "ble the", "great"], "emotional": ["les ", "clown"], "supportive": ["go", "con "]}
+SAMPLE_EVENTS = {"the": "article", "and": "joint", "und": "joint", "of": "genitive", "in": "place", "la": "feminine"}
+SAMPLE_SURE = ["genitive", "feminine"]
+SAMPLE_CHEER = r"(of|the)\s+(the|a|and)"
+SAMPLE_NOT_NOW = r"(tion|heit|der|was\s)"
+SAMPLE_TITLED = r"([a-z]{2,5})(tion|ing|er|eur)"
+SAMPLE_SUFFIXES = ["tion", "ing", "eur", "er"]
+SAMPLE_FORMS = ["er", "ing"]
+SAMPLE_BASE_FORMS = ["er", "ing", "eur"]
+SAMPLE_ROSTER = ["xther", "onth", "nthe", "theon", "zont", "heon", "keit", "arer"]
+SAMPLE_ALIASES = {"onther": "Onther A", "ather": "Ather B", "hea": "Heather", "onth": "Onth C", "anding": "Ander"}
 SAMPLE_ACTS = {"act_1_opening": ["licensed", "the is"], "act_2_buildup": ["lead", "par "], "act_3_turning": ["password", "turn"], "act_4_climax": ["idiot", "best"], "act_5_closing": ["fin ", "end"]}

@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def relevant(chat: DataFrame, kinds: list[str]) -> DataFrame:
     """Messages of some kinds with a time and a text that isn't blank."""
-    return chat.filter(F.col("kind").isin(kinds) & F.col("ts").isNotNull() & (F.trim("text") != ""))
+    return chat.filter(F.col("kind").isin(kinds) & F.col("ts").isNotNull() & T.has_text(F.col("text")))
 
 
 def density(chat: DataFrame, width: float = 120.0) -> DataFrame:
@@ -83,8 +85,10 @@ def sessions(rows: DataFrame, key: str, gap: float = 60.0) -> DataFrame:
 
 def session_clusters(rows: DataFrame, key: str, gap: float = 60.0) -> DataFrame:
     """key, session, n, first, last, anchor: the anchor is the element at n div 2."""
-    s = sessions(rows, key, gap).groupBy(key, "session").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.sort_array(F.collect_list("ts")).alias("all"))
-    return s.select(key, "session", "n", "first", "last", F.get("all", F.floor(F.col("n") / 2).cast("int")).alias("anchor"))
+    w = Window.partitionBy(key, "session")
+    rows = sessions(rows, key, gap).withColumn("_at", F.row_number().over(w.orderBy("ts", "row")) - 1).withColumn("_n", F.count("*").over(w))
+    middle = F.max(F.when(F.col("_at") == F.floor(F.col("_n") / 2), F.col("ts")))
+    return rows.groupBy(key, "session").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), middle.alias("anchor"))
 
 
 def attributed(clusters: DataFrame, chat: DataFrame, key: str, size: float, before: float = 10.0, after: float = 30.0) -> DataFrame:
@@ -110,13 +114,18 @@ def display_offsets(rows: DataFrame, key: str, start: str, interval: float, dura
 
 
 def visible_phases(rows: DataFrame, key: str, phases: int, most: int = 8) -> DataFrame:
-    """key, phase, shown: the last `most` rows of the first ceil((phase + 1) / phases * n)."""
-    all_rows = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ts", "row"))).alias("a"))
-    upto = lambda p: -F.floor(-(p + 1) * F.size("a") / phases).cast("int")
-    out = all_rows.select(key, "a", F.explode(F.sequence(F.lit(0), F.lit(phases - 1))).alias("phase"))
-    last = upto(F.col("phase"))
-    first = F.greatest(last - most, F.lit(0))
-    return out.select(key, "phase", F.transform(F.slice("a", first + 1, last - first), lambda x: x["row"]).alias("shown"))
+    """key, phase, shown: the last `most` rows of the first ceil((phase + 1) / phases * n).  Only rows that are shown are gathered."""
+    w = Window.partitionBy(key)
+    placed = rows.withColumn("_at", F.row_number().over(w.orderBy("ts", "row"))).withColumn("_n", F.count("*").over(w))
+    out = placed.withColumn("phase", F.explode(F.sequence(F.lit(0), F.lit(phases - 1))))
+    last = -F.floor(-(F.col("phase") + 1) * F.col("_n") / phases)
+    out = out.filter((F.col("_at") <= last) & (F.col("_at") > last - most))
+    return out.groupBy(key, "phase").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "row"))), lambda x: x["row"]).alias("shown"))
+
+
+def informative(rows: DataFrame) -> DataFrame:
+    """Messages that say something: see text.is_noise."""
+    return rows.filter(T.has_text(F.col("text")) & ~T.is_noise(F.col("text")))
 
 
 def recent_distinct(rows: DataFrame, key: str, last: int = 60, n: int = 5) -> DataFrame:
@@ -131,3 +140,28 @@ def first_distinct(rows: DataFrame, key: str, n: int = 5) -> DataFrame:
     """The first n different texts of each key."""
     first = rows.groupBy(key, "text").agg(F.min("row").alias("row"))
     return first.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("row"))).filter(F.col("rank") <= n)
+
+
+def in_time_order(rows: DataFrame) -> DataFrame:
+    """By time, rows without one last, ties by input order."""
+    return rows.orderBy(F.asc_nulls_last("ts"), "row")
+
+
+def running_counts(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, value, many, upto, total: how often each value occurs, and how many rows have it or a smaller one."""
+    counts = rows.groupBy(key, value).agg(F.count("*").alias("many"))
+    w = Window.partitionBy(key)
+    return counts.withColumn("upto", F.sum("many").over(w.orderBy(value))).withColumn("total", F.sum("many").over(w))
+
+
+def upper_medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, upper_median: the element at n div 2 of the sorted values, no mean of two; from counts, so no group is gathered."""
+    reached = running_counts(rows, key, value).filter(F.col("upto") > F.floor(F.col("total") / 2))
+    return reached.groupBy(key).agg(F.min(value).alias("upper_median"))
+
+
+def compared(rows: DataFrame, value: str) -> DataFrame:
+    """rows with low (at or below the upper median) and above_mean."""
+    one = rows.select(F.lit(1).alias("_g"), value)
+    stats = upper_medians(one, "_g", value).join(one.groupBy("_g").agg(F.avg(value).alias("_mean")), "_g")
+    return rows.crossJoin(F.broadcast(stats)).select(*rows.columns, (F.col(value) <= F.col("upper_median")).alias("low"), (F.col(value) > F.col("_mean")).alias("above_mean"))  # one row

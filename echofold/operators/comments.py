@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import phrases as P
 from ..functions import text as T
 
 
@@ -35,10 +36,13 @@ def kept_tokens(df: DataFrame, stop: list[str], *keep: str) -> DataFrame:
     return df.select(*keep, T.once(T.without_stopwords(T.tokens(F.col("text")), stop)).alias("tokens"))
 
 
-def phrase_counts(df: DataFrame, stop: list[str], size: int = 1) -> DataFrame:
-    """phrase, n: words, or pairs of neighbours once stopwords are gone."""
+def phrase_counts(df: DataFrame, stop: list[str], *sizes: int) -> DataFrame:
+    """type, phrase, n: words (size 1) and pairs of neighbours once stopwords are gone (size 2), from one pass over the texts."""
+    found = {1: ("unigram", lambda t: t), 2: ("bigram", T.bigrams)}
     rows = kept_tokens(df, stop)
-    return rows.select(F.explode_outer("tokens" if size == 1 else T.bigrams(F.col("tokens"))).alias("phrase")).filter("phrase IS NOT NULL").groupBy("phrase").agg(F.count("*").alias("n"))
+    typed = lambda name: lambda p: F.struct(F.lit(name).alias("type"), p.alias("phrase"))
+    both = F.concat(*(F.transform(make(F.col("tokens")), typed(name)) for name, make in (found[k] for k in sizes or (1, 2))))
+    return rows.select(F.explode_outer(both).alias("p")).select("p.*").filter("phrase IS NOT NULL").groupBy("type", "phrase").agg(F.count("*").alias("n"))
 
 
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -46,13 +50,19 @@ def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
 
 
 def top_phrases(df: DataFrame, stop: list[str], size: int = 1, n: int = 100) -> DataFrame:
-    return top(phrase_counts(df, stop, size), n, F.desc("n"), F.asc("phrase"))
+    return top(phrase_counts(df, stop, size).select("phrase", "n"), n, F.desc("n"), F.asc("phrase"))
+
+
+def top_of_both(df: DataFrame, stop: list[str], words: int, pairs: int) -> DataFrame:
+    """type, phrase, n: the most frequent words and pairs, from one pass over the texts; a group limit takes few rows from each partition."""
+    w = Window.partitionBy("type").orderBy(F.desc("n"), "phrase")
+    ranked = phrase_counts(df, stop).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max(words, pairs))
+    return ranked.filter(F.col("_r") <= F.when(F.col("type") == "bigram", pairs).otherwise(words)).drop("_r")
 
 
 def keyword_union(df: DataFrame, stop: list[str], n: int = 100) -> DataFrame:
     """The keyword table: words and pairs by count."""
-    words = top_phrases(df, stop, 1, n).withColumn("type", F.lit("unigram"))
-    return words.unionByName(top_phrases(df, stop, 2, n).withColumn("type", F.lit("bigram")))
+    return top_of_both(df, stop, n, n).select("phrase", "n", "type").orderBy(F.desc("n"), "type", "phrase")
 
 
 def label_rows(df: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
@@ -61,7 +71,8 @@ def label_rows(df: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
 
 
 def label_counts(df: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
-    return label_rows(df, lexicon).select(F.explode_outer("labels").alias("label")).filter("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n"))
+    """label, n, by count."""
+    return label_rows(df, lexicon).select(F.explode_outer("labels").alias("label")).filter("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label")
 
 
 def audience_profile(df: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
@@ -92,10 +103,10 @@ def entity_candidates(df: DataFrame, stop: list[str], n: int = 50, least: int =
 
 def top_topics(df: DataFrame, stop: list[str], least: int = 3, n: int = 25) -> DataFrame:
     """The most frequent pairs, and words that no such pair has."""
-    pairs = top_phrases(df, stop, 2, 20).filter(F.col("n") >= least).withColumn("type", F.lit("phrase"))
-    inside = pairs.select(F.explode(F.split("phrase", " ")).alias("phrase"))
-    words = top_phrases(df, stop, 1, 30).filter(F.col("n") >= least).join(inside, "phrase", "left_anti").withColumn("type", F.lit("word"))
-    return top(pairs.unionByName(words.select("phrase", "n", "type")), n, F.desc("n"), F.asc("type"), F.asc("phrase"))
+    rows = top_of_both(df, stop, 30, 20).filter(F.col("n") >= least).withColumn("type", F.when(F.col("type") == "bigram", "phrase").otherwise("word"))
+    inside = rows.select(F.explode(F.when(F.col("type") == "phrase", F.split("phrase", " "))).alias("_w")).distinct()
+    left = rows.join(inside, (F.col("type") == "word") & (F.col("phrase") == F.col("_w")), "left_anti")
+    return top(left.select("phrase", "n", "type"), n, F.desc("n"), F.asc("type"), F.asc("phrase"))
 
 
 def lift_themes(df: DataFrame, stop: list[str], liked: int = 10, n: int = 10) -> DataFrame:
@@ -131,3 +142,60 @@ def recommendation_rules(df: DataFrame, topics: DataFrame, entities: DataFrame,
         "clips": (F.col("n_topics") > 0) | (F.col("n_themes") > 0),
     }
     return facts.select(F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), v.alias("fires")) for k, v in rules.items()))).alias("r")).select("r.*")
+
+
+def at_least_liked(df: DataFrame, least: int) -> DataFrame:
+    return df.filter(F.col("like_count") >= least)
+
+
+def notable(entities: DataFrame, n: int = 20) -> DataFrame:
+    """The first names of entity_candidates."""
+    return top(entities, n, F.desc("n"), F.asc("word"))
+
+
+def highlight_signals(liked: DataFrame, n: int = 10) -> DataFrame:
+    """comment_id, author, preview, likes of the most liked."""
+    return top(liked, n, F.desc("like_count"), F.asc("comment_id")).select("comment_id", "author", F.left("text", F.lit(120)).alias("preview"), F.col("like_count").alias("likes"))
+
+
+def facts(df: DataFrame, topics: DataFrame, entities: DataFrame, themes: DataFrame, profile: DataFrame) -> DataFrame:
+    """One row: the statistics, and the phrases, names, themes and dominant label that rules look at, in order."""
+    ordered = lambda rows, name, *order: F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(name).alias("_x")))), lambda x: x["_x"])
+    return (
+        comment_stats(df)
+        .crossJoin(topics.agg(ordered(topics, "phrase", (-F.col("n")).alias("a"), F.col("type").alias("b")).alias("topics")))
+        .crossJoin(notable(entities).agg(ordered(entities, "word", (-F.col("n")).alias("a")).alias("entities")))
+        .crossJoin(themes.agg(ordered(themes, "phrase", (-F.col("he")).alias("a")).alias("themes")))
+        .crossJoin(profile.agg(F.max(F.when(F.col("dominant"), F.col("label"))).alias("mood")))
+    )  # one row each, of bounded lists
+
+
+def recommendations(stats: DataFrame) -> DataFrame:
+    """place, text: what the rules say of one row of facts; a single line where there is no comment."""
+    some = lambda c, n: F.array_join(F.slice(c, 1, n), ", ")
+    clips = F.when(F.size("themes") > 0, F.col("themes")).otherwise(F.col("topics"))
+    share = F.format_string("%.0f%%", 100.0 * F.col("total_replies") / F.greatest("total_all", F.lit(1)))
+    lines = [
+        F.when(F.size("topics") > 0, P.fill(P.RECOMMEND["topics"], topics=some("topics", 3))),
+        F.when(F.size("entities") > 0, P.fill(P.RECOMMEND["entities"], names=some("entities", 4))),
+        F.when(F.size("themes") > 0, P.fill(P.RECOMMEND["themes"], themes=some("themes", 4))),
+        F.create_map(*(F.lit(x) for kv in P.RECOMMEND_MOOD.items() for x in kv))[F.col("mood")],
+        F.when(F.col("total_replies") * 5 > F.greatest("total_all", F.lit(1)) * 2, P.fill(P.RECOMMEND["debate"], share=share)),
+        F.when((F.col("total_likes") < F.col("total_all")) & (F.col("total_all") > 50), F.lit(P.RECOMMEND["low_likes"])),
+        F.when(F.size("topics") >= 5, F.lit(P.RECOMMEND["recap"])),
+        F.when(F.size(clips) > 0, P.fill(P.RECOMMEND["clips"], topics=some(clips, 3))),
+    ]
+    said = F.when(F.col("total_all") == 0, F.array(F.lit(P.RECOMMEND["empty"]))).otherwise(F.array_compact(F.array(*lines)))
+    return stats.select(F.posexplode(said).alias("place", "text"))
+
+
+def marketing_angles(stats: DataFrame) -> DataFrame:
+    """place, text: angles by topic, name and mood; none where there is no comment."""
+    lines = [
+        F.when(F.size("topics") > 0, P.fill(P.ANGLES["topic"], topic=F.initcap(F.get("topics", F.lit(0))))),
+        F.when(F.size("entities") > 0, P.fill(P.ANGLES["name"], name=F.get("entities", F.lit(0)))),
+        F.when(F.col("mood").isin("cheering_support", "positive"), F.lit(P.ANGLES["goodwill"])),
+        F.when(F.col("mood") == "surprise_excitement", F.lit(P.ANGLES["excitement"])),
+        F.lit(P.ANGLES["copy"]),
+    ]
+    return stats.filter("total_all > 0").select(F.posexplode(F.array_compact(F.array(*lines))).alias("place", "text"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
+from .. import phrases as P
 from ..functions import text as T
 
 
@@ -16,10 +17,10 @@ def message_layer(text: Column, logistics: list[str] = L.LOGISTICS, broadcast: l
     """event, internal or mixed."""
     known = F.array(*(F.lit(x) for x in (reactions or list(L.REACTIONS))))
     lit = lambda words: F.array(*(F.lit(w) for w in words))
-    said = F.split(F.trim(text), T.SPACE)
+    said = F.split(T.strip(text), T.SPACE)
     tokens = T.reaction_tokens(text)
     return (
-        F.when(F.coalesce(F.trim(text), F.lit("")) == "", "mixed")
+        F.when(~T.has_text(text), "mixed")
         .when(text.rlike(r"@\S") | text.rlike(r"[가-힣]{2,5}(프로님?|선수님?|형님?|님)\s*.{0,30}[?？]"), "internal")
         .when(F.arrays_overlap(said, lit(logistics)) & ~F.arrays_overlap(said, lit(broadcast)), "internal")
         .when(F.arrays_overlap(said, lit(broadcast)), "event")
@@ -28,50 +29,120 @@ def message_layer(text: Column, logistics: list[str] = L.LOGISTICS, broadcast: l
     )
 
 
-def reaction_counts(df: DataFrame, reactions: dict[str, str] = L.REACTIONS) -> DataFrame:
-    """reaction, n over all messages."""
+def reaction_of(token: Column, reactions: dict[str, str] = L.REACTIONS) -> Column:
     table = F.create_map(*(F.lit(x) for kv in reactions.items() for x in kv))
-    return df.select(F.explode_outer(T.reaction_tokens(F.col("text"))).alias("t")).select(table[F.col("t")].alias("reaction")).filter("reaction IS NOT NULL").groupBy("reaction").agg(F.count("*").alias("n"))
+    return table[token]
 
 
-def resolve(tokens: DataFrame, roster: DataFrame, aliases: DataFrame, suffixes: list[str] = L.SUFFIXES) -> DataFrame:
-    """token, name, level for each distinct token; null if nothing fits.
+def reaction_counts(df: DataFrame, *keys: str, reactions: dict[str, str] = L.REACTIONS, more: dict[str, str] = L.REACTION_WORDS) -> DataFrame:
+    """keys, reaction, n, by count: the kinds of reactions over all messages.  more: words that count beside the reactions."""
+    rows = df.select(*keys, F.explode_outer(T.reaction_tokens(F.col("text"))).alias("t"))
+    rows = rows.select(*keys, reaction_of(F.col("t"), reactions | more).alias("reaction")).filter("reaction IS NOT NULL")
+    return rows.groupBy(*keys, "reaction").agg(F.count("*").alias("n"))
 
-    1 alias, 2 roster, 3 alias without a form of address, 4 roster without one, 5 the only roster name that ends with the token.
-    Level 7 (fuzzy) is resolve_fuzzy, for what is left.  With an empty roster, levels 2, 4 and 5 find nothing.
+
+def canonical_names(roster: DataFrame, aliases: DataFrame, forms: list[str] = L.TITLE_FORMS) -> DataFrame:
+    """name, canonical: what an alias says of the name or, in this order, of one of its forms; else the name."""
+    names = roster.select("name").distinct()
+    shapes = names.select("name", F.posexplode(F.array(*(F.concat("name", F.lit(f)) for f in ["", *forms]))).alias("at", "alias"))
+    known = shapes.join(aliases.select("alias", "canonical"), "alias").groupBy("name").agg(F.min_by("canonical", "at").alias("canonical"))
+    return names.join(known, "name", "left").select("name", F.coalesce("canonical", "name").alias("canonical"))
+
+
+def given_names(names: DataFrame) -> DataFrame:
+    """given, name, canonical, n: the last two and three characters of longer names, digits at the end apart; n names share them."""
+    bare = F.regexp_replace("name", "[0-9]+$", "")
+    rows = names.select("name", "canonical", bare.alias("_b"), F.explode(F.array(F.lit(2), F.lit(3))).alias("_k")).filter(F.length("_b") > F.col("_k"))
+    return rows.select(F.right("_b", F.col("_k")).alias("given"), "name", "canonical").withColumn("n", F.count("*").over(Window.partitionBy("given")))
+
+
+def resolve(tokens: DataFrame, roster: DataFrame, aliases: DataFrame, suffixes: list[str] = L.SUFFIXES, forms: list[str] = L.TITLE_FORMS, base_forms: list[str] = L.BASE_FORMS, least: float | None = None) -> DataFrame:
+    """token, name, level for each distinct token of two characters or more; null if nothing fits.
+
+    1 alias, 2 roster, 3 alias without a form of address (or with another one), 4 roster without one, 5 the only roster name that ends with what is left,
+    6 the only one that ends with the token, 7, with a least similarity, the most similar roster name: see resolve_fuzzy.  Names come as
+    their alias says.  With an empty roster, aliases of level 1 alone count.  All levels are keys of one join.
     """
-    t = tokens.select("token").distinct().withColumn("bare", T.strip_suffix(F.col("token"), suffixes))
-    alias, names = aliases.select("alias", "canonical"), roster.select("name").distinct()
-    given = names.filter(F.length("name") >= 3).select("name", F.expr("substring(name, 2)").alias("given"))
-    given = given.groupBy("given").agg(F.count("*").alias("c"), F.first("name").alias("by_given")).filter("c = 1").drop("c")
-    rows = t.join(alias.select(F.col("alias").alias("token"), F.col("canonical").alias("l1")), "token", "left")
-    rows = rows.join(names.select(F.col("name").alias("token"), F.col("name").alias("l2")), "token", "left")
-    rows = rows.join(alias.select(F.col("alias").alias("bare"), F.col("canonical").alias("l3")), "bare", "left")
-    rows = rows.join(names.select(F.col("name").alias("bare"), F.col("name").alias("l4")), "bare", "left")
-    rows = rows.join(given.select(F.col("given").alias("bare"), F.col("by_given").alias("l5")), "bare", "left")
-    level = F.coalesce(*(F.when(F.col(f"l{k}").isNotNull(), k) for k in range(1, 6)))
-    return rows.select("token", F.coalesce("l1", "l2", "l3", "l4", "l5").alias("name"), level.alias("level"))
-
-
-def resolve_fuzzy(tokens: DataFrame, roster: DataFrame, least: float = 0.85) -> DataFrame:
-    """token, name: the most similar roster name of the same length and first character, by matching blocks.
-
-    Candidates meet on length and first character; the similarity runs on distinct tokens in Arrow batches.
+    t = tokens.select(T.strip(F.col("token")).alias("token")).filter(F.length("token") >= 2).distinct()
+    bare = T.strip_suffix(F.col("token"), suffixes)
+    t = t.withColumn("base", F.when((bare != F.col("token")) & (F.length(bare) >= 2), bare))
+    alias = aliases.select(F.lit("alias").alias("kind"), F.col("alias").alias("key"), F.col("canonical").alias("name"))
+    key = lambda level, kind, c: F.struct(F.lit(level).alias("level"), F.lit(kind).alias("kind"), c.alias("key"))
+    token, base = F.col("token"), F.col("base")
+    if roster.isEmpty():
+        lookup, keys = alias, [key(1, "alias", token)]
+    else:
+        names = canonical_names(roster, aliases, forms)
+        given = given_names(names).filter("n = 1")
+        lookup = alias.unionByName(names.select(F.lit("name").alias("kind"), F.col("name").alias("key"), F.col("canonical").alias("name")))
+        lookup = lookup.unionByName(given.select(F.lit("given").alias("kind"), F.col("given").alias("key"), F.col("canonical").alias("name")))
+        shapes = [key(3, "alias", F.concat(base, F.lit(f))) for f in ["", *base_forms]]
+        keys = [key(1, "alias", token), key(2, "name", token), *shapes, key(4, "name", base), key(5, "given", base), key(6, "given", token)]
+    wanted = t.select("token", F.posexplode(F.array(*keys)).alias("at", "k")).select("token", "at", "k.level", "k.kind", "k.key")
+    best = wanted.join(lookup, ["kind", "key"]).groupBy("token").agg(F.min(F.struct("at", "level", "name")).alias("m"))
+    out = t.join(best, "token", "left").select("token", "base", F.col("m.name").alias("name"), F.col("m.level").alias("level"))
+    if least is not None and not roster.isEmpty():
+        rest = out.filter("name IS NULL").select("token", F.coalesce("base", "token").alias("target"))
+        close = resolve_fuzzy(rest.select(F.col("target").alias("token")), roster, least).withColumnRenamed("token", "target").withColumnRenamed("name", "_close")
+        close = rest.join(close, "target").join(names.withColumnRenamed("name", "_close"), "_close").select("token", F.col("canonical").alias("_name"))
+        out = out.join(close, "token", "left").select("token", "base", F.coalesce("name", "_name").alias("name"), F.when(F.col("name").isNull() & F.col("_name").isNotNull(), 7).otherwise(F.col("level")).alias("level"))
+    return out.select("token", "name", "level")
+
+
+def resolve_fuzzy(tokens: DataFrame, roster: DataFrame, least: float = 0.85, slack: int = 0) -> DataFrame:
+    """token, name: the most similar roster name of the same first character and, within `slack`, the same length, by matching blocks.
+
+    Candidates meet on length and first character; the similarity runs on distinct tokens in Arrow batches.  Digits at the end of a name don't count
+    for its length.  Of equally similar names, the last in order.
     """
-    a = tokens.select("token").distinct().withColumn("_k", F.concat(F.length("token"), F.left("token", F.lit(1))))
-    b = roster.select("name").distinct().withColumn("_k", F.concat(F.length("name"), F.left("name", F.lit(1))))
+    first = lambda c: F.left(c, F.lit(1))
+    bare = F.length(F.regexp_replace("name", "[0-9]+$", "")) if not slack else F.length("name")
+    a = tokens.select("token").distinct().withColumn("_c", first("token")).withColumn("_n", F.explode(F.sequence(F.length("token") - slack, F.length("token") + slack)))
+    b = roster.select("name").distinct().withColumn("_c", first("name")).withColumn("_n", bare)
 
     @F.pandas_udf("double")
     def ratio(x: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         from difflib import SequenceMatcher
 
         for p, q in x:
-            yield pd.Series([SequenceMatcher(None, s, t).ratio() for s, t in zip(p, q, strict=True)], dtype="float64")
+            yield pd.Series([SequenceMatcher(None, t, s).ratio() for s, t in zip(p, q, strict=True)], dtype="float64")
 
-    rows = a.join(b, "_k").withColumn("r", ratio("token", "name")).filter(F.col("r") >= least)
+    rows = a.join(b, ["_c", "_n"]).withColumn("r", ratio("token", "name")).filter(F.col("r") >= least)
     return rows.groupBy("token").agg(F.max_by("name", F.struct("r", "name")).alias("name"))
 
 
+def corrected(tokens: DataFrame, roster: DataFrame, least: float = 0.75) -> DataFrame:
+    """token, name: a roster name as it is, else the most similar one of nearly the same length, else the token."""
+    known = roster.select(F.col("name").alias("token")).distinct()
+    rest = tokens.select("token").distinct().join(known, "token", "left_anti").filter(F.length("token") >= 2)
+    found = resolve_fuzzy(rest, roster, least, 1)
+    return tokens.select("token").distinct().join(found, "token", "left").select("token", F.coalesce("name", "token").alias("name"))
+
+
+def plausible(name: Column, roster: list[str] = [], endings: list[str] = L.NO_NAME_ENDINGS, others: list[str] = L.NO_NAMES) -> Column:  # noqa: B006
+    """Whether a word may be a person's name, by its ending; a roster name always is."""
+    ends = F.lit(False)
+    for e in endings:
+        ends = ends | F.endswith(name, F.lit(e))
+    return F.coalesce((F.length(name) >= 2) & (name.isin(list(roster)) | (~ends & ~name.isin(list(others)))), F.lit(False))
+
+
+def official(df: DataFrame, roster: DataFrame, column: str = "name", endings: list[str] = L.DISPLAY_ENDINGS) -> DataFrame:
+    """Rows whose name, without the first ending that fits, is on the roster; all rows where the roster is empty."""
+    if roster.isEmpty():
+        return df
+    bare = F.col(column)
+    for e in reversed(endings):
+        bare = F.when(F.endswith(F.col(column), F.lit(e)), F.expr(f"left(`{column}`, length(`{column}`) - {len(e)})")).otherwise(bare)
+    return df.withColumn("_bare", bare).join(roster.select(F.col("name").alias("_bare")).distinct(), "_bare", "left_semi").drop("_bare")
+
+
+def players_only(df: DataFrame, registry: DataFrame, column: str = "name", roles: list[str] = L.NOT_PLAYERS) -> DataFrame:
+    """Rows without the people whose role in the registry (name, role) isn't to play."""
+    others = registry.filter(F.col("role").isin(roles)).select(F.col("name").alias(column))
+    return df.join(others, column, "left_anti")
+
+
 def disambiguate(candidates: DataFrame, key: str) -> DataFrame:
     """key, name: 4 if resolved nearby, 2 for each bare and 1 for each full mention; accepted from 2 points, 2 ahead.  candidates: key, name, resolved, bare, full."""
     score = F.when(F.col("resolved"), 4).otherwise(0) + 2 * F.col("bare") + F.col("full")
@@ -80,23 +151,56 @@ def disambiguate(candidates: DataFrame, key: str) -> DataFrame:
     return rows.filter("_r = 1 AND score >= 2 AND score - _next >= 2").select(key, "name")
 
 
-def mentions(messages: DataFrame, roster: DataFrame, least: int = 3) -> DataFrame:
-    """row, name: whole roster names found as substrings.  Each distinct length is one pass over a message's substrings, so it is an equi-join."""
-    sizes = sorted(r[0] for r in roster.select(F.length("name")).distinct().collect() if r[0] >= least)  # a few numbers
-    if not sizes:
-        return messages.select("row", F.lit(None).cast("string").alias("name")).limit(0)
+def occurrences(text: Column, word: Column) -> Column:
+    """How often a word stands in a text, without overlaps."""
+    return F.coalesce(((F.length(text) - F.length(F.replace(text, word, F.lit("")))) / F.nullif(F.length(word), F.lit(0))).cast("long"), F.lit(0))
+
 
-    def grams(k: int) -> Column:
-        at = F.sequence(F.lit(1), F.length("text") - k + 1)
-        return F.when(F.length("text") >= k, F.transform(at, lambda i: F.substring("text", i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+def disambiguate_in(tokens: DataFrame, candidates: DataFrame, texts: DataFrame, resolved: DataFrame, key: str) -> DataFrame:
+    """key, token, name: which roster name an ambiguous token means where it stands, by what else is said there.
 
-    return messages.select("row", F.explode(F.array_distinct(F.flatten(F.array(*map(grams, sizes))))).alias("name")).join(roster.select("name").distinct(), "name").select("row", "name")
+    tokens: key, token; candidates: see candidates_of; texts: key, text; resolved: key, name of people who are already known there.
+    """
+    rows = tokens.select(key, "token").distinct().join(candidates, "token").join(texts.select(key, "text"), key)
+    rows = rows.join(resolved.select(key, "name", F.lit(True).alias("_known")).distinct(), [key, "name"], "left")
+    full = F.when(F.col("name") != F.col("official"), occurrences(F.col("text"), F.col("name"))).otherwise(0)
+    rows = rows.select(F.struct(key, "token").alias("_k"), "name", F.col("_known").isNotNull().alias("resolved"), occurrences(F.col("text"), F.col("official")).alias("bare"), full.alias("full"))
+    return disambiguate(rows, "_k").select(f"_k.{key}", "_k.token", "name")
+
+
+def containing(rows: DataFrame, text: Column, needles: DataFrame, needle: str) -> DataFrame:
+    """rows with every needle that their text contains, once each: they meet by the needles' first characters, as many as the shortest has.
+
+    A needle table is a dimension; the text side is never sent anywhere unless its grams meet one.
+    """
+    size = needles.agg(F.min(F.length(needle)).alias("k")).first().k  # one number
+    if not size:
+        return rows.crossJoin(needles.limit(0))
+    keyed = needles.distinct().withColumn("_gram", F.left(needle, F.lit(size)))
+    at = F.sequence(F.lit(1), F.length("_text") - size + 1)
+    grams = F.when(F.length("_text") >= size, F.array_distinct(F.transform(at, lambda i: F.substring("_text", i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+    met = rows.withColumn("_text", text).withColumn("_gram", F.explode_outer(grams)).join(keyed, "_gram")
+    return met.filter(F.contains(F.col("_text"), F.col(needle))).drop("_text", "_gram")
+
+
+def mentions(messages: DataFrame, roster: DataFrame, least: int = 3) -> DataFrame:
+    """row, name: whole roster names, of at least so many characters, found as substrings."""
+    names = roster.select("name").filter(F.length("name") >= least)
+    return containing(messages.select("row", "text"), F.col("text"), names, "name").select("row", "name").distinct()
 
 
 def active_participants(authors: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Participants one of whose patterns an author's name contains.  patterns (name, pattern) is a dimension table."""
+    """Participants one of whose patterns an author's name contains, whatever the case.  patterns: name, pattern."""
     a = authors.select(F.lower("author").alias("author")).distinct()
-    return patterns.join(a, F.contains(F.col("author"), F.lower("pattern")), "left_semi").select("name").distinct()
+    p = patterns.select("name", F.lower("pattern").alias("pattern")).filter(F.length("pattern") > 0)
+    return containing(a, F.col("author"), p, "pattern").select("name").distinct()
+
+
+def candidates_of(tokens: DataFrame, roster: DataFrame, aliases: DataFrame, suffixes: list[str] = L.SUFFIXES, forms: list[str] = L.TITLE_FORMS) -> DataFrame:
+    """token, official, name: all roster names that a token without its form of address may end, where there are several."""
+    bare = T.strip_suffix(F.col("token"), suffixes)
+    t = tokens.select("token").distinct().withColumn("given", F.when(F.length(bare) >= 2, bare).otherwise(F.col("token")))
+    return t.join(given_names(canonical_names(roster, aliases, forms)).filter("n > 1"), "given").select("token", F.col("name").alias("official"), F.col("canonical").alias("name"))
 
 
 def opportunity(metrics: DataFrame, least_clusters: int = 2) -> DataFrame:
@@ -109,8 +213,64 @@ def marketing(per_mention: Column, positive: Column, spikes: Column, mentions_:
     return per_mention * (0.4 + 0.6 * positive) * (1 + 0.2 * F.least(spikes, F.lit(3))) / F.log2(mentions_ + 2)
 
 
+def out_of_best(df: DataFrame, raw: str, score: str) -> DataFrame:
+    """score: hundredths of the largest raw value, rounded half up; 0 where that isn't above 0."""
+    best = df.agg(F.max(raw).alias("_best"))  # one row
+    share = F.when(F.col("_best") > 0, F.floor(F.col(raw) / F.col("_best") * 100 + 0.5)).otherwise(0)
+    return df.crossJoin(F.broadcast(best)).withColumn(score, share.cast("long")).drop("_best")
+
+
+def sentiment(dominant: Column, reactions: Column, good: Column, bad: Column, tense: Column) -> Column:
+    """A label by the kind of reaction that dominates, else by the balance of good, bad and tense ones."""
+    of = F.create_map(*(F.lit(x) for kv in P.SENTIMENT_OF.items() for x in kv))[dominant]
+    rest = F.when((reactions > 0) & (good * 10 >= reactions * 6), P.SENTIMENT_GOOD).when((tense > good) & (tense > bad), P.SENTIMENT_TENSE).otherwise(P.SENTIMENT_MIXED)
+    return F.coalesce(of, rest)
+
+
+def reactions_of_people(counts: DataFrame, key: str = "name") -> DataFrame:
+    """key, reactions, good, bad, tense, top (the five most frequent kinds as kind(n)), dominant, of counts(key, reaction, n)."""
+    some = lambda kinds: F.sum(F.when(F.col("reaction").isin(kinds), F.col("n")).otherwise(0))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "reaction")))  # a few kinds for each key
+    rows = counts.groupBy(key).agg(F.sum("n").alias("reactions"), some(L.GOOD_REACTIONS).alias("good"), some(L.BAD_REACTIONS).alias("bad"), some(L.TENSE_REACTIONS).alias("tense"), ordered.alias("_k"))
+    shown = F.transform(F.slice("_k", 1, 5), lambda x: F.concat(x["reaction"], F.lit("("), (-x["o"]).cast("string"), F.lit(")")))
+    return rows.select(key, "reactions", "good", "bad", "tense", shown.alias("top"), F.get("_k", F.lit(0))["reaction"].alias("dominant"))
+
+
+def reasons(mentions_low: Column, rate_high: Column, rate: Column, positive: Column, ranks: Column) -> Column:
+    """Why a person is proposed.  ranks: an array of spike ranks."""
+    listed = F.array_join(F.transform(F.slice(ranks, 1, 2), lambda r: F.concat(F.lit("#"), r.cast("string"), F.lit("위"))), ", ")
+    parts = F.array_compact(
+        F.array(
+            F.when(mentions_low, P.REASON_FEW),
+            F.when(rate_high, P.fill(P.REASON_MUCH, rate=F.format_string("%.2f", rate))),
+            F.when(positive >= 0.55, P.fill(P.REASON_GOOD, share=F.floor(positive * 100).cast("long"))),
+            F.when(F.size(ranks) > 0, P.fill(P.REASON_SPIKES, ranks=listed)),
+        )
+    )
+    return F.when(F.size(parts) > 0, F.array_join(parts, "  ·  ")).otherwise(P.REASON_NONE)
+
+
+def linked(ranks: Column) -> Column:
+    return F.when(F.size(ranks) > 0, P.fill(P.LINKED, rank=F.get(ranks, F.lit(0)))).otherwise("")
+
+
+def suggestion(label: Column, ranks: Column) -> Column:
+    out = P.fill(P.SUGGEST_ELSE, linked=linked(ranks))
+    for k, template in P.SUGGEST.items():
+        out = F.when(label == k, P.fill(template, linked=linked(ranks))).otherwise(out)
+    return out
+
+
+def evidence_mark(has_commentary: Column, evidence: Column) -> Column:
+    return F.when(has_commentary & evidence.isin("both", "pre_spike"), "◎").when(has_commentary, "○").otherwise("△")
+
+
+def rank_label(rank: Column) -> Column:
+    return F.when(rank <= 3, F.concat(F.lit("★"), rank.cast("string"))).when(rank <= 6, "권장").otherwise("참고")
+
+
 def upper_median(values: Column) -> Column:
-    """The element at n div 2 of the sorted values; no mean of two."""
+    """The element at n div 2 of the sorted values of an array; chat.upper_medians takes a column's."""
     return F.get(F.sort_array(values), F.floor(F.size(values) / 2).cast("int"))
 
 
@@ -123,4 +283,4 @@ def mood(text: Column, excited: list[str], tense: list[str]) -> Column:
 
 def buzz(event_share: Column, evidence: Column, internal_share: Column, present: Column) -> Column:
     a, b = (event_share >= 0.4) & evidence, (internal_share >= 0.3) & present
-    return F.when(a & b, "mixed").when(a, "broadcast").when(b, "participant").otherwise("general")
+    return F.when(a & b, "mixed").when(a, "broadcast_event").when(b, "participant_driven").otherwise("general")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
+from .. import phrases as P
 from ..functions import text as T
 
 
@@ -54,9 +55,23 @@ def priority(df: DataFrame, confidence: Column) -> DataFrame:
     return rows.withColumn("priority", F.least(F.lit(100.0), 40 * F.col("likes") / F.col("max_likes") + F.col("rest") / 100.0)).drop("rest", "max_likes")
 
 
-def editor_notes(likes: Column, category: Column, strength: Column) -> Column:
-    """Advice, as codes: much liked, the category's own, strong emotion."""
-    return F.concat_ws(" ", F.when(likes >= 10, F.lit("liked")), F.concat(F.lit("as_"), category), F.when(strength >= 400, F.lit("strong")))
+def detect_players(text: Column, players: list[str]) -> Column:
+    """The players whose names a text holds, whatever the case, in the list's order."""
+    low = F.lower(text)
+    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(p.lower())), F.lit(p)) for p in players))) if players else F.array().cast("array<string>")
+
+
+def editor_notes(likes: Column, players: Column, category: Column, strength: Column) -> Column:
+    """Advice in sentences: much liked, the players, the category's own, strong emotion (in hundredths); a default where there is none."""
+    of_category = F.create_map(*(F.lit(x) for kv in P.NOTE_CATEGORY.items() for x in kv))[category]
+    notes = F.concat_ws(
+        " ",
+        F.when(likes >= 10, P.fill(P.NOTE_LIKES, likes=likes)),
+        F.when(F.size(players) > 0, P.fill(P.NOTE_PLAYERS, players=F.array_join(players, ", "))),
+        of_category,
+        F.when(strength >= 400, P.NOTE_STRONG),
+    )
+    return F.when(notes == "", P.NOTE_PLAIN).otherwise(notes)
 
 
 def act(df: DataFrame, acts: dict[str, list[str]] = L.ACTS) -> DataFrame:
@@ -73,13 +88,26 @@ def by_priority(*first: Column) -> list[Column]:
     return [*first, F.desc("priority"), F.asc("comment_id")]
 
 
+CONFIDENCE = ["none", "low", "medium", "high"]
+
+
 def moments(matched: DataFrame) -> DataFrame:
-    """A row for each segment.  matched: segment, comment_id, likes, priority, category, emotion, confidence, by records' order."""
-    rank = F.when(F.col("confidence") == "high", 3).when(F.col("confidence") == "medium", 2).when(F.col("confidence") == "low", 1).otherwise(0)
+    """A row for each segment, by the best priority.  matched: segment, comment_id, likes, priority, category, emotion (hundredths), confidence, players and
+    signals (arrays), in records' order.  Segments that stand for single points of chat don't count.
+
+    ids are the comments in order; players and events are unions, in alphabetical order; intensity is the mean emotion, from 1 to 5.
+    """
+    rank = lookup({c: i for i, c in enumerate(CONFIDENCE)}, F.col("confidence"), 0)
+    for column in {"players", "signals"} - set(matched.columns):
+        matched = matched.withColumn(column, F.array().cast("array<string>"))
     rows = matched.filter(~F.col("segment").startswith("lc_ts_"))
     order = Window.partitionBy("segment").orderBy(*by_priority())
     rows = rows.withColumn("_at", F.row_number().over(order)).withColumn("_rank", rank)
     modes = rows.groupBy("segment", "category").agg(F.count("*").alias("n"), F.min("_at").alias("first")).groupBy("segment").agg(F.max_by("category", F.struct("n", -F.col("first"))).alias("category"))
+    # Names and events go by their distinct values, ids by what the segment holds.
+    union = lambda column, keep, name: rows.select("segment", F.explode(column).alias("_x")).filter(keep).distinct().groupBy("segment").agg(F.sort_array(F.collect_list(F.col("_x"))).alias(name))
+    players = union("players", F.lit(True), "players")
+    events = union(F.transform("signals", lambda x: F.when(x.startswith("event:"), F.substring(x, F.lit(7), F.length(x)))), F.col("_x").isNotNull(), "events")
     out = rows.groupBy("segment").agg(
         F.count("*").alias("n"),
         F.sum("likes").alias("likes"),
@@ -87,9 +115,25 @@ def moments(matched: DataFrame) -> DataFrame:
         F.sum("emotion").alias("emotion"),
         F.max("_rank").alias("rank"),
         F.min_by("comment_id", "_at").alias("top_comment"),
+        F.transform(F.array_sort(F.collect_list(F.struct("_at", "comment_id"))), lambda x: x["comment_id"]).alias("ids"),
+    )
+    best = F.get(F.array(*map(F.lit, CONFIDENCE)), F.col("rank"))
+    none = F.array().cast("array<string>")
+    out = out.join(modes, "segment").join(players, "segment", "left").join(events, "segment", "left").withColumn("confidence", best).drop("rank")
+    out = out.withColumns({"players": F.coalesce("players", none), "events": F.coalesce("events", none), "intensity": F.col("emotion") / (100 * F.col("n")), "unsure": F.col("confidence").isin("low", "none")})
+    return out.orderBy(F.desc("max_priority"), "segment")
+
+
+def moment_notes(moments: DataFrame, segments: DataFrame) -> DataFrame:
+    """segment, usage, notes of moments; segments: segment, start, end."""
+    sure = P.fill(P.MOMENT_SPAN, start=T.minutes_clock(F.col("start")), end=T.minutes_clock(F.col("end")))
+    notes = F.concat_ws(
+        " ",
+        F.when(F.col("unsure"), P.MOMENT_UNSURE).otherwise(sure),
+        F.when(F.size("players") > 0, P.fill(P.MOMENT_PLAYERS, players=F.array_join("players", ", "))),
+        P.fill(P.MOMENT_COUNT, n=F.col("n")),
     )
-    best = F.when(F.col("rank") == 3, "high").when(F.col("rank") == 2, "medium").when(F.col("rank") == 1, "low").otherwise("none")
-    return out.join(modes, "segment").withColumn("confidence", best).drop("rank")
+    return moments.join(segments, "segment").select("segment", lookup(L.USAGE, F.col("category"), "summary_overlay").alias("usage"), notes.alias("notes"))
 
 
 def act_summary(df: DataFrame) -> DataFrame:
@@ -98,11 +142,17 @@ def act_summary(df: DataFrame) -> DataFrame:
 
 
 def bridges(df: DataFrame, preferred: tuple[str, ...] = ("analytical", "representative", "dramatic"), n: int = 3) -> DataFrame:
-    """act, rank, comment_id: after an act's anchor, up to n of the preferred categories; where there are none, the next three of any."""
-    order = Window.partitionBy("act").orderBy(*by_priority())
-    rows = df.withColumn("at", F.row_number().over(order)).filter("at > 1").withColumn("good", F.col("category").isin(*preferred))
-    rows = rows.withColumn("any", F.max("good").over(Window.partitionBy("act"))).filter("good OR (NOT any AND at <= 4)")
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("act", "rank", "comment_id")
+    """act, rank, comment_id: after an act's anchor, up to n of the preferred categories; where there are none, the next n of any.
+
+    Two group limits, which take few rows of an act from each partition; what is left is a handful.
+    """
+    w = Window.partitionBy("act").orderBy(*by_priority())
+    take = lambda rows, good: rows.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= n + 1).select("act", "at", "priority", "comment_id", F.lit(good).alias("good"))
+    rows = take(df, False).unionByName(take(df.filter(F.col("category").isin(*preferred)), True))
+    anchor = F.first_value(F.when(~F.col("good"), F.col("comment_id")), True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.withColumn("anchor", anchor).filter("comment_id <> anchor")
+    rows = rows.withColumn("any", F.max("good").over(Window.partitionBy("act"))).filter("good = any")
+    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("act", "rank", "comment_id")
 
 
 def first_of(df: DataFrame, order: tuple[str, ...], within: int | None = None) -> DataFrame:

@@ -27,17 +27,27 @@ def nearest(points: DataFrame, segments: DataFrame, within: float = 30.0) -> Dat
 
 
 def match_by_time(points: DataFrame, segments: DataFrame, size: float, within: float = 30.0, medium: float = 15.0, before: float = 10.0, after: float = 20.0) -> DataFrame:
-    """row, segment, low, high, confidence: in a segment, else near one, else a span of its own around the point."""
-    hit = point_in_interval(points, segments, size).withColumnRenamed("seq", "in_seq")
-    near = nearest(points, segments, within).withColumnRenamed("seq", "near_seq")
-    rows = points.select("row", "ts").join(hit, "row", "left").join(near, "row", "left").withColumn("seq", F.coalesce("in_seq", "near_seq"))
-    rows = rows.join(segments.select("seq", "start", "end"), "seq", "left")
+    """row, segment, low, high, confidence: in a segment, else near one, else a span of its own around the point.
+
+    One join finds both: a segment stands in every bucket that its span or the reach of its middle touches.
+    """
+    mid = (F.col("start") + F.col("end")) / 2
+    at = lambda x: F.floor(x / size)
+    there = segments.select("seq", "start", "end", F.explode(F.sequence(at(F.least("start", mid - within)), at(F.greatest("end", mid + within)))).alias("_b"))
+    span = F.struct("seq", "start", "end")
+    dist = F.abs(mid - F.col("ts"))
+    rows = points.select("row", "ts", at(F.col("ts")).alias("_b")).join(there, "_b", "left")
+    rows = rows.groupBy("row", "ts").agg(
+        F.min(F.when(F.col("ts").between(F.col("start"), F.col("end")), span)).alias("hit"),
+        F.min(F.when(dist <= within, F.struct(dist.alias("dist"), span.alias("s")))).alias("near"),
+    )
+    found = F.coalesce("hit", "near.s")
     return rows.select(
         "row",
-        F.when(F.col("seq").isNotNull(), F.format_string("seg_%04d", "seq")).otherwise( F.format_string("lc_ts_%06d", F.floor("ts").cast("long"))).alias("segment"),
-        F.coalesce("start", F.greatest(F.lit(0.0), F.col("ts") - before)).alias("low"),
-        F.coalesce("end", F.col("ts") + after).alias("high"),
-        F.when(F.col("in_seq").isNotNull(), "high").when(F.col("dist") <= medium, "medium").when(F.col("dist").isNotNull(), "low").otherwise("high").alias("confidence"),
+        F.when(found.isNotNull(), F.format_string("seg_%04d", found["seq"])).otherwise(F.format_string("lc_ts_%06d", F.floor("ts").cast("long"))).alias("segment"),
+        F.coalesce(found["start"], F.greatest(F.lit(0.0), F.col("ts") - before)).alias("low"),
+        F.coalesce(found["end"], F.col("ts") + after).alias("high"),
+        F.when(F.col("hit").isNotNull(), "high").when(F.col("near.dist") <= medium, "medium").when(F.col("near").isNotNull(), "low").otherwise("high").alias("confidence"),
     )
 
 
@@ -51,22 +61,38 @@ def overlaps(segments: DataFrame, spans: DataFrame, size: float) -> DataFrame:
 
 
 def signal_match(left: DataFrame, right: DataFrame) -> DataFrame:
-    """id, seq, score: the best partner by the weight of common signals, through an inverted index.  left: id, signals; right: seq, signals."""
-    weight = F.when(F.col("s").startswith("player:"), 3).when(F.col("s").startswith("hole:"), 4).otherwise(2)
-    a = left.select("id", F.explode(F.array_distinct("signals")).alias("s"))
-    b = right.select("seq", F.explode(F.array_distinct("signals")).alias("s"))
-    scores = a.join(b, "s").groupBy("id", "seq").agg(F.sum(weight).alias("score"))
-    return best_of(scores, "score").withColumn("confidence", F.when(F.col("score") >= 6, "high").when(F.col("score") >= 3, "medium").otherwise("low"))
-
+    """id, seq, score, confidence, signals: the best partner by the weight of common signals.  left: id, signals; right: seq, signals.
 
-def word_match(left: DataFrame, right: DataFrame) -> DataFrame:
-    """id, seq, common, either: the best partner by Jaccard similarity of word sets, through an inverted index.  left: id, words; right: seq, words."""
+    Rows with equal signals have the same partner, so only different sets meet, through an inverted index.
+    """
+    weight = F.when(F.col("s").startswith("player:"), 3).when(F.col("s").startswith("hole:"), 4).otherwise(2)
+    own = F.sort_array(F.array_distinct("signals"))
+    left = left.select("id", own.alias("set")).filter(F.size("set") > 0)
+    right = right.select("seq", own.alias("set")).filter(F.size("set") > 0).groupBy("set").agg(F.min("seq").alias("seq"))
+    a = left.select("set").distinct().select("set", F.explode("set").alias("s"))
+    b = right.select("seq", F.explode("set").alias("s"))
+    scores = a.join(b, "s").groupBy("set", "seq").agg(F.sum(weight).alias("score"), F.sort_array(F.collect_set("s")).alias("signals"))
+    best = scores.groupBy("set").agg(F.max(F.struct("score", (-F.col("seq")).alias("first"), "signals")).alias("m"))
+    out = left.join(best, "set").select("id", (-F.col("m.first")).alias("seq"), F.col("m.score").alias("score"), F.col("m.signals").alias("signals"))
+    return out.withColumn("confidence", F.when(F.col("score") >= 6, "high").when(F.col("score") >= 3, "medium").otherwise("low"))
+
+
+def word_match(left: DataFrame, right: DataFrame, players: list[str] = [], bonus_hundredths: int = 6) -> DataFrame:  # noqa: B006
+    """id, seq, common, either, named, overlap: the best partner by Jaccard similarity of word sets and a bonus for each player whose name a common
+    word holds, through an inverted index.  left: id, words; right: seq, words.  overlap: the first six common words."""
     a = left.select("id", F.size("words").alias("na"), F.explode("words").alias("w"))
     b = right.select("seq", F.size("words").alias("nb"), F.explode("words").alias("w"))
-    rows = a.join(b, "w").groupBy("id", "seq").agg(F.count("*").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    rows = rows.withColumn("either", F.col("na") + F.col("nb") - F.col("common")).withColumn("j", F.col("common") / F.col("either"))
+    held = [F.max(F.contains(F.col("w"), F.lit(p)).cast("int")) for p in players]
+    rows = a.join(b, "w").groupBy("id", "seq").agg(F.count("*").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"), sum(held[1:], held[0]).alias("named") if held else F.max(F.lit(0)).alias("named"), F.slice(F.sort_array(F.collect_list("w")), 1, 6).alias("overlap"))
+    rows = rows.withColumn("either", F.col("na") + F.col("nb") - F.col("common")).withColumn("j", F.col("common") / F.col("either") + F.col("named") * (bonus_hundredths / 100))
     w = Window.partitionBy("id").orderBy(F.desc("j"), "seq")
-    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("id", "seq", "common", "either")
+    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("id", "seq", "common", "either", "named", "overlap")
+
+
+def word_confidence(matches: DataFrame, least_hundredths: int = 7, bonus_hundredths: int = 6) -> DataFrame:
+    """id, seq, confidence, signals of those at the least score; words never count for more than low."""
+    enough = F.col("common") * 100 + F.col("named") * bonus_hundredths * F.col("either") >= F.col("either") * least_hundredths
+    return matches.filter(enough).select("id", "seq", F.lit("low").alias("confidence"), F.transform("overlap", lambda w: F.concat(F.lit("overlap:"), w)).alias("signals"))
 
 
 def best_of(scores: DataFrame, value: str) -> DataFrame:

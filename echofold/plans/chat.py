@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import chat as K
 from ..operators import entities as E
 from .tables import STEP, WIDTH, chat, table, turns, with_views
@@ -105,13 +106,6 @@ def session_clusters(spark, sf):
 
 
 def cluster_reactions(spark, sf):
-    """Messages around the sessions of the first twenty users, each once for a user."""
-    own = K.session_clusters(chat(spark, sf).filter("author <= 20"), "author", GAP).select(F.col("author").alias("name"), "anchor")
-    rows = K.attributed(own, chat(spark, sf), "name", 60.0)
-    return rows.groupBy("name").agg(F.count("*").alias("n"))
-
-
-def cluster_reactions_all(spark, sf):
     """Messages around the sessions of every user, each once for a user."""
     own = session_clusters(spark, sf).select(F.col("author").alias("name"), "anchor")
     rows = K.attributed(own, chat(spark, sf), "name", 60.0)
@@ -155,7 +149,30 @@ def established(spark, sf):
 
 
 def upper_medians(spark, sf):
-    return chat(spark, sf).groupBy("kind").agg(E.upper_median(F.collect_list("weight")).alias("upper_median"))
+    return K.upper_medians(chat(spark, sf), "kind", "weight")
+
+
+def compared_with_all(spark, sf):
+    """Each user's messages against the upper median and the mean of all users."""
+    own = chat(spark, sf).groupBy("author").agg(F.count("*").alias("n"))
+    return K.compared(own, "n")
+
+
+def informative_recent(spark, sf):
+    """Of the last sixty turns of each role that say something: the newest of each text."""
+    t = turns(spark, sf).select("author", F.regexp_replace("text", STRIPPED, "").alias("text"), (F.col("conv_id") * 1000 + F.col("row")).alias("row"))
+    return K.recent_distinct(K.informative(t), "author").select("author", "row", "text")
+
+
+def noise(spark, sf):
+    """Words of the turns that are too short to say anything."""
+    words = turns(spark, sf).select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    return words.filter(T.is_noise(F.col("word")))
+
+
+def time_order(spark, sf):
+    """The first hundred messages by time; a third has none and comes last."""
+    return K.in_time_order(chat(spark, sf).withColumn("ts", F.when(F.col("row") % 3 > 0, F.col("ts")))).limit(100).select("row")
 
 
 def chat_totals(spark, sf):
@@ -167,10 +184,6 @@ def recent_distinct(spark, sf):
 
 
 def first_distinct(spark, sf):
-    return K.first_distinct(turns(spark, sf).withColumn("text", F.left("text", F.lit(12))).withColumn("row", F.col("conv_id") * 1000 + F.col("row")), "author", 5).select("author", "rank", "text", "row")
-
-
-def first_distinct_whole(spark, sf):
     """The first five different texts of each role, compared whole but for white space around them."""
     t = turns(spark, sf).select("author", F.regexp_replace("text", STRIPPED, "").alias("text"), F.struct("conv_id", F.col("row").alias("turn")).alias("row"))
     return K.first_distinct(t, "author", 5).select("author", "rank", "text", "row.conv_id", "row.turn")
@@ -191,7 +204,7 @@ def _spiked(body: str) -> str:
 
 
 QUERIES = {
-    "chat_filter": (chat_filter, with_views("SELECT row, kind FROM chat WHERE kind IN ('click', 'purchase', 'view') AND ts IS NOT NULL AND trim(text) <> ''", "chat")),
+    "chat_filter": (chat_filter, with_views("SELECT row, kind FROM chat WHERE kind IN ('click', 'purchase', 'view') AND ts IS NOT NULL AND regexp_matches(text, '[^\\x09-\\x0D\\x1C-\\x20\\x{85}\\p{Z}]')", "chat")),
     "density_buckets": (density_buckets, with_views("SELECT CAST(floor(ts / 7200.0) AS BIGINT) AS bucket, count(*) AS n FROM chat GROUP BY 1", "chat")),
     "density_top": (density_top, with_views("SELECT CAST(floor(ts / 7200.0) AS BIGINT) AS bucket, count(*) AS n FROM chat GROUP BY 1 ORDER BY n DESC, bucket LIMIT 20", "chat")),
     "spike_candidates": (candidates, with_views(f"+{CANDIDATES} SELECT k, n, weight FROM candidates", "chat")),
@@ -217,8 +230,7 @@ FROM (SELECT id, row, ts, ts - ws AS base, row_number() OVER (PARTITION BY id OR
         _spiked("SELECT id, CAST(p AS INTEGER) AS phase, array_to_string(list_slice(a, greatest(CAST(ceil((p + 1) * len(a) / 4) AS BIGINT) - 8, 0) + 1, CAST(ceil((p + 1) * len(a) / 4) AS BIGINT)), ',') AS shown FROM (SELECT id, list(row ORDER BY ts, row) AS a FROM j GROUP BY id), range(0, 4) q(p)"),
     ),
     "session_clusters": (session_clusters, with_views(f"+{SESSIONS} SELECT * FROM clusters", "chat")),
-    "cluster_reactions": (cluster_reactions, with_views(f"+{SESSIONS} SELECT name, count(*) AS n FROM (SELECT DISTINCT c.author AS name, m.ts, m.author, m.text FROM clusters c JOIN chat m ON m.ts BETWEEN greatest(0.0, c.anchor - 10) AND c.anchor + 30 WHERE c.author <= 20) GROUP BY name", "chat")),
-    "cluster_reactions_all": (cluster_reactions_all, with_views(f"+{SESSIONS} SELECT name, count(*) AS n FROM (SELECT DISTINCT c.author AS name, m.ts, m.author, m.text FROM clusters c JOIN chat m ON m.ts BETWEEN greatest(0.0, c.anchor - 10) AND c.anchor + 30) GROUP BY name", "chat")),
+    "cluster_reactions": (cluster_reactions, with_views(f"+{SESSIONS} SELECT name, count(*) AS n FROM (SELECT DISTINCT c.author AS name, m.ts, m.author, m.text FROM clusters c JOIN chat m ON m.ts BETWEEN greatest(0.0, c.anchor - 10) AND c.anchor + 30) GROUP BY name", "chat")),
     "late_stream_flag": (late_stream_flag, with_views("SELECT author, count(*) FILTER (late) AS late, count(*) AS n FROM (SELECT author, ts > 0.75 * max(ts) OVER (PARTITION BY author) AS late FROM chat) GROUP BY author", "chat")),
     "mention_rank_assoc": (mention_rank_assoc, _spiked("SELECT author, array_to_string(list_slice(list_sort(list(DISTINCT id)), 1, 4), ',') AS ranks FROM j GROUP BY author")),
     "player_metrics": (player_metrics, with_views(f"+{SESSIONS}, {METRICS} SELECT * FROM m", "chat")),
@@ -232,14 +244,22 @@ FROM (SELECT id, row, ts, ts - ws AS base, row_number() OVER (PARTITION BY id OR
     ),
     "established": (established, with_views(f"+{SESSIONS}, {METRICS} SELECT author, mentions FROM (SELECT author, mentions, row_number() OVER (ORDER BY mentions DESC, author) AS r FROM m) WHERE r BETWEEN 3 AND 10", "chat")),
     "upper_medians": (upper_medians, with_views("SELECT kind, list_sort(list(weight))[CAST(count(*) // 2 AS BIGINT) + 1] AS upper_median FROM chat GROUP BY kind", "chat")),
+    "compared_with_all": (compared_with_all, with_views("+u AS (SELECT author, count(*) AS n FROM chat GROUP BY author) SELECT author, n, n <= (SELECT list_sort(list(n))[CAST(count(*) // 2 AS BIGINT) + 1] FROM u) AS low, n > (SELECT avg(n) FROM u) AS above_mean FROM u", "chat")),
+    "informative_recent": (
+        informative_recent,
+        with_views(f"""+t AS (SELECT author, regexp_replace(text, '{STRIPPED}', '', 'g') AS text, conv_id * 1000 + row AS row FROM turns),
+i AS (SELECT * FROM t WHERE length(text) > 3 AND NOT regexp_full_match(text, 'ㅋ+|ㅎ+|[ㅠㅜ]+'))
+SELECT author, row, text FROM (SELECT *, row_number() OVER (PARTITION BY author ORDER BY row DESC) AS k FROM (SELECT author, text, max(row) AS row FROM (SELECT *, row_number() OVER (PARTITION BY author ORDER BY row DESC) AS r FROM i) WHERE r <= 60 GROUP BY author, text)) WHERE k <= 5""", "turns"),
+    ),
+    "noise_words": (noise, with_views(f"+w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM turns) SELECT word FROM w WHERE length(regexp_replace(word, '{STRIPPED}', '', 'g')) <= 3 OR regexp_full_match(regexp_replace(word, '{STRIPPED}', '', 'g'), 'ㅋ+|ㅎ+|[ㅠㅜ]+')", "turns")),
+    "time_order": (time_order, with_views("SELECT row FROM (SELECT row, CASE WHEN row % 3 > 0 THEN ts END AS ts FROM chat) ORDER BY ts NULLS LAST, row LIMIT 100", "chat")),
     "chat_totals": (chat_totals, with_views("SELECT count(*) AS n, count(DISTINCT author) AS authors, max(ts) AS last FROM chat", "chat")),
     "recent_distinct": (
         recent_distinct,
         with_views("SELECT author, row, text FROM (SELECT *, row_number() OVER (PARTITION BY author ORDER BY row DESC) AS k FROM (SELECT author, text, max(row) AS row FROM (SELECT *, row_number() OVER (PARTITION BY author ORDER BY row DESC) AS r FROM chat) WHERE r <= 60 GROUP BY author, text)) WHERE k <= 5", "chat"),
     ),
-    "first_distinct": (first_distinct, with_views("SELECT author, CAST(k AS INTEGER) AS rank, text, row FROM (SELECT *, row_number() OVER (PARTITION BY author ORDER BY row) AS k FROM (SELECT author, left(text, 12) AS text, min(conv_id * 1000 + row) AS row FROM turns GROUP BY 1, 2)) WHERE k <= 5", "turns")),
-    "first_distinct_whole": (
-        first_distinct_whole,
+    "first_distinct": (
+        first_distinct,
         with_views(f"SELECT author, CAST(k AS INTEGER) AS rank, text, first.conv_id AS conv_id, first.turn AS turn FROM (SELECT *, row_number() OVER (PARTITION BY author ORDER BY first) AS k FROM (SELECT author, regexp_replace(text, '{STRIPPED}', '', 'g') AS text, min({{'conv_id': conv_id, 'turn': row}}) AS first FROM turns GROUP BY 1, 2)) WHERE k <= 5", "turns"),
     ),
     "active_participants": (active_participants, "SELECT DISTINCT n_name AS name FROM nation WHERE EXISTS (SELECT 1 FROM customer WHERE contains('cust#' || CAST(c_custkey AS VARCHAR), '#' || right(CAST(n_nationkey AS VARCHAR), 1) || '0'))"),

@@ -5,6 +5,11 @@ A missing path gives an empty table of the same schema.
 
 from __future__ import annotations
 
+import json
+import time
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, fields
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,19 +48,46 @@ def read_comments(spark: SparkSession, path: str) -> DataFrame:
     have["text"] = F.coalesce(have["text"], F.lit(""))
     have["like_count"], have["reply_count"] = number(have["like_count"]), number(have["reply_count"])
     have["is_reply"] = F.coalesce(F.lower(F.trim(have["is_reply"])).isin("true", "1", "yes"), F.lit(False))
-    return raw.select(*(v.alias(k) for k, v in have.items())).filter(F.trim("text") != "")
+    return raw.select(*(v.alias(k) for k, v in have.items())).filter(T.has_text(F.col("text")))
+
+
+def flatten_threads(df: DataFrame) -> DataFrame:
+    """Comments of an API's answers: df(comment_id, parent_comment_id, is_reply, reply_count, snippet), a missing field as an empty text or 0."""
+    field = lambda name: F.coalesce(F.col(f"snippet.{name}").cast("string"), F.lit(""))
+    return df.select(
+        "comment_id",
+        "parent_comment_id",
+        field("authorDisplayName").alias("author"),
+        field("textDisplay").alias("text"),
+        field("publishedAt").alias("published_at"),
+        field("updatedAt").alias("updated_at"),
+        F.coalesce(F.col("snippet.likeCount").cast("long"), F.lit(0).cast("long")).alias("like_count"),
+        "is_reply",
+        F.col("reply_count").cast("long").alias("reply_count"),
+    )
 
 
 def file_order(df: DataFrame) -> DataFrame:
-    """row: the input order of one file's rows, from 0."""
-    return df.withColumn("_id", F.monotonically_increasing_id()).withColumn("row", (F.row_number().over(Window.orderBy("_id")) - 1).cast("long")).drop("_id")
+    """row: the input order of one file's rows, from 0.  Each partition counts its own rows; only the partitions' sizes meet."""
+    rows = df.withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftright("_id", 33)
+    own = Window.partitionBy("_part").orderBy("_id")
+    rows = rows.withColumn("_part", part).withColumn("_at", F.row_number().over(own) - 1)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.withColumn("_start", F.coalesce(before, F.lit(0))).select("_part", "_start")  # a row for each partition
+    return rows.join(F.broadcast(starts), "_part").withColumn("row", (F.col("_start") + F.col("_at")).cast("long")).drop("_id", "_part", "_at", "_start")
 
 
 def read_chat(spark: SparkSession, path: str, missing_time_as_zero: bool = False) -> DataFrame:
-    """Live chat of one file: rows without a time of 0 or more, or with a blank text, go; ids count what is left."""
+    """Live chat of one file: see chat_rows.  Ids count what is left."""
     raw = _csv(spark, path)
-    if raw is None:
-        return spark.createDataFrame([], CHAT)
+    return spark.createDataFrame([], CHAT) if raw is None else number_chat(file_order(chat_rows(raw, missing_time_as_zero)))
+
+
+def chat_rows(raw: DataFrame, missing_time_as_zero: bool = False) -> DataFrame:
+    """ts, author, text, kind, likes and the columns besides, of a table of strings: rows without a time of 0 or more, or with a blank text, go."""
+    names = {n for columns in ALIASES.values() for n in columns} | {"author", "message_type", "likes"}
     pick = lambda names: next((F.col(n) for n in names if n in raw.columns), F.lit(None).cast("string"))
     ts = pick(ALIASES["ts"]).try_cast("double")
     rows = raw.select(
@@ -64,9 +96,15 @@ def read_chat(spark: SparkSession, path: str, missing_time_as_zero: bool = False
         F.coalesce(pick(ALIASES["text"]), F.lit("")).alias("text"),
         F.coalesce(pick(["message_type"]), F.lit("text")).alias("kind"),
         number(pick(["likes"])).alias("likes"),
+        *(F.col(c) for c in raw.columns if c not in names and c not in ("ts", "kind", "row", "comment_id", "weight", "source_type")),
     )
-    rows = file_order(rows.filter((F.col("ts") >= 0) & (F.trim("text") != "")))
-    return rows.select("row", F.concat(F.lit("lc_"), "row").alias("comment_id"), "ts", "author", "text", "kind", "likes", F.greatest("likes", F.lit(1)).cast("long").alias("weight"), F.lit("live_chat").alias("source_type"))
+    return rows.filter((F.col("ts") >= 0) & T.has_text(F.col("text")))
+
+
+def number_chat(rows: DataFrame) -> DataFrame:
+    """Ids and weights of chat_rows with their row numbers; a message weighs as much as its likes, 1 at least."""
+    extra = [c for c in rows.columns if c not in ("row", "ts", "author", "text", "kind", "likes")]
+    return rows.select("row", F.concat(F.lit("lc_"), "row").alias("comment_id"), "ts", "author", "text", "kind", "likes", F.greatest("likes", F.lit(1)).cast("long").alias("weight"), F.lit("live_chat").alias("source_type"), *extra)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -77,11 +115,102 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
         if "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], SEGMENTS)
         raise
+    return parse_segments(text).drop("file")
+
+
+def parse_segments(text: DataFrame) -> DataFrame:
+    """Segments of text(value), a JSON array in each row; file stays where there is one."""
     kind = "array<struct<id:string,start:double,end:double,text:string,words:array<struct<word:string,time:double>>>>"
-    rows = text.select(F.posexplode(F.from_json("value", kind)).alias("i", "s"))
+    keep = [F.col("file")] if "file" in text.columns else [F.lit(None).cast("string").alias("file")]
+    rows = text.select(*keep, F.posexplode(F.from_json("value", kind)).alias("i", "s"))
     return rows.select(
-        F.coalesce("s.id", F.format_string("seg_%04d", F.col("i") + 1)).alias("id"), (F.col("i") + 1).alias("seq"), F.coalesce("s.start", F.lit(0.0)).alias("start"), F.coalesce("s.end", F.lit(0.0)).alias("end"), F.coalesce("s.text", F.lit("")).alias("text"), "s.words"
-    )
+        "file", F.coalesce("s.id", F.format_string("seg_%04d", F.col("i") + 1)).alias("id"), (F.col("i") + 1).alias("seq"), F.coalesce("s.start", F.lit(0.0)).alias("start"), F.coalesce("s.end", F.lit(0.0)).alias("end"), F.coalesce("s.text", F.lit("")).alias("text"), "s.words"
+    )
+
+
+def segments_of(spark: SparkSession, root: str, video: str) -> DataFrame:
+    """Segments by convention: lesson_<video>/segments.json below root; none for no video, a missing or an unreadable file."""
+    if not video or video == "—":
+        return spark.createDataFrame([], SEGMENTS)
+    return read_segments(spark, f"{root}/lesson_{video}/segments.json")
+
+
+SPIKES = "id long, anchor double, ws double, we double, n long, weight double"
+
+
+def read_spikes(spark: SparkSession, path: str) -> DataFrame:
+    """Spikes of a CSV, by weight; what can't be read is 0."""
+    raw = _csv(spark, path)
+    if raw is None:
+        return spark.createDataFrame([], SPIKES)
+    rows = file_order(raw.select(*(number(F.col(a), k).alias(b) for a, b, k in (("anchor_time", "anchor", "double"), ("window_start", "ws", "double"), ("window_end", "we", "double"), ("message_count", "n", "long"), ("weighted_score", "weight", "double")))))
+    return rows.select(F.row_number().over(Window.orderBy(F.desc("weight"), "row")).cast("long").alias("id"), "anchor", "ws", "we", "n", "weight")  # a few dozen rows
+
+
+def read_keywords(spark: SparkSession, path: str) -> DataFrame:
+    """phrase, n, type of a keyword CSV; a row of another type counts as a unigram."""
+    raw = _csv(spark, path)
+    if raw is None:
+        return spark.createDataFrame([], "phrase string, n long, type string")
+    return raw.select("phrase", number(F.col("count")).alias("n"), F.when(F.col("type") == "bigram", "bigram").otherwise("unigram").alias("type"))
+
+
+def read_authors(spark: SparkSession, path: str) -> DataFrame:
+    """author, comment_count, total_likes of an author CSV."""
+    raw = _csv(spark, path)
+    if raw is None:
+        return spark.createDataFrame([], "author string, comment_count long, total_likes long")
+    return raw.select("author", number(F.col("comment_count")).alias("comment_count"), number(F.col("total_likes")).alias("total_likes"))
+
+
+def comment_totals(comments: DataFrame) -> DataFrame:
+    """One row of what a report says of its comments."""
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return comments.agg(
+        F.count_if(~F.col("is_reply")).alias("top_level"), F.count_if(F.col("is_reply")).alias("replies"), F.count("*").alias("total"), F.count_distinct("author").alias("authors"),
+        zero(F.sum("like_count")).alias("likes"), zero(F.max("like_count")).alias("max_likes"),
+    )
+
+
+@dataclass(frozen=True)
+class Config:
+    """What a run is about, and which inputs it takes."""
+
+    youtube_url: str
+    download_video: bool = True
+    analyze_subtitles: bool = True
+    analyze_comments: bool = True
+    analyze_live_chat: bool = True
+
+
+def read_config(spark: SparkSession, path: str) -> Config:
+    """A JSON object; flags that are missing are true, an address that is missing or blank is an error."""
+    found = json.loads("".join(r.value for r in spark.read.text(path, wholetext=True).collect()))  # one small file
+    url = str(found.get("youtube_url") or "").strip()
+    if not url:
+        raise ValueError("youtube_url is missing")
+    return Config(url, **{f.name: bool(found.get(f.name, True)) for f in fields(Config) if f.name != "youtube_url"})
+
+
+def cached_roster(spark: SparkSession, path: str, fetch: Callable[[], Iterable[str]], days: float = 7.0, now: float | None = None) -> DataFrame:
+    """name: a roster that fetch() gives, kept at path for some days.  An older copy serves where fetch fails, and an empty table where there is none."""
+    now = time.time() if now is None else now
+    schema = "name string, fetched double"
+    try:
+        kept = spark.read.schema(schema).json(path)
+        age = kept.agg(F.max("fetched").alias("t")).first().t
+    except AnalysisException:
+        kept, age = spark.createDataFrame([], schema), None
+    if age is not None and now - age < days * 86400:
+        return kept.select("name").distinct()
+    try:
+        names = sorted({n for n in fetch() if n})
+    except Exception:  # whatever a network call raises
+        names = []
+    if not names:
+        return kept.select("name").distinct()
+    spark.createDataFrame([(n, now) for n in names], schema).coalesce(1).write.mode("overwrite").json(path)
+    return spark.createDataFrame([(n,) for n in names], "name string")
 
 
 # The renderers of a replay event, and the message types they give.
@@ -102,7 +231,12 @@ def read_replay(spark: SparkSession, path: str) -> DataFrame:
 
     Blank lines, lines that aren't JSON, lines without an action and other renderers give nothing.
     """
-    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return parse_replay(spark.read.text(path))
+
+
+def parse_replay(lines: DataFrame) -> DataFrame:
+    """The events of lines(value): see read_replay."""
+    lines = lines.filter(T.has_text(F.col("value")))
     action = lines.select(F.from_json("value", REPLAY).getField("replayChatItemAction").alias("a")).filter("a IS NOT NULL")
     rows = action.select(F.col("a.videoOffsetTimeMsec").try_cast("long").alias("ms"), F.explode("a.actions").alias("x")).select("ms", "x.addChatItemAction.item")
     one = F.coalesce(*(F.col(f"item.{r}") for r in RENDERERS))
@@ -112,7 +246,7 @@ def read_replay(spark: SparkSession, path: str) -> DataFrame:
     empty = lambda c: F.coalesce(c, F.lit(""))
     return rows.select(
         empty(F.col("r.id")).alias("message_id"),
-        F.round(F.col("ms") / 1000.0, 3).alias("ts"),
+        T.seconds(F.col("ms")).alias("ts"),
         "kind",
         empty(F.col("r.authorName.simpleText")).alias("author"),
         empty(F.col("r.authorExternalChannelId")).alias("channel"),
@@ -122,9 +256,18 @@ def read_replay(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def renderer_counts(events: DataFrame) -> DataFrame:
+    """kind, n of replay events."""
+    return events.groupBy("kind").agg(F.count("*").alias("n"))
+
+
 def replay_statistics(spark: SparkSession, path: str) -> DataFrame:
     """One row: lines, blank, bad (not JSON), without an action."""
-    text = spark.read.text(path).select(F.trim("value").alias("v")).withColumn("j", F.try_parse_json("v"))
+    return line_statistics(spark.read.text(path))
+
+
+def line_statistics(lines: DataFrame) -> DataFrame:
+    text = lines.select(T.strip(F.col("value")).alias("v")).withColumn("j", F.try_parse_json("v"))
     has = F.try_variant_get("j", "$.replayChatItemAction", "variant").isNotNull()
     return text.agg(F.count("*").alias("lines"), F.count_if(F.col("v") == "").alias("blank"), F.count_if((F.col("v") != "") & F.col("j").isNull()).alias("bad"), F.count_if(F.col("j").isNotNull() & ~has).alias("other"))
 
@@ -134,7 +277,12 @@ _TIME = r"(\d{2}:\d{2}:\d{2}\.\d{3})"
 
 def read_captions(spark: SparkSession, path: str) -> DataFrame:
     """video, seq, start, end, text, line of every cue that isn't a flash or empty; line keeps its tags for the word times."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("video"), F.regexp_replace("value", r"\r\n?", "\n").alias("v"))
+    return parse_captions(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("video"), "value"))
+
+
+def parse_captions(files: DataFrame) -> DataFrame:
+    """The cues of files(video, value): see read_captions."""
+    files = files.select("video", F.regexp_replace("value", r"\r\n?", "\n").alias("v"))
     blocks = files.select("video", F.posexplode(F.split(F.trim(F.col("v"), F.lit(" \n\t")), r"\n\n+")).alias("seq", "b"))
     cue = rf"(?s)^(?:.*?\n)??[ \t]*{_TIME}\s*-->\s*{_TIME}[^\n]*\n?(.*)$"
     part = lambda k: F.regexp_extract("b", cue, k)

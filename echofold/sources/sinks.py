@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import textwrap
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..functions import text as T
+
 
 def flat(df: DataFrame) -> DataFrame:
     """df with string arrays joined by pipes and without other nested columns."""
@@ -19,8 +23,16 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    flat(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+#: Marks a file as UTF-8 for programs that ask for it.
+BOM = "\ufeff"
+
+
+def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
+    """A folder of CSV parts, each with its header; with bom, the header of each part begins with the mark."""
+    rows = flat(df)
+    if bom and rows.columns:
+        rows = rows.withColumnRenamed(rows.columns[0], BOM + rows.columns[0])
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -38,3 +50,79 @@ def markdown(title: str, tables: dict[str, DataFrame], most: int = 20) -> str:
         parts += ["", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
         parts += ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|").replace("\n", " ") for v in row) + " |" for row in df.limit(most).collect()]
     return "\n".join(parts) + "\n"
+
+
+def table(columns: list[str], rows: list[tuple]) -> list[str]:
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    return ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]
+
+
+def analysis_report(video: str, stats: DataFrame, keywords: DataFrame, entities: DataFrame, labels: DataFrame, liked: DataFrame, themes: DataFrame, advice: DataFrame, angles: DataFrame, generated: str = "") -> str:
+    """The analysis of comments as Markdown.  Every table is short by its operator; they are read in their own order."""
+    s = stats.first()
+    total = max(s.total_all, 1)
+    parts = ["# Comment analysis", "", f"**Video:** `{video}`  ", f"**Generated:** {generated}", "", "## Statistics", ""]
+    shown = [("Top-level comments", f"{s.total_top_level:,}"), ("Replies", f"{s.total_replies:,}"), ("All", f"{s.total_all:,}"), ("Authors", f"{s.unique_authors:,}"), ("Mean length", f"{s.avg_length:.1f}"), ("Median length", f"{s.median_length:.1f}"), ("Mean likes", f"{s.avg_likes:.2f}"), ("Likes", f"{s.total_likes:,}"), ("Most likes", f"{s.max_likes:,}")]
+    parts += table(["Metric", "Value"], shown)
+    found = keywords.collect()
+    for name, kind, n in (("Words", "unigram", 20), ("Pairs", "bigram", 15)):
+        parts += ["", f"## {name}", "", *table(["Phrase", "Count"], [(r.phrase, r.n) for r in found if r.type == kind][:n])]
+    if names := [r.word for r in entities.limit(20).collect()]:
+        parts += ["", "## Names", "", ", ".join(f"`{n}`" for n in names)]
+    parts += ["", "## Reactions", "", *table(["Label", "Comments", "Share"], [(r.label.replace("_", " ").title(), r.n, f"{r.n / total * 100:.1f}%") for r in labels.collect()])]
+    parts += ["", "## Most liked", ""]
+    for i, r in enumerate(liked.limit(10).collect(), 1):
+        text = r.text if len(r.text) <= 200 else r.text[:200].rstrip() + "…"
+        parts += [f"**{i}. [{r.like_count} likes]** *{r.author}*", "", "> " + text.replace("\n", " "), ""]
+    if words := [r.phrase for r in themes.collect()]:
+        parts += ["## Themes of the most liked", "", *(f"- `{w}`" for w in words), ""]
+    parts += ["## Recommendations", "", *(x for i, r in enumerate(advice.orderBy("place").collect(), 1) for x in (f"**{i}.** " + textwrap.fill(r.text, 90), ""))]
+    parts += ["## Angles", "", *(f"- {r.text}" for r in angles.orderBy("place").collect())]
+    return "\n".join(parts) + "\n"
+
+
+def bars(df: DataFrame, label: str, value: str, most: int = 10, width: int = 30) -> str:
+    """Lines for a terminal: rank, label, value and a bar, in the table's own order."""
+    return "\n".join(f"{i:>3}. {str(r[label]):<18} {r[value]:>6}  {'█' * min(int(r[value]), width)}" for i, r in enumerate(df.limit(most).collect(), 1))
+
+
+def summary(package: dict[str, DataFrame]) -> str:
+    """A package in a few lines for a terminal."""
+    m = package["meta"].first()
+    records = package["highlight_comments"]
+    lines = ["=" * 60, f"comments {m.comments}, messages {m.messages}, segments {m.segments}, spikes {m.spikes}, shorts by {'spikes' if m.spike_mode else 'concepts'}", ""]
+    lines.append(bars(records.groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category"), "category", "n", 9, 20))
+    lines += ["", *(f"{i}. [{r.likes} likes] [{r.category}] {r.priority:.1f}  " + r.text[:55].replace("\n", " ") for i, r in enumerate(records.limit(5).collect(), 1))]
+    lines += ["", *(f"- {r.title[:50]}  ~{r.seconds} s" for r in package["shorts_sequences"].collect())]
+    return "\n".join(lines) + "\n"
+
+
+def brief(package: dict[str, DataFrame]) -> str:
+    """The shorts of a package as Markdown."""
+    parts = ["# Shorts", ""]
+    for r in package["shorts_sequences"].collect():
+        parts += [f"## {r.title}", "", r.description, "", f"> {r.hook.text}", "", f"{r.seconds} s · {r.call}", ""]
+    return "\n".join(parts)
+
+
+def write_package(package: dict[str, DataFrame], folder: str) -> dict[str, str]:
+    """Every table of a package as JSON, and those with flat columns as CSV besides; empty tables leave empty folders.  Gives what was written where."""
+    written = {}
+    for name, df in package.items():
+        write_json(df, f"{folder}/{name}.json")
+        written[name] = f"{folder}/{name}.json"
+        if name in ("highlight_comments", "highlight_moments", "spike_moments"):
+            write_csv(df, f"{folder}/{name}.csv")
+            written[f"{name}_csv"] = f"{folder}/{name}.csv"
+    spark = package["meta"].sparkSession
+    for name, text in (("shorts_script.md", brief(package)), ("summary.txt", summary(package))):
+        write_text(spark.createDataFrame([(text,)], "value string"), "value", f"{folder}/{name}")
+        written[name] = f"{folder}/{name}"
+    return written
+
+
+def guide(segments: DataFrame, title: str) -> DataFrame:
+    """line, in order: the segments of a video as a Markdown list with their times."""
+    line = F.concat(F.lit("- **"), T.minutes_clock(F.col("start")), F.lit("–"), T.minutes_clock(F.col("end")), F.lit("** "), F.col("text"))
+    head = segments.sparkSession.createDataFrame([(-2, f"# {title}"), (-1, "")], "seq int, line string")
+    return head.unionByName(segments.select(F.col("seq").cast("int").alias("seq"), line.alias("line"))).orderBy("seq").select("line")

@@ -24,7 +24,7 @@ def test_reactions_of_every_user(spark, tmp_path):
         anchors = [c[len(c) // 2] for c in clusters]
         want[name] = len({(ts, user, text) for ts, _, user, text in chat for a in anchors if max(0.0, a - 10) <= ts <= a + 30})
     assert set(want) == {3, 20, 21, 40, 900}
-    assert {r.name: r.n for r in catalog.queries()["cluster_reactions_all"](spark, str(tmp_path)).collect()} == want
+    assert {r.name: r.n for r in catalog.queries()["cluster_reactions"](spark, str(tmp_path)).collect()} == want
 
 
 def test_first_texts_are_compared_whole(spark, tmp_path):
@@ -41,4 +41,4 @@ def test_first_texts_are_compared_whole(spark, tmp_path):
                 seen.append(text)
                 want.add((role, len(seen), text, c, t))
     assert len(want) > 6
-    assert {(r.author, r.rank, r.text, r.conv_id, r.turn) for r in catalog.queries()["first_distinct_whole"](spark, str(tmp_path)).collect()} == want
+    assert {(r.author, r.rank, r.text, r.conv_id, r.turn) for r in catalog.queries()["first_distinct"](spark, str(tmp_path)).collect()} == want
