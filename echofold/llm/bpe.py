@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shared
+from . import repeats, shared
 from .token_counts import Merges, merge_batch
 
 #: Unicode White_Space, which the vocabulary's normalizer folds into one space.
@@ -52,7 +52,7 @@ MARGIN = 256
 #: Kinds of cuts: at a space, within a run of one kind of characters, between pre-tokens of one word, elsewhere in a word.
 SPACE, INNER, BETWEEN, RAW = 0, 1, 2, 3
 #: Entries and characters of a worker's word table; it starts anew beyond either.
-TABLE_WORDS, TABLE_CHARS = 150_000, 1 << 22
+TABLE_WORDS, TABLE_CHARS = 100_000, 1 << 21
 
 
 class Vocabulary:
@@ -273,8 +273,8 @@ def _id_table(path: str) -> WordTable:
     return WordTable(v.encode_words)
 
 
-#: Texts that share one look-up of missing words, in characters.
-BATCH_CHARS = 1_000_000
+#: Texts that share one look-up of missing words, in characters; a slice of a batch, in bytes.
+BATCH_CHARS, SLICE_BYTES = 1_000_000, 1 << 20
 
 
 def batches(texts: list[str], limit: int = BATCH_CHARS) -> Iterator[slice]:
@@ -301,12 +301,11 @@ def encode_texts(path: str, texts: list[str]) -> list[bytes]:
 def _encode_whole(path: str, decode: bool):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for batch in frames:
-            texts = batch.column("text").to_pylist()
-            for part in batches(texts):
-                ids = encode_texts(path, texts[part])
-                decoded = [v.decode(x) if decode else None for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part], pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+        # A slice of texts at a time becomes Python objects, not a whole batch.
+        for batch in (x for b in frames for x in repeats.slices(b, SLICE_BYTES)):
+            ids = encode_texts(path, batch.column("text").to_pylist())
+            decoded = [v.decode(x) if decode else None for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return run
 

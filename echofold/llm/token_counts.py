@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shared
+from . import repeats, shared
 
 NONE = np.int32(2**31 - 1)
 
@@ -159,7 +159,7 @@ def count_texts(path: str, texts: list[str]) -> list[int]:
 
 def _run(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in repeats.slices(b, 1 << 20)):
             n = pa.array(count_texts(path, batch.column("text").to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), n], names=["doc_id", "n_bytes", "n_tokens"])
 
