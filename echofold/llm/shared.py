@@ -13,8 +13,16 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 
+#: Bytes of rows that reach a Python worker at once.
+ARROW_BYTES = 4 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let the session's Python workers import this package wherever the driver was started."""
+    """Let the session's Python workers import this package wherever the driver was started, and hand them rows in batches bounded by bytes:
+    a number of rows alone bounds nothing where texts are long."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(limit).rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(limit, str(ARROW_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
