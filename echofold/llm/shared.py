@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 
+#: Of stored tables: hashes hardly shrink, and this codec takes no memory outside the heap.
+CODEC = "lz4_raw"
 #: Bytes of rows that reach a Python worker at once.
 ARROW_BYTES = 4 << 20
 
@@ -70,7 +72,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back with the same schema."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", CODEC).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -66,7 +66,7 @@ class FingerprintIndex:
         """A run of rows that the last aggregation has dealt out by KEY already, so each bucket is one file."""
         path = shared.shared_path(self.spark, "run")
         name = "echofold_" + path.rpartition("-")[2]
-        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+        rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).option("compression", shared.CODEC).format("parquet").saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
