@@ -68,11 +68,11 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, codec: str = CODEC) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back with the same schema."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.option("compression", CODEC).parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -163,8 +163,8 @@ def dedup(df: DataFrame, window: int = WINDOW, core: int = CORE, unit: repeats.B
     shared.prepare(spark)
     rows = repeats.clean(df).select("doc_id", "text")
     unit = unit or repeats.Bytes(window, core)
-    index = shared.store(repeats.index_rows(rows, unit), "suffix-rows")
-    marks = shared.store(mark(index.filter(F.col("kind") == repeats.INDEX), unit), "suffix-marks")
+    index = shared.store(repeats.index_rows(rows, unit), "suffix-rows", "zstd")  # the largest table of all
+    marks = shared.store(mark(index.filter(F.col("kind") == repeats.INDEX), unit), "suffix-marks", "zstd")
     wanted = marks.filter(F.col("kind") >= repeats.OPEN).select("anchor", (F.col("kind") == repeats.HOT).alias("hot"), "doc_id", "place")
     opened = repeats.pieces(wanted, rows, unit)
     spans = repeats.removed(index).unionByName(repeats.whole(marks.filter(F.col("kind") == repeats.REMOVED))).unionByName(repeats.solved(opened, unit, solver(window)))
