@@ -11,7 +11,7 @@
 
 Rows are (kind, anchor, variant, digest, doc_id, place); variant and digest are the 128 bits of the group's content.
 place = 15 bits of the text's CRC-32 << 48 | first window << 16 | windows << 8 | the anchor's offset.  The CRC keeps texts apart that share a
-doc_id.  Of REMOVED rows, runs of windows that index_rows has settled, variant is the number of windows.
+doc_id.  Of REMOVED rows, runs of windows that index_rows has settled, variant is the number of windows.  SETTLED rows are whole groups.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import shared, winnow
 
-INDEX, REMOVED, OPEN, HOT = 0, 1, 2, 3
+INDEX, REMOVED, OPEN, HOT, SETTLED = 0, 1, 2, 3, 4
 #: Variants of one anchor that may meet in one task.
 LIMIT = 256
 #: Into how many parts the windows of a hot anchor are cut at a time.

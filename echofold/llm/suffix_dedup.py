@@ -95,7 +95,10 @@ def solver(window: int, halvings: int = HALVINGS) -> repeats.Solver:
 
 
 def mark(index: DataFrame, unit: repeats.Bytes) -> DataFrame:
-    """Settled (REMOVED) and open (OPEN, HOT) rows of INDEX rows; the rest needs no more."""
+    """SETTLED and open (OPEN, HOT) rows of INDEX rows, and REMOVED rows as they are; the rest needs no more.
+
+    The rows are never stored before: they are the largest table of all.  REMOVED ones, few by now, pass through, spread by document and place.
+    """
 
     def settled(a: dict[str, np.ndarray], hot: bool, last: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
         """What is known of rows sorted by KEY, doc_id and place; of the others, those that stay open if last."""
@@ -107,7 +110,7 @@ def mark(index: DataFrame, unit: repeats.Bytes) -> DataFrame:
         first = np.maximum.accumulate(np.where(new_variant, np.arange(n), 0))
         later = repeats.later_than(a["doc_id"], a["place"], first, unit.within)
         frame = pd.DataFrame(a)
-        gone = frame[later].assign(kind=repeats.REMOVED)
+        gone = frame[later].assign(kind=repeats.SETTLED)
         if not last:
             return gone, frame[~later]
         group = np.cumsum(new_anchor) - 1
@@ -122,6 +125,10 @@ def mark(index: DataFrame, unit: repeats.Bytes) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, hot = None, False
         for df in frames:
+            passed = df["kind"] == repeats.REMOVED
+            if passed.any():
+                yield df[passed]
+                df = df[~passed]
             if held is not None:
                 df = pd.concat([held, df], ignore_index=True)
             if not len(df):
@@ -148,7 +155,8 @@ def mark(index: DataFrame, unit: repeats.Bytes) -> DataFrame:
             if len(df):
                 yield df.assign(kind=df["kind"].astype(np.int32))[repeats.COLUMNS]
 
-    return index.repartition(F.xxhash64("anchor")).sortWithinPartitions("anchor", "variant", "digest", "doc_id", "place").mapInPandas(typed, repeats.ROWS)
+    key = F.when(F.col("kind") == repeats.REMOVED, F.xxhash64("doc_id", "place")).otherwise(F.xxhash64("anchor"))
+    return index.repartition(key).sortWithinPartitions("anchor", "variant", "digest", "doc_id", "place").mapInPandas(typed, repeats.ROWS)
 
 
 def dedup(df: DataFrame, window: int = WINDOW, core: int = CORE, unit: repeats.Bytes | None = None) -> DataFrame:
@@ -163,11 +171,11 @@ def dedup(df: DataFrame, window: int = WINDOW, core: int = CORE, unit: repeats.B
     shared.prepare(spark)
     rows = repeats.clean(df).select("doc_id", "text")
     unit = unit or repeats.Bytes(window, core)
-    index = shared.store(repeats.index_rows(rows, unit), "suffix-rows", "zstd")  # the largest table of all
-    marks = shared.store(mark(index.filter(F.col("kind") == repeats.INDEX), unit), "suffix-marks", "zstd")
-    wanted = marks.filter(F.col("kind") >= repeats.OPEN).select("anchor", (F.col("kind") == repeats.HOT).alias("hot"), "doc_id", "place")
+    marks = shared.store(mark(repeats.index_rows(rows, unit), unit), "suffix-marks", "zstd")
+    open_kinds = F.col("kind").isin(repeats.OPEN, repeats.HOT)
+    wanted = marks.filter(open_kinds).select("anchor", (F.col("kind") == repeats.HOT).alias("hot"), "doc_id", "place")
     opened = repeats.pieces(wanted, rows, unit)
-    spans = repeats.removed(index).unionByName(repeats.whole(marks.filter(F.col("kind") == repeats.REMOVED))).unionByName(repeats.solved(opened, unit, solver(window)))
+    spans = repeats.removed(marks).unionByName(repeats.whole(marks.filter(F.col("kind") == repeats.SETTLED))).unionByName(repeats.solved(opened, unit, solver(window)))
     found = repeats.by_document(spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
