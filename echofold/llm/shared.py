@@ -73,8 +73,9 @@ def store(df: DataFrame, name: str, codec: str = CODEC) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    # What was shuffled to write it isn't needed any more; Spark deletes it once the driver's collector finds out.
-    spark.sparkContext._jvm.System.gc()
+    if not spark.sparkContext.master.startswith("local["):
+        # What was shuffled to write it isn't needed any more; Spark deletes it from the executors once the driver's collector finds out.
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
