@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, media, ngram_join, quality_crf, substring_dedup, suffix_dedup, toxicity
+from . import centroids, decontaminate, licenses, media, ngram_join, quality_crf, substring_dedup, suffix_dedup, toxicity
 from .bpe import encode
 from .shared import documents, held_out
 from .token_counts import token_counts
@@ -74,6 +74,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), vocabulary_path())
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of the embeddings after ten rounds, with sums of squared distances."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return centroids.digest(centroids.cluster(vectors))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -86,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": op8_ngram_join,
         "op9_decontaminate": op9_decontaminate,
         "op10_token_counts": op10_token_counts,
+        "op13_centroids": op13_centroids,
     }
 
 
@@ -96,4 +103,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_substring_dedup": substring_dedup.ORACLE,
         "op8_ngram_join": ngram_join.ORACLE,
         "op9_decontaminate": decontaminate.ORACLE,
+        "op13_centroids": centroids.oracle(),
     }
