@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontaminate, licenses, media, ngram_join, quality_crf, substring_dedup, suffix_dedup, toxicity
+from . import centroids, decontaminate, licenses, media, ngram_join, quality_crf, substring_dedup, suffix_dedup, toxicity, variants
 from .bpe import encode
 from .shared import documents, held_out
 from .token_counts import token_counts
@@ -74,6 +74,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), vocabulary_path())
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents, each with its near words and most frequent spelling."""
+    return variants.group(documents(spark, sf_dir))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight clusters of the embeddings after ten rounds, with sums of squared distances."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
@@ -92,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": op8_ngram_join,
         "op9_decontaminate": op9_decontaminate,
         "op10_token_counts": op10_token_counts,
+        "op11_variants": op11_variants,
         "op13_centroids": op13_centroids,
     }
 
@@ -103,5 +109,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_substring_dedup": substring_dedup.ORACLE,
         "op8_ngram_join": ngram_join.ORACLE,
         "op9_decontaminate": decontaminate.ORACLE,
+        "op11_variants": variants.ORACLE,
         "op13_centroids": centroids.oracle(),
     }
