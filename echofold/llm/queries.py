@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, decontaminate, licenses, media, ngram_join, quality_crf, substring_dedup, suffix_dedup, toxicity, variants
+from . import centroids, decontaminate, licenses, media, ngram_join, packing, quality_crf, substring_dedup, suffix_dedup, toxicity, variants
 from .bpe import encode
 from .shared import documents, held_out
 from .token_counts import token_counts
@@ -79,6 +79,11 @@ def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(documents(spark, sf_dir))
 
 
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.packed(documents(spark, sf_dir), vocabulary_path("byte_bpe_50k.json"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight clusters of the embeddings after ten rounds, with sums of squared distances."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
@@ -98,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontaminate": op9_decontaminate,
         "op10_token_counts": op10_token_counts,
         "op11_variants": op11_variants,
+        "op12_best_fit": op12_best_fit,
         "op13_centroids": op13_centroids,
     }
 
