@@ -76,7 +76,8 @@ def store(df: DataFrame, name: str, codec: str = CODEC) -> DataFrame:
     if not spark.sparkContext.master.startswith("local["):
         # What was shuffled to write it isn't needed any more; Spark deletes it from the executors once the driver's collector finds out.
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    # The codec's decompressor can't read a large dictionary page by itself, which is what a filter on dictionaries does.
+    return spark.read.option("parquet.filter.dictionary.enabled", "false").schema(df.schema).parquet(path)
 
 
 def drop_stored(spark: SparkSession, df: DataFrame) -> None:

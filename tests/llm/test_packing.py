@@ -127,3 +127,9 @@ def test_table_of_documents(spark, library):
 
 def test_empty_table(spark):
     assert P.packed(spark.createDataFrame([], SCHEMA), PATH).collect() == []
+
+
+def test_filters_on_large_dictionaries_of_stored_tables(spark):
+    rows = spark.range(0, 60_000, 1, 1).selectExpr("id", "(id * 7919) % 2000 AS length")
+    stored = shared.store(rows, "dictionary")
+    assert stored.filter("length < 1500").count() == 45_000
