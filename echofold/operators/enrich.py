@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from .. import phrases as P
+from .. import stages
 from ..functions import text as T
 from . import entities as E
 from .chat import interval_join
 from .matching import overlaps
+from .terms import contained
 
 
 def context(spikes: DataFrame, segments: DataFrame, size: float) -> DataFrame:
@@ -56,7 +58,7 @@ def named_in(messages: DataFrame, roster: DataFrame, aliases: DataFrame, keys: l
     tokens = messages.select(*keys, F.explode(F.array_distinct(F.concat(*(T.titled(F.col("text"), p) for p in patterns)))).alias("token"))
     known = E.resolve(tokens, roster, aliases, **resolving).filter("name IS NOT NULL").select("token", "name")
     titled = tokens.join(known, "token").select(*keys, "name")
-    bare = E.containing(messages.select(*keys, "text"), F.col("text"), roster.select(F.col("name").alias("_bare")).filter(F.length("name") >= least), "_bare")
+    bare = contained(messages.select(*keys, "text"), F.col("text"), roster.select(F.col("name").alias("_bare")).filter(F.length("name") >= least), "_bare")
     bare = bare.join(aliases.select(F.col("alias").alias("_bare"), "canonical"), "_bare", "left").select(*keys, F.coalesce("canonical", "_bare").alias("name"))
     return titled.unionByName(bare).distinct()
 
@@ -210,24 +212,33 @@ def buzz_summary(rows: DataFrame) -> DataFrame:
     return rows.select("id", "buzz", label.alias("label"), headline.alias("headline"), text.alias("narrative"))
 
 
-def enrich(spikes: DataFrame, messages: DataFrame, segments: DataFrame, roster: DataFrame, aliases: DataFrame, size: float, registry: DataFrame | None = None, present: DataFrame | None = None, words: dict | None = None) -> dict[str, DataFrame]:
+def enrich(
+    spikes: DataFrame, messages: DataFrame, segments: DataFrame, roster: DataFrame, aliases: DataFrame, size: float, registry: DataFrame | None = None, present: DataFrame | None = None, words: dict | None = None, kept: stages.Stages | None = None
+) -> dict[str, DataFrame]:
     """Everything that is known of spikes, as tables by id: context, events (spoken), people, mentions, chat_events, primary, reactions, narrative and buzz.
 
     messages: row, ts, text, layer (see entities.message_layer).  present: name, alias of participants who chat.  words: other word lists and patterns,
-    by the names of L's and T's.
+    by the names of L's and T's.  Each input is read once: the spikes, their commentary, the messages around them and the names in those are stage tables of `kept`
+    (by default the session's own), and every result is derived from them.
     """
+    keep = (kept or stages.of(spikes.sparkSession)).keep
+    spikes = keep(spikes, "spikes")
     w = {"events": L.EVENTS_OF, "not_now": L.NOT_NOW, "cheer": L.CHEER, "sure": L.SURE_EVENTS, "reactions": L.REACTIONS | L.REACTION_WORDS, "excited": L.EXCITED, "tense": L.TENSE, "patterns": None, "spaced": T.TITLED_SPACED, "resolving": {}} | (words or {})
-    contexts = context(spikes, segments, size)
+    contexts = keep(context(spikes, segments, size), "context")
     tight = F.col("ts").between(F.greatest(F.lit(0.0), F.col("anchor") - 10), F.col("anchor") + 5)
     spans = spikes.withColumn("low", F.greatest(F.lit(0.0), F.least(F.col("ws") - 30, F.col("anchor") - 10))).withColumn("high", F.greatest("we", F.col("anchor") + 5))
     around = interval_join(messages, spans, size).withColumn("tight", tight).withColumn("peak", F.col("ts").between(F.col("ws"), F.col("we")))
     around = around.withColumn("near", (F.col("ts") >= F.greatest(F.lit(0.0), F.col("ws") - 30)) & (F.col("ts") <= F.col("we")))
+    around = keep(around.select("id", "row", "tight", "peak", "near", "layer", "text"), "around")
     spoken_of = around.filter(F.col("layer").isin("event", "mixed") & (F.col("tight") | F.col("near"))).select("id", "row", "tight", "text")
     named = named_in(spoken_of, roster, aliases, ["id", "row"], w["patterns"], **w["resolving"])
     if registry is not None:
         named = E.players_only(named, registry).select("id", "row", "name")
+    named = keep(named, "named")
     mentions, chat_events = mentions_and_events(spoken_of, named, w["events"], w["cheer"], w["sure"])
     spoken = spoken_names(contexts, roster, aliases, registry, w["spaced"], **w["resolving"])
+    spoken = keep(spoken, "spoken")
+    mentions, chat_events = keep(mentions, "mentions"), keep(chat_events, "events")
     people = ordered_people(spoken, mentions)
     main = primary(spoken, mentions, around.filter("peak").select("id", "text"))
     peak = around.filter("peak")
@@ -245,7 +256,7 @@ def enrich(spikes: DataFrame, messages: DataFrame, segments: DataFrame, roster:
     person = F.lit(None).cast("string")
     if present is not None:
         named_first = people.join(present.select("name").distinct(), "name").groupBy("id").agg(F.min_by("name", "place").alias("_named"))
-        held = E.containing(peak.filter(F.col("layer").isin("internal", "mixed")).select("id", "text"), F.col("text"), present.select("name", "alias"), "alias").groupBy("id").agg(F.min("name").alias("_held"))
+        held = contained(peak.filter(F.col("layer").isin("internal", "mixed")).select("id", "text"), F.col("text"), present.select("name", "alias"), "alias").groupBy("id").agg(F.min("name").alias("_held"))
         base = base.join(named_first, "id", "left").join(held, "id", "left")
         person = F.coalesce("_named", "_held")
     summary = buzz_summary(
@@ -257,19 +268,77 @@ def enrich(spikes: DataFrame, messages: DataFrame, segments: DataFrame, roster:
     return {"context": contexts, "events": events, "people": people, "mentions": mentions, "chat_events": chat_events, "primary": main, "reactions": reactions, "narrative": story, "buzz": summary}
 
 
+def bare_name(name: Column) -> Column:
+    """Without a form of address."""
+    return F.replace(F.replace(name, F.lit(" 프로"), F.lit("")), F.lit(" 선수"), F.lit(""))
+
+
+def search_terms(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """name, term: what messages about a person hold, the bare name or an alias of the person."""
+    own = names.select("name").distinct()
+    known = aliases.select(F.col("canonical").alias("name"), F.col("alias").alias("term"))
+    return own.select("name", bare_name(F.col("name")).alias("term")).unionByName(known.join(own, "name", "left_semi")).distinct()
+
+
+def told_of(messages: DataFrame, names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """name, ts, row, text: the messages (row, ts, text) that hold a search term of a person, each once for the person."""
+    found = contained(messages.select("row", "ts", "text"), F.col("text"), search_terms(names, aliases), "term")
+    return found.dropDuplicates(["name", "row"]).select("name", "ts", "row", "text")
+
+
+def toned(messages: DataFrame, newcomer: list[str] = L.NEWCOMER, praise: list[str] = L.PRAISE, lasting: list[str] = L.LASTING) -> DataFrame:
+    """messages (name, ts, row, text) with newcomer, praise and lasting: whether a word of the list is there; lasting ones come after three quarters of
+    the time of the person's last message."""
+    last = messages.groupBy("name").agg(F.max("ts").alias("_last"))
+    low = F.col("_low")
+    rows = messages.join(last, "name").withColumn("_low", T.once(F.lower("text")))
+    stays = (F.col("ts") > 0.75 * F.col("_last")) & T.contains_any(low, lasting)
+    return rows.select("name", "ts", "row", "text", T.contains_any(low, newcomer).alias("newcomer"), T.contains_any(low, praise).alias("praise"), stays.alias("lasting"))
+
+
 def tone(messages: DataFrame, newcomer: list[str] = L.NEWCOMER, praise: list[str] = L.PRAISE, lasting: list[str] = L.LASTING) -> DataFrame:
-    """name, newcomer_n, praise_n, lasting_n, said (the first lasting message) of messages (name, ts, row, text) that name people.
+    """name, newcomer_n, praise_n, lasting_n, said (the first lasting message) of messages (name, ts, row, text) about people: see told_of."""
+    rows = toned(messages, newcomer, praise, lasting)
+    return rows.groupBy("name").agg(
+        F.count_if("newcomer").alias("newcomer_n"), F.count_if("praise").alias("praise_n"), F.count_if("lasting").alias("lasting_n"), F.min_by("text", F.when(F.col("lasting"), F.struct("ts", "row"))).alias("said")
+    )
+
+
+def first_texts(rows: DataFrame, keys: list[str], most: Column | int, order: str) -> DataFrame:
+    """keys, texts: the texts of each key's first rows, in order; no more than `most` of them are gathered."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    first = rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most)
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "text"))), lambda x: x["text"]).alias("texts"))
+
 
-    A message is lasting if it comes after three quarters of the time of the person's last one and holds a word of the list.
+def tone_samples(messages: DataFrame, newcomer: list[str] = L.NEWCOMER, praise: list[str] = L.PRAISE, lasting: list[str] = L.LASTING) -> DataFrame:
+    """name, newcomer_said, praise_said, lasting_said: the first three, three and two messages of each tone."""
+    kinds = ("newcomer", "praise", "lasting")
+    rows = toned(messages, newcomer, praise, lasting).withColumn("kind", F.explode(F.array_compact(F.array(*(F.when(F.col(k), F.lit(k)) for k in kinds)))))
+    most = F.when(F.col("kind") == "lasting", 2).otherwise(3)
+    found = first_texts(rows.withColumn("_o", F.struct("ts", "row")).filter("kind IS NOT NULL"), ["name", "kind"], 3, "_o")
+    found = found.withColumn("texts", F.slice("texts", 1, most))
+    none = F.array().cast("array<string>")
+    own = [F.coalesce(F.max(F.when(F.col("kind") == k, F.col("texts"))), none).alias(f"{k}_said") for k in kinds]
+    return found.groupBy("name").agg(*own)
+
+
+def chat_samples(links: DataFrame, messages: DataFrame, most: int = 6) -> DataFrame:
+    """name, samples: different messages about a person from a minute before each spike to its end, spike by spike.
+
+    links: name, rank, ws, we; messages: name, ts, row, text (see told_of).  Texts of three characters or fewer don't count.
     """
-    low = F.lower("text")
-    rows = messages.withColumn("_late", F.col("ts") > 0.75 * F.max("ts").over(Window.partitionBy("name"))).withColumn("_low", T.once(low))
-    stays = F.col("_late") & T.contains_any(F.col("_low"), lasting)
-    rows = rows.withColumn("_stays", stays)
-    return rows.groupBy("name").agg(
-        F.count_if(T.contains_any(F.col("_low"), newcomer)).alias("newcomer_n"), F.count_if(T.contains_any(F.col("_low"), praise)).alias("praise_n"), F.count_if(F.col("_stays")).alias("lasting_n"),
-        F.min_by("text", F.when(F.col("_stays"), F.struct("ts", "row"))).alias("said"),
-    )
+    rows = messages.join(links.select("name", "rank", "ws", "we"), "name").filter(F.col("ts").between(F.greatest(F.lit(0.0), F.col("ws") - 60), F.col("we")))
+    rows = rows.withColumn("_t", T.strip(F.col("text"))).filter(F.length("_t") > 3)
+    once = rows.groupBy("name", "_t").agg(F.min(F.struct("rank", "row")).alias("_o"), F.min_by("text", F.struct("rank", "row")).alias("text"))
+    return first_texts(once, ["name"], most, "_o").withColumnRenamed("texts", "samples")
+
+
+def spike_ranks(named: DataFrame, spikes: DataFrame, size: float, most: int = 4) -> DataFrame:
+    """name, ranks: the first spikes (rank, ws, we) in which a person is named.  named: name, ts."""
+    rows = interval_join(named.select("name", "ts"), spikes.select("rank", "ws", "we"), size, "ws", "we").select("name", "rank").distinct()
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("name").orderBy("rank"))).filter(F.col("_r") <= most)
+    return first.groupBy("name").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
 
 
 def discovery(people: DataFrame) -> DataFrame:
@@ -280,7 +349,7 @@ def discovery(people: DataFrame) -> DataFrame:
         .when(several & (F.col("clusters") >= 2), P.fill(P.SPREAD, clusters=F.col("clusters")))
         .otherwise(P.fill(P.FIRST_LOOK, mentions=F.col("mentions"), sentiment=F.col("label")))
     )
-    bare = F.replace(F.replace("name", F.lit(" 프로"), F.lit("")), F.lit(" 선수"), F.lit(""))
+    bare = bare_name(F.col("name"))
     link = E.linked(F.col("ranks"))
     act = (
         F.when(F.col("label").isin("감탄·대박", "놀람·흥분") | (F.col("praise_n") >= 3), P.fill(P.ACTION_SKILL, linked=link, name=bare))
@@ -291,8 +360,9 @@ def discovery(people: DataFrame) -> DataFrame:
     return people.select("name", read.alias("interpretation"), act.alias("action"))
 
 
-def discovery_context(links: DataFrame) -> DataFrame:
-    """name, rank, line of links (name, rank, anchor, pre_text, concurrent_text, event): what is known of a person's spike."""
+def discovery_context(links: DataFrame, most: int = 3) -> DataFrame:
+    """name, rank, line of links (name, place, rank, anchor, pre_text, concurrent_text, event): what is known of a person's first spikes; places count from 0."""
+    links = links.filter(F.col("place") < most)
     best = F.when(T.has_text(F.col("pre_text")), T.strip(F.col("pre_text"))).otherwise(T.strip(F.coalesce("concurrent_text", F.lit(""))))
     rows = links.withColumn("_best", T.once(best)).withColumn("_time", T.long_clock(F.col("anchor").cast("string")))
     parts = {"rank": F.col("rank"), "time": F.col("_time")}
@@ -305,21 +375,43 @@ def discovery_context(links: DataFrame) -> DataFrame:
     return rows.select("name", "rank", line.alias("line"))
 
 
+def discovery_cards(people: DataFrame, context: DataFrame, samples: DataFrame, said: DataFrame) -> DataFrame:
+    """name, context (lines on the first three spikes), samples, reaction, newcomer_said, praise_said, lasting_said, interpretation and action.
+
+    people: what discovery wants, and positive, per_event and top of people_metrics; context: name, rank, line (see discovery_context); samples: see
+    chat_samples; said: see tone_samples.  What a person has none of is an empty array.
+    """
+    none = F.array().cast("array<string>")
+    lines = context.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]).alias("context"))  # three at most
+    kinds = F.when(F.size("top") > 0, F.array_join(F.slice("top", 1, 3), "  ·  ")).otherwise("—")
+    values = {"mentions": F.col("mentions"), "clusters": F.col("clusters"), "share": F.floor(F.col("positive") * 100).cast("long"), "rate": F.format_string("%.1f", "per_event"), "kinds": kinds}
+    rows = people.select("name", P.fill(P.FOUND_REACTION, **values).alias("reaction")).join(discovery(people), "name").join(lines, "name", "left").join(samples, "name", "left").join(said, "name", "left")
+    some = [F.coalesce(c, none).alias(c) for c in ("context", "samples", "newcomer_said", "praise_said", "lasting_said")]
+    return rows.select("name", *some, "reaction", "interpretation", "action")
+
+
 def people_metrics(messages: DataFrame, named: DataFrame, size: float, gap: float = 60.0, before: float = 10.0, after: float = 30.0, reactions: dict[str, str] = L.REACTIONS) -> DataFrame:
-    """name, mentions, clusters, reactions, good, bad, tense, top, dominant, label of people.  messages: row, ts, author, text; named: row, name.
+    """name, mentions, clusters, reactions, good, bad, tense, top, dominant, label, per_event, per_mention, positive of people.
 
-    Reactions are those of the messages around each cluster of mentions, each message once for a person; words that only count in a spike's profile don't.
+    messages: ts, author, text; named: row, ts, name.  per_event has one decimal, per_mention and the positive share have two, rounded half up.  Reactions are those of the messages around each cluster of mentions, each message once for a person; words that only count in a spike's profile don't.
     """
     from .chat import attributed, session_clusters
 
-    times = named.join(messages.select("row", "ts"), "row").select("name", "ts", "row")
+    times = named.select("name", "ts", "row")
     clusters = session_clusters(times, "name", gap)
     own = times.groupBy("name").agg(F.count("*").alias("mentions")).join(clusters.groupBy("name").agg(F.count("*").alias("clusters")), "name")
     around = attributed(clusters.select("name", "anchor"), messages.select("ts", "author", "text"), "name", size, before, after)
     found = E.reactions_of_people(E.reaction_counts(around, "name", reactions=reactions, more={}))
     rows = own.join(found, "name", "left")
     rows = rows.select("name", "mentions", "clusters", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("reactions", "good", "bad", "tense")), F.coalesce("top", F.array().cast("array<string>")).alias("top"), "dominant")
-    return rows.withColumn("label", E.sentiment(F.col("dominant"), F.col("reactions"), F.col("good"), F.col("bad"), F.col("tense")))
+    rows = rows.withColumn("label", E.sentiment(F.col("dominant"), F.col("reactions"), F.col("good"), F.col("bad"), F.col("tense")))
+    return rows.withColumn("per_event", rounded("reactions", "clusters", 1)).withColumn("per_mention", rounded("reactions", "mentions", 2)).withColumn("positive", rounded("good", "reactions", 2))
+
+
+def rounded(part: str, whole: str, digits: int) -> Column:
+    """part / whole with some decimals, half up, 0 of nothing; in whole numbers up to the last step."""
+    up = (F.lit(2 * 10**digits) * F.col(part) + F.col(whole)) / F.nullif(2 * F.col(whole), F.lit(0))
+    return F.coalesce(F.floor(up) / 10**digits, F.lit(0.0))
 
 
 def words_in_spikes(rows: DataFrame, events: dict[str, str] = L.EVENTS_OF, words: int = 15, happened: int = 10) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import lexicons as L
 from .. import phrases as P
 from ..functions import text as T
+from .terms import contained
 
 
 def message_layer(text: Column, logistics: list[str] = L.LOGISTICS, broadcast: list[str] = L.BROADCAST, reactions: list[str] | None = None) -> Column:
@@ -168,32 +169,17 @@ def disambiguate_in(tokens: DataFrame, candidates: DataFrame, texts: DataFrame,
     return disambiguate(rows, "_k").select(f"_k.{key}", "_k.token", "name")
 
 
-def containing(rows: DataFrame, text: Column, needles: DataFrame, needle: str) -> DataFrame:
-    """rows with every needle that their text contains, once each: they meet by the needles' first characters, as many as the shortest has.
-
-    A needle table is a dimension; the text side is never sent anywhere unless its grams meet one.
-    """
-    size = needles.agg(F.min(F.length(needle)).alias("k")).first().k  # one number
-    if not size:
-        return rows.crossJoin(needles.limit(0))
-    keyed = needles.distinct().withColumn("_gram", F.left(needle, F.lit(size)))
-    at = F.sequence(F.lit(1), F.length("_text") - size + 1)
-    grams = F.when(F.length("_text") >= size, F.array_distinct(F.transform(at, lambda i: F.substring("_text", i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
-    met = rows.withColumn("_text", text).withColumn("_gram", F.explode_outer(grams)).join(keyed, "_gram")
-    return met.filter(F.contains(F.col("_text"), F.col(needle))).drop("_text", "_gram")
-
-
 def mentions(messages: DataFrame, roster: DataFrame, least: int = 3) -> DataFrame:
     """row, name: whole roster names, of at least so many characters, found as substrings."""
     names = roster.select("name").filter(F.length("name") >= least)
-    return containing(messages.select("row", "text"), F.col("text"), names, "name").select("row", "name").distinct()
+    return contained(messages.select("row", "text"), F.col("text"), names, "name").select("row", "name").distinct()
 
 
 def active_participants(authors: DataFrame, patterns: DataFrame) -> DataFrame:
     """Participants one of whose patterns an author's name contains, whatever the case.  patterns: name, pattern."""
     a = authors.select(F.lower("author").alias("author")).distinct()
     p = patterns.select("name", F.lower("pattern").alias("pattern")).filter(F.length("pattern") > 0)
-    return containing(a, F.col("author"), p, "pattern").select("name").distinct()
+    return contained(a, F.col("author"), p, "pattern").select("name").distinct()
 
 
 def candidates_of(tokens: DataFrame, roster: DataFrame, aliases: DataFrame, suffixes: list[str] = L.SUFFIXES, forms: list[str] = L.TITLE_FORMS) -> DataFrame:

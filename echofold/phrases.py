@@ -185,6 +185,7 @@ FOUND_SPOKEN = "스파이크 #{rank} ({time}): 해설 「{snippet}」"
 FOUND_SPOKEN_EVENT = " → {event} 장면"
 FOUND_EVENT = "스파이크 #{rank} ({time}): {name} 관련 {event} 장면"
 FOUND_CHAT = "스파이크 #{rank} ({time}): {name} 관련 채팅 집중 구간"
+FOUND_REACTION = "총 {mentions}회 언급 · {clusters}개 시간 클러스터 · 긍정 비율 {share}% · 이벤트당 반응 {rate}건\n주요 반응 유형: {kinds}"
 LASTING = "{mentions}회의 언급이 방송 초반부터 종반까지 분산되어 있고, 종반부에도 '{said}' 같은 지속적인 관심 신호가 관측됩니다. 이는 단발성 스파이크가 아닌 팬덤 전환 초기 신호로 해석할 수 있습니다."
 SPREAD = "총 {clusters}개의 독립적 언급 클러스터에 걸쳐 반응이 분산되어 있습니다. 한 번 이상 시청자 집단 기억에 등록된 선수로, 추가 노출 시 팬층 전환 가능성이 있는 단계입니다."
 FIRST_LOOK = "이번 방송에서 {mentions}회 언급됐으며, 주요 반응 감성은 {sentiment}입니다. 현재는 관심 선수 단계이며, 추가 방송 출연을 통해 팬덤 전환 여부 확인이 권장됩니다."

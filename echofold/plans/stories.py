@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from .. import phrases as P
+from .. import stages
 from ..functions import text as T
 from ..operators import chat as K
 from ..operators import comments as C
@@ -100,30 +101,38 @@ def evidence_marks(spark, sf):
     return c.select("id", E.evidence_mark(F.col("evidence") != "none", F.col("evidence")).alias("mark"), E.rank_label(F.col("id") + 1).alias("label"))
 
 
-def named_rows(spark, sf):
+def crowd(spark, sf):
+    """The messages, and whom they name: each a stage table."""
+    keep = stages.of(spark).keep
     roster, aliases, registry = names(spark)
-    return E.players_only(N.named_in(talk(spark, sf), roster, aliases, ["row"], TITLED, **RESOLVING), registry).select("row", "name")
+    messages = keep(talk(spark, sf), "messages")
+    named = E.players_only(N.named_in(messages, roster, aliases, ["row", "ts"], TITLED, **RESOLVING), registry).select("row", "ts", "name")
+    return messages, keep(named, "named")
 
 
 def people_in_messages(spark, sf):
-    return named_rows(spark, sf)
+    return crowd(spark, sf)[1].select("row", "name")
+
+
+def _metrics(messages, named):
+    return N.people_metrics(messages, named, 60.0, reactions=REACTIONS)
 
 
 def people_metrics(spark, sf):
     """Every person who is named, with the reactions around."""
-    return N.people_metrics(talk(spark, sf), named_rows(spark, sf), 60.0, reactions=REACTIONS).withColumn("top", F.array_join("top", "  ·  "))
+    return _metrics(*crowd(spark, sf)).withColumn("top", F.array_join("top", "  ·  "))
 
 
-def _ranks(spark, sf):
-    """name, ranks: the first four spikes, by their place in time, in which a person is named."""
-    t = named_rows(spark, sf).join(talk(spark, sf).select("row", "ts"), "row")
-    rows = K.interval_join(t, scenes(spark, sf), 60.0, "ws", "we").select("name", (F.col("id") + 1).alias("rank")).distinct()
-    return rows.groupBy("name").agg(F.slice(F.array_sort(F.collect_set("rank")), 1, 4).alias("ranks"))
+def _in_spikes(spark, sf):
+    """The stage tables of crowd, and what people_metrics and spike_ranks say of everyone who is named in a spike, one too."""
+    messages, named = crowd(spark, sf)
+    spikes = scenes(spark, sf).withColumn("rank", F.col("id") + 1)
+    return messages, named, stages.of(spark).keep(_metrics(messages, named).join(N.spike_ranks(named, spikes, 60.0), "name"), "metrics")
 
 
 def people_scores(spark, sf):
     """Opportunity and marketing scores, of a hundred for the best."""
-    m = people_metrics(spark, sf).join(_ranks(spark, sf), "name")
+    m = _in_spikes(spark, sf)[2]
     share = F.when(F.col("reactions") > 0, F.col("good") / F.col("reactions")).otherwise(0.0)
     m = m.withColumn("positive", share).withColumn("raw", E.marketing(F.col("reactions") / F.col("mentions"), share, F.size("ranks"), F.col("mentions")))
     opportunity = E.out_of_best(E.opportunity(m.select("name", "reactions", "clusters", "positive")).select("name", F.col("raw").alias("o")), "o", "opportunity").select("name", "opportunity")
@@ -132,7 +141,7 @@ def people_scores(spark, sf):
 
 def people_reasons(spark, sf):
     """Why each person is proposed, and for what."""
-    m = people_metrics(spark, sf).join(_ranks(spark, sf), "name")
+    m = _in_spikes(spark, sf)[2]
     m = m.withColumn("rate", F.floor(F.col("reactions") / F.col("mentions") * 100) / 100).withColumn("positive", F.when(F.col("reactions") > 0, F.col("good") / F.col("reactions")).otherwise(0.0))
     low = K.compared(m.select("name", "mentions"), "mentions").select("name", "low")
     high = K.compared(m.select("name", "rate"), "rate").select("name", "above_mean")
@@ -144,21 +153,48 @@ TONES = (["heon", "ou"], ["the", "ion"], ["tion", "und", "que"])
 
 
 def tone_words(spark, sf):
-    t = named_rows(spark, sf).join(talk(spark, sf).select("row", "ts", "text"), "row")
-    return N.tone(t, *TONES)
+    messages, named = crowd(spark, sf)
+    return N.tone(N.told_of(messages, named.select("name").distinct(), names(spark)[1]), *TONES)
+
+
+def _told(spark, messages, people):
+    return stages.of(spark).keep(N.told_of(messages, people, names(spark)[1]), "told")
 
 
 def discovery(spark, sf):
     """How each person's reception reads, and what to make of it."""
-    m = people_metrics(spark, sf).select("name", "mentions", "clusters", "label").join(_ranks(spark, sf), "name").join(tone_words(spark, sf), "name")
-    return N.discovery(m)
+    messages, _, m = _in_spikes(spark, sf)
+    return N.discovery(m.join(N.tone(_told(spark, messages, m), *TONES), "name"))
+
+
+def _links(spark, sf, people):
+    """Each person's spikes, their commentary and first event."""
+    links = people.select("name", F.posexplode("ranks").alias("place", "rank"))
+    known = enriched(spark, sf)
+    s = scenes(spark, sf).select((F.col("id") + 1).alias("rank"), "id", "ws", "we", "anchor").join(known["context"], "id").join(known["chat_events"].filter("rank = 1").select("id", "event"), "id", "left")
+    return links.join(s.select("rank", "ws", "we", "anchor", "pre_text", "concurrent_text", "event"), "rank")
 
 
 def discovery_context(spark, sf):
-    """What is known of the spikes in which each person is named."""
-    links = _ranks(spark, sf).select("name", F.explode("ranks").alias("rank")).filter("rank IS NOT NULL")
-    s = scenes(spark, sf).select((F.col("id") + 1).alias("rank"), "id", "anchor").join(spike_context(spark, sf), "id").join(spike_events(spark, sf).filter(F.col("rank") == 1).select("id", "event"), "id", "left")
-    return N.discovery_context(links.join(s.select("rank", "anchor", "pre_text", "concurrent_text", "event"), "rank"))
+    """What is known of the first spikes in which each person is named."""
+    return N.discovery_context(_links(spark, sf, _in_spikes(spark, sf)[2]))
+
+
+def discovery_cards(spark, sf):
+    """All of a person's card: the spikes, what was said in them and elsewhere, and what it comes to."""
+    messages, _, m = _in_spikes(spark, sf)
+    links = stages.of(spark).keep(_links(spark, sf, m), "links")
+    told = _told(spark, messages, m)
+    people = m.join(N.tone(told, *TONES), "name")
+    out = N.discovery_cards(people, N.discovery_context(links), N.chat_samples(links.filter("place < 3"), told), N.tone_samples(told, *TONES))
+    return out.select("name", *(F.array_join(c, "\n").alias(c) for c in ("context", "samples", "newcomer_said", "praise_said", "lasting_said")), "reaction", "interpretation", "action")
+
+
+def roster_mentions(spark, sf):
+    """Every word of the benchmark as a name that messages may hold: how many of them do."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("name")).filter(F.length("name") >= 3).distinct()
+    held = E.mentions(turns(spark, sf).select(F.struct("conv_id", "row").alias("row"), "text"), words)
+    return held.groupBy("name").agg(F.count("*").alias("n"))
 
 
 def official_names(spark, sf):
@@ -390,9 +426,18 @@ rn AS (SELECT name, list_slice(list_sort(list(DISTINCT id + 1)), 1, 4) AS ranks
 ps AS (SELECT *, CASE WHEN reactions > 0 THEN good / reactions ELSE 0 END AS positive, floor(reactions / mentions * 100) / 100 AS rate FROM pl JOIN rn USING (name))"""
 PEOPLE = f"{STORY}, {METRICS}"
 _LINK = f"(CASE WHEN len(ranks) > 0 THEN {P.fill_sql(P.LINKED, rank='ranks[1]')} ELSE '' END)"
+_rounded = lambda part, whole, digits: f"coalesce(floor(({2 * 10**digits} * {part} + {whole}) / nullif(2 * {whole}, 0)) / {10**digits}, 0)"
+RATES = f"{_rounded('reactions', 'clusters', 1)} AS per_event, {_rounded('reactions', 'mentions', 2)} AS per_mention, {_rounded('good', 'reactions', 2)} AS positive"
 _any = lambda words: "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
-TONE = f"""tw AS (SELECT *, ts > 0.75 * max(ts) OVER (PARTITION BY name) AS late, lower(text) AS low FROM (SELECT name, row, ts, text FROM nm JOIN talk USING (row))),
+TONE = f"""st AS (SELECT DISTINCT name, replace(replace(name, ' 프로', ''), ' 선수', '') AS term FROM nm UNION SELECT canonical, alias FROM al WHERE canonical IN (SELECT name FROM nm)),
+tw AS (SELECT *, ts > 0.75 * max(ts) OVER (PARTITION BY name) AS late, lower(text) AS low FROM (SELECT DISTINCT name, row, ts, text FROM talk JOIN st ON contains(text, term))),
 tn AS (SELECT name, count(*) FILTER ({_any(TONES[0])}) AS newcomer_n, count(*) FILTER ({_any(TONES[1])}) AS praise_n, count(*) FILTER (late AND {_any(TONES[2])}) AS lasting_n, min_by(text, {{'ts': ts, 'row': row}}) FILTER (late AND {_any(TONES[2])}) AS said FROM tw GROUP BY name)"""
+READING = f"""CASE WHEN lasting_n > 0 AND len(ranks) >= 2 THEN {P.fill_sql(P.LASTING, mentions="mentions", said="left(said, 25)")} WHEN len(ranks) >= 2 AND clusters >= 2 THEN {P.fill_sql(P.SPREAD, clusters="clusters")} ELSE {P.fill_sql(P.FIRST_LOOK, mentions="mentions", sentiment="label")} END AS interpretation,
+CASE WHEN label IN ('감탄·대박', '놀람·흥분') OR praise_n >= 3 THEN {P.fill_sql(P.ACTION_SKILL, linked=_LINK, name="name")} WHEN newcomer_n >= 2 THEN {P.fill_sql(P.ACTION_FOUND, linked=_LINK)} WHEN label = '응원·격려' THEN {P.fill_sql(P.ACTION_CHEER, linked=_LINK)} ELSE {P.fill_sql(P.ACTION_ELSE, linked=_LINK)} END AS action"""
+FOUND = f"""dl AS (SELECT name, unnest(ranks[1:3]) AS rank FROM rn), dx AS (SELECT dl.name, dl.rank, ws, we, event, CASE WHEN pre_text <> '' THEN {_strip("pre_text")} ELSE {_strip("concurrent_text")} END AS best, printf('%d:%02d:%02d', CAST(anchor AS BIGINT) // 3600, CAST(anchor AS BIGINT) % 3600 // 60, CAST(anchor AS BIGINT) % 60) AS time
+ FROM dl JOIN sc ON sc.id + 1 = dl.rank JOIN cx ON cx.id = sc.id LEFT JOIN pv ON pv.id = sc.id AND pv.rank = 1),
+dy AS (SELECT name, rank, CASE WHEN best <> '' THEN {P.fill_sql(P.FOUND_SPOKEN, rank="rank", time="time", snippet=_snippet("best", 80, ["다", "요", ".", "。"]))} || coalesce({P.fill_sql(P.FOUND_SPOKEN_EVENT, event="event")}, '') WHEN event IS NOT NULL THEN {P.fill_sql(P.FOUND_EVENT, rank="rank", time="time", name="name", event="event")} ELSE {P.fill_sql(P.FOUND_CHAT, rank="rank", time="time", name="name")} END AS line FROM dx)"""
+_said = lambda kind, i, n: f"sd{i} AS (SELECT name, string_agg(text, chr(10) ORDER BY r) AS {kind}_said FROM (SELECT name, text, row_number() OVER (PARTITION BY name ORDER BY ts, row) AS r FROM tw WHERE {'late AND ' if i == 2 else ''}{_any(TONES[i])}) WHERE r <= {n} GROUP BY name)"
 REC = f"""rec AS (SELECT *, list_filter([{", ".join(f"CASE WHEN contains(lower(text), '{p.lower()}') THEN '{p}' END" for p in PLAYERS)}], lambda x: x IS NOT NULL) AS players, CASE WHEN comment_id % 3 = 0 THEN printf('seg_%04d', comment_id % 50) ELSE '' END AS segment, CASE WHEN comment_id % 3 = 0 THEN (comment_id % 50) * 30.0 END AS low,
   ['high', 'medium', 'low'][CAST(comment_id % 3 + comment_id % 2 AS INTEGER) + 1] AS confidence, comment_id % 4 = 0 AS manual, CASE WHEN comment_id % 2 = 0 THEN 'comment' ELSE 'live_chat' END AS source_type, list_filter([{", ".join(f"CASE WHEN contains(lower(text), '{e}') THEN '{e}' END" for e in ("tion", "ring", "lead"))}], lambda x: x IS NOT NULL) AS events FROM scored)"""
 CONCEPT = f"""c(concept, wanted) AS (VALUES {", ".join(f"('{k}', {repr(v) if v else 'NULL'})" for k, v in H.CONCEPTS.items())}), cap AS ({highlight_plans.CAPTION}),
@@ -444,7 +489,7 @@ def _story(body: str) -> str:
 
 
 def _people(body: str) -> str:
-    return with_views(f"+{PEOPLE} {body}", "turns")
+    return with_views(f"+{PEOPLE}{'' if body.startswith(',') else ' '}{body}", "turns")
 
 
 def _records(body: str, more: str = "") -> str:
@@ -463,11 +508,11 @@ QUERIES = {
     "buzz_summary": (buzz_summary, with_views(BUZZ, "turns")),
     "evidence_marks": (evidence_marks, _story("SELECT id, CASE WHEN evidence IN ('both', 'pre_spike') THEN '◎' WHEN evidence <> 'none' THEN '○' ELSE '△' END AS mark, CASE WHEN id < 3 THEN '★' || (id + 1) WHEN id < 6 THEN '권장' ELSE '참고' END AS label FROM cx")),
     "people_in_messages": (people_in_messages, _story("SELECT row, name FROM nm")),
-    "people_metrics": (people_metrics, _people("SELECT name, mentions, clusters, reactions, good, bad, tense, top, dominant, label FROM pl")),
+    "people_metrics": (people_metrics, _people(f"SELECT name, mentions, clusters, reactions, good, bad, tense, top, dominant, label, {RATES} FROM pl")),
     "people_scores": (
         people_scores,
-        _people("""+, o AS (SELECT name, reactions / clusters * (0.4 + 0.6 * positive) AS o FROM ps WHERE clusters >= 2), m AS (SELECT name, reactions / mentions * (0.4 + 0.6 * positive) * (1 + 0.2 * least(len(ranks), 3)) / log2(mentions + 2) AS m FROM ps)
-SELECT name, CAST(CASE WHEN (SELECT max(m) FROM m) > 0 THEN floor(m / (SELECT max(m) FROM m) * 100 + 0.5) ELSE 0 END AS BIGINT) AS marketing, CAST(CASE WHEN (SELECT max(o) FROM o) > 0 THEN floor(o / (SELECT max(o) FROM o) * 100 + 0.5) WHEN o IS NOT NULL THEN 0 END AS BIGINT) AS opportunity FROM m LEFT JOIN o USING (name)""").replace(" +, o AS", ", o AS"),
+        _people(""", o AS (SELECT name, reactions / clusters * (0.4 + 0.6 * positive) AS o FROM ps WHERE clusters >= 2), m AS (SELECT name, reactions / mentions * (0.4 + 0.6 * positive) * (1 + 0.2 * least(len(ranks), 3)) / log2(mentions + 2) AS m FROM ps)
+SELECT name, CAST(CASE WHEN (SELECT max(m) FROM m) > 0 THEN floor(m / (SELECT max(m) FROM m) * 100 + 0.5) ELSE 0 END AS BIGINT) AS marketing, CAST(CASE WHEN (SELECT max(o) FROM o) > 0 THEN floor(o / (SELECT max(o) FROM o) * 100 + 0.5) WHEN o IS NOT NULL THEN 0 END AS BIGINT) AS opportunity FROM m LEFT JOIN o USING (name)"""),
     ),
     "people_reasons": (
         people_reasons,
@@ -476,20 +521,20 @@ SELECT name, CAST(CASE WHEN (SELECT max(m) FROM m) > 0 THEN floor(m / (SELECT ma
   CASE WHEN positive >= 0.55 THEN {P.fill_sql(P.REASON_GOOD, share="CAST(floor(positive * 100) AS BIGINT)")} END, CASE WHEN len(ranks) > 0 THEN {P.fill_sql(P.REASON_SPIKES, ranks="array_to_string(list_transform(ranks[1:2], lambda x: '#' || x || '위'), ', ')")} END) AS r FROM ps)"""),
     ),
     "tone_words": (tone_words, with_views(f"+{STORY}, {TONE} SELECT * FROM tn", "turns")),
-    "discovery": (
-        discovery,
+    "discovery": (discovery, with_views(f"+{PEOPLE}, {TONE} SELECT name, {READING} FROM ps JOIN tn USING (name)", "turns")),
+    "discovery_context": (discovery_context, _people(f", {FOUND} SELECT name, rank, line FROM dy")),
+    "discovery_cards": (
+        discovery_cards,
         with_views(
-            f"""+{PEOPLE}, {TONE} SELECT name, CASE WHEN lasting_n > 0 AND len(ranks) >= 2 THEN {P.fill_sql(P.LASTING, mentions="mentions", said="left(said, 25)")} WHEN len(ranks) >= 2 AND clusters >= 2 THEN {P.fill_sql(P.SPREAD, clusters="clusters")} ELSE {P.fill_sql(P.FIRST_LOOK, mentions="mentions", sentiment="label")} END AS interpretation,
-CASE WHEN label IN ('감탄·대박', '놀람·흥분') OR praise_n >= 3 THEN {P.fill_sql(P.ACTION_SKILL, linked=_LINK, name="name")} WHEN newcomer_n >= 2 THEN {P.fill_sql(P.ACTION_FOUND, linked=_LINK)} WHEN label = '응원·격려' THEN {P.fill_sql(P.ACTION_CHEER, linked=_LINK)} ELSE {P.fill_sql(P.ACTION_ELSE, linked=_LINK)} END AS action FROM ps JOIN tn USING (name)""",
+            f"""+{PEOPLE}, {TONE}, {FOUND}, dm AS (SELECT tw.name, min({{'rank': rank, 'row': row}}) AS o, min_by(text, {{'rank': rank, 'row': row}}) AS text FROM tw JOIN dx USING (name) WHERE ts BETWEEN greatest(0, ws - 60) AND we AND length({_strip("text")}) > 3 GROUP BY tw.name, {_strip("text")}),
+ds AS (SELECT name, string_agg(text, chr(10) ORDER BY o) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY o) AS r FROM dm) WHERE r <= 6 GROUP BY name), dc AS (SELECT name, string_agg(line, chr(10) ORDER BY rank) AS context FROM dy GROUP BY name), {", ".join(_said(*x) for x in (("newcomer", 0, 3), ("praise", 1, 3), ("lasting", 2, 2)))}
+SELECT ps.name, coalesce(context, '') AS context, coalesce(samples, '') AS samples, coalesce(newcomer_said, '') AS newcomer_said, coalesce(praise_said, '') AS praise_said, coalesce(lasting_said, '') AS lasting_said,
+{P.fill_sql(P.FOUND_REACTION, mentions="mentions", clusters="clusters", share=f"CAST(floor({_rounded('good', 'reactions', 2)} * 100) AS BIGINT)", rate=f"printf('%.1f', {_rounded('reactions', 'clusters', 1)})", kinds="CASE WHEN top <> '' THEN array_to_string(string_split(top, '  ·  ')[1:3], '  ·  ') ELSE '—' END")} AS reaction, {READING}
+FROM ps JOIN tn USING (name) LEFT JOIN dc USING (name) LEFT JOIN ds USING (name) LEFT JOIN sd0 USING (name) LEFT JOIN sd1 USING (name) LEFT JOIN sd2 USING (name)""",
             "turns",
         ),
     ),
-    "discovery_context": (
-        discovery_context,
-        _people(f""", dl AS (SELECT name, unnest(ranks) AS rank FROM rn), dx AS (SELECT dl.name, dl.rank, event, CASE WHEN pre_text <> '' THEN {_strip("pre_text")} ELSE {_strip("concurrent_text")} END AS best, printf('%d:%02d:%02d', CAST(anchor AS BIGINT) // 3600, CAST(anchor AS BIGINT) % 3600 // 60, CAST(anchor AS BIGINT) % 60) AS time
- FROM dl JOIN sc ON sc.id + 1 = dl.rank JOIN cx ON cx.id = sc.id LEFT JOIN pv ON pv.id = sc.id AND pv.rank = 1)
-SELECT name, rank, CASE WHEN best <> '' THEN {P.fill_sql(P.FOUND_SPOKEN, rank="rank", time="time", snippet=_snippet("best", 80, ["다", "요", ".", "。"]))} || coalesce({P.fill_sql(P.FOUND_SPOKEN_EVENT, event="event")}, '') WHEN event IS NOT NULL THEN {P.fill_sql(P.FOUND_EVENT, rank="rank", time="time", name="name", event="event")} ELSE {P.fill_sql(P.FOUND_CHAT, rank="rank", time="time", name="name")} END AS line FROM dx""").replace(f"{METRICS} , dl", f"{METRICS}, dl"),
-    ),
+    "roster_mentions": (roster_mentions, with_views("""+w AS (SELECT DISTINCT name FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS name FROM benchmark) WHERE length(name) >= 3) SELECT name, count(*) AS n FROM w JOIN turns ON contains(text, name) GROUP BY name""", "turns")),
     "official_names": (official_names, f"SELECT p_partkey, name FROM (SELECT p_partkey, CAST(p_partkey AS VARCHAR) || [{quoted(['', *L.DISPLAY_ENDINGS, ' 님'])}][CAST(p_partkey % 7 AS INTEGER) + 1] AS name FROM part) WHERE {_BARE} IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier)"),
     "plausible_names": (
         plausible_names,

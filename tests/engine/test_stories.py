@@ -15,6 +15,7 @@ from echofold.operators import enrich as N
 from echofold.operators import entities as E
 from echofold.operators import highlights as H
 from echofold.operators import package as G
+from echofold.operators.terms import contained
 from echofold.sources import files, sinks
 
 ROSTER = ["공태현", "송한백", "최민욱", "유민욱", "김준형", "이준형", "하기원2"]
@@ -136,7 +137,7 @@ def test_roles_and_rosters(spark):
     assert sorted(r.name for r in E.official(people, roster).collect()) == ["공태현 프로", "문서형"]
     assert E.official(people, roster.limit(0)).count() == 3
     assert sorted(r.name for r in E.players_only(people, registry).collect()) == ["공태현 프로", "누구"]
-    assert E.containing(people, F.col("name"), roster.limit(0), "name").count() == 0
+    assert contained(people, F.col("name"), roster.limit(0).withColumnRenamed("name", "_n"), "_n").count() == 0
 
 
 RECORD = "comment_id long, text string, author string, likes long, category string, priority double, emotion long, players array<string>, caption string, segment string, low double, high double, confidence string, manual boolean, signals array<string>, source_type string"
