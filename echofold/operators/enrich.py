@@ -393,11 +393,11 @@ def discovery_cards(people: DataFrame, context: DataFrame, samples: DataFrame, s
 def people_metrics(messages: DataFrame, named: DataFrame, size: float, gap: float = 60.0, before: float = 10.0, after: float = 30.0, reactions: dict[str, str] = L.REACTIONS) -> DataFrame:
     """name, mentions, clusters, reactions, good, bad, tense, top, dominant, label, per_event, per_mention, positive of people.
 
-    messages: ts, author, text; named: row, ts, name.  per_event has one decimal, per_mention and the positive share have two, rounded half up.  Reactions are those of the messages around each cluster of mentions, each message once for a person; words that only count in a spike's profile don't.
+    messages: ts, author, text; named: row, name and ts, or else messages have a row to find it by.  per_event has one decimal, per_mention and the positive share have two, rounded half up.  Reactions are those of the messages around each cluster of mentions, each message once for a person; words that only count in a spike's profile don't.
     """
     from .chat import attributed, session_clusters
 
-    times = named.select("name", "ts", "row")
+    times = (named if "ts" in named.columns else named.join(messages.select("row", "ts"), "row")).select("name", "ts", "row")
     clusters = session_clusters(times, "name", gap)
     own = times.groupBy("name").agg(F.count("*").alias("mentions")).join(clusters.groupBy("name").agg(F.count("*").alias("clusters")), "name")
     around = attributed(clusters.select("name", "anchor"), messages.select("ts", "author", "text"), "name", size, before, after)
