@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import stages
 from .chat import interval_join
 
 
@@ -77,16 +78,60 @@ def signal_match(left: DataFrame, right: DataFrame) -> DataFrame:
     return out.withColumn("confidence", F.when(F.col("score") >= 6, "high").when(F.col("score") >= 3, "medium").otherwise("low"))
 
 
-def word_match(left: DataFrame, right: DataFrame, players: list[str] = [], bonus_hundredths: int = 6) -> DataFrame:  # noqa: B006
+def word_candidates(left: DataFrame, right: DataFrame, players: list[str] = [], least_hundredths: int = 7) -> DataFrame:  # noqa: B006
+    """id, seq, n, m, named: pairs that may reach the similarity, and all with a common word that holds a player's name.
+
+    left: id, n, words and right: seq, m, words as word_order gives them, rarest first.  With n and m words, a similarity of t needs at least
+    a = t / (1 + t) * (n + m) common ones, so the two share a word among their first n - a + 1 and m - a + 1: only these meet.  What is common of them, and
+    what may still follow the last of them on the shorter side, bounds the rest.
+    """
+    t = least_hundredths
+    need = F.ceil(F.lit(t) * (F.col("n") + F.col("m")) / (100 + t)).cast("int")
+    held = [F.contains(F.col("w"), F.lit(p)) for p in players]
+    named = F.lit(False)
+    for h in held:
+        named = named | h
+    # Words that no right set has come first: they take places and meet nothing.
+    a = left.select("id", "n", (F.col("n") - F.size("words")).alias("_z"), F.posexplode("words").alias("_at", "w")).select("id", "n", (F.col("_at") + F.col("_z")).alias("i"), "w")
+    b = right.select("seq", "m", F.posexplode("words").alias("j", "w"))
+    first = lambda place, size: (F.col(place) <= F.col(size) - F.ceil(F.lit(t) * F.col(size) / 100)) | named
+    early = (F.col("i") <= F.col("n") - F.col("need")) & (F.col("j") <= F.col("m") - F.col("need"))
+    met = a.filter(first("i", "n")).join(b.filter(first("j", "m")), "w").withColumn("need", need).filter(early | named)
+    many = F.count_if(early)
+    rest = F.least(F.col("n") - F.max(F.when(early, F.col("i"))) - 1, F.col("m") - F.max(F.when(early, F.col("j"))) - 1)
+    flags = [F.max(h.cast("int")) for h in held]
+    pairs = met.groupBy("id", "seq", "n", "m", "need").agg(many.alias("_many"), rest.alias("_rest"), sum(flags[1:], flags[0]).alias("named") if flags else F.max(F.lit(0)).alias("named"))
+    return pairs.filter((F.col("named") > 0) | (F.col("_many") + F.col("_rest") >= F.col("need"))).select("id", "seq", "n", "m", "named")
+
+
+def word_order(left: DataFrame, right: DataFrame, kept: stages.Stages) -> tuple[DataFrame, DataFrame]:
+    """(id, n, words) and (seq, m, words) as stage tables: sizes of the sets, and those words that any right set has, the rarest there first."""
+    b = right.select("seq", F.size("words").alias("m"), F.explode("words").alias("w"))
+    often = kept.keep(b.groupBy("w").agg(F.count("*").alias("often")), "word-order")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("often", "w"))), lambda x: x["w"]).alias("words")
+    b = kept.keep(b.join(often, "w").groupBy("seq", "m").agg(in_order), "right-words")
+    a = left.select("id", F.size("words").alias("n"), F.explode("words").alias("w")).join(often, "w").groupBy("id", "n").agg(in_order)
+    return kept.keep(a, "left-words"), b
+
+
+def word_match(left: DataFrame, right: DataFrame, players: list[str] = [], bonus_hundredths: int = 6, least_hundredths: int = 7, kept: stages.Stages | None = None) -> DataFrame:  # noqa: B006
     """id, seq, common, either, named, overlap: the best partner by Jaccard similarity of word sets and a bonus for each player whose name a common
-    word holds, through an inverted index.  left: id, words; right: seq, words.  overlap: the first six common words."""
-    a = left.select("id", F.size("words").alias("na"), F.explode("words").alias("w"))
-    b = right.select("seq", F.size("words").alias("nb"), F.explode("words").alias("w"))
-    held = [F.max(F.contains(F.col("w"), F.lit(p)).cast("int")) for p in players]
-    rows = a.join(b, "w").groupBy("id", "seq").agg(F.count("*").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"), sum(held[1:], held[0]).alias("named") if held else F.max(F.lit(0)).alias("named"), F.slice(F.sort_array(F.collect_list("w")), 1, 6).alias("overlap"))
-    rows = rows.withColumn("either", F.col("na") + F.col("nb") - F.col("common")).withColumn("j", F.col("common") / F.col("either") + F.col("named") * (bonus_hundredths / 100))
-    w = Window.partitionBy("id").orderBy(F.desc("j"), "seq")
-    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("id", "seq", "common", "either", "named", "overlap")
+    word holds, where both come to the least score; of equal ones the first.
+
+    left: id, words; right: seq, words; ids and words are unique.  overlap: the first six common words, found for the winners alone.  Candidates
+    come from word_candidates; each is then compared on its whole sets.
+    """
+    a, b = word_order(left, right, kept or stages.of(left.sparkSession))
+    pairs = word_candidates(a, b, players, least_hundredths)
+    both = F.array_intersect(F.col("words"), F.col("_other"))
+    other = b.select("seq", F.col("words").alias("_other"))
+    rows = pairs.join(a.select("id", "words"), "id").join(other, "seq").select("id", "seq", "n", "m", "named", F.size(both).alias("common"))
+    rows = rows.withColumn("either", F.col("n") + F.col("m") - F.col("common")).withColumn("j", F.col("common") / F.col("either") + F.col("named") * (bonus_hundredths / 100))
+    enough = F.col("common") * 100 + F.col("named") * bonus_hundredths * F.col("either") >= F.col("either") * least_hundredths
+    best = rows.filter(enough).groupBy("id").agg(F.max(F.struct("j", (-F.col("seq")).alias("o"), "common", "either", "named")).alias("x"))
+    won = best.select("id", (-F.col("x.o")).alias("seq"), "x.common", "x.either", "x.named")
+    overlap = F.slice(F.sort_array(both), 1, 6).alias("overlap")
+    return won.join(a.select("id", "words"), "id").join(other, "seq").select("id", "seq", "common", "either", "named", overlap)
 
 
 def word_confidence(matches: DataFrame, least_hundredths: int = 7, bonus_hundredths: int = 6) -> DataFrame:
@@ -95,12 +140,6 @@ def word_confidence(matches: DataFrame, least_hundredths: int = 7, bonus_hundred
     return matches.filter(enough).select("id", "seq", F.lit("low").alias("confidence"), F.transform("overlap", lambda w: F.concat(F.lit("overlap:"), w)).alias("signals"))
 
 
-def best_of(scores: DataFrame, value: str) -> DataFrame:
-    """The largest value of each id; the smallest seq of equal ones."""
-    w = Window.partitionBy("id").orderBy(F.desc(value), "seq")
-    return scores.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("id", "seq", value)
-
-
 def coalesce_matches(first: DataFrame, second: DataFrame) -> DataFrame:
     """The first pass where it is medium or better, else whichever has the better rank, the first if equal.  Both: id, seq, confidence."""
     rank = lambda c: F.when(F.col(c) == "high", 3).when(F.col(c) == "medium", 2).when(F.col(c) == "low", 1).otherwise(0)

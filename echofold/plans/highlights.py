@@ -329,7 +329,7 @@ QUERIES = {
     "match_cascade": (match_cascade, with_views(f"+{TIMES} SELECT * FROM matched", "chat", "segments")),
     "interval_overlap_context": (interval_overlap_context, with_views('SELECT b.seq AS id, array_to_string(list_sort(list(a.seq)), \',\') AS seqs FROM segments a JOIN segments b ON a."end" >= b.start - 9000 AND a.start <= b.start + 4000 GROUP BY b.seq', "chat", "segments")),
     "signal_match": (signal_match, with_views(f"+{SIGNALS} SELECT id, seq, score, confidence, signals FROM sig", "comments")),
-    "jaccard_match": (jaccard_match, with_views(f"+{JACCARD} SELECT id, seq, common, either, CAST(named AS BIGINT) AS named, overlap FROM jac", "comments")),
+    "jaccard_match": (jaccard_match, with_views(f"+{JACCARD} SELECT id, seq, common, either, CAST(named AS BIGINT) AS named, overlap FROM jac WHERE common * 100 + named * 6 * either >= either * 7", "comments")),
     "two_pass_match": (
         two_pass_match,
         with_views(f"""+{SIGNALS}, {JACCARD}, j AS (SELECT * FROM jac WHERE common * 100 + named * 6 * either >= either * 7)
