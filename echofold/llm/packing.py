@@ -4,13 +4,15 @@ Documents become pieces: only a document longer than a sequence is cut, and but
 sequences of their own.  All other pieces are packed by rounds.  A round range-sorts the pieces that have no place yet and the gaps of the open sequences
 together by size, equal ones in the order of a hash, so that a size that a third of all rows have is spread over many partitions.  Every partition sweeps
 through its range from small to large: a gap takes the largest piece before it that nothing took, and more while they fit, which are its best fits
-there.  What is left over is known by its rank in the partition; from the partitions' counts alone (one row for each) the ranks of gaps without a
+there.  What is left over is known by its rank in the partition; from the partitions' counts alone (a few rows for each) the ranks of gaps without a
 piece are matched with ranks of pieces in the nearest range below.  Gaps are updated, and the next round begins.  When a round places few
-pieces, as many empty sequences are opened as the tokens without a place need.  Pieces beyond half a sequence go first, then all others.
+pieces, as many empty sequences are opened as the tokens without a place need; once the pieces left are no more than one partition holds, a last
+task packs them into new sequences.  Pieces beyond half a sequence go first, then all others.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import os
 import re
@@ -152,8 +154,8 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end: int =
     return shared.store(cut.withColumn("item", F.monotonically_increasing_id()), "pieces")
 
 
-#: What a sweep leaves: pieces with a place, pieces and gaps without one, gaps that took something.
-PLACED, PIECE, GAP, CHANGED = 0, 1, 2, 3
+#: What a sweep leaves: pieces with a place, pieces and gaps without one, gaps that took something; and for each of these a row that sums it up.
+PLACED, PIECE, GAP, CHANGED, SUMMARY = 0, 1, 2, 3, 10
 SWEPT = "kind int, part int, rank long, id long, size long, bin long"
 
 
@@ -174,18 +176,39 @@ def sweep(sizes: list[int], gaps: list[bool], ids: list[int]) -> tuple[list[tupl
             changed.append((ids[i], rest))
         else:
             empty.append(i)
+    # Where a range is wide, gaps that took something may take more of it.
+    again = bool(held)
+    while again:
+        again, kept = False, []
+        sorted_held = [sizes[j] for j in held]
+        for b, rest in sorted(changed, key=lambda x: x[1]):
+            while held and (at := bisect.bisect_right(sorted_held, rest)):
+                rest -= sorted_held.pop(at - 1)
+                placed.append((held.pop(at - 1), b))
+                again = True
+            kept.append((b, rest))
+        changed = kept
+        again = again and bool(held)
     return placed, held[::-1], empty, changed
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_batches(list(batches)) if (first := next(batches, None)) is None else pa.Table.from_batches([first, *batches])
-    part = TaskContext.get().partitionId()
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    part = table.column("part")[0].as_py()
     sizes, gaps, ids = (table.column(c).to_pylist() for c in ("size", "gap", "id"))
     placed, left, empty, changed = sweep(sizes, gaps, ids)
     rows = [(PLACED, 0, ids[j], sizes[j], b) for j, b in placed]
     rows += [(PIECE, r, ids[j], sizes[j], None) for r, j in enumerate(left)]
     rows += [(GAP, r, ids[j], sizes[j], None) for r, j in enumerate(empty)]
-    rows += [(CHANGED, 0, b, rest, None) for b, rest in changed]
+    rows += [(CHANGED, 0, b, rest, None) for b, rest in changed if rest]
+    # rank: how many; size: the largest piece or the smallest gap.
+    rows.append((SUMMARY + PLACED, len(placed), 0, 0, None))
+    rows.append((SUMMARY + PIECE, len(left), 0, max((sizes[j] for j in left), default=0), None))
+    rows.append((SUMMARY + GAP, len(empty), 0, min((sizes[j] for j in empty), default=0), None))
+    rows.append((SUMMARY + CHANGED, sum(rest > 0 for _, rest in changed), 0, 0, None))
     for at in range(0, len(rows), 1 << 15):
         kind, rank, own, size, bins = zip(*rows[at : at + (1 << 15)], strict=True)
         yield pa.RecordBatch.from_arrays(
@@ -193,6 +216,36 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def best_fit(sizes: list[int], capacity: int) -> list[int]:
+    """Numbers of sequences, from 0, of pieces in descending order: each goes where it leaves least room."""
+    out, rooms, of_room = [], [], {}
+    opened = 0
+    for size in sizes:
+        at = bisect.bisect_left(rooms, size)
+        if at < len(rooms):
+            room = rooms[at]
+            number = of_room[room].pop()
+            if not of_room[room]:
+                rooms.pop(at)
+        else:
+            room, number, opened = capacity, opened, opened + 1
+        out.append(number)
+        if room > size:
+            if not of_room.setdefault(room - size, []):
+                bisect.insort(rooms, room - size)
+            of_room[room - size].append(number)
+    return out
+
+
+def _finish(capacity: int, opened: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(((s, i) for b in batches for s, i in zip(b.column("size").to_pylist(), b.column("id").to_pylist(), strict=True)), reverse=True)
+        bins = [-opened - 1 - n for n in best_fit([s for s, _ in rows], capacity)]
+        yield pa.RecordBatch.from_arrays([pa.array([i for _, i in rows], pa.int64()), pa.array(bins, pa.int64())], names=["id", "bin"])
+
+    return run
+
+
 @dataclass
 class Span:
     """Pieces of one partition by their ranks, and the gaps of another that take `per` of them each."""
@@ -230,21 +283,26 @@ def match(left: dict[int, tuple[int, int]], empty: dict[int, tuple[int, int]]) -
     return out
 
 
-def _round(rows: DataFrame, n: int, part_rows: int) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, int]]:
+def _files(df: DataFrame) -> DataFrame:
+    """No more partitions than the cluster runs at a few goes: rounds write little, and a file for each range would be mostly files."""
+    return df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def _round(rows: DataFrame, n: int, part_rows: int) -> tuple[DataFrame, DataFrame, dict[str, int]]:
     """rows(id, size, gap): the places found (id, bin), the pieces and gaps that are left as rows, and numbers of them."""
     spark = rows.sparkSession
     by = ("size", "gap", "salt")
-    dealt = rows.withColumn("salt", F.xxhash64("id")).repartitionByRange(max(1, -(-n // part_rows)), *by).sortWithinPartitions(*by)
-    swept = shared.store(dealt.mapInArrow(_sweep, SWEPT), "swept")
-    counts = swept.groupBy("part", "kind").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("size").alias("least"), F.max("size").alias("most")).collect()
-    spans = match({r.part: (r.n, r.most) for r in counts if r.kind == PIECE}, {r.part: (r.n, r.least) for r in counts if r.kind == GAP})
-    told = {"placed": sum(r.n for r in counts if r.kind == PLACED), "left": sum(r.n for r in counts if r.kind == PIECE), "tokens": sum(r.total for r in counts if r.kind == PIECE)}
-    told["gaps"] = sum(r.n for r in counts if r.kind in (GAP, CHANGED))
+    dealt = rows.withColumn("salt", F.xxhash64("id")).repartitionByRange(max(1, -(-n // part_rows)), *by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id())
+    swept = shared.store(_files(dealt.mapInArrow(_sweep, SWEPT)), "swept")
+    counts = [(r.kind - SUMMARY, r) for r in swept.filter(F.col("kind") >= SUMMARY).collect()]  # four rows for each partition
+    spans = match({r.part: (r.rank, r.size) for k, r in counts if k == PIECE and r.rank}, {r.part: (r.rank, r.size) for k, r in counts if k == GAP and r.rank})
+    of = lambda *kinds: sum(r.rank for k, r in counts if k in kinds)
+    told = {"placed": of(PLACED), "left": of(PIECE), "gaps": of(GAP, CHANGED)}
     places = swept.filter(F.col("kind") == PLACED).select("id", "bin")
     open_rows = swept.filter(F.col("kind").isin(PIECE, GAP))
-    changed = swept.filter((F.col("kind") == CHANGED) & (F.col("size") > 0)).select("id", "size", F.lit(True).alias("gap"))
+    changed = swept.filter(F.col("kind") == CHANGED).select("id", "size", F.lit(True).alias("gap"))
     if not spans:
-        return places, open_rows.select("id", "size", (F.col("kind") == GAP).alias("gap")).unionByName(changed), swept, told
+        return places, open_rows.select("id", "size", (F.col("kind") == GAP).alias("gap")).unionByName(changed), told
     # One row for each partition and side: bounded by the partitions, whatever they hold.
     known, key = [], 0
     for s in spans:
@@ -259,45 +317,46 @@ def _round(rows: DataFrame, n: int, part_rows: int) -> tuple[DataFrame, DataFram
     met = keyed.filter("key IS NOT NULL").groupBy("key").agg(
         F.max(F.when(is_gap, F.col("id"))).alias("bin"), F.sum(F.when(is_gap, F.col("size")).otherwise(-F.col("size"))).alias("rest"), F.collect_list(F.when(~is_gap, F.col("id"))).alias("ids")
     )
-    met = shared.store(met.select("bin", "rest", "ids"), "met")
-    told["more"] = sum(s.pieces for s in spans)
+    met = shared.store(_files(met.select("bin", "rest", "ids")), "met")
+    more = sum(s.pieces for s in spans)
+    told = told | {"placed": told["placed"] + more, "left": told["left"] - more}
     taken = met.select(F.explode("ids").alias("id"), "bin")
     rest = met.filter("rest > 0").select(F.col("bin").alias("id"), F.col("rest").alias("size"), F.lit(True).alias("gap"))
     unmet = keyed.filter("key IS NULL").select("id", "size", is_gap.alias("gap"))
-    return places.unionByName(taken), unmet.unionByName(changed).unionByName(rest), swept, told
+    return places.unionByName(taken), unmet.unionByName(changed).unionByName(rest), told
+
+
+#: Numbers of sequences that are opened empty start below this, those that a piece opens above.
+OPENED = 1 << 62
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
     """item, sequence_id of a stored table items(item, length): whole items in sequences of at most capacity; lengths are 1 to capacity.
 
-    item must be unique and not negative.  An item that fills a sequence has its own number as sequence_id; other sequences have negative ones.
+    item must be unique and from 0 to 2^62.  An item that fills a sequence has its own number as sequence_id; other sequences have negative ones.
     """
     spark = items.sparkSession
-    found = [items.filter(F.col("length") == capacity).select(F.col("item").alias("id"), F.col("item").alias("bin"))]
-    large = F.col("length") > capacity // 2
-    counts = {r[0]: r for r in items.filter(F.col("length") < capacity).groupBy(large.alias("large")).agg(F.count("*").alias("n"), F.sum("length").alias("tokens")).collect()}
-    gaps, n_gaps, opened = None, 0, 0
-    for phase in (True, False):
-        if phase not in counts:
-            continue
-        rows = items.filter((F.col("length") < capacity) & (large if phase else ~large)).select(F.col("item").alias("id"), F.col("length").alias("size"), F.lit(False).alias("gap"))
-        left, tokens = counts[phase].n, counts[phase].tokens
-        if gaps is not None:
-            rows = rows.unionByName(gaps)
-        place = left  # nothing to open before the first round, if there are gaps
-        while left:
-            if not n_gaps or place <= FEW * left:
-                # As many as the tokens need; of pieces beyond half a sequence each needs its own.
-                new = left if phase else -(-tokens // capacity)
-                rows = rows.unionByName(spark.range(-opened - new, -opened).select("id", F.lit(capacity).cast("long").alias("size"), F.lit(True).alias("gap")))
-                opened, n_gaps = opened + new, n_gaps + new
-            places, rows, swept, told = _round(rows, left + n_gaps, part_rows)
-            found.append(places)
-            place, n_gaps = told["placed"] + told.get("more", 0), told["gaps"]
-            left = told["left"] - told.get("more", 0)
-            if left:
-                tokens = rows.filter("NOT gap").agg(F.sum("size")).first()[0]
-        gaps = rows.filter("gap")
+    rows = items.select(F.col("item").alias("id"), F.col("length").alias("size"))
+    # Two pieces beyond half a sequence never share one.
+    large = rows.filter(F.col("size") > capacity // 2).withColumn("bin", F.when(F.col("size") == capacity, F.col("id")).otherwise(-1 - F.col("id")))
+    gaps = large.filter(F.col("size") < capacity).select(F.col("bin").alias("id"), (F.lit(capacity) - F.col("size")).alias("size"), F.lit(True).alias("gap"))
+    small = F.col("length") <= capacity // 2
+    counts = items.agg(F.count_if(small).alias("left"), F.count_if(~small & (F.col("length") < capacity)).alias("gaps")).first()
+    found, opened, left, n_gaps = [large.select("id", "bin")], 0, counts.left, counts.gaps
+    rows = rows.filter(F.col("size") <= capacity // 2).withColumn("gap", F.lit(False)).unionByName(gaps)
+    place = left  # nothing to open before the first round, if there are gaps
+    while left:
+        if not n_gaps or place <= FEW * left:
+            pieces_left = rows.filter("NOT gap").select("id", "size")
+            if left <= part_rows:
+                found.append(shared.store(pieces_left.coalesce(1).mapInArrow(_finish(capacity, OPENED + opened), "id long, bin long"), "last"))
+                break
+            new = -(-pieces_left.agg(F.sum("size")).first()[0] // capacity)
+            rows = rows.unionByName(spark.range(-OPENED - opened - new, -OPENED - opened).select("id", F.lit(capacity).cast("long").alias("size"), F.lit(True).alias("gap")))
+            opened, n_gaps = opened + new, n_gaps + new
+        places, rows, told = _round(rows, left + n_gaps, part_rows)
+        found.append(places)
+        place, n_gaps, left = told["placed"], told["gaps"], told["left"]
     return reduce(DataFrame.unionByName, found).select(F.col("id").alias("item"), F.col("bin").alias("sequence_id"))
 
 

@@ -133,3 +133,14 @@ def test_filters_on_large_dictionaries_of_stored_tables(spark):
     rows = spark.range(0, 60_000, 1, 1).selectExpr("id", "(id * 7919) % 2000 AS length")
     stored = shared.store(rows, "dictionary")
     assert stored.filter("length < 1500").count() == 45_000
+
+
+def test_the_last_task_packs_as_one_machine_would():
+    rnd = random.Random(9)
+    for _ in range(50):
+        sizes = sorted((rnd.randint(1, 60) for _ in range(rnd.randint(0, 80))), reverse=True)
+        numbers = P.best_fit(sizes, 60)
+        held = {}
+        for n, s in zip(numbers, sizes, strict=True):
+            held[n] = held.get(n, 0) + s
+        assert all(h <= 60 for h in held.values()) and sorted(held) == list(range(len(held))) and len(held) == best_fit_decreasing(sizes, 60)
