@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import phrases as P
+from .. import stages
 from ..functions import text as T
 
 
@@ -54,9 +57,14 @@ def top_phrases(df: DataFrame, stop: list[str], size: int = 1, n: int = 100) ->
 
 
 def top_of_both(df: DataFrame, stop: list[str], words: int, pairs: int) -> DataFrame:
-    """type, phrase, n: the most frequent words and pairs, from one pass over the texts; a group limit takes few rows from each partition."""
+    """type, phrase, n: the most frequent words and pairs, from one pass over the texts."""
+    return most_of_both(phrase_counts(df, stop), words, pairs)
+
+
+def most_of_both(counts: DataFrame, words: int, pairs: int) -> DataFrame:
+    """The same of phrase_counts; a group limit takes few rows from each partition."""
     w = Window.partitionBy("type").orderBy(F.desc("n"), "phrase")
-    ranked = phrase_counts(df, stop).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max(words, pairs))
+    ranked = counts.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max(words, pairs))
     return ranked.filter(F.col("_r") <= F.when(F.col("type") == "bigram", pairs).otherwise(words)).drop("_r")
 
 
@@ -77,9 +85,13 @@ def label_counts(df: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
 
 def audience_profile(df: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
     """Counts and shares by label; the dominant one is the first of the largest in the lexicon's order."""
-    total = df.agg(F.greatest(F.count("*"), F.lit(1)).alias("total"))
+    return profile_of(label_counts(df, lexicon), df.agg(F.greatest(F.count("*"), F.lit(1)).alias("total")), lexicon)
+
+
+def profile_of(counts: DataFrame, total: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
+    """The same of label_counts and one row with the total."""
     at = F.create_map(*(F.lit(x) for pair in ((k, i) for i, k in enumerate(lexicon)) for x in pair))
-    counts = label_counts(df, lexicon).crossJoin(F.broadcast(total))  # one row
+    counts = counts.crossJoin(F.broadcast(total))  # one row
     first = Window.orderBy(F.desc("n"), at[F.col("label")])  # a row for each label of the lexicon
     return counts.select("label", "n", (F.col("n") / F.col("total")).alias("share"), (F.row_number().over(first) == 1).alias("dominant"))
 
@@ -96,14 +108,25 @@ def top_authors(df: DataFrame, n: int = 30) -> DataFrame:
 
 def entity_candidates(df: DataFrame, stop: list[str], n: int = 50, least: int = 3) -> DataFrame:
     """Capitalised words; the least count applies after the top n."""
-    words = df.select(F.explode_outer(F.filter(F.split("text", T.NOT_WORD), lambda w: w.rlike("^[A-Z][a-z]+$"))).alias("word"))
-    counts = words.filter(F.col("word").isNotNull() & ~F.lower("word").isin(stop)).groupBy("word").agg(F.count("*").alias("n"))
+    words = df.select(F.explode_outer(capitalised(F.col("text"), stop)).alias("word"))
+    return entities_of(words.filter(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("n")), n, least)
+
+
+def capitalised(text: Column, stop: list[str]) -> Column:
+    return F.filter(F.split(text, T.NOT_WORD), lambda w: w.rlike("^[A-Z][a-z]+$") & ~F.lower(w).isin(stop))
+
+
+def entities_of(counts: DataFrame, n: int = 50, least: int = 3) -> DataFrame:
     return top(counts, n, F.desc("n"), F.asc("word")).filter(F.col("n") >= least)
 
 
 def top_topics(df: DataFrame, stop: list[str], least: int = 3, n: int = 25) -> DataFrame:
     """The most frequent pairs, and words that no such pair has."""
-    rows = top_of_both(df, stop, 30, 20).filter(F.col("n") >= least).withColumn("type", F.when(F.col("type") == "bigram", "phrase").otherwise("word"))
+    return topics_of(phrase_counts(df, stop), least, n)
+
+
+def topics_of(counts: DataFrame, least: int = 3, n: int = 25) -> DataFrame:
+    rows = most_of_both(counts, 30, 20).filter(F.col("n") >= least).withColumn("type", F.when(F.col("type") == "bigram", "phrase").otherwise("word"))
     inside = rows.select(F.explode(F.when(F.col("type") == "phrase", F.split("phrase", " "))).alias("_w")).distinct()
     left = rows.join(inside, (F.col("type") == "word") & (F.col("phrase") == F.col("_w")), "left_anti")
     return top(left.select("phrase", "n", "type"), n, F.desc("n"), F.asc("type"), F.asc("phrase"))
@@ -111,9 +134,13 @@ def top_topics(df: DataFrame, stop: list[str], least: int = 3, n: int = 25) -> D
 
 def lift_themes(df: DataFrame, stop: list[str], liked: int = 10, n: int = 10) -> DataFrame:
     """Words that the most liked comments use at least 1.5 times as often as the keyword table; whole-number products instead of ratios."""
-    keywords = top_phrases(df, stop, 1, 100)
-    total = keywords.agg(F.greatest(F.coalesce(F.sum("n"), F.lit(0)), F.lit(1)).alias("total_kw"))
     top_rows = top(df.filter("like_count > 0"), liked, F.desc("like_count"), F.asc("comment_id"))
+    return themes_of(top_phrases(df, stop, 1, 100), top_rows, stop, n)
+
+
+def themes_of(keywords: DataFrame, top_rows: DataFrame, stop: list[str], n: int = 10) -> DataFrame:
+    """The same of the keyword table and the most liked comments."""
+    total = keywords.agg(F.greatest(F.coalesce(F.sum("n"), F.lit(0)), F.lit(1)).alias("total_kw"))
     words = kept_tokens(top_rows, stop).select(F.explode_outer("tokens").alias("phrase")).filter(F.length("phrase") > 2)
     counts = words.groupBy("phrase").agg(F.count("*").alias("he"))
     all_he = words.agg(F.greatest(F.count("*"), F.lit(1)).alias("total_he"))
@@ -122,11 +149,67 @@ def lift_themes(df: DataFrame, stop: list[str], liked: int = 10, n: int = 10) ->
     return top(common.filter(lifted).select("phrase", "he", F.coalesce("n", F.lit(0)).cast("long").alias("n")), n, F.desc("he"), F.asc("phrase"))
 
 
-def recommendation_rules(df: DataFrame, topics: DataFrame, entities: DataFrame, themes: DataFrame, profile: DataFrame) -> DataFrame:
-    """rule, fires: the rule table over one row of statistics."""
+def tagged_counts(df: DataFrame, stop: list[str], lexicon: dict[str, list[str]]) -> DataFrame:
+    """kind, phrase, n from one pass over the texts and one aggregate: unigram, bigram, name (capitalised words), label, and sum (all, replies, likes)."""
+    low = df.select("like_count", "is_reply", "text", T.once(F.lower("text")).alias("_low"), T.once(T.without_stopwords(T.tokens(F.col("text")), stop)).alias("_t"))
+    one = F.lit(1).cast("long")
+    tag = lambda kind: lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("phrase"), one.alias("n"))
+    sums = {"all": one, "replies": F.col("is_reply").cast("long"), "likes": F.col("like_count").cast("long")}
+    whole = F.array(*(F.struct(F.lit("sum").alias("kind"), F.lit(k).alias("phrase"), F.coalesce(v, F.lit(0)).alias("n")) for k, v in sums.items()))
+    lists = {"unigram": F.col("_t"), "bigram": T.bigrams(F.col("_t")), "name": capitalised(F.col("text"), stop), "label": T.labels(F.col("_low"), lexicon)}
+    empty = F.array().cast("array<string>")  # of a null text
+    tagged = F.concat(whole, *(F.transform(F.coalesce(words, empty), tag(kind)) for kind, words in lists.items()))
+    return low.select(F.explode(tagged).alias("p")).select("p.*").groupBy("kind", "phrase").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Analysis:
+    """What the parts of a comment report share: the counts of all phrases and the most liked comments are stage tables, the rest is derived from them."""
+
+    counts: DataFrame
+    liked: DataFrame
+    stop: list[str]
+    lexicon: dict[str, list[str]]
+
+    @classmethod
+    def of(cls, df: DataFrame, stop: list[str], lexicon: dict[str, list[str]], liked: int = 10, kept: stages.Stages | None = None) -> Analysis:
+        """Reads df twice: once for all counts, once for the few most liked."""
+        keep = (kept or stages.of(df.sparkSession)).keep
+        rows = top(df.filter("like_count > 0").select("comment_id", "like_count", "text"), liked, F.desc("like_count"), F.asc("comment_id"))
+        return cls(keep(tagged_counts(df, stop, lexicon), "phrases"), keep(rows, "liked"), stop, lexicon)
+
+    def of_kind(self, kind: str, name: str = "phrase") -> DataFrame:
+        return self.counts.filter(F.col("kind") == kind).select(F.col("phrase").alias(name), "n")
+
+    def topics(self) -> DataFrame:
+        return topics_of(self.counts.filter(F.col("kind").isin("unigram", "bigram")).select(F.col("kind").alias("type"), "phrase", "n"))
+
+    def entities(self) -> DataFrame:
+        return entities_of(self.of_kind("name", "word"))
+
+    def themes(self) -> DataFrame:
+        return themes_of(top(self.of_kind("unigram"), 100, F.desc("n"), F.asc("phrase")), self.liked, self.stop)
+
+    def sums(self) -> DataFrame:
+        """One row: total_all, total_replies, total_likes."""
+        of = lambda k: F.coalesce(F.sum(F.when(F.col("phrase") == k, F.col("n"))), F.lit(0)).cast("long")
+        return self.of_kind("sum").agg(of("all").alias("total_all"), of("replies").alias("total_replies"), of("likes").alias("total_likes"))
+
+    def profile(self) -> DataFrame:
+        return profile_of(self.of_kind("label", "label"), self.sums().select(F.greatest("total_all", F.lit(1)).alias("total")), self.lexicon)
+
+    def parts(self) -> tuple[DataFrame, ...]:
+        """What recommendation_rules and facts_of want."""
+        return self.sums(), self.topics(), self.entities(), self.themes(), self.profile()
+
+    def facts(self) -> DataFrame:
+        return facts_of(*self.parts())
+
+
+def recommendation_rules(sums: DataFrame, topics: DataFrame, entities: DataFrame, themes: DataFrame, profile: DataFrame) -> DataFrame:
+    """rule, fires: the rule table over one row of statistics (see Analysis.sums)."""
     facts = (
-        comment_stats(df)
-        .crossJoin(topics.agg(F.count("*").alias("n_topics")))
+        sums.crossJoin(topics.agg(F.count("*").alias("n_topics")))
         .crossJoin(entities.agg(F.count("*").alias("n_entities")))
         .crossJoin(themes.agg(F.count("*").alias("n_themes")))
         .crossJoin(profile.agg(F.max(F.when(F.col("dominant"), F.col("label"))).alias("dominant")))
@@ -159,13 +242,16 @@ def highlight_signals(liked: DataFrame, n: int = 10) -> DataFrame:
 
 
 def facts(df: DataFrame, topics: DataFrame, entities: DataFrame, themes: DataFrame, profile: DataFrame) -> DataFrame:
-    """One row: the statistics, and the phrases, names, themes and dominant label that rules look at, in order."""
-    ordered = lambda rows, name, *order: F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(name).alias("_x")))), lambda x: x["_x"])
+    """One row: the statistics, and the phrases, names, themes and dominant label that rules look at, in order.  Analysis.facts has the same from shared tables."""
+    return facts_of(comment_stats(df), topics, entities, themes, profile)
+
+
+def facts_of(sums: DataFrame, topics: DataFrame, entities: DataFrame, themes: DataFrame, profile: DataFrame) -> DataFrame:
+    ordered = lambda name, *order: F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(name).alias("_x")))), lambda x: x["_x"])
     return (
-        comment_stats(df)
-        .crossJoin(topics.agg(ordered(topics, "phrase", (-F.col("n")).alias("a"), F.col("type").alias("b")).alias("topics")))
-        .crossJoin(notable(entities).agg(ordered(entities, "word", (-F.col("n")).alias("a")).alias("entities")))
-        .crossJoin(themes.agg(ordered(themes, "phrase", (-F.col("he")).alias("a")).alias("themes")))
+        sums.crossJoin(topics.agg(ordered("phrase", (-F.col("n")).alias("a"), F.col("type").alias("b")).alias("topics")))
+        .crossJoin(notable(entities).agg(ordered("word", (-F.col("n")).alias("a")).alias("entities")))
+        .crossJoin(themes.agg(ordered("phrase", (-F.col("he")).alias("a")).alias("themes")))
         .crossJoin(profile.agg(F.max(F.when(F.col("dominant"), F.col("label"))).alias("mood")))
     )  # one row each, of bounded lists
 

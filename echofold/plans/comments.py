@@ -95,8 +95,7 @@ def lift_themes(spark, sf):
 
 
 def recommendation_rules(spark, sf):
-    c = comments(spark, sf)
-    return C.recommendation_rules(c, C.top_topics(c, STOP), C.entity_candidates(c, STOP), C.lift_themes(c, STOP), C.audience_profile(c, LEX))
+    return C.recommendation_rules(*C.Analysis.of(comments(spark, sf), STOP, LEX).parts())
 
 
 def word_jaccard_neighbors(spark, sf):

@@ -294,9 +294,18 @@ def marketing_angles(spark, sf):
     return C.marketing_angles(_facts(spark, sf))
 
 
+def thread_recommendations(spark, sf):
+    """The same of conversations as threads of replies."""
+    return C.recommendations(C.Analysis.of(threads(spark, sf), comment_plans.STOP, comment_plans.LEX).facts())
+
+
+def threads(spark, sf):
+    t = turns(spark, sf)
+    return t.select((F.col("conv_id") * 1000 + F.col("row")).alias("comment_id"), "author", "text", ((F.col("conv_id") + F.col("row")) % 7).alias("like_count"), (F.col("row") > 0).alias("is_reply"))
+
+
 def _facts(spark, sf):
-    c = comments(spark, sf)
-    return C.facts(c, C.top_topics(c, comment_plans.STOP), C.entity_candidates(c, comment_plans.STOP), C.lift_themes(c, comment_plans.STOP), C.audience_profile(c, comment_plans.LEX))
+    return C.Analysis.of(comments(spark, sf), comment_plans.STOP, comment_plans.LEX).facts()
 
 
 def notable_entities(spark, sf):
@@ -466,7 +475,7 @@ RECOMMEND = FACTS + _lines(
     f"CASE WHEN len(entities) > 0 THEN {P.fill_sql(P.RECOMMEND['entities'], names=_top('entities', 4))} END",
     f"CASE WHEN len(themes) > 0 THEN {P.fill_sql(P.RECOMMEND['themes'], themes=_top('themes', 4))} END",
     _case("mood", P.RECOMMEND_MOOD),
-    f"CASE WHEN replies * 5 > total * 2 THEN {P.fill_sql(P.RECOMMEND['debate'], share=chr(39) * 2)} END",
+    f"CASE WHEN replies * 5 > total * 2 THEN {P.fill_sql(P.RECOMMEND['debate'], share="printf('%.0f%%', 100.0 * replies / greatest(total, 1))")} END",
     f"CASE WHEN likes < total AND total > 50 THEN {quoted([P.RECOMMEND['low_likes']])} END",
     f"CASE WHEN len(topics) >= 5 THEN {quoted([P.RECOMMEND['recap']])} END",
     f"CASE WHEN len(themes) > 0 OR len(topics) > 0 THEN {P.fill_sql(P.RECOMMEND['clips'], topics='CASE WHEN len(themes) > 0 THEN ' + _top('themes', 3) + ' ELSE ' + _top('topics', 3) + ' END')} END",
@@ -601,6 +610,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY author, ready ORDER BY comment_i
         ),
     ),
     "recommendations": (recommendations, with_views(RECOMMEND, "comments")),
+    "thread_recommendations": (
+        thread_recommendations,
+        with_views("+comments AS (SELECT conv_id * 1000 + row AS comment_id, author, text, (conv_id + row) % 7 AS like_count, row > 0 AS is_reply FROM turns), " + RECOMMEND.removeprefix("+"), "turns"),
+    ),
     "marketing_angles": (marketing_angles, with_views(ANGLES, "comments")),
     "notable_entities": (notable_entities, with_views(f"+{comment_plans.ENTITIES} SELECT word, n FROM entities ORDER BY n DESC, word LIMIT 20", "comments")),
     "highlight_signals": (highlight_signals, with_views("SELECT comment_id, author, left(text, 120) AS preview, like_count AS likes FROM comments ORDER BY like_count DESC, comment_id LIMIT 10", "comments")),

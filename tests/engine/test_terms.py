@@ -68,7 +68,7 @@ def test_stage_tables_end_with_their_run(spark):
     assert not kept.paths and not fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
 
 
-@pytest.mark.parametrize("query", ["spike_narrative", "buzz_summary", "people_scores", "people_reasons", "discovery_cards"])
+@pytest.mark.parametrize("query", ["spike_narrative", "buzz_summary", "people_scores", "people_reasons", "discovery_cards", "recommendations", "recommendation_rules"])
 def test_results_plan_no_base_table(spark, query):
     """What is shared is stored once: the result reads stage tables alone."""
     import os
@@ -88,3 +88,20 @@ def test_deletes_only_what_is_closed(spark):
     a.close()
     assert left.count() == 3
     b.close()
+
+
+def test_one_pass_counts_equal_the_parts(spark):
+    from echofold import lexicons as L
+    from echofold.operators import comments as C
+
+    rnd = random.Random(5)
+    words = ["Great", "match", "the", "great", "best", "Final", "123", "so", "sad"]
+    rows = [(i, f"a{i % 3}", " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 12))), rnd.randint(0, 9), i % 3 == 0) for i in range(60)] + [(60, "a", None, 3, False)]
+    df = spark.createDataFrame(rows, "comment_id int, author string, text string, like_count int, is_reply boolean")
+    lexicon = {"good": ["great", "best"], "bad": ["sad"]}
+    a = C.Analysis.of(df, L.STOPWORDS, lexicon)
+    alone = (C.comment_stats(df).select("total_all", "total_replies", "total_likes"), C.top_topics(df, L.STOPWORDS), C.entity_candidates(df, L.STOPWORDS), C.lift_themes(df, L.STOPWORDS), C.audience_profile(df, lexicon))
+    for mine, other in zip(a.parts(), alone, strict=True):
+        assert sorted(map(str, mine.collect())) == sorted(map(str, other.collect()))
+    nothing = C.Analysis.of(df.limit(0), L.STOPWORDS, lexicon)
+    assert [tuple(r) for r in nothing.sums().collect()] == [(0, 0, 0)] and nothing.topics().count() == 0
