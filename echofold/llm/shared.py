@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,8 +34,21 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
-#: Stored tables of this process that nobody has deleted yet.
+#: Stored tables that nobody has deleted yet: of this process, and of the call that collects its own.
 STORED: list[str] = []
+_OWN: ContextVar[list[str] | None] = ContextVar("echofold_stored", default=None)
+
+
+@contextmanager
+def own_tables() -> Iterator[list[str]]:
+    """The tables stored inside, whatever else runs beside it: a list for sweep."""
+    own: list[str] = []
+    token = _OWN.set(own)
+    try:
+        yield own
+    finally:
+        _OWN.reset(token)
+        STORED.extend(own)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,17 +66,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    STORED.append(f"{shared_dir(spark)}/echofold-{name}-{uuid.uuid4().hex}")
-    return STORED[-1]
+    own = _OWN.get()
+    listed = STORED if own is None else own
+    listed.append(f"{shared_dir(spark)}/echofold-{name}-{uuid.uuid4().hex}")
+    return listed[-1]
 
 
-def sweep(spark: SparkSession, keep: DataFrame | None = None, since: int = 0) -> None:
-    """Delete the tables stored since then (a length of STORED), but those that keep reads itself.  Only for a caller whose results are written."""
+def sweep(spark: SparkSession, keep: DataFrame | None = None, stored: list[str] | None = None) -> None:
+    """Delete stored tables, those of own_tables or else all that are listed, but not those that keep reads itself.  Only for a caller whose results are
+    written."""
+    stored = STORED if stored is None else stored
     used = {x.rpartition("/")[0].rpartition("/")[2] for x in keep.inputFiles()} if keep is not None else set()
-    for path in STORED[since:]:
+    for path in list(stored):
         if path.rpartition("/")[2] not in used:
             delete(spark, path)
-            STORED.remove(path)
+            stored.remove(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from echofold.llm import shared
 from echofold.llm.components import connected_components
 
 
@@ -23,3 +26,20 @@ def test_components(spark):
 
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_a_sweep_takes_the_tables_of_its_own_call(spark):
+    import threading
+
+    beside = []
+    with shared.own_tables() as own:
+        mine = shared.store(spark.range(3), "mine")
+        thread = threading.Thread(target=lambda: beside.append(shared.store(spark.range(4), "beside")))
+        thread.start()
+        thread.join()
+        last = shared.store(mine.filter("id > 0"), "last")
+        shared.sweep(spark, last, own)
+        assert len(own) == 1
+    assert beside[0].count() == 4 and last.count() == 2
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        mine.count()
