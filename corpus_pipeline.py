@@ -77,8 +77,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is a table of its own in the shared folder and the next stage's input.  A stage's intermediate tables
     are deleted once its result is written, and so is its input."""
     docs = shared.documents(spark, sf_dir)
-    begun = len(shared.STORED)
-    for name, stage in STAGES:
-        docs = shared.store(stage(spark, docs, sf_dir), f"stage-{name}")
-        shared.sweep(spark, docs, begun)
+    with shared.own_tables() as stored:
+        for name, stage in STAGES:
+            docs = shared.store(stage(spark, docs, sf_dir), f"stage-{name}")
+            shared.sweep(spark, docs, stored)
     return docs
