@@ -18,7 +18,7 @@ from .matching import overlaps
 from .terms import contained
 
 
-def context(spikes: DataFrame, segments: DataFrame, size: float) -> DataFrame:
+def context(spikes: DataFrame, segments: DataFrame, size: float | None = None) -> DataFrame:
     """id, pre_text (from 15 s before the anchor), concurrent_text (the window), all_text (from 60 s before the anchor to 10 s behind the window) and
     evidence, for every spike.  Texts are joined in order and cut to 300, 300 and 400 characters."""
     early, wide = F.greatest(F.lit(0.0), F.col("anchor") - 15), F.greatest(F.lit(0.0), F.col("anchor") - 60)

@@ -189,10 +189,12 @@ def candidates_of(tokens: DataFrame, roster: DataFrame, aliases: DataFrame, suff
     return t.join(given_names(canonical_names(roster, aliases, forms)).filter("n > 1"), "given").select("token", F.col("name").alias("official"), F.col("canonical").alias("name"))
 
 
-def opportunity(metrics: DataFrame, least_clusters: int = 2) -> DataFrame:
-    """name, raw, best: the score is 100 * raw / best.  metrics: name, reactions, clusters, positive (a share)."""
+def opportunity(metrics: DataFrame, least_clusters: int = 2, keys: str | list[str] = ()) -> DataFrame:
+    """name, raw, best: the score is 100 * raw / best, of each video where keys tell them apart.  metrics: name, reactions, clusters, positive (a share)."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
     raw = metrics.filter(F.col("clusters") >= least_clusters).withColumn("raw", F.col("reactions") / F.col("clusters") * (0.4 + 0.6 * F.col("positive")))
-    return raw.crossJoin(F.broadcast(raw.agg(F.max("raw").alias("best"))))  # one row
+    best = raw.groupBy(*keys).agg(F.max("raw").alias("best"))  # one row, or one for each video
+    return raw.join(best, keys) if keys else raw.crossJoin(F.broadcast(best))
 
 
 def marketing(per_mention: Column, positive: Column, spikes: Column, mentions_: Column) -> Column:

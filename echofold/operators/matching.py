@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import stages
-from .chat import interval_join
+from .chat import cell, interval_join, level_of
 
 
-def point_in_interval(points: DataFrame, segments: DataFrame, size: float) -> DataFrame:
+def point_in_interval(points: DataFrame, segments: DataFrame, size: float | None = None) -> DataFrame:
     """row, seq: the first segment in input order whose closed interval holds the point.  segments: seq, start, end."""
     rows = interval_join(points.select("row", "ts"), segments.select("seq", "start", "end"), size, "start", "end")
     return rows.groupBy("row").agg(F.min("seq").alias("seq"))
@@ -27,21 +27,21 @@ def nearest(points: DataFrame, segments: DataFrame, within: float = 30.0) -> Dat
     return best.select("row", "m.seq", "m.dist")
 
 
-def match_by_time(points: DataFrame, segments: DataFrame, size: float, within: float = 30.0, medium: float = 15.0, before: float = 10.0, after: float = 20.0) -> DataFrame:
+def match_by_time(points: DataFrame, segments: DataFrame, size: float | None = None, within: float = 30.0, medium: float = 15.0, before: float = 10.0, after: float = 20.0) -> DataFrame:
     """row, segment, low, high, confidence: in a segment, else near one, else a span of its own around the point.
 
-    One join finds both: a segment stands in every bucket that its span or the reach of its middle touches.
+    One join finds both: a segment reaches as far as its span or what is near its middle.
     """
     mid = (F.col("start") + F.col("end")) / 2
-    at = lambda x: F.floor(x / size)
-    there = segments.select("seq", "start", "end", F.explode(F.sequence(at(F.least("start", mid - within)), at(F.greatest("end", mid + within)))).alias("_b"))
+    reach = segments.select("seq", "start", "end", F.least("start", mid - within).alias("_from"), F.greatest("end", mid + within).alias("_to"))
     span = F.struct("seq", "start", "end")
     dist = F.abs(mid - F.col("ts"))
-    rows = points.select("row", "ts", at(F.col("ts")).alias("_b")).join(there, "_b", "left")
-    rows = rows.groupBy("row", "ts").agg(
+    met = interval_join(points.select("row", "ts"), reach, size, "_from", "_to")
+    met = met.groupBy("row").agg(
         F.min(F.when(F.col("ts").between(F.col("start"), F.col("end")), span)).alias("hit"),
         F.min(F.when(dist <= within, F.struct(dist.alias("dist"), span.alias("s")))).alias("near"),
     )
+    rows = points.select("row", "ts").join(met, "row", "left")
     found = F.coalesce("hit", "near.s")
     return rows.select(
         "row",
@@ -52,13 +52,24 @@ def match_by_time(points: DataFrame, segments: DataFrame, size: float, within: f
     )
 
 
-def overlaps(segments: DataFrame, spans: DataFrame, size: float) -> DataFrame:
-    """Segments that overlap closed spans (id, low, high): both sides by buckets; a pair is kept in the first bucket that both are in."""
-    at = lambda c: F.floor(F.col(c) / size)
-    a = segments.withColumn("_b", F.explode(F.sequence(at("start"), at("end")))).withColumn("_first_a", at("start"))
-    b = spans.withColumn("_b", F.explode(F.sequence(at("low"), at("high")))).withColumn("_first_b", at("low"))
-    rows = a.join(b, "_b").filter((F.col("end") >= F.col("low")) & (F.col("start") <= F.col("high")) & (F.col("_b") == F.greatest("_first_a", "_first_b")))
-    return rows.drop("_b", "_first_a", "_first_b")
+def overlaps(segments: DataFrame, spans: DataFrame, size: float | None = None) -> DataFrame:
+    """Segments that overlap closed spans (id, low, high); both may be of any lengths.
+
+    Two that overlap meet in a cell of the longer one's level (see interval_join), where either touches two cells at most; a pair counts in the first
+    cell that both touch.  Each side stands at its own level and at the longer ones of the other side.
+    """
+    a = segments.filter(F.col("start") <= F.col("end")).withColumn("_la", level_of(F.col("start"), F.col("end")))
+    b = spans.filter(F.col("low") <= F.col("high")).withColumn("_lb", level_of(F.col("low"), F.col("high")))
+
+    def cells(rows: DataFrame, own: str, other: DataFrame, level: str, low: str, high: str, first: str) -> DataFrame:
+        levels = other.agg(F.collect_set(level).alias("_ls"))  # one row
+        wanted = F.array_distinct(F.concat(F.array(own), F.filter("_ls", lambda x: x > F.col(own))))
+        out = rows.crossJoin(F.broadcast(levels)).withColumn("_l", F.explode(wanted)).drop("_ls").withColumn(first, cell(F.col(low), F.col("_l")))
+        return out.withColumn("_b", F.explode(F.sequence(F.col(first), cell(F.col(high), F.col("_l")))))
+
+    rows = cells(a, "_la", b, "_lb", "start", "end", "_first_a").join(cells(b, "_lb", a, "_la", "low", "high", "_first_b"), ["_l", "_b"])
+    rows = rows.filter((F.col("end") >= F.col("low")) & (F.col("start") <= F.col("high")) & (F.col("_l") == F.greatest("_la", "_lb")) & (F.col("_b") == F.greatest("_first_a", "_first_b")))
+    return rows.drop("_l", "_b", "_la", "_lb", "_first_a", "_first_b")
 
 
 def signal_match(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chat as K
 from ..operators import entities as E
+from ..operators import matching as M
 from .tables import STEP, WIDTH, chat, table, turns, with_views
 
 CANDIDATES = f"""exploded AS (SELECT row, ts, weight, unnest(range(greatest(0, CAST(floor((ts - {WIDTH}) / {STEP}) AS BIGINT) + 1), CAST(floor(ts / {STEP}) AS BIGINT) + 1)) AS k FROM chat),
@@ -24,6 +25,87 @@ sess AS (SELECT *, sum(new) OVER (PARTITION BY author ORDER BY ts, row) AS sessi
 clusters AS (SELECT author, CAST(session AS BIGINT) AS session, count(*) AS n, min(ts) AS first, max(ts) AS last, list_sort(list(ts))[CAST(count(*) // 2 AS BIGINT) + 1] AS anchor FROM sess GROUP BY author, session)"""
 
 
+def videos(spark, sf):
+    """The chat of seven videos: users in groups, each with a first message of its own."""
+    return chat(spark, sf).withColumn("video", F.col("author") % 7)
+
+
+VIDEOS = f"""v AS (SELECT *, author % 7 AS video FROM chat), d AS (SELECT *, ts - min(ts) OVER (PARTITION BY video) AS d FROM v),
+vx AS (SELECT video, row, ts, weight, unnest(range(greatest(0, CAST(floor((d - {WIDTH}) / {STEP}) AS BIGINT) + 1), CAST(floor(d / {STEP}) AS BIGINT) + 1)) AS k FROM d),
+vc AS (SELECT video, k, count(*) AS n, sum(weight) AS weight FROM vx GROUP BY video, k HAVING count(*) >= 3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY weight DESC, k) AS o FROM vc),
+fold AS (SELECT DISTINCT video, 0::BIGINT AS o, []::BIGINT[] AS kept FROM vc UNION ALL
+  SELECT r.video, r.o, CASE WHEN len(kept) < 20 AND len(list_filter(kept, lambda y: abs(r.k - y) * {STEP} < {WIDTH / 2})) = 0 THEN list_append(kept, r.k) ELSE kept END FROM fold JOIN ranked r ON r.video = fold.video AND r.o = fold.o + 1),
+final AS (SELECT video, arg_max(kept, o) AS kept FROM fold GROUP BY video),
+vs AS (SELECT r.video, r.k, r.n, r.weight, CAST(list_position(kept, r.k) AS INTEGER) AS rank FROM ranked r JOIN final USING (video) WHERE list_contains(kept, r.k)),
+vw AS (SELECT video, rank AS id, k * {STEP} AS ws, k * {STEP} + {WIDTH} AS we, k * {STEP} + {WIDTH / 2} AS anchor FROM vs)"""
+
+
+def _videos(body: str) -> str:
+    return with_views(f"+{VIDEOS} {body}", "chat").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def mixed_spans(spark, sf):
+    """Messages within spans of a second, an hour and a month, in one table."""
+    spans = _mixed(spark, sf)
+    return K.interval_join(chat(spark, sf).select("ts", "weight"), spans).groupBy("id").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+
+
+def mixed_overlaps(spark, sf):
+    """Spans of any lengths against each other: how many each meets, itself too."""
+    spans = _mixed(spark, sf)
+    rows = M.overlaps(spans.select(F.col("id").alias("seq"), F.col("low").alias("start"), F.col("high").alias("end")), spans)
+    return rows.groupBy("id").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+
+
+def _mixed(spark, sf):
+    k = F.col("s_suppkey")
+    length = F.when(k % 50 == 0, 2592000.0).when(k % 2 == 0, 1.0).otherwise(3600.0)
+    s = table(spark, sf, "supplier").select(k.alias("id"), ((k * 7919) % 2592000).cast("double").alias("low"), length.alias("length"))
+    return s.select("id", "low", (F.col("low") + F.col("length")).alias("high"))
+
+
+MIXED = "mx AS (SELECT s_suppkey AS id, CAST((s_suppkey * 7919) % 2592000 AS DOUBLE) AS low, (s_suppkey * 7919) % 2592000 + CASE WHEN s_suppkey % 50 = 0 THEN 2592000.0 WHEN s_suppkey % 2 = 0 THEN 1.0 ELSE 3600.0 END AS high FROM supplier)"
+
+
+def video_spikes(spark, sf):
+    """Of every video: the spikes that are kept."""
+    return K.select_spikes(K.spike_candidates(videos(spark, sf), WIDTH, STEP, keys="video"), WIDTH, STEP, keys="video")
+
+
+def video_top_messages(spark, sf):
+    return K.window_messages(videos(spark, sf), WIDTH, STEP, keys="video")
+
+
+def video_rollup(spark, sf):
+    """Messages around the spikes of each video, in seconds from its first one."""
+    spans = K.spans_of(video_spikes(spark, sf), WIDTH, STEP, "video")
+    told = K.from_start(videos(spark, sf).select("video", "ts"), ["video"]).select("video", F.col("_d").alias("ts"))
+    return K.window_rollup(spans, told, WIDTH, "video")
+
+
+def video_density(spark, sf):
+    """The fullest stretch of each video."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("video").orderBy(F.desc("n"), "bucket")
+    return K.density(videos(spark, sf), 7200.0, "video").withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
+
+
+def video_sessions(spark, sf):
+    """Sessions of each video, all of its users as one."""
+    return K.session_clusters(videos(spark, sf), "video", 600.0)
+
+
+def video_opportunity(spark, sf):
+    """Of a hundred for the best user of each video."""
+    c = videos(spark, sf)
+    m = c.groupBy("video", "author").agg(F.count_if(F.col("kind") == "purchase").alias("pos"), F.count_if(F.col("kind") == "click").alias("neg"))
+    m = m.join(K.session_clusters(c, ["video", "author"], GAP).groupBy("video", "author").agg(F.count("*").alias("clusters")), ["video", "author"])
+    m = m.withColumn("reactions", F.col("pos") + F.col("neg")).withColumn("positive", F.when(F.col("pos") + F.col("neg") > 0, F.col("pos") / (F.col("pos") + F.col("neg"))).otherwise(0.0))
+    return E.opportunity(m, keys="video").select("video", "author", F.floor(F.col("raw") / F.col("best") * 1000000 + 0.5).cast("long").alias("score_millionths"))
+
+
 def chat_filter(spark, sf):
     return K.relevant(chat(spark, sf), ["click", "purchase", "view"]).select("row", "kind")
 
@@ -205,6 +287,21 @@ def _spiked(body: str) -> str:
 
 QUERIES = {
     "chat_filter": (chat_filter, with_views("SELECT row, kind FROM chat WHERE kind IN ('click', 'purchase', 'view') AND ts IS NOT NULL AND regexp_matches(text, '[^\\x09-\\x0D\\x1C-\\x20\\x{85}\\p{Z}]')", "chat")),
+    "mixed_spans": (mixed_spans, with_views(f"+{MIXED} SELECT id, count(*) AS n, sum(weight) AS weight FROM mx JOIN chat ON ts BETWEEN low AND high GROUP BY id", "chat")),
+    "mixed_overlaps": (mixed_overlaps, f"WITH {MIXED} SELECT b.id, count(*) AS n, CAST(sum(a.id) AS BIGINT) AS seqs FROM mx a JOIN mx b ON a.high >= b.low AND a.low <= b.high GROUP BY b.id"),
+    "video_spikes": (video_spikes, _videos("SELECT video, k, n, weight, rank FROM vs")),
+    "video_top_messages": (video_top_messages, _videos("SELECT video, k, CAST(r AS INTEGER) AS rank, row FROM (SELECT *, row_number() OVER (PARTITION BY video, k ORDER BY weight DESC, ts, row) AS r, count(*) OVER (PARTITION BY video, k) AS c FROM vx) WHERE c >= 3 AND r <= 5")),
+    "video_rollup": (video_rollup, _videos("SELECT video, id, count(*) FILTER (d BETWEEN ws AND we) AS peak, count(*) FILTER (d >= ws - 30 AND d < ws) AS buildup, count(*) FILTER (d BETWEEN anchor - 10 AND anchor + 5) AS tight FROM d JOIN vw USING (video) WHERE d BETWEEN ws - 30 AND greatest(we, anchor + 5) GROUP BY video, id")),
+    "video_density": (video_density, with_views("SELECT video, bucket, n FROM (SELECT *, row_number() OVER (PARTITION BY video ORDER BY n DESC, bucket) AS r FROM (SELECT author % 7 AS video, CAST(floor(ts / 7200.0) AS BIGINT) AS bucket, count(*) AS n FROM chat GROUP BY 1, 2)) WHERE r = 1", "chat")),
+    "video_sessions": (
+        video_sessions,
+        with_views("""+g AS (SELECT author % 7 AS video, ts, row, CASE WHEN ts - lag(ts) OVER (PARTITION BY author % 7 ORDER BY ts, row) > 600 THEN 1 ELSE 0 END AS new FROM chat), s AS (SELECT *, sum(new) OVER (PARTITION BY video ORDER BY ts, row) AS session FROM g)
+SELECT video, CAST(session AS BIGINT) AS session, count(*) AS n, min(ts) AS first, max(ts) AS last, list(ts ORDER BY ts, row)[CAST(count(*) // 2 AS BIGINT) + 1] AS anchor FROM s GROUP BY video, session""", "chat"),
+    ),
+    "video_opportunity": (
+        video_opportunity,
+        with_views(f"+{SESSIONS}, {METRICS}, o AS (SELECT author % 7 AS video, author, CAST(pos + neg AS DOUBLE) / clusters * (0.4 + 0.6 * CASE WHEN pos + neg > 0 THEN pos / (pos + neg) ELSE 0 END) AS raw FROM m WHERE clusters >= 2) SELECT video, author, CAST(floor(raw / max(raw) OVER (PARTITION BY video) * 1000000 + 0.5) AS BIGINT) AS score_millionths FROM o", "chat"),
+    ),
     "density_buckets": (density_buckets, with_views("SELECT CAST(floor(ts / 7200.0) AS BIGINT) AS bucket, count(*) AS n FROM chat GROUP BY 1", "chat")),
     "density_top": (density_top, with_views("SELECT CAST(floor(ts / 7200.0) AS BIGINT) AS bucket, count(*) AS n FROM chat GROUP BY 1 ORDER BY n DESC, bucket LIMIT 20", "chat")),
     "spike_candidates": (candidates, with_views(f"+{CANDIDATES} SELECT k, n, weight FROM candidates", "chat")),

@@ -13,7 +13,6 @@ from ..operators import highlights as H
 from ..operators import matching as M
 from .tables import chat, comments, quoted, segments, sql_labels, table, turns, with_views
 
-SIZE = 3600.0
 NEAR, MEDIUM = 1200.0, 600.0
 CATEGORIES, ACTS = L.SAMPLE_CATEGORIES, L.SAMPLE_ACTS
 PLAYERS = ["Herea", "Thion", "Oron", "The"]
@@ -42,7 +41,7 @@ RECORDS = f"{CLASSIFIED}, {SCORED}"
 
 
 def point_in_interval(spark, sf):
-    return M.point_in_interval(chat(spark, sf), segments(spark, sf), SIZE)
+    return M.point_in_interval(chat(spark, sf), segments(spark, sf))
 
 
 def nearest_segment(spark, sf):
@@ -50,7 +49,7 @@ def nearest_segment(spark, sf):
 
 
 def matched(spark, sf):
-    return M.match_by_time(chat(spark, sf), segments(spark, sf), SIZE, NEAR, MEDIUM)
+    return M.match_by_time(chat(spark, sf), segments(spark, sf), None, NEAR, MEDIUM)
 
 
 def match_cascade(spark, sf):
@@ -60,7 +59,7 @@ def match_cascade(spark, sf):
 def interval_overlap_context(spark, sf):
     """Segments that overlap the span before each of the first days' noons."""
     spans = segments(spark, sf).select(F.col("seq").alias("id"), (F.col("start") - 9000).alias("low"), (F.col("start") + 4000).alias("high"))
-    rows = M.overlaps(segments(spark, sf), spans, SIZE)
+    rows = M.overlaps(segments(spark, sf), spans)
     return rows.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("seq")), ",").alias("seqs"))
 
 
