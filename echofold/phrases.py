@@ -193,3 +193,50 @@ ACTION_SKILL = "① 기술·샷 하이라이트 숏츠{linked}: 시청자가 '
 ACTION_FOUND = "① 발굴 스토리 숏츠{linked}: 채팅에서 '다크호스·신인왕' 등 발견 내러티브가 형성됐습니다. '숨은 고수를 찾아라' 스타일의 편집 포맷이 유효합니다.\n② 인트로 클립: 첫 등장 시 이름 + 경력 자막을 강조하여 아직 모르는 시청자에게 맥락을 제공하는 편집."
 ACTION_CHEER = "① 내러티브 성장 숏츠{linked}: 응원 감성이 지배적입니다. '좋아질 선수' 스토리텔링 포맷으로 팬층 확대에 활용.\n② 팬 리액션 오버레이: 응원 채팅을 화면에 표시하여 커뮤니티 소속감을 자극하는 편집."
 ACTION_ELSE = "① 종합 하이라이트 비중 확대{linked}: 다양한 반응 패턴이 관측됩니다. 여러 포맷(숏츠·하이라이트·인트로)을 병행 테스트하여 어느 포맷에서 반응률이 높은지 확인.\n② 이름 노출 빈도 증가: 자막·타이틀에 이름을 의식적으로 포함시켜 검색 유입 가능성을 높임."
+
+ACT_LABELS = {
+    "act_1_opening": {"name": "개막", "emoji": "🏌️", "text": "경기 시작 — 선수 소개, 초반 분위기"},
+    "act_2_buildup": {"name": "전개", "emoji": "📈", "text": "흐름 형성 — 일진일퇴, 상황 설명"},
+    "act_3_turning": {"name": "전환점", "emoji": "⭐", "text": "반전 / 전환점 — 분위기를 바꾼 결정적 순간"},
+    "act_4_climax": {"name": "클라이맥스", "emoji": "🔥", "text": "최고조 — 승부처, 압박, 하이라이트 샷"},
+    "act_5_closing": {"name": "결말", "emoji": "🏆", "text": "마무리 — 결과, 소감, 팬 반응"},
+}
+SCRIPT = {
+    "title": "# 마스터 하이라이트 편집 브리프",
+    "video": "영상",
+    "players": "분석 선수",
+    "no_players": "자동 감지 안 됨",
+    "used": "사용 댓글 수",
+    "warning": ["**주의:** 이 플랜은 댓글 언어 패턴으로 추론된 서사 구조입니다.  ", "모든 섹션의 순서는 실제 영상 확인 후 편집자가 조정해야 합니다.  ", "`needs_manual_timestamp_mapping: True` 표시 댓글은 타임코드를 직접 찾아야 합니다."],
+    "titles": "## 제목 후보",
+    "opening": "## 오프닝 훅",
+    "category": "카테고리",
+    "score": "우선순위 점수",
+    "caption": "캡션",
+    "usage": "편집 활용",
+    "manual": "⚠",
+    "sure": "✓",
+    "check": "⚠ 수동 타임코드 확인 필요",
+    "checked": "✓ 타임코드 확정",
+    "acts": "## 5막 서사 구조",
+    "related": "관련 댓글",
+    "shares": "카테고리 분포",
+    "anchor": "**앵커 댓글 (핵심 반응):**",
+    "bridges": "**브리지 댓글 (서사 연결):**",
+    "points": "## 서사 전환점",
+    "points_head": ["| 중요도 | 카테고리 | 좋아요 | 점수 | 댓글 (앞 70자) | 수동확인 |", "|--------|----------|--------|------|----------------|---------|"],
+    "arcs": "## 선수별 서사 아크",
+    "arc_n": "관련 댓글 수",
+    "arc": "감정 아크",
+    "peak": "**피크 순간:**  ",
+    "top": "**주요 댓글:**",
+    "closing": "## 클로징 노트",
+    "events": "## 핵심 이벤트 키워드",
+    "notes": "## 주의사항",
+    "notes_text": [
+        "이 문서는 댓글 패턴 분석으로 자동 생성된 편집 브리프입니다.",
+        "**서사 순서(5막 구조)는 추론값입니다.** 실제 영상 확인 후 순서를 조정하세요.",
+        "`⚠ 수동확인필요` 댓글은 실제 영상에서 해당 장면을 찾아 타임코드를 확정하십시오.",
+        "비판/논쟁 댓글 사용 시 선수 및 채널 브랜드를 고려하십시오.",
+    ],
+}

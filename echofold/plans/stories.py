@@ -15,6 +15,7 @@ from ..operators import entities as E
 from ..operators import highlights as H
 from ..operators import matching as M
 from ..operators import package as G
+from ..sources import plan_files
 from . import chat as chat_plans
 from . import comments as comment_plans
 from . import highlights as highlight_plans
@@ -227,7 +228,7 @@ def records(spark, sf):
 
 
 def concept_sequences(spark, sf):
-    s = G.concept_sequences(records(spark, sf), PLAYERS)
+    s = G.concept_sequences(stages.of(spark).keep(records(spark, sf), "records"), PLAYERS)
     overlays = F.array_join(F.transform("overlays", lambda o: F.concat_ws(":", o["comment_id"].cast("string"), F.coalesce(o["segment"], F.lit("-")), F.coalesce(o["low"].cast("int").cast("string"), F.lit("-")))), ",")
     clips = F.array_join(F.transform("clips", lambda c: F.concat_ws(":", c["segment"], c["note"])), ",")
     return s.select("concept", "title", "description", F.col("hook.caption").alias("hook"), overlays.alias("overlays"), clips.alias("clips"), "call", "seconds")
@@ -269,7 +270,7 @@ def package_meta(spark, sf):
 
 def plan_counts(spark, sf):
     """How many rows each part of the plan has."""
-    plan = G.master_plan(records(spark, sf), PLAYERS, L.SAMPLE_ACTS)
+    plan = G.master_plan(stages.of(spark).keep(records(spark, sf), "records"), PLAYERS, L.SAMPLE_ACTS)
     rows = None
     for part, df in plan.items():
         n = df.agg(F.lit(part).alias("part"), F.count("*").alias("n"))
@@ -277,6 +278,30 @@ def plan_counts(spark, sf):
     return rows
 
 
+def _plan_files(spark, sf):
+    """The plan of all comments, written and named: each comment is classified once."""
+    kept = stages.of(spark)
+    own = kept.keep(records(spark, sf), "records")
+    return plan_files.write_plan(G.master_plan(own, PLAYERS, L.SAMPLE_ACTS), own, PLAYERS, kept.folder("plan"), "v1", "t")
+
+
+def plan_json(spark, sf):
+    """The acts of the plan's JSON file, read back."""
+    card = "struct<comment_id:bigint,text:string>"
+    kind = f"struct<acts:array<struct<act_id:string,comment_count:bigint,anchor_comment:{card},bridge_comments:array<{card}>,category_distribution:map<string,bigint>>>>"
+    text = spark.read.text(_plan_files(spark, sf)["plan_json"], wholetext=True)
+    rows = text.select(F.explode(F.from_json("value", kind)["acts"]).alias("a")).select("a.*")
+    counted = F.array_sort(F.transform(F.map_entries("category_distribution"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))))
+    bridges = F.array_join(F.transform("bridge_comments", lambda c: c["comment_id"].cast("string")), ",")
+    return rows.select("act_id", "comment_count", F.col("anchor_comment.comment_id").alias("anchor"), F.md5("anchor_comment.text").alias("digest"), bridges.alias("bridges"), F.array_join(counted, ",").alias("categories"))
+
+
+def plan_script(spark, sf):
+    """The turning points of the plan's script, read back."""
+    lines = spark.read.text(_plan_files(spark, sf)["plan_script"]).select("value")
+    return lines.filter(F.col("value").rlike(r"^\| (critical|high|medium|low) \|")).select(F.split("value", r" \| ").alias("c")).select(F.substring(F.get("c", F.lit(0)), F.lit(3), F.lit(99)).alias("weight"), F.get("c", F.lit(1)).alias("category"), F.get("c", F.lit(2)).cast("long").alias("likes"))
+
+
 def comment_cards(spark, sf):
     return records(spark, sf).select(G.card("peak").alias("c")).select("c.role", "c.comment_id", "c.players", "c.usage", "c.segment", "c.low", "c.high", "c.manual")
 
@@ -600,6 +625,19 @@ UNION ALL SELECT 'closing_note', least(1, count(*)) FROM rec UNION ALL SELECT 'k
             f", {ACT}",
         ),
     ),
+    "plan_json": (
+        plan_json,
+        _records(
+            f"""SELECT l.act AS act_id, coalesce(n, 0) AS comment_count, anchor, md5(text) AS digest, coalesce(bridges, '') AS bridges, coalesce(categories, '') AS categories FROM (VALUES {", ".join(f"('{a}')" for a in P.ACT_LABELS)}) l(act)
+LEFT JOIN (SELECT act, count(*) AS n, arg_min(comment_id, pos) AS anchor, arg_min(text, pos) AS text FROM p GROUP BY act) a ON a.act = l.act LEFT JOIN (SELECT act, string_agg(category || ':' || k, ',' ORDER BY category || ':' || k) AS categories FROM (SELECT act, category, count(*) AS k FROM acted GROUP BY act, category) GROUP BY act) c ON c.act = l.act
+LEFT JOIN (SELECT act, string_agg(comment_id, ',' ORDER BY r) AS bridges FROM (SELECT *, row_number() OVER (PARTITION BY act ORDER BY pos) AS r FROM q WHERE good OR (NOT anyone AND pos <= 4)) WHERE r <= 3 GROUP BY act) b ON b.act = l.act""",
+            f""", {ACT}, p AS (SELECT *, row_number() OVER (PARTITION BY act ORDER BY priority DESC, comment_id) AS pos, category IN ('analytical', 'representative', 'dramatic') AS good FROM acted), q AS (SELECT *, bool_or(good) OVER (PARTITION BY act) AS anyone FROM p WHERE pos > 1)""",
+        ),
+    ),
+    "plan_script": (
+        plan_script,
+        _records(f"""SELECT CASE WHEN priority >= 70 THEN 'critical' WHEN priority >= 50 THEN 'high' WHEN priority >= 30 THEN 'medium' ELSE 'low' END AS weight, category, likes FROM rec WHERE category IN ('dramatic', 'controversial', 'analytical', 'critical') ORDER BY {highlight_plans._ordered(("dramatic", "controversial", "analytical", "critical"))}, priority DESC, comment_id LIMIT 5"""),
+    ),
     "comment_cards": (comment_cards, _records(f"SELECT 'peak' AS role, comment_id, array_to_string(players, '|') AS players, {_case('category', L.USAGE)} AS usage, nullif(segment, '') AS segment, nullif(low, 0) AS low, low + 40 AS high, manual FROM rec")),
     "render_report": (
         render_report,

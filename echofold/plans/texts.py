@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
+from .. import stages
 from ..functions import text as T
 from ..operators import chat as K
 from ..operators import enrich as N
 from ..operators import subtitles as S
-from ..sources import files
+from ..sources import files, sinks
 from .stories import TALK, scenes, talk
 from .tables import chat, comments, quoted, segments, table, turns, with_views
 
@@ -61,7 +62,7 @@ def _replay(spark, sf):
     t = turns(spark, sf)
     kind = F.col("row") % 5
     emoji = F.struct(F.array(F.lit(":x:")).alias("shortcuts"), F.lit("E1").alias("emojiId"))
-    said = F.struct(F.left("text", F.lit(20)).alias("text"), F.lit(None).cast("struct<shortcuts:array<string>,emojiId:string>").alias("emoji"))
+    said = F.struct(F.col("text"), F.lit(None).cast("struct<shortcuts:array<string>,emojiId:string>").alias("emoji"))
     runs = F.struct(F.array(said, F.struct(F.lit(None).cast("string").alias("text"), emoji.alias("emoji"))).alias("runs"))
     body = lambda **more: F.struct(F.concat_ws(":", "conv_id", "row").alias("id"), F.struct(F.col("author").alias("simpleText")).alias("authorName"), *(v.alias(k) for k, v in more.items()))
     price = F.struct(F.concat(F.lit("$"), F.col("row").cast("string")).alias("simpleText"))
@@ -90,6 +91,32 @@ def replay_lines(spark, sf):
     return files.line_statistics(_replay(spark, sf).unionByName(more))
 
 
+def _written_chat(spark, sf):
+    """The files of an extraction of all conversations, with odd lines among them."""
+    more = table(spark, sf, "nation").select(_pick(["", "  ", "{broken", '{"other": 1}'], "n_nationkey").alias("value"))
+    return sinks.write_chat(_replay(spark, sf).unionByName(more), stages.of(spark).folder("chat"), {"status": "success"}, "v1", "u1")
+
+
+def chat_csv(spark, sf):
+    """Normalized chat written as one CSV file and read back."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(_written_chat(spark, sf)["normalized_csv"])
+    return rows.select(F.col("timestamp_seconds").cast("double").alias("ts"), "timestamp_text", "author", F.coalesce("text", F.lit("")).alias("text"), "message_type", F.col("likes").cast("long").alias("likes"), F.coalesce("superchat_amount", F.lit("")).alias("amount"), "message_id", "video_id", "video_url", "source", "source_type")
+
+
+def chat_json(spark, sf):
+    """Raw and normalized JSON read back and joined."""
+    written = _written_chat(spark, sf)
+    raw, rows = (spark.read.option("multiLine", True).json(written[k]) for k in ("raw_json", "normalized_json"))
+    return raw.select("message_id", "renderer_type", F.col("video_offset_ms").alias("ms"), F.md5("message_text").alias("digest")).join(rows.select("message_id", "timestamp_seconds", F.md5("text").alias("same")), "message_id")
+
+
+def chat_log(spark, sf):
+    """The counts of the log, read back."""
+    lines = spark.read.text(_written_chat(spark, sf)["log"])
+    rows = lines.select(F.regexp_extract("value", r"^ *([a-z_ ]+): +(\d+)$", 1).alias("name"), F.regexp_extract("value", r"(\d+)$", 1).alias("n"))
+    return rows.filter("name <> ''").select("name", F.col("n").cast("long").alias("n"))
+
+
 def segment_files(spark, sf):
     """A file for each benchmark item: its words as one segment, and one without fields."""
     b = table(spark, sf, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -181,6 +208,10 @@ V = f"[{quoted(VALUES)}][CAST(n_nationkey % {len(VALUES)} AS INTEGER) + 1]"
 CUES = "cue AS (SELECT CAST(conv_id AS VARCHAR) AS video, row, row * 2.0 AS start, md5(conv_id || ':' || row) AS h FROM turns)"
 _closed = {"공태현": True, "버디": False, "이글": True, "홀인원": True, "OB": False, "웃음(ㅋ)": False, "역전": True}
 
+CLOCK_SQL = "(CASE WHEN {0} >= 3600 THEN printf('%02d:', ({0}) // 3600) ELSE '' END || printf('%02d:%02d', ({0}) % 3600 // 60, ({0}) % 60))"
+KIND_SQL = "['text', 'superchat', 'membership', 'sticker'][CAST(row % 5 AS INTEGER) + 1]"
+
+
 QUERIES = {
     "loose_values": (
         loose_values,
@@ -207,10 +238,23 @@ SELECT item_id, array_to_string(CASE WHEN now = '' THEN lines ELSE list_append(l
     ),
     "replay_events": (
         replay_events,
-        with_views("""SELECT conv_id || ':' || row AS message_id, (conv_id * 1001 + row) / 1000 AS ts, ['text', 'superchat', 'membership', 'sticker'][CAST(row % 5 AS INTEGER) + 1] AS kind, author, CASE WHEN row % 5 < 3 THEN left(text, 20) || ':x:' ELSE '' END AS text, CASE WHEN row % 5 IN (1, 3) THEN '$' || row ELSE '' END AS amount FROM turns WHERE row % 5 < 4""", "turns"),
+        with_views("""SELECT conv_id || ':' || row AS message_id, (conv_id * 1001 + row) / 1000 AS ts, ['text', 'superchat', 'membership', 'sticker'][CAST(row % 5 AS INTEGER) + 1] AS kind, author, CASE WHEN row % 5 < 3 THEN text || ':x:' ELSE '' END AS text, CASE WHEN row % 5 IN (1, 3) THEN '$' || row ELSE '' END AS amount FROM turns WHERE row % 5 < 4""", "turns"),
     ),
     "replay_counts": (replay_counts, with_views("SELECT ['text', 'superchat', 'membership', 'sticker'][CAST(row % 5 AS INTEGER) + 1] AS kind, count(*) AS n FROM turns WHERE row % 5 < 4 GROUP BY 1", "turns")),
     "replay_lines": (replay_lines, "SELECT (SELECT count(*) FROM conversations) + count(*) AS lines, count(*) FILTER (n_nationkey % 4 < 2) AS blank, count(*) FILTER (n_nationkey % 4 = 2) AS bad, count(*) FILTER (n_nationkey % 4 = 3) AS other FROM nation"),
+    "chat_csv": (
+        chat_csv,
+        with_views(f"""SELECT (conv_id * 1001 + row) / 1000 AS ts, {CLOCK_SQL.format("(conv_id * 1001 + row) // 1000")} AS timestamp_text, author, CASE WHEN row % 5 < 3 THEN text || ':x:' ELSE '' END AS text, {KIND_SQL} AS message_type, CAST(0 AS BIGINT) AS likes, CASE WHEN row % 5 IN (1, 3) THEN '$' || row ELSE '' END AS amount, conv_id || ':' || row AS message_id, 'v1' AS video_id, 'u1' AS video_url, 'live_chat_replay' AS source, 'live_chat' AS source_type FROM turns WHERE row % 5 < 4""", "turns"),
+    ),
+    "chat_json": (
+        chat_json,
+        with_views(f"""SELECT conv_id || ':' || row AS message_id, ['liveChatTextMessageRenderer', 'liveChatPaidMessageRenderer', 'liveChatMembershipItemRenderer', 'liveChatPaidStickerRenderer'][CAST(row % 5 AS INTEGER) + 1] AS renderer_type, conv_id * 1001 + row AS ms, md5(CASE WHEN row % 5 < 3 THEN text || ':x:' ELSE '' END) AS digest, (conv_id * 1001 + row) / 1000 AS timestamp_seconds, md5(CASE WHEN row % 5 < 3 THEN text || ':x:' ELSE '' END) AS same FROM turns WHERE row % 5 < 4""", "turns"),
+    ),
+    "chat_log": (
+        chat_log,
+        with_views("""+n AS (SELECT (SELECT count(*) FROM turns) AS t, (SELECT count(*) FROM turns WHERE row % 5 < 4) AS e, count(*) AS a, count(*) FILTER (n_nationkey % 4 = 2) AS bad FROM nation)
+SELECT 'lines_read' AS name, t + a AS n FROM n UNION ALL SELECT 'lines_skipped', a - bad FROM n UNION ALL SELECT 'lines_error', bad FROM n UNION ALL SELECT 'events_extracted', e FROM n UNION ALL SELECT 'normalized records', e FROM n""", "turns"),
+    ),
     "segment_files": (
         segment_files,
         """SELECT CAST(item_id AS VARCHAR) AS file, 'own_' || item_id AS id, 1 AS seq, item_id * 1.5 AS start, item_id * 1.5 + 4 AS "end", coalesce(text, '') AS text, left(coalesce(text, ''), 3) AS word FROM benchmark UNION ALL SELECT CAST(item_id AS VARCHAR), 'seg_0002', 2, 0.0, 0.0, '', '-' FROM benchmark""",

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, fields
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -234,14 +234,15 @@ def read_replay(spark: SparkSession, path: str) -> DataFrame:
     return parse_replay(spark.read.text(path))
 
 
-def parse_replay(lines: DataFrame) -> DataFrame:
-    """The events of lines(value): see read_replay."""
-    lines = lines.filter(T.has_text(F.col("value")))
-    action = lines.select(F.from_json("value", REPLAY).getField("replayChatItemAction").alias("a")).filter("a IS NOT NULL")
-    rows = action.select(F.col("a.videoOffsetTimeMsec").try_cast("long").alias("ms"), F.explode("a.actions").alias("x")).select("ms", "x.addChatItemAction.item")
+def parse_replay(lines: DataFrame, whole: bool = False) -> DataFrame:
+    """The events of lines(value): see read_replay.  whole: with row (the order of the lines), renderer and offset_ms besides."""
+    lines = lines.withColumn("row", F.monotonically_increasing_id()).filter(T.has_text(F.col("value")))
+    action = lines.select("row", F.from_json("value", REPLAY).getField("replayChatItemAction").alias("a")).filter("a IS NOT NULL")
+    rows = action.select("row", F.col("a.videoOffsetTimeMsec").try_cast("long").alias("ms"), F.explode("a.actions").alias("x")).select("row", "ms", "x.addChatItemAction.item")
     one = F.coalesce(*(F.col(f"item.{r}") for r in RENDERERS))
     kind = F.coalesce(*(F.when(F.col(f"item.{r}").isNotNull(), k) for r, k in RENDERERS.items()))
-    rows = rows.select("ms", one.alias("r"), kind.alias("kind")).filter("r IS NOT NULL")
+    renderer = F.coalesce(*(F.when(F.col(f"item.{r}").isNotNull(), r) for r in RENDERERS))
+    rows = rows.select("row", "ms", one.alias("r"), kind.alias("kind"), renderer.alias("renderer")).filter("r IS NOT NULL")
     runs = F.when(F.size(F.coalesce(F.col("r.message.runs"), F.array())) > 0, F.col("r.message.runs")).otherwise(F.col("r.headerSubtext.runs"))
     empty = lambda c: F.coalesce(c, F.lit(""))
     return rows.select(
@@ -253,6 +254,7 @@ def parse_replay(lines: DataFrame) -> DataFrame:
         empty(runs_text(runs)).alias("text"),
         F.when(F.col("kind").isin("superchat", "sticker"), empty(F.col("r.purchaseAmountText.simpleText"))).otherwise("").alias("amount"),
         empty(F.col("r.timestampUsecs")).alias("usecs"),
+        *([F.col("row"), F.col("renderer"), F.col("ms").alias("offset_ms")] if whole else []),
     )
 
 
@@ -266,10 +268,23 @@ def replay_statistics(spark: SparkSession, path: str) -> DataFrame:
     return line_statistics(spark.read.text(path))
 
 
+def line_counts(value: Column) -> list[Column]:
+    """Aggregates over lines: how many, blank ones, ones that aren't JSON, ones without an action."""
+    text = T.strip(value)
+    parsed = F.try_parse_json(text)
+    has = F.try_variant_get(parsed, "$.replayChatItemAction", "variant").isNotNull()
+    return [F.count("*").alias("lines"), F.count_if(text == "").alias("blank"), F.count_if((text != "") & parsed.isNull()).alias("bad"), F.count_if(parsed.isNotNull() & ~has).alias("other")]
+
+
 def line_statistics(lines: DataFrame) -> DataFrame:
-    text = lines.select(T.strip(F.col("value")).alias("v")).withColumn("j", F.try_parse_json("v"))
-    has = F.try_variant_get("j", "$.replayChatItemAction", "variant").isNotNull()
-    return text.agg(F.count("*").alias("lines"), F.count_if(F.col("v") == "").alias("blank"), F.count_if((F.col("v") != "") & F.col("j").isNull()).alias("bad"), F.count_if(F.col("j").isNotNull() & ~has).alias("other"))
+    return lines.agg(*line_counts(F.col("value")))
+
+
+def observed_replay(lines: DataFrame) -> tuple[DataFrame, Observation]:
+    """The events of lines(value), whole (see parse_replay), and what line_statistics says of the lines, counted as the events are read: it is there (get) once
+    the events were written."""
+    seen = Observation("replay")
+    return parse_replay(lines.observe(seen, *line_counts(F.col("value"))), whole=True), seen
 
 
 _TIME = r"(\d{2}:\d{2}:\d{2}\.\d{3})"

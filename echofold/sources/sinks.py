@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import textwrap
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from .. import stages
 from ..functions import text as T
+from . import files
+from .onefile import write_lines
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -35,6 +38,101 @@ def write_csv(df: DataFrame, path: str, bom: bool = False) -> None:
     rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def csv_line(columns: list[str]) -> str:
+    """A header as CSV."""
+    import csv
+    import io
+
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerow(columns)
+    return out.getvalue()
+
+
+def write_csv_file(df: DataFrame, path: str, bom: bool = False) -> dict[str, int]:
+    """One CSV file in the table's order, quoted where needed, with its header once and the mark before it; without rows the header alone.  Gives counts."""
+    rows = flat(df)
+    head = (BOM if bom else "") + csv_line(rows.columns)
+    options = {"escape": '"', "quote": '"', "nullValue": "", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    return write_lines(rows.select(F.to_csv(F.struct(*rows.columns), options).alias("value")), path, header=head, empty=head)
+
+
+def write_json_file(df: DataFrame, path: str) -> dict[str, int]:
+    """One JSON array in the table's order, an object a line; nulls stay.  Gives counts."""
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    return write_lines(rows, path, header="[\n", separator=",\n", footer="\n]\n", empty="[]\n")
+
+
+# The columns of normalized chat, in order, and what they say of their source.
+CHAT_COLUMNS = [
+    "timestamp_seconds",
+    "timestamp_text",
+    "author",
+    "text",
+    "message_type",
+    "likes",
+    "superchat_amount",
+    "message_id",
+    "author_channel_id",
+    "timestamp_usecs",
+    "video_id",
+    "video_url",
+    "source",
+    "source_type",
+]
+CHAT_SOURCE, CHAT_SOURCE_TYPE = "live_chat_replay", "live_chat"
+
+
+def normalized_chat(events: DataFrame, video: str, url: str = "") -> DataFrame:
+    """CHAT_COLUMNS of the events of a replay (see files.observed_replay), by time, events without one last, ties in the order of the lines."""
+    own = {
+        "timestamp_seconds": F.col("ts"), "timestamp_text": F.coalesce(T.clock(F.col("ts")), F.lit("")), "message_type": F.col("kind"), "likes": F.lit(0), "superchat_amount": F.col("amount"), "author_channel_id": F.col("channel"),
+        "timestamp_usecs": F.col("usecs"), "video_id": F.lit(video), "video_url": F.lit(url), "source": F.lit(CHAT_SOURCE), "source_type": F.lit(CHAT_SOURCE_TYPE),
+    }
+    return events.orderBy(F.asc_nulls_last("ts"), "row").select(*(own.get(c, F.col(c)).alias(c) for c in CHAT_COLUMNS))
+
+
+def raw_chat(events: DataFrame) -> DataFrame:
+    """The events as the replay has them, in the order of the lines."""
+    return events.orderBy("row").select(
+        F.col("renderer").alias("renderer_type"), F.col("kind").alias("message_type"), "message_id", F.col("offset_ms").alias("video_offset_ms"), F.col("usecs").alias("timestamp_usecs"), F.col("author").alias("author_name"),
+        F.col("channel").alias("author_channel_id"), F.col("text").alias("message_text"), F.col("amount").alias("superchat_amount"),
+    )
+
+
+def extraction_log(result: dict[str, str], lines: dict[str, int] | None, kinds: dict[str, int], records: int) -> str:
+    """What came of an extraction, as text: what is known of it, line by line, then the counts."""
+    out = ["live chat extraction", "=" * 60, "", *(f"{k + ':':<17}{v}" for k, v in result.items())]
+    if lines is not None:
+        out += ["", "parse statistics:", f"  lines_read:       {lines['lines']}", f"  lines_skipped:    {lines['blank'] + lines['other']}", f"  lines_error:      {lines['bad']}", f"  events_extracted: {sum(kinds.values())}", f"  events_by_type:   {kinds}"]
+    return "\n".join([*out, "", f"normalized records: {records}"]) + "\n"
+
+
+def write_chat(lines: DataFrame, folder: str, result: dict[str, str], video: str, url: str = "", kept: stages.Stages | None = None) -> dict[str, str]:
+    """The four files of an extracted chat: raw and normalized JSON, normalized CSV, and the log; without events the log alone.
+
+    lines(value) of a replay are read once: the events are a stage table, the statistics of the lines are observed as it is written, and the log's
+    number of records is what the commit of the CSV counted.  Gives what was written where.
+    """
+    events, seen = files.observed_replay(lines)
+    events = (kept or stages.of(lines.sparkSession)).keep(events, "replay")
+    kinds = {r.kind: r.n for r in files.renderer_counts(events).orderBy("kind").collect()}
+    written, records = {}, 0
+    if kinds:
+        rows = normalized_chat(events, video, url)
+        written = {name: f"{folder}/{file}" for name, file in (("raw_json", "live_chat_raw.json"), ("normalized_csv", "live_chat_normalized.csv"), ("normalized_json", "live_chat_normalized.json"))}
+        write_json_file(raw_chat(events), written["raw_json"])
+        records = write_csv_file(rows, written["normalized_csv"])["lines"]
+        write_json_file(rows, written["normalized_json"])
+    written["log"] = f"{folder}/live_chat_extract.log"
+    write_file(lines.sparkSession, extraction_log({**result, "video_id": video, "video_url": url}, seen.get, kinds, records), written["log"])
+    return written
+
+
+def write_file(spark: SparkSession, text: str, path: str) -> None:
+    """A small text as one file."""
+    write_lines(spark.createDataFrame([(text,)], "value string"), path, footer="")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

@@ -49,9 +49,13 @@ class Stages:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
+    def folder(self, name: str) -> str:
+        """A path of its own, deleted with the rest."""
+        self.paths.append(f"{shared_dir(self.spark)}/echofold-stage-{name}-{uuid.uuid4().hex}")
+        return self.paths[-1]
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/echofold-stage-{name}-{uuid.uuid4().hex}"
-        self.paths.append(path)
+        path = self.folder(name)
         df.write.option("compression", "snappy").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
