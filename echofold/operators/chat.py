@@ -16,6 +16,14 @@ def relevant(chat: DataFrame, kinds: list[str]) -> DataFrame:
     return chat.filter(F.col("kind").isin(kinds) & F.col("ts").isNotNull() & T.has_text(F.col("text")))
 
 
+def totals(chat: DataFrame) -> DataFrame:
+    """One row: messages, texts (of kind text), chatters (authors with a name) and last (the time of the last message, 0 without any).  A kind that is null or
+    empty counts as text."""
+    kind = F.coalesce(F.nullif("kind", F.lit("")), F.lit("text"))
+    named = F.when(F.length(F.col("author").cast("string")) > 0, F.col("author"))
+    return chat.agg(F.count("*").alias("messages"), F.count_if(kind == "text").alias("texts"), F.count_distinct(named).alias("chatters"), F.coalesce(F.max("ts"), F.lit(0.0)).alias("last"))
+
+
 def listed(keys: str | list[str] | tuple[str, ...]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 

@@ -237,8 +237,8 @@ def notable(entities: DataFrame, n: int = 20) -> DataFrame:
 
 
 def highlight_signals(liked: DataFrame, n: int = 10) -> DataFrame:
-    """comment_id, author, preview, likes of the most liked."""
-    return top(liked, n, F.desc("like_count"), F.asc("comment_id")).select("comment_id", "author", F.left("text", F.lit(120)).alias("preview"), F.col("like_count").alias("likes"))
+    """comment_id, author, preview, likes and a note of the most liked."""
+    return top(liked, n, F.desc("like_count"), F.asc("comment_id")).select("comment_id", "author", F.left("text", F.lit(120)).alias("preview"), F.col("like_count").alias("likes"), F.lit(P.SIGNAL_NOTE).alias("note"))
 
 
 def facts(df: DataFrame, topics: DataFrame, entities: DataFrame, themes: DataFrame, profile: DataFrame) -> DataFrame:

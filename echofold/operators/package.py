@@ -84,7 +84,8 @@ def concept_sequences(records: DataFrame, players: list[str], n: int = 5) -> Dat
 
 
 def spike_sequences(spikes: DataFrame, chat: DataFrame, size: float, options: Options = Options()) -> DataFrame:
-    """id, title, description, clip_start, clip_end, messages (the first of the window, by time), hook, call, seconds, of the first spikes.
+    """id, title, description, clip_start, clip_end, messages (the first of the window, by time), hook, clips (the one clip), overlays (the hook as a card), call, seconds,
+    of the first spikes.
 
     spikes: id (the rank), ws, we, anchor, n, weight; chat: ts, row, text, author, likes, weight.
     """
@@ -103,10 +104,18 @@ def spike_sequences(spikes: DataFrame, chat: DataFrame, size: float, options: Op
     time = F.format_string("%d:%02d", ((s - s % 60) / 60).cast("long"), s % 60)
     length = F.format_string("%.1f", end - start)
     none = F.struct(F.lit(P.SPIKE_HOOK).alias("text"), F.lit("").alias("author"), F.lit(0).cast("long").alias("likes"), F.lit(P.SPIKE_HOOK).alias("caption"))
+    name = F.format_string("spike_%03d", F.col("id"))
+    shown = T.once(F.coalesce("hook", none.cast(gathered.schema["hook"].dataType)))
+    out = out.withColumn("hook", shown)
+    clip = F.struct(name.alias("segment"), start.alias("start"), end.alias("end"), F.lit(False).alias("manual"), F.lit(P.CLIP_SPIKE).alias("note"))
+    overlay = F.struct(
+        F.lit(1).alias("order"), F.concat(name, F.lit("_hook")).alias("comment_id"), "hook.text", "hook.caption", "hook.author", "hook.likes", F.lit("clutch_hype").alias("category"),
+        name.alias("segment"), start.alias("low"), end.alias("high"), F.lit("high").alias("confidence"), F.lit(False).alias("manual"),
+    )
     return out.select(
         "id", P.fill(P.SPIKE_TITLE, rank=F.col("id"), time=time).alias("title"), P.fill(P.SPIKE_TEXT, n=F.col("n"), weight=F.format_string("%.0f", F.col("weight").cast("double")), time=time, length=length).alias("description"),
         start.alias("clip_start"), end.alias("clip_end"), F.coalesce("_m", F.array().cast(gathered.schema["_m"].dataType)).alias("messages"),
-        F.coalesce("hook", none.cast(gathered.schema["hook"].dataType)).alias("hook"), F.lit(P.CALL).alias("call"), seconds_of_clip(end - start).alias("seconds"),
+        "hook", F.array(clip).alias("clips"), F.array(overlay).alias("overlays"), F.lit(P.CALL).alias("call"), seconds_of_clip(end - start).alias("seconds"),
     )
 
 

@@ -257,6 +257,13 @@ def time_order(spark, sf):
     return K.in_time_order(chat(spark, sf).withColumn("ts", F.when(F.col("row") % 3 > 0, F.col("ts")))).limit(100).select("row")
 
 
+def time_order_seam(spark, sf):
+    """A hundred rows in time order where those with a time end and those without one begin."""
+    c = chat(spark, sf).withColumn("ts", F.when(F.col("row") % 3 > 0, F.col("ts")))
+    timed = c.filter("ts IS NOT NULL").count()
+    return K.in_time_order(c).offset(max(0, timed - 50)).limit(100).select("row", F.col("ts").isNotNull().alias("timed"))
+
+
 def chat_totals(spark, sf):
     return chat(spark, sf).agg(F.count("*").alias("n"), F.count_distinct("author").alias("authors"), F.max("ts").alias("last"))
 
@@ -350,6 +357,7 @@ SELECT author, row, text FROM (SELECT *, row_number() OVER (PARTITION BY author
     ),
     "noise_words": (noise, with_views(f"+w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM turns) SELECT word FROM w WHERE length(regexp_replace(word, '{STRIPPED}', '', 'g')) <= 3 OR regexp_full_match(regexp_replace(word, '{STRIPPED}', '', 'g'), 'ㅋ+|ㅎ+|[ㅠㅜ]+')", "turns")),
     "time_order": (time_order, with_views("SELECT row FROM (SELECT row, CASE WHEN row % 3 > 0 THEN ts END AS ts FROM chat) ORDER BY ts NULLS LAST, row LIMIT 100", "chat")),
+    "time_order_seam": (time_order_seam, with_views("+c AS (SELECT row, CASE WHEN row % 3 > 0 THEN ts END AS ts FROM chat) SELECT row, ts IS NOT NULL AS timed FROM (SELECT *, row_number() OVER (ORDER BY ts NULLS LAST, row) AS o FROM c), (SELECT greatest(0, count(ts) - 50) AS n FROM c) WHERE o > n AND o <= n + 100", "chat")),
     "chat_totals": (chat_totals, with_views("SELECT count(*) AS n, count(DISTINCT author) AS authors, max(ts) AS last FROM chat", "chat")),
     "recent_distinct": (
         recent_distinct,

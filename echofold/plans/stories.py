@@ -240,7 +240,9 @@ def spike_sequences(spark, sf):
     s = s.select("id", "ws", (F.col("ws") + chat_plans.WIDTH).alias("we"), (F.col("ws") + chat_plans.WIDTH / 2).alias("anchor"), "n", F.floor("weight").alias("weight"))
     out = G.spike_sequences(s, c, chat_plans.WIDTH)
     said = F.array_join(F.transform("messages", lambda m: F.concat_ws(":", m["author"], m["text"])), ",")
-    return out.select("id", "title", "description", "clip_start", "clip_end", said.alias("messages"), F.concat_ws(":", "hook.author", "hook.caption").alias("hook"), "seconds")
+    clips = F.array_join(F.transform("clips", lambda c: F.concat_ws(":", c["segment"], c["end"] - c["start"], c["note"])), ",")
+    overlays = F.array_join(F.transform("overlays", lambda o: F.concat_ws(":", o["comment_id"], o["caption"], o["category"], o["segment"])), ",")
+    return out.select("id", "title", "description", "clip_start", "clip_end", said.alias("messages"), F.concat_ws(":", "hook.author", "hook.caption").alias("hook"), clips.alias("clips"), overlays.alias("overlays"), "seconds")
 
 
 def event_words(spark, sf):
@@ -268,6 +270,41 @@ def package_meta(spark, sf):
     return G.meta(records(spark, sf), segments(spark, sf), chat_plans.spikes(spark, sf))
 
 
+def package_by_spikes(spark, sf):
+    """The same where chat records stand at times of their own: shorts go by spikes."""
+    direct = F.when(F.col("source_type") == "live_chat", F.array(F.lit("live_chat_timestamp_direct"))).otherwise(F.col("signals"))
+    return G.meta(records(spark, sf).withColumn("signals", direct), segments(spark, sf), chat_plans.spikes(spark, sf))
+
+
+def package_shorts(spark, sf):
+    """The shorts of that package: the mode chooses what they are."""
+    direct = F.when(F.col("source_type") == "live_chat", F.array(F.lit("live_chat_timestamp_direct"))).otherwise(F.col("signals"))
+    own = stages.of(spark).keep(records(spark, sf).withColumn("signals", direct), "records")
+    s = chat_plans.spike_nms(spark, sf).select(F.col("rank").cast("long").alias("id"), (F.col("k") * chat_plans.STEP).alias("ws"), "n", F.floor("weight").alias("weight"))
+    s = stages.of(spark).keep(s.select("id", "ws", (F.col("ws") + chat_plans.WIDTH).alias("we"), (F.col("ws") + chat_plans.WIDTH / 2).alias("anchor"), "n", "weight"), "spikes")
+    package = G.build_package(own, segments(spark, sf), s, chat(spark, sf).withColumn("likes", F.col("author")), PLAYERS, chat_plans.WIDTH)
+    return package["shorts_sequences"].select("id", "title", "clip_start", F.size("messages").cast("long").alias("messages"))
+
+
+def package_parts(spark, sf):
+    """The cards of the plan, by part."""
+    own = stages.of(spark).keep(records(spark, sf), "records")
+    plan = G.master_plan(own, PLAYERS, L.SAMPLE_ACTS)
+    rows = None
+    for part in ("opening_hook", "turning_points", "closing_note"):
+        cards = plan[part].select(F.lit(part).alias("part"), "card.comment_id", "card.role", "card.usage", F.md5("card.caption").alias("caption"))
+        rows = cards if rows is None else rows.unionByName(cards)
+    return rows
+
+
+def chatters(spark, sf):
+    """Totals of chat with nameless authors and messages of other kinds."""
+    t = turns(spark, sf).select("author", "conv_id", "row", (F.col("conv_id") * 20.0 + F.col("row")).alias("ts"))
+    who = F.when(F.col("row") % 3 > 0, F.concat("author", F.col("conv_id").cast("string"))).otherwise("")
+    kind = F.get(F.array(F.lit("text"), F.lit("superchat"), F.lit(""), F.lit(None)), (F.col("row") % 4).cast("int"))
+    return K.totals(t.select("ts", who.alias("author"), kind.alias("kind")))
+
+
 def plan_counts(spark, sf):
     """How many rows each part of the plan has."""
     plan = G.master_plan(stages.of(spark).keep(records(spark, sf), "records"), PLAYERS, L.SAMPLE_ACTS)
@@ -588,9 +625,9 @@ FROM ct JOIN cap ON cap.comment_id = ct.comment_id LEFT JOIN cn ON cn.concept =
         spike_sequences,
         chat_plans._spiked(
             f""", w AS (SELECT id, anchor, row, text, author, row_number() OVER (PARTITION BY id ORDER BY ts, row) AS t, row_number() OVER (PARTITION BY id ORDER BY weight DESC, ts, row) AS h FROM j WHERE id <= 5),
-a AS (SELECT id, any_value(anchor) AS anchor, string_agg(author || ':' || text, ',' ORDER BY t) FILTER (t <= 50) AS messages, any_value(author || ':' || left(text, 45)) FILTER (h = 1) AS hook FROM w GROUP BY id)
-SELECT CAST(id AS BIGINT) AS id, {P.fill_sql(P.SPIKE_TITLE, rank="id", time=SEQUENCE_TIME)} AS title, {P.fill_sql(P.SPIKE_TEXT, n="n", weight="CAST(floor(weight) AS BIGINT)", time=SEQUENCE_TIME, length="'15.0'")} AS description, greatest(0.0, anchor - 10) AS clip_start, anchor + 5 AS clip_end, messages, hook, CAST(22 AS BIGINT) AS seconds FROM a JOIN spikes ON rank = id"""
-        ).replace("anchor FROM spikes)", "anchor FROM spikes)").replace(f"{chat_plans.JOINED} ,", f"{chat_plans.JOINED},"),
+a AS (SELECT id, any_value(anchor) AS anchor, string_agg(author || ':' || text, ',' ORDER BY t) FILTER (t <= 50) AS messages, any_value(author || ':' || left(text, 45)) FILTER (h = 1) AS hook, any_value(left(text, 45)) FILTER (h = 1) AS caption FROM w GROUP BY id)
+SELECT CAST(id AS BIGINT) AS id, {P.fill_sql(P.SPIKE_TITLE, rank="id", time=SEQUENCE_TIME)} AS title, {P.fill_sql(P.SPIKE_TEXT, n="n", weight="CAST(floor(weight) AS BIGINT)", time=SEQUENCE_TIME, length="'15.0'")} AS description, greatest(0.0, anchor - 10) AS clip_start, anchor + 5 AS clip_end, messages, hook, printf('spike_%03d', id) || ':15.0:{P.CLIP_SPIKE}' AS clips, printf('spike_%03d', id) || '_hook:' || caption || ':clutch_hype:' || printf('spike_%03d', id) AS overlays, CAST(22 AS BIGINT) AS seconds FROM a JOIN spikes ON rank = id"""
+        ),
     ),
     "event_words": (event_words, _records("SELECT event, count(*) AS n FROM (SELECT unnest(events) AS event FROM rec) GROUP BY event")),
     "title_suggestions": (
@@ -615,6 +652,25 @@ FROM (SELECT count(*) AS total, coalesce((SELECT event FROM (SELECT unnest(event
         package_meta,
         with_views(f"+{RECORDS}, {REC}, {chat_plans.CANDIDATES}, {chat_plans.NMS} SELECT count(*) FILTER (source_type = 'comment') AS comments, count(*) FILTER (source_type = 'live_chat') AS messages, (SELECT count(*) FROM segments) AS segments, (SELECT count(*) FROM spikes) AS spikes, count(*) FILTER (source_type = 'live_chat') > 0 AS has_chat, false AS spike_mode FROM rec", "comments", "chat", "segments").replace("WITH ", "WITH RECURSIVE ", 1),
     ),
+    "package_by_spikes": (
+        package_by_spikes,
+        with_views(f"+{RECORDS}, {REC}, {chat_plans.CANDIDATES}, {chat_plans.NMS} SELECT count(*) FILTER (source_type = 'comment') AS comments, count(*) FILTER (source_type = 'live_chat') AS messages, (SELECT count(*) FROM segments) AS segments, (SELECT count(*) FROM spikes) AS spikes, count(*) FILTER (source_type = 'live_chat') > 0 AS has_chat, count(*) FILTER (source_type = 'live_chat') > 0 AND (SELECT count(*) FROM spikes) > 0 AS spike_mode FROM rec", "comments", "chat", "segments").replace("WITH ", "WITH RECURSIVE ", 1),
+    ),
+    "package_shorts": (
+        package_shorts,
+        chat_plans._spiked(f", w AS (SELECT id, any_value(anchor) AS anchor, count(*) AS c FROM j WHERE id <= 5 GROUP BY id) SELECT CAST(id AS BIGINT) AS id, {P.fill_sql(P.SPIKE_TITLE, rank='id', time=SEQUENCE_TIME)} AS title, greatest(0.0, anchor - 10) AS clip_start, least(c, 50) AS messages FROM w"),
+    ),
+    "package_parts": (
+        package_parts,
+        _records(
+            f"""SELECT part, p.comment_id, part_role AS role, {_case("p.category", L.USAGE)} AS usage, md5(cap.caption) AS caption FROM (
+SELECT 'opening_hook' AS part, 'opening_hook' AS part_role, * FROM (SELECT comment_id, category FROM (SELECT * FROM rec ORDER BY priority DESC, comment_id LIMIT 30) ORDER BY {highlight_plans._ordered(('dramatic', 'analytical', 'controversial', 'funny', 'clutch_hype'))}, priority DESC, comment_id LIMIT 1)
+UNION ALL SELECT 'turning_points', 'turning_point', * FROM (SELECT comment_id, category FROM rec WHERE category IN ('dramatic', 'controversial', 'analytical', 'critical') ORDER BY {highlight_plans._ordered(('dramatic', 'controversial', 'analytical', 'critical'))}, priority DESC, comment_id LIMIT 5)
+UNION ALL SELECT 'closing_note', 'closing_note', * FROM (SELECT comment_id, category FROM rec WHERE category IN ('supportive', 'emotional', 'representative') AND likes >= 1 ORDER BY {highlight_plans._ordered(('supportive', 'emotional', 'representative'))}, priority DESC, comment_id LIMIT 1)) p JOIN cap ON cap.comment_id = p.comment_id""",
+            f", cap AS ({highlight_plans.CAPTION})",
+        ),
+    ),
+    "chatters": (chatters, with_views("SELECT count(*) AS messages, count(*) FILTER (row % 4 <> 1) AS texts, count(DISTINCT author || conv_id) FILTER (row % 3 > 0) AS chatters, max(conv_id * 20.0 + row) AS last FROM turns", "turns")),
     "plan_counts": (
         plan_counts,
         _records(
@@ -654,7 +710,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY author, ready ORDER BY comment_i
     ),
     "marketing_angles": (marketing_angles, with_views(ANGLES, "comments")),
     "notable_entities": (notable_entities, with_views(f"+{comment_plans.ENTITIES} SELECT word, n FROM entities ORDER BY n DESC, word LIMIT 20", "comments")),
-    "highlight_signals": (highlight_signals, with_views("SELECT comment_id, author, left(text, 120) AS preview, like_count AS likes FROM comments ORDER BY like_count DESC, comment_id LIMIT 10", "comments")),
+    "highlight_signals": (highlight_signals, with_views("SELECT comment_id, author, left(text, 120) AS preview, like_count AS likes, '" + P.SIGNAL_NOTE + "' AS note FROM comments ORDER BY like_count DESC, comment_id LIMIT 10", "comments")),
     "min_likes": (min_likes, with_views("SELECT comment_id, like_count FROM comments WHERE like_count >= 90", "comments")),
     "word_confidence": (word_confidence, with_views(f"+{highlight_plans.JACCARD} SELECT id, seq, 'low' AS confidence, 'overlap:' || replace(overlap, ',', ',overlap:') AS signals FROM jac WHERE common * 100 + named * 6 * either >= either * 7", "comments")),
 }
