@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from .. import phrases as P
+from .. import stages
 from ..functions import text as T
 from .terms import contained
 
@@ -90,25 +92,72 @@ def resolve(tokens: DataFrame, roster: DataFrame, aliases: DataFrame, suffixes:
     return out.select("token", "name", "level")
 
 
+#: Names with more ways to leave out characters than this are found by their lengths and first character alone.
+MOST_KEYS = 300
+
+
+def fuzzy_keys(least: float, slack: int, roster: bool):
+    """Of text: the keys under which a similar partner has one in common, as mapInArrow.
+
+    A ratio r of matching blocks over lengths a and b needs a common subsequence of at least m = r * (a + b) / 2 characters, so both have some m characters
+    in order alike: each text is listed under all its ways to leave out characters down to m, for every length that a partner may have.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from itertools import combinations
+        from math import ceil, comb
+
+        for batch in batches:
+            texts, keys = [], []
+            for text, size in zip(batch.column("text").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                found = set()
+                for other in range(size - slack, size + slack + 1):
+                    # The roster's lengths count without digits at the end, the ratio with them.
+                    a, b = (other, size) if roster else (size, other)
+                    if other < 1:
+                        continue
+                    tail = len(text) - size if roster else 0
+                    m = ceil(least * (size + other + tail) / 2 - 1e-9)
+                    longest = max(size, other) + tail
+                    if tail or m < 1 or comb(longest, min(m, longest)) > MOST_KEYS:
+                        found.add(f"{text[0]}|{a}|{b}")
+                    elif m <= min(size, other):
+                        found.update(f"{text[0]}|{a}|{b}|{''.join(c)}" for c in combinations(text, m))
+                    if not roster:  # names with digits at the end, or too many ways, stand under the lengths alone
+                        found.add(f"{text[0]}|{a}|{b}")
+                texts += [text] * len(found)
+                keys += found
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(keys, pa.string())], names=["text", "key"])
+
+    return run
+
+
 def resolve_fuzzy(tokens: DataFrame, roster: DataFrame, least: float = 0.85, slack: int = 0) -> DataFrame:
     """token, name: the most similar roster name of the same first character and, within `slack`, the same length, by matching blocks.
 
-    Candidates meet on length and first character; the similarity runs on distinct tokens in Arrow batches.  Digits at the end of a name don't count
-    for its length.  Of equally similar names, the last in order.
+    Candidates meet in an index of what is left when characters are left out (see fuzzy_keys); of those, the characters that both have, whatever their order,
+    bound the similarity before it is computed, on distinct tokens in Arrow batches.  Digits at the end of a name don't count for its length.  Of equally similar
+    names, the last in order.
     """
-    first = lambda c: F.left(c, F.lit(1))
-    bare = F.length(F.regexp_replace("name", "[0-9]+$", "")) if not slack else F.length("name")
-    a = tokens.select("token").distinct().withColumn("_c", first("token")).withColumn("_n", F.explode(F.sequence(F.length("token") - slack, F.length("token") + slack)))
-    b = roster.select("name").distinct().withColumn("_c", first("name")).withColumn("_n", bare)
+    stages.prepare(tokens.sparkSession)
+    bare = F.length(F.regexp_replace("text", "[0-9]+$", "")) if not slack else F.length("text")
+    a = tokens.select(F.col("token").alias("text")).filter(F.length("token") > 0).distinct().withColumn("size", F.length("text"))
+    b = roster.select(F.col("name").alias("text")).filter(F.length("name") > 0).distinct().withColumn("size", bare)
+    keyed = lambda rows, own: rows.mapInArrow(fuzzy_keys(least, slack, own), "text string, key string")
+    pairs = keyed(a, False).withColumnRenamed("text", "token").join(keyed(b, True).withColumnRenamed("text", "name"), "key").select("token", "name").distinct()
 
     @F.pandas_udf("double")
     def ratio(x: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         from difflib import SequenceMatcher
 
         for p, q in x:
-            yield pd.Series([SequenceMatcher(None, t, s).ratio() for s, t in zip(p, q, strict=True)], dtype="float64")
+            out, matcher = [], SequenceMatcher(None)
+            for s, t in zip(p, q, strict=True):
+                matcher.set_seqs(t, s)
+                out.append(matcher.ratio() if matcher.quick_ratio() >= least else 0.0)
+            yield pd.Series(out, dtype="float64")
 
-    rows = a.join(b, ["_c", "_n"]).withColumn("r", ratio("token", "name")).filter(F.col("r") >= least)
+    rows = pairs.withColumn("r", ratio("token", "name")).filter(F.col("r") >= least)
     return rows.groupBy("token").agg(F.max_by("name", F.struct("r", "name")).alias("name"))
 
 
