@@ -127,13 +127,33 @@ def window_rollup(spikes: DataFrame, chat: DataFrame, size: float, keys: str | l
     )
 
 
-def sessions(rows: DataFrame, key: str | list[str], gap: float = 60.0, slice_s: float = 3600.0) -> DataFrame:
+#: Rows of a key from which its sessions are found slice by slice.
+HOT_ROWS = 1_000_000
+
+
+def any_hot(rows: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> bool:
+    """Whether a key has more rows than one task should order: a count for each key, of which none or a few stay."""
+    return not rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).limit(1).isEmpty()
+
+
+def sessions(rows: DataFrame, key: str | list[str], gap: float = 60.0, slice_s: float = 3600.0, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Chains of a key's rows whose neighbours are at most `gap` apart: adds session (from 0) and _at (the place in the session, from 0).
 
-    A key's rows are ordered slice by slice of time, so that one that has a third of all rows is many groups; what a slice adds to the numbers of sessions and
-    to places is carried over from a row for each slice.
+    One window over each key's rows while no key is hot; else see sliced_sessions.
     """
     keys = listed(key)
+    if hot_rows < 1 << 62 and any_hot(rows, keys, hot_rows):
+        return sliced_sessions(rows, keys, gap, slice_s)
+    w = Window.partitionBy(*keys).orderBy("ts", "row")
+    new = F.when(F.col("ts") - F.lag("ts").over(w) > gap, 1).otherwise(0)
+    rows = rows.withColumn("_new", new).withColumn("session", F.sum("_new").over(w)).drop("_new")
+    return rows.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "session").orderBy("ts", "row")) - 1)
+
+
+def sliced_sessions(rows: DataFrame, key: str | list[str], gap: float = 60.0, slice_s: float = 3600.0) -> DataFrame:
+    """The same, a key's rows ordered slice by slice of time, so that one that has a third of all rows is many groups; what a slice adds to the numbers of
+    sessions and to places is carried over from a row for each slice."""
+    keys = listed(key)
     rows = rows.withColumn("_slice", F.floor(F.col("ts") / slice_s))
     own = Window.partitionBy(*keys, "_slice").orderBy("ts", "row")
     # In a slice: _part counts the chains that begin behind its first row.
@@ -156,13 +176,18 @@ def sessions(rows: DataFrame, key: str | list[str], gap: float = 60.0, slice_s:
     return placed.withColumn("_at", F.col("_i") + F.col("_before")).drop("_slice", "_part", "_i", "_before")
 
 
-def session_clusters(rows: DataFrame, key: str | list[str], gap: float = 60.0, slice_s: float = 3600.0) -> DataFrame:
+def session_clusters(rows: DataFrame, key: str | list[str], gap: float = 60.0, slice_s: float = 3600.0, hot_rows: int = HOT_ROWS) -> DataFrame:
     """key, session, n, first, last, anchor: the anchor is the element at n div 2."""
-    keys = listed(key)
-    rows = sessions(rows.select(*keys, "ts", "row"), keys, gap, max(slice_s, 10 * gap))
-    sums = rows.groupBy(*keys, "session").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
-    middle = rows.join(sums.select(*keys, "session", F.floor(F.col("n") / 2).alias("_at")), [*keys, "session", "_at"]).select(*keys, "session", F.col("ts").alias("anchor"))
-    return sums.join(middle, [*keys, "session"]).select(*keys, "session", "n", "first", "last", "anchor")
+    keys, rows = listed(key), rows.select(*listed(key), "ts", "row")
+    sums = [F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")]
+    if any_hot(rows, keys, hot_rows):
+        rows = sliced_sessions(rows, keys, gap, max(slice_s, 10 * gap))
+        out = rows.groupBy(*keys, "session").agg(*sums)
+        middle = rows.join(out.select(*keys, "session", F.floor(F.col("n") / 2).alias("_at")), [*keys, "session", "_at"]).select(*keys, "session", F.col("ts").alias("anchor"))
+        return out.join(middle, [*keys, "session"]).select(*keys, "session", "n", "first", "last", "anchor")
+    rows = sessions(rows, keys, gap, hot_rows=1 << 62).withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "session")))
+    anchor = F.max(F.when(F.col("_at") == F.floor(F.col("_n") / 2), F.col("ts"))).alias("anchor")
+    return rows.groupBy(*keys, "session").agg(*sums, anchor)
 
 
 def attributed(clusters: DataFrame, chat: DataFrame, key: str, size: float, before: float = 10.0, after: float = 30.0) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .. import phrases as P
@@ -150,50 +150,51 @@ def themes_of(keywords: DataFrame, top_rows: DataFrame, stop: list[str], n: int
 
 
 def tagged_counts(df: DataFrame, stop: list[str], lexicon: dict[str, list[str]]) -> DataFrame:
-    """kind, phrase, n from one pass over the texts and one aggregate: unigram, bigram, name (capitalised words), label, and sum (all, replies, likes)."""
-    low = df.select("like_count", "is_reply", "text", T.once(F.lower("text")).alias("_low"), T.once(T.without_stopwords(T.tokens(F.col("text")), stop)).alias("_t"))
-    one = F.lit(1).cast("long")
-    tag = lambda kind: lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("phrase"), one.alias("n"))
-    sums = {"all": one, "replies": F.col("is_reply").cast("long"), "likes": F.col("like_count").cast("long")}
-    whole = F.array(*(F.struct(F.lit("sum").alias("kind"), F.lit(k).alias("phrase"), F.coalesce(v, F.lit(0)).alias("n")) for k, v in sums.items()))
-    lists = {"unigram": F.col("_t"), "bigram": T.bigrams(F.col("_t")), "name": capitalised(F.col("text"), stop), "label": T.labels(F.col("_low"), lexicon)}
+    """kind, phrase, n from one pass over the texts: name (capitalised words) and label."""
+    lists = {"name": capitalised(F.col("text"), stop), "label": T.labels(F.col("_low"), lexicon)}
     empty = F.array().cast("array<string>")  # of a null text
-    tagged = F.concat(whole, *(F.transform(F.coalesce(words, empty), tag(kind)) for kind, words in lists.items()))
-    return low.select(F.explode(tagged).alias("p")).select("p.*").groupBy("kind", "phrase").agg(F.sum("n").alias("n"))
+    tagged = F.concat(*(F.transform(F.coalesce(words, empty), lambda p, kind=kind: F.struct(F.lit(kind).alias("kind"), p.alias("phrase"))) for kind, words in lists.items()))
+    return df.select("text", T.once(F.lower("text")).alias("_low")).select(F.explode(tagged).alias("p")).select("p.*").groupBy("kind", "phrase").agg(F.count("*").alias("n"))
 
 
 @dataclass
 class Analysis:
-    """What the parts of a comment report share: the counts of all phrases and the most liked comments are stage tables, the rest is derived from them."""
+    """What the parts of a comment report share, as stage tables: the counts of words and pairs, those of names and labels, the most liked comments; and the
+    totals.  The rest is derived from them."""
 
-    counts: DataFrame
+    phrases: DataFrame
+    tags: DataFrame
     liked: DataFrame
+    totals: DataFrame
     stop: list[str]
     lexicon: dict[str, list[str]]
 
     @classmethod
     def of(cls, df: DataFrame, stop: list[str], lexicon: dict[str, list[str]], liked: int = 10, kept: stages.Stages | None = None) -> Analysis:
-        """Reads df twice: once for all counts, once for the few most liked."""
-        keep = (kept or stages.of(df.sparkSession)).keep
-        rows = top(df.filter("like_count > 0").select("comment_id", "like_count", "text"), liked, F.desc("like_count"), F.asc("comment_id"))
-        return cls(keep(tagged_counts(df, stop, lexicon), "phrases"), keep(rows, "liked"), stop, lexicon)
+        """Reads df three times, each word by word once: for words and pairs (one pass of its own is faster than one with all), for names and labels, and for the
+        few most liked, with the totals observed on the way."""
+        keep, seen = (kept or stages.of(df.sparkSession)).keep, Observation("totals")
+        sums = [F.count("*").alias("total_all"), F.count_if("is_reply").alias("total_replies"), F.sum(F.col("like_count").cast("long")).alias("total_likes")]
+        rows = df.select("comment_id", "like_count", "is_reply", "text").observe(seen, *sums).filter("like_count > 0").select("comment_id", "like_count", "text")
+        most = keep(top(rows, liked, F.desc("like_count"), F.asc("comment_id")), "liked")
+        totals = df.sparkSession.createDataFrame([tuple(seen.get[k] or 0 for k in ("total_all", "total_replies", "total_likes"))], "total_all long, total_replies long, total_likes long")
+        return cls(keep(phrase_counts(df, stop), "phrases"), keep(tagged_counts(df, stop, lexicon), "tags"), most, totals, stop, lexicon)
 
     def of_kind(self, kind: str, name: str = "phrase") -> DataFrame:
-        return self.counts.filter(F.col("kind") == kind).select(F.col("phrase").alias(name), "n")
+        return self.tags.filter(F.col("kind") == kind).select(F.col("phrase").alias(name), "n")
 
     def topics(self) -> DataFrame:
-        return topics_of(self.counts.filter(F.col("kind").isin("unigram", "bigram")).select(F.col("kind").alias("type"), "phrase", "n"))
+        return topics_of(self.phrases)
 
     def entities(self) -> DataFrame:
         return entities_of(self.of_kind("name", "word"))
 
     def themes(self) -> DataFrame:
-        return themes_of(top(self.of_kind("unigram"), 100, F.desc("n"), F.asc("phrase")), self.liked, self.stop)
+        return themes_of(top(self.phrases.filter("type = 'unigram'").select("phrase", "n"), 100, F.desc("n"), F.asc("phrase")), self.liked, self.stop)
 
     def sums(self) -> DataFrame:
         """One row: total_all, total_replies, total_likes."""
-        of = lambda k: F.coalesce(F.sum(F.when(F.col("phrase") == k, F.col("n"))), F.lit(0)).cast("long")
-        return self.of_kind("sum").agg(of("all").alias("total_all"), of("replies").alias("total_replies"), of("likes").alias("total_likes"))
+        return self.totals
 
     def profile(self) -> DataFrame:
         return profile_of(self.of_kind("label", "label"), self.sums().select(F.greatest("total_all", F.lit(1)).alias("total")), self.lexicon)

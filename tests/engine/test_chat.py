@@ -56,9 +56,10 @@ def test_sessions_across_slices(spark, slice_s):
     df = spark.createDataFrame(rows, "key string, ts double, row int").repartition(3)
     want = brute_sessions(rows, 10)
     got = {}
-    for r in K.sessions(df, "key", 10.0, slice_s).collect():
+    for r in K.sliced_sessions(df, "key", 10.0, slice_s).collect():
         got[(r.key, r.session), r._at] = (r.ts, r.row)
     assert got == {(k, i): x for k, members in want.items() for i, x in enumerate(members)}
+    assert sorted(map(str, K.sessions(df, "key", 10.0).select("key", "session", "_at", "row").collect())) == sorted(map(str, K.sessions(df, "key", 10.0, slice_s, 100).select("key", "session", "_at", "row").collect()))
 
 
 def test_clusters_of_many_videos(spark):
@@ -66,8 +67,9 @@ def test_clusters_of_many_videos(spark):
     rows = [(i % 2, f"a{i % 3}", rnd.uniform(0, 900), i) for i in range(200)]
     df = spark.createDataFrame(rows, "video int, author string, ts double, row int")
     want = brute_sessions([((v, a), t, r) for v, a, t, r in rows], 20)
-    got = {((r.video, r.author), r.session): (r.n, r.first, r.last, r.anchor) for r in K.session_clusters(df, ["video", "author"], 20.0).collect()}
-    assert got == {k: (len(m), m[0][0], m[-1][0], m[len(m) // 2][0]) for k, m in want.items()}
+    for hot_rows in (1 << 30, 10):
+        got = {((r.video, r.author), r.session): (r.n, r.first, r.last, r.anchor) for r in K.session_clusters(df, ["video", "author"], 20.0, 1.0, hot_rows).collect()}
+        assert got == {k: (len(m), m[0][0], m[-1][0], m[len(m) // 2][0]) for k, m in want.items()}
 
 
 def test_spikes_of_many_videos_equal_those_of_each_alone(spark):
