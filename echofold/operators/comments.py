@@ -153,7 +153,8 @@ def tagged_counts(df: DataFrame, stop: list[str], lexicon: dict[str, list[str]])
     """kind, phrase, n from one pass over the texts: name (capitalised words) and label."""
     lists = {"name": capitalised(F.col("text"), stop), "label": T.labels(F.col("_low"), lexicon)}
     empty = F.array().cast("array<string>")  # of a null text
-    tagged = F.concat(*(F.transform(F.coalesce(words, empty), lambda p, kind=kind: F.struct(F.lit(kind).alias("kind"), p.alias("phrase"))) for kind, words in lists.items()))
+    tag = lambda kind: lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("phrase"))
+    tagged = F.concat(*(F.transform(F.coalesce(words, empty), tag(kind)) for kind, words in lists.items()))
     return df.select("text", T.once(F.lower("text")).alias("_low")).select(F.explode(tagged).alias("p")).select("p.*").groupBy("kind", "phrase").agg(F.count("*").alias("n"))
 
 
