@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import time
+import warnings
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, fields
 
@@ -193,7 +194,10 @@ def read_config(spark: SparkSession, path: str) -> Config:
 
 
 def cached_roster(spark: SparkSession, path: str, fetch: Callable[[], Iterable[str]], days: float = 7.0, now: float | None = None) -> DataFrame:
-    """name: a roster that fetch() gives, kept at path for some days.  An older copy serves where fetch fails, and an empty table where there is none."""
+    """name: a roster that fetch() gives, kept at path for some days.  An older copy serves where fetch fails, with a warning, and an empty table where there is none.
+
+    Each fetch adds a file and the latest counts, so nothing that someone reads is overwritten.
+    """
     now = time.time() if now is None else now
     schema = "name string, fetched double"
     try:
@@ -201,15 +205,17 @@ def cached_roster(spark: SparkSession, path: str, fetch: Callable[[], Iterable[s
         age = kept.agg(F.max("fetched").alias("t")).first().t
     except AnalysisException:
         kept, age = spark.createDataFrame([], schema), None
+    kept = kept.filter(F.col("fetched") == age) if age is not None else kept
     if age is not None and now - age < days * 86400:
         return kept.select("name").distinct()
     try:
         names = sorted({n for n in fetch() if n})
-    except Exception:  # whatever a network call raises
+    except Exception as e:  # whatever a network call raises
+        warnings.warn(f"the roster wasn't fetched: {e!r}", stacklevel=2)
         names = []
     if not names:
         return kept.select("name").distinct()
-    spark.createDataFrame([(n, now) for n in names], schema).coalesce(1).write.mode("overwrite").json(path)
+    spark.createDataFrame([(n, now) for n in names], schema).coalesce(1).write.mode("append").json(path)
     return spark.createDataFrame([(n,) for n in names], "name string")
 
 
