@@ -58,7 +58,7 @@ def named_in(messages: DataFrame, roster: DataFrame, aliases: DataFrame, keys: l
     tokens = messages.select(*keys, F.explode(F.array_distinct(F.concat(*(T.titled(F.col("text"), p) for p in patterns)))).alias("token"))
     known = E.resolve(tokens, roster, aliases, **resolving).filter("name IS NOT NULL").select("token", "name")
     titled = tokens.join(known, "token").select(*keys, "name")
-    bare = contained(messages.select(*keys, "text"), F.col("text"), roster.select(F.col("name").alias("_bare")).filter(F.length("name") >= least), "_bare")
+    bare = contained(messages, F.col("text"), roster.select(F.col("name").alias("_bare")).filter(F.length("name") >= least), "_bare", columns=keys)
     bare = bare.join(aliases.select(F.col("alias").alias("_bare"), "canonical"), "_bare", "left").select(*keys, F.coalesce("canonical", "_bare").alias("name"))
     return titled.unionByName(bare).distinct()
 
@@ -256,7 +256,7 @@ def enrich(
     person = F.lit(None).cast("string")
     if present is not None:
         named_first = people.join(present.select("name").distinct(), "name").groupBy("id").agg(F.min_by("name", "place").alias("_named"))
-        held = contained(peak.filter(F.col("layer").isin("internal", "mixed")).select("id", "text"), F.col("text"), present.select("name", "alias"), "alias").groupBy("id").agg(F.min("name").alias("_held"))
+        held = contained(peak.filter(F.col("layer").isin("internal", "mixed")), F.col("text"), present.select("name", "alias"), "alias", columns=["id"]).groupBy("id").agg(F.min("name").alias("_held"))
         base = base.join(named_first, "id", "left").join(held, "id", "left")
         person = F.coalesce("_named", "_held")
     summary = buzz_summary(

@@ -13,7 +13,7 @@ from .. import lexicons as L
 from .. import phrases as P
 from .. import stages
 from ..functions import text as T
-from .terms import contained
+from .terms import contained, holders
 
 
 def message_layer(text: Column, logistics: list[str] = L.LOGISTICS, broadcast: list[str] = L.BROADCAST, reactions: list[str] | None = None) -> Column:
@@ -221,14 +221,19 @@ def disambiguate_in(tokens: DataFrame, candidates: DataFrame, texts: DataFrame,
 def mentions(messages: DataFrame, roster: DataFrame, least: int = 3) -> DataFrame:
     """row, name: whole roster names, of at least so many characters, found as substrings."""
     names = roster.select("name").filter(F.length("name") >= least)
-    return contained(messages.select("row", "text"), F.col("text"), names, "name").select("row", "name").distinct()
+    return contained(messages, F.col("text"), names, "name", columns=["row"]).select("row", "name").distinct()
+
+
+def mention_counts(messages: DataFrame, roster: DataFrame, least: int = 3) -> DataFrame:
+    """name, n: how many messages hold each roster name, of at least so many characters, as a substring; who is in none is left out."""
+    return holders(messages, F.col("text"), roster.filter(F.length("name") >= least), "name")
 
 
 def active_participants(authors: DataFrame, patterns: DataFrame) -> DataFrame:
     """Participants one of whose patterns an author's name contains, whatever the case.  patterns: name, pattern."""
     a = authors.select(F.lower("author").alias("author")).distinct()
     p = patterns.select("name", F.lower("pattern").alias("pattern")).filter(F.length("pattern") > 0)
-    return contained(a, F.col("author"), p, "pattern").select("name").distinct()
+    return contained(a, F.col("author"), p, "pattern", columns=[]).select("name").distinct()
 
 
 def candidates_of(tokens: DataFrame, roster: DataFrame, aliases: DataFrame, suffixes: list[str] = L.SUFFIXES, forms: list[str] = L.TITLE_FORMS) -> DataFrame:

@@ -194,8 +194,7 @@ def discovery_cards(spark, sf):
 def roster_mentions(spark, sf):
     """Every word of the benchmark as a name that messages may hold: how many of them do."""
     words = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("name")).filter(F.length("name") >= 3).distinct()
-    held = E.mentions(turns(spark, sf).select(F.struct("conv_id", "row").alias("row"), "text"), words)
-    return held.groupBy("name").agg(F.count("*").alias("n"))
+    return E.mention_counts(turns(spark, sf), words)
 
 
 def official_names(spark, sf):

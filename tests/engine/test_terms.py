@@ -45,6 +45,36 @@ def test_no_terms_and_no_texts(spark):
     assert R.contained(rows, F.col("text"), spark.createDataFrame([("a",)], "term string"), "term").collect() == []
 
 
+def test_what_a_worker_hands_on_is_bounded():
+    """A text that holds many terms is repeated for each: never all of a batch at once."""
+    import pyarrow as pa
+
+    class Sent:
+        value = [f"w{i:03}" for i in range(300)]
+
+    text = " ".join(Sent.value) * 20
+    batch = pa.RecordBatch.from_pydict({"row": list(range(50)), "text": [text] * 50, "_text": [text] * 50})
+    sizes, pairs = [], set()
+    for out in R._find(R.Terms(Sent))(iter([batch])):
+        sizes.append(out.nbytes)
+        pairs |= set(zip(out.column("row").to_pylist(), out.column("_term").to_pylist(), strict=True))
+        assert out.num_rows <= 10_000 and out.schema.names == ["row", "text", "_term"]
+    assert pairs == {(i, x) for i in range(50) for x in Sent.value}
+    assert max(sizes) < 5 << 20 < sum(sizes)
+
+
+def test_counts_every_message(spark):
+    texts = ["the other", "the other", "other", None, "", "he", "then there"]
+    rows = spark.createDataFrame([(1, t) for t in texts], "row int, text string").repartition(2)  # messages need no key of their own
+    roster = spark.createDataFrame([(x,) for x in ("the", "the", "other", "he", "nobody", "", None)], "name string")
+    from echofold.operators import entities as E
+
+    assert sorted(tuple(r) for r in E.mention_counts(rows, roster).collect()) == [("other", 3), ("the", 4)]
+    assert sorted(tuple(r) for r in E.mention_counts(rows, roster, 2).collect()) == [("he", 5), ("other", 3), ("the", 4)]
+    asked = roster.select(F.col("name").alias("x"))
+    assert sorted(tuple(r) for r in R.holders(rows, F.col("text"), asked, "x", limit=4).collect()) == [("he", 5), ("other", 3), ("the", 4)]
+
+
 def test_messages_about_a_person(spark):
     names = spark.createDataFrame([("공태현 프로",), ("김민 선수",), ("공태현 프로",)], "name string")
     aliases = spark.createDataFrame([("공프로", "공태현 프로"), ("민프로", "누구")], "alias string, canonical string")
