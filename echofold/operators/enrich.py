@@ -334,9 +334,14 @@ def chat_samples(links: DataFrame, messages: DataFrame, most: int = 6) -> DataFr
     return first_texts(once, ["name"], most, "_o").withColumnRenamed("texts", "samples")
 
 
+def spikes_of(named: DataFrame, spikes: DataFrame, size: float) -> DataFrame:
+    """name, rank: every spike (rank, ws, we) in which a person is named.  named: name, ts."""
+    return interval_join(named.select("name", "ts"), spikes.select("rank", "ws", "we"), size, "ws", "we").select("name", "rank").distinct()
+
+
 def spike_ranks(named: DataFrame, spikes: DataFrame, size: float, most: int = 4) -> DataFrame:
-    """name, ranks: the first spikes (rank, ws, we) in which a person is named.  named: name, ts."""
-    rows = interval_join(named.select("name", "ts"), spikes.select("rank", "ws", "we"), size, "ws", "we").select("name", "rank").distinct()
+    """name, ranks: the first of spikes_of, in order."""
+    rows = spikes_of(named, spikes, size)
     first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("name").orderBy("rank"))).filter(F.col("_r") <= most)
     return first.groupBy("name").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
 
@@ -360,9 +365,8 @@ def discovery(people: DataFrame) -> DataFrame:
     return people.select("name", read.alias("interpretation"), act.alias("action"))
 
 
-def discovery_context(links: DataFrame, most: int = 3) -> DataFrame:
-    """name, rank, line of links (name, place, rank, anchor, pre_text, concurrent_text, event): what is known of a person's first spikes; places count from 0."""
-    links = links.filter(F.col("place") < most)
+def discovery_context(links: DataFrame) -> DataFrame:
+    """name, rank, line of links (name, rank, anchor, pre_text, concurrent_text, event): what is known of each of a person's spikes."""
     best = F.when(T.has_text(F.col("pre_text")), T.strip(F.col("pre_text"))).otherwise(T.strip(F.coalesce("concurrent_text", F.lit(""))))
     rows = links.withColumn("_best", T.once(best)).withColumn("_time", T.long_clock(F.col("anchor").cast("string")))
     parts = {"rank": F.col("rank"), "time": F.col("_time")}

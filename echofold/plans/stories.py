@@ -127,8 +127,11 @@ def people_metrics(spark, sf):
 def _in_spikes(spark, sf):
     """The stage tables of crowd, and what people_metrics and spike_ranks say of everyone who is named in a spike, one too."""
     messages, named = crowd(spark, sf)
-    spikes = scenes(spark, sf).withColumn("rank", F.col("id") + 1)
-    return messages, named, stages.of(spark).keep(_metrics(messages, named).join(N.spike_ranks(named, spikes, 60.0), "name"), "metrics")
+    return messages, named, stages.of(spark).keep(_metrics(messages, named).join(N.spike_ranks(named, _numbered(spark, sf), 60.0), "name"), "metrics")
+
+
+def _numbered(spark, sf):
+    return scenes(spark, sf).withColumn("rank", F.col("id") + 1)
 
 
 def people_scores(spark, sf):
@@ -168,26 +171,26 @@ def discovery(spark, sf):
     return N.discovery(m.join(N.tone(_told(spark, messages, m), *TONES), "name"))
 
 
-def _links(spark, sf, people):
-    """Each person's spikes, their commentary and first event."""
-    links = people.select("name", F.posexplode("ranks").alias("place", "rank"))
+def _links(spark, sf, links):
+    """links (name, rank, ...) of people and spikes with the spikes' commentary and first event."""
     known = enriched(spark, sf)
     s = scenes(spark, sf).select((F.col("id") + 1).alias("rank"), "id", "ws", "we", "anchor").join(known["context"], "id").join(known["chat_events"].filter("rank = 1").select("id", "event"), "id", "left")
     return links.join(s.select("rank", "ws", "we", "anchor", "pre_text", "concurrent_text", "event"), "rank")
 
 
 def discovery_context(spark, sf):
-    """What is known of the first spikes in which each person is named."""
-    return N.discovery_context(_links(spark, sf, _in_spikes(spark, sf)[2]))
+    """What is known of every spike in which a person is named."""
+    return N.discovery_context(_links(spark, sf, N.spikes_of(crowd(spark, sf)[1], _numbered(spark, sf), 60.0)))
 
 
 def discovery_cards(spark, sf):
     """All of a person's card: the spikes, what was said in them and elsewhere, and what it comes to."""
     messages, _, m = _in_spikes(spark, sf)
-    links = stages.of(spark).keep(_links(spark, sf, m), "links")
+    first = m.select("name", F.posexplode("ranks").alias("place", "rank")).filter("place < 3").drop("place")
+    links = stages.of(spark).keep(_links(spark, sf, first), "links")
     told = _told(spark, messages, m)
     people = m.join(N.tone(told, *TONES), "name")
-    out = N.discovery_cards(people, N.discovery_context(links), N.chat_samples(links.filter("place < 3"), told), N.tone_samples(told, *TONES))
+    out = N.discovery_cards(people, N.discovery_context(links), N.chat_samples(links, told), N.tone_samples(told, *TONES))
     return out.select("name", *(F.array_join(c, "\n").alias(c) for c in ("context", "samples", "newcomer_said", "praise_said", "lasting_said")), "reaction", "interpretation", "action")
 
 
@@ -504,9 +507,11 @@ tw AS (SELECT *, ts > 0.75 * max(ts) OVER (PARTITION BY name) AS late, lower(tex
 tn AS (SELECT name, count(*) FILTER ({_any(TONES[0])}) AS newcomer_n, count(*) FILTER ({_any(TONES[1])}) AS praise_n, count(*) FILTER (late AND {_any(TONES[2])}) AS lasting_n, min_by(text, {{'ts': ts, 'row': row}}) FILTER (late AND {_any(TONES[2])}) AS said FROM tw GROUP BY name)"""
 READING = f"""CASE WHEN lasting_n > 0 AND len(ranks) >= 2 THEN {P.fill_sql(P.LASTING, mentions="mentions", said="left(said, 25)")} WHEN len(ranks) >= 2 AND clusters >= 2 THEN {P.fill_sql(P.SPREAD, clusters="clusters")} ELSE {P.fill_sql(P.FIRST_LOOK, mentions="mentions", sentiment="label")} END AS interpretation,
 CASE WHEN label IN ('감탄·대박', '놀람·흥분') OR praise_n >= 3 THEN {P.fill_sql(P.ACTION_SKILL, linked=_LINK, name="name")} WHEN newcomer_n >= 2 THEN {P.fill_sql(P.ACTION_FOUND, linked=_LINK)} WHEN label = '응원·격려' THEN {P.fill_sql(P.ACTION_CHEER, linked=_LINK)} ELSE {P.fill_sql(P.ACTION_ELSE, linked=_LINK)} END AS action"""
-FOUND = f"""dl AS (SELECT name, unnest(ranks[1:3]) AS rank FROM rn), dx AS (SELECT dl.name, dl.rank, ws, we, event, CASE WHEN pre_text <> '' THEN {_strip("pre_text")} ELSE {_strip("concurrent_text")} END AS best, printf('%d:%02d:%02d', CAST(anchor AS BIGINT) // 3600, CAST(anchor AS BIGINT) % 3600 // 60, CAST(anchor AS BIGINT) % 60) AS time
+_found = lambda links: f"""dl AS ({links}), dx AS (SELECT dl.name, dl.rank, ws, we, event, CASE WHEN pre_text <> '' THEN {_strip("pre_text")} ELSE {_strip("concurrent_text")} END AS best, printf('%d:%02d:%02d', CAST(anchor AS BIGINT) // 3600, CAST(anchor AS BIGINT) % 3600 // 60, CAST(anchor AS BIGINT) % 60) AS time
  FROM dl JOIN sc ON sc.id + 1 = dl.rank JOIN cx ON cx.id = sc.id LEFT JOIN pv ON pv.id = sc.id AND pv.rank = 1),
-dy AS (SELECT name, rank, CASE WHEN best <> '' THEN {P.fill_sql(P.FOUND_SPOKEN, rank="rank", time="time", snippet=_snippet("best", 80, ["다", "요", ".", "。"]))} || coalesce({P.fill_sql(P.FOUND_SPOKEN_EVENT, event="event")}, '') WHEN event IS NOT NULL THEN {P.fill_sql(P.FOUND_EVENT, rank="rank", time="time", name="name", event="event")} ELSE {P.fill_sql(P.FOUND_CHAT, rank="rank", time="time", name="name")} END AS line FROM dx)"""
+dy AS (SELECT name, rank, CASE WHEN best <> '' THEN {P.fill_sql(P.FOUND_SPOKEN, rank="rank", time="time", snippet=_snippet("best", 80, ["다", "요", ".", "。"]))} || coalesce({P.fill_sql(P.FOUND_SPOKEN_EVENT, event="event")}, '') WHEN event IS NOT NULL THEN {P.fill_sql(P.FOUND_EVENT, rank="rank", time="time", name="name", event="event")} ELSE {P.fill_sql(P.FOUND_CHAT, rank="rank", time="time", name="name")} END AS line FROM dx)"""
+FOUND = _found("SELECT name, unnest(ranks[1:3]) AS rank FROM rn")
+FOUND_ALL = _found("SELECT DISTINCT name, id + 1 AS rank FROM tm JOIN sc ON ts BETWEEN ws AND we")
 _said = lambda kind, i, n: f"sd{i} AS (SELECT name, string_agg(text, chr(10) ORDER BY r) AS {kind}_said FROM (SELECT name, text, row_number() OVER (PARTITION BY name ORDER BY ts, row) AS r FROM tw WHERE {'late AND ' if i == 2 else ''}{_any(TONES[i])}) WHERE r <= {n} GROUP BY name)"
 REC = f"""rec AS (SELECT *, list_filter([{", ".join(f"CASE WHEN contains(lower(text), '{p.lower()}') THEN '{p}' END" for p in PLAYERS)}], lambda x: x IS NOT NULL) AS players, CASE WHEN comment_id % 3 = 0 THEN printf('seg_%04d', comment_id % 50) ELSE '' END AS segment, CASE WHEN comment_id % 3 = 0 THEN (comment_id % 50) * 30.0 END AS low,
   ['high', 'medium', 'low'][CAST(comment_id % 3 + comment_id % 2 AS INTEGER) + 1] AS confidence, comment_id % 4 = 0 AS manual, CASE WHEN comment_id % 2 = 0 THEN 'comment' ELSE 'live_chat' END AS source_type, list_filter([{", ".join(f"CASE WHEN contains(lower(text), '{e}') THEN '{e}' END" for e in ("tion", "ring", "lead"))}], lambda x: x IS NOT NULL) AS events FROM scored)"""
@@ -592,7 +597,7 @@ SELECT name, CAST(CASE WHEN (SELECT max(m) FROM m) > 0 THEN floor(m / (SELECT ma
     ),
     "tone_words": (tone_words, with_views(f"+{STORY}, {TONE} SELECT * FROM tn", "turns")),
     "discovery": (discovery, with_views(f"+{PEOPLE}, {TONE} SELECT name, {READING} FROM ps JOIN tn USING (name)", "turns")),
-    "discovery_context": (discovery_context, _people(f", {FOUND} SELECT name, rank, line FROM dy")),
+    "discovery_context": (discovery_context, _people(f", {FOUND_ALL} SELECT name, rank, line FROM dy")),
     "discovery_cards": (
         discovery_cards,
         with_views(

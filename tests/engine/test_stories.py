@@ -118,6 +118,16 @@ def test_people_metrics_by_brute_force(spark):
         assert got[name] == (sum(n == name for _, n in named), len(clusters), len(found), good, bad)
 
 
+def test_context_of_every_spike(spark):
+    links = spark.createDataFrame([("김민", i, i + 1, 60.0 * i, None, f"말 {i}" if i % 2 else "", None) for i in range(6)], "name string, place int, rank int, anchor double, pre_text string, concurrent_text string, event string")
+    lines = {r.rank: r.line for r in N.discovery_context(links).collect()}
+    assert sorted(lines) == [1, 2, 3, 4, 5, 6] and all((f"말 {i}" in lines[i + 1]) == bool(i % 2) for i in range(6))
+    named = spark.createDataFrame([("김민", 10.0 * i) for i in range(6)] + [("김민", 51.0), ("이글", 500.0)], "name string, ts double")
+    spikes = spark.createDataFrame([(i + 1, 10.0 * i, 10.0 * i + 2) for i in range(6)], "rank int, ws double, we double")
+    assert sorted((r.name, r["rank"]) for r in N.spikes_of(named, spikes, 60.0).collect()) == [("김민", i) for i in range(1, 7)]
+    assert [r.ranks for r in N.spike_ranks(named, spikes, 60.0).collect()] == [[1, 2, 3, 4]]
+
+
 def test_notes_and_labels(spark):
     row = spark.range(1)
     players = F.array(F.lit("가"), F.lit("나"))
