@@ -125,6 +125,37 @@ def word_order(left: DataFrame, right: DataFrame, kept: stages.Stages) -> tuple[
     return kept.keep(a, "left-words"), b
 
 
+def word_counts(left: DataFrame, right: DataFrame, players: list[str] = []) -> DataFrame:  # noqa: B006
+    """id, seq, n, m, common, named of all pairs with a common word, through an inverted index.  left, right: as word_order gives them."""
+    held = [F.contains(F.col("w"), F.lit(p)).cast("int").alias(f"_p{i}") for i, p in enumerate(players)]
+    b = right.select("seq", "m", F.explode("words").alias("w")).select("seq", "m", "w", *held)
+    named = [F.max(f"_p{i}") for i in range(len(players))]
+    pairs = left.select("id", "n", F.explode("words").alias("w")).join(b, "w").groupBy("id", "seq")
+    return pairs.agg(F.first("n").alias("n"), F.first("m").alias("m"), F.count("*").cast("int").alias("common"), sum(named[1:], named[0]).alias("named") if named else F.lit(0).alias("named"))
+
+
+def _winners(rows: DataFrame, bonus_hundredths: int, least_hundredths: int) -> DataFrame:
+    """id, seq, common, either, named: the best of rows (id, seq, n, m, common, named) that come to the least score; of equal ones the first."""
+    rows = rows.withColumn("either", F.col("n") + F.col("m") - F.col("common")).withColumn("j", F.col("common") / F.col("either") + F.col("named") * (bonus_hundredths / 100))
+    enough = F.col("common") * 100 + F.col("named") * bonus_hundredths * F.col("either") >= F.col("either") * least_hundredths
+    best = rows.filter(enough).groupBy("id").agg(F.max(F.struct("j", (-F.col("seq")).alias("o"), "common", "either", "named")).alias("x"))
+    return best.select("id", (-F.col("x.o")).alias("seq"), "x.common", "x.either", "x.named")
+
+
+def _overlapping(won: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """won with overlap: the first six common words."""
+    overlap = F.slice(F.sort_array(F.array_intersect("words", "_other")), 1, 6).alias("overlap")
+    return won.join(a.select("id", "words"), "id").join(b.select("seq", F.col("words").alias("_other")), "seq").select("id", "seq", "common", "either", "named", overlap)
+
+
+def _likely(a: DataFrame, b: DataFrame, players: list[str], bonus_hundredths: int, least_hundredths: int) -> DataFrame:
+    """The winners among word_candidates, each compared on its whole sets."""
+    pairs = word_candidates(a, b, players, least_hundredths)
+    other = b.select("seq", F.col("words").alias("_other"))
+    common = F.size(F.array_intersect("words", "_other")).alias("common")
+    return _winners(pairs.join(a.select("id", "words"), "id").join(other, "seq").select("id", "seq", "n", "m", "named", common), bonus_hundredths, least_hundredths)
+
+
 def word_match(left: DataFrame, right: DataFrame, players: list[str] = [], bonus_hundredths: int = 6, least_hundredths: int = 7, kept: stages.Stages | None = None) -> DataFrame:  # noqa: B006
     """id, seq, common, either, named, overlap: the best partner by Jaccard similarity of word sets and a bonus for each player whose name a common
     word holds, where both come to the least score; of equal ones the first.
@@ -133,16 +164,16 @@ def word_match(left: DataFrame, right: DataFrame, players: list[str] = [], bonus
     come from word_candidates; each is then compared on its whole sets.
     """
     a, b = word_order(left, right, kept or stages.of(left.sparkSession))
-    pairs = word_candidates(a, b, players, least_hundredths)
-    both = F.array_intersect(F.col("words"), F.col("_other"))
-    other = b.select("seq", F.col("words").alias("_other"))
-    rows = pairs.join(a.select("id", "words"), "id").join(other, "seq").select("id", "seq", "n", "m", "named", F.size(both).alias("common"))
-    rows = rows.withColumn("either", F.col("n") + F.col("m") - F.col("common")).withColumn("j", F.col("common") / F.col("either") + F.col("named") * (bonus_hundredths / 100))
-    enough = F.col("common") * 100 + F.col("named") * bonus_hundredths * F.col("either") >= F.col("either") * least_hundredths
-    best = rows.filter(enough).groupBy("id").agg(F.max(F.struct("j", (-F.col("seq")).alias("o"), "common", "either", "named")).alias("x"))
-    won = best.select("id", (-F.col("x.o")).alias("seq"), "x.common", "x.either", "x.named")
-    overlap = F.slice(F.sort_array(both), 1, 6).alias("overlap")
-    return won.join(a.select("id", "words"), "id").join(other, "seq").select("id", "seq", "common", "either", "named", overlap)
+    return _overlapping(_likely(a, b, players, bonus_hundredths, least_hundredths), a, b)
+
+
+def best_word_match(left: DataFrame, right: DataFrame, players: list[str] = [], bonus_hundredths: int = 6, kept: stages.Stages | None = None) -> DataFrame:  # noqa: B006
+    """As word_match, whatever the score: the best partner of every row that has a word in common with any.
+
+    Where scores may be low hardly a word can be left out of the prefixes, so all pairs with a common word are counted.
+    """
+    a, b = word_order(left, right, kept or stages.of(left.sparkSession))
+    return _overlapping(_winners(word_counts(a, b, players), bonus_hundredths, 0), a, b)
 
 
 def word_confidence(matches: DataFrame, least_hundredths: int = 7, bonus_hundredths: int = 6) -> DataFrame:

@@ -75,16 +75,20 @@ def signal_match(spark, sf):
     return out.withColumn("signals", F.array_join("signals", ","))
 
 
+def _word_sides(spark, sf):
+    return (x.withColumnRenamed("x", "words") for x in _sides(spark, sf, lambda c: T.content_words(c, MATCH_WORDS)))
+
+
 def jaccard_match(spark, sf):
-    d, b = _sides(spark, sf, lambda c: T.content_words(c, MATCH_WORDS))
-    out = M.word_match(d.withColumnRenamed("x", "words"), b.withColumnRenamed("x", "words"), WORD_PLAYERS)
+    """The best item for every comment that has a word in common with any, however low the score."""
+    out = M.best_word_match(*_word_sides(spark, sf), WORD_PLAYERS)
     return out.select("id", "seq", F.col("common").cast("long").alias("common"), F.col("either").cast("long").alias("either"), F.col("named").cast("long").alias("named"), F.array_join("overlap", ",").alias("overlap"))
 
 
 def two_pass_match(spark, sf):
     """Signals first, words where they are better; words never count for more than low."""
     a = signal_match(spark, sf).select("id", "seq", "confidence")
-    b = M.word_confidence(jaccard_match(spark, sf).withColumn("overlap", F.split("overlap", ",")))
+    b = M.word_confidence(M.word_match(*_word_sides(spark, sf), WORD_PLAYERS))
     return M.coalesce_matches(a, b)
 
 
@@ -328,7 +332,7 @@ QUERIES = {
     "match_cascade": (match_cascade, with_views(f"+{TIMES} SELECT * FROM matched", "chat", "segments")),
     "interval_overlap_context": (interval_overlap_context, with_views('SELECT b.seq AS id, array_to_string(list_sort(list(a.seq)), \',\') AS seqs FROM segments a JOIN segments b ON a."end" >= b.start - 9000 AND a.start <= b.start + 4000 GROUP BY b.seq', "chat", "segments")),
     "signal_match": (signal_match, with_views(f"+{SIGNALS} SELECT id, seq, score, confidence, signals FROM sig", "comments")),
-    "jaccard_match": (jaccard_match, with_views(f"+{JACCARD} SELECT id, seq, common, either, CAST(named AS BIGINT) AS named, overlap FROM jac WHERE common * 100 + named * 6 * either >= either * 7", "comments")),
+    "jaccard_match": (jaccard_match, with_views(f"+{JACCARD} SELECT id, seq, common, either, CAST(named AS BIGINT) AS named, overlap FROM jac", "comments")),
     "two_pass_match": (
         two_pass_match,
         with_views(f"""+{SIGNALS}, {JACCARD}, j AS (SELECT * FROM jac WHERE common * 100 + named * 6 * either >= either * 7)

@@ -38,6 +38,27 @@ def test_winners_equal_a_comparison_of_all_pairs(spark):
         assert got == best(left, right, players, 6, least)
 
 
+def test_the_best_of_low_scores(spark):
+    rnd = random.Random(5)
+    for players in (["play1", "play2"], []):
+        left, right = sides(rnd, 80, 40)
+        left[1] = [f"long{i}" for i in range(400)] + ["w1"]  # a score below a hundredth
+        a = spark.createDataFrame(list(left.items()), "id int, words array<string>").repartition(3)
+        b = spark.createDataFrame(list(right.items()), "seq int, words array<string>")
+        got = {r.id: (r.seq, r.common, r.either, r.named, r.overlap) for r in M.best_word_match(a, b, players).collect()}
+        assert got == best(left, right, players, 6, 0) and 1 in got
+
+
+def test_jaccard_match_leaves_out_no_comment(spark, tmp_path):
+    from echofold import catalog
+
+    texts = ["zebra lion", "zebra " + " ".join(f"{a}{b}{c}" for a in "bcd" for b in "aeiou" for c in "fghklm"), "nothing", None]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "zebra lion"), (2, "tiger")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.id: (r.seq, r.common, r.overlap) for r in catalog.queries()["jaccard_match"](spark, str(tmp_path)).collect()}
+    assert got == {0: (1, 2, "lion,zebra"), 1: (1, 1, "zebra")}
+
+
 def test_candidates_are_few_and_hold_every_pair_that_counts(spark):
     rnd = random.Random(4)
     left, right = sides(rnd, 120, 60)
